@@ -3,9 +3,17 @@
 from __future__ import annotations
 
 from bitquarry.llm.decontaminate import op8_decontaminate
+from bitquarry.llm.line_dedup import op6_line_dedup
+from bitquarry.llm.ngram_join import op4_ngram_join
+from bitquarry.llm.packing import op9_packing
+from bitquarry.llm.token_files import op3_token_files
 
 QUERIES = {
+    "op3_token_files": op3_token_files,
+    "op4_ngram_join": op4_ngram_join,
+    "op6_line_dedup": op6_line_dedup,
     "op8_decontaminate": op8_decontaminate,
+    "op9_packing": op9_packing,
 }
 
 #: DuckDB SQL of the queries that SQL can express.
