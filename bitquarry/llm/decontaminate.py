@@ -180,11 +180,11 @@ def blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> Iterator[lis
         yield block
 
 
-_SPANS = [("__spans", pa.list_(pa.list_(pa.int64()))), ("__items", pa.list_(pa.string())), ("__n", pa.int64())]
+_SPANS = [("__bq_spans", pa.list_(pa.list_(pa.int64()))), ("__bq_items", pa.list_(pa.string())), ("__bq_n", pa.int64())]
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """docs with __spans (hit word ranges), __items (ids with occurring windows) and __n (words)."""
+    """docs with __bq_spans (hit word ranges), __bq_items (ids with occurring windows) and __bq_n (words)."""
     spark = docs.sparkSession
     arrow_batches(spark)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
@@ -196,7 +196,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", window: int
             auto = held.value
             for b in batches:
                 names = b.schema.names
-                had = "__spans" in names
+                had = "__bq_spans" in names
                 old = [b.column(names.index(c)).to_pylist() for c, _ in _SPANS[:2]] if had else None
                 got: list[list] = [[], [], []]
                 for k, t in enumerate(b.column(names.index(text)).to_pylist()):
@@ -210,15 +210,15 @@ def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", window: int
                 cols = keep + [(c, pa.array(x, type=t)) for (c, t), x in zip(_SPANS, got)]
                 yield pa.RecordBatch.from_arrays([x for _, x in cols], names=[c for c, _ in cols])
 
-        out = out.mapInArrow(step, f"{schema}, __spans array<array<bigint>>, __items array<string>, __n bigint")
+        out = out.mapInArrow(step, f"{schema}, __bq_spans array<array<bigint>>, __bq_items array<string>, __bq_n bigint")
     return out
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """One row per document: n_words, n_hit, n_items, items_sha256, contaminated."""
     spans = scan(docs.select("doc_id", "text"), benchmark, window=window)
-    n_hit = F.aggregate("__spans", F.lit(0).cast("long"), lambda a, s: a + s[1] - s[0])
-    out = spans.select("doc_id", F.col("__n").alias("n_words"), n_hit.alias("n_hit"), F.size("__items").cast("long").alias("n_items"), F.sha2(F.array_join("__items", ","), 256).alias("items_sha256"))
+    n_hit = F.aggregate("__bq_spans", F.lit(0).cast("long"), lambda a, s: a + s[1] - s[0])
+    out = spans.select("doc_id", F.col("__bq_n").alias("n_words"), n_hit.alias("n_hit"), F.size("__bq_items").cast("long").alias("n_items"), F.sha2(F.array_join("__bq_items", ","), 256).alias("items_sha256"))
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (COVERAGE_INVERSE * F.col("n_hit") >= F.col("n_words")))
 
 
@@ -243,8 +243,8 @@ def remove(docs: DataFrame, benchmark: DataFrame, action: str = "drop", max_span
         raise ValueError("action is drop or cut")
     names = docs.columns
     found = scan(docs, benchmark, window=window)
-    n_hit = F.aggregate("__spans", F.lit(0).cast("long"), lambda a, s: a + s[1] - s[0])
-    bad = (n_hit > 0) & (COVERAGE_INVERSE * n_hit >= F.col("__n"))
+    n_hit = F.aggregate("__bq_spans", F.lit(0).cast("long"), lambda a, s: a + s[1] - s[0])
+    bad = (n_hit > 0) & (COVERAGE_INVERSE * n_hit >= F.col("__bq_n"))
     if action == "drop":
         found = found.filter(~bad)
         if max_span is None:
@@ -256,7 +256,7 @@ def remove(docs: DataFrame, benchmark: DataFrame, action: str = "drop", max_span
         for b in batches:
             at = {c: i for i, c in enumerate(b.schema.names)}
             texts = []
-            for t, spans, n in zip(*(b.column(at[c]).to_pylist() for c in ("text", "__spans", "__n"))):
+            for t, spans, n in zip(*(b.column(at[c]).to_pylist() for c in ("text", "__bq_spans", "__bq_n"))):
                 hit = sum(y - x for x, y in spans)
                 every = cover and hit and COVERAGE_INVERSE * hit >= n
                 spans = [s for s in spans if every or s[1] - s[0] > limit]

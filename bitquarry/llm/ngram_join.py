@@ -329,7 +329,8 @@ def similar_groups(docs: DataFrame, tile_shingles: int = TILE_SHINGLES) -> DataF
     sized = first.join(shape, "root").withColumn("blocks", F.ceil(F.col("total") / tile_shingles).cast("int"))
     placed = sized.withColumn("block", F.pmod(F.xxhash64("h1", "h2"), F.col("blocks")).cast("int"))
     tiles = placed.select("root", "doc_id", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select("root", "doc_id", "block", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"))
-    links = tiles.join(whole, "doc_id").groupBy("root", "x", "y").applyInArrow(_links, "a bigint, b bigint")
+    # texts are dealt by doc_id at every size: candidates grow with the documents, so they are never broadcast
+    links = tiles.hint("merge").join(whole, "doc_id").groupBy("root", "x", "y").applyInArrow(_links, "a bigint, b bigint")
     found = components(copies.unionByName(links))
     out = info.join(found, info["doc_id"] == found["node"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "doc_id").alias("component_id"))
     return out.unionByName(docs.filter("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("n_shingles"), F.lit(None).cast("long").alias("component_id")))

@@ -2,19 +2,30 @@
 
 from __future__ import annotations
 
+from bitquarry.llm import url_filter
+from bitquarry.llm.ann import op7_ann
 from bitquarry.llm.decontaminate import op8_decontaminate
+from bitquarry.llm.html_text import op2_html_text
+from bitquarry.llm.licenses import op5_licenses
 from bitquarry.llm.line_dedup import op6_line_dedup
 from bitquarry.llm.ngram_join import op4_ngram_join
 from bitquarry.llm.packing import op9_packing
 from bitquarry.llm.token_files import op3_token_files
+from bitquarry.llm.toxicity import op1_toxicity
+from bitquarry.llm.url_filter import op10_url_filter
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
+    "op2_html_text": op2_html_text,
     "op3_token_files": op3_token_files,
     "op4_ngram_join": op4_ngram_join,
+    "op5_licenses": op5_licenses,
     "op6_line_dedup": op6_line_dedup,
+    "op7_ann": op7_ann,
     "op8_decontaminate": op8_decontaminate,
     "op9_packing": op9_packing,
+    "op10_url_filter": op10_url_filter,
 }
 
 #: DuckDB SQL of the queries that SQL can express.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op10_url_filter": url_filter.ORACLE_SQL}

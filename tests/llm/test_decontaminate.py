@@ -53,8 +53,8 @@ def test_blocks_and_remove(spark):
     bench = spark.createDataFrame([(1, item), (2, "x y z " * 6)], "item_id long, text string")
     from bitquarry.llm.decontaminate import scan
 
-    one = {r.doc_id: (r.__getitem__("__spans"), r.__getitem__("__items")) for r in scan(docs, bench).collect()}
-    many = {r.doc_id: (r.__getitem__("__spans"), r.__getitem__("__items")) for r in scan(docs, bench, block_words=1).collect()}
+    one = {r.doc_id: (r.__getitem__("__bq_spans"), r.__getitem__("__bq_items")) for r in scan(docs, bench).collect()}
+    many = {r.doc_id: (r.__getitem__("__bq_spans"), r.__getitem__("__bq_items")) for r in scan(docs, bench, block_words=1).collect()}
     assert one == many
     assert sorted(r.doc_id for r in remove(docs, bench).collect()) == [2, 3]
     assert {r.doc_id: r.text for r in remove(docs, bench, "cut").collect()} == {1: "a, ; b", 2: "clean text", 3: None}
