@@ -3,7 +3,8 @@
 Training. Words of labelled documents are counted by class (documents that
 hold the word; equal texts count once). A word's score is its log-odds between
 the classes under an informative Dirichlet prior, whose mean is the word's
-share of both classes, so rare words shrink to none; only words whose score is
+share of both classes and whose weight is ``PRIOR`` times the toxic texts, so
+rare words shrink to none; only words whose score is
 ``z_least`` standard errors above none enter the lexicon. Every other word
 costs a constant, fitted so that the expected score of a word of a clean
 document is negative, as segment statistics need.
@@ -41,8 +42,8 @@ from pyspark.sql import functions as F
 from bitquarry.llm._common import alnum_words, arrow_batches, materialize, read
 
 SAMPLE = 20_000
-PRIOR = 20.0
-Z_LEAST = 3.0
+PRIOR = 10
+Z_LEAST = 2.5
 LEXICON = 50_000
 E_MOST = 0.01
 
@@ -168,9 +169,10 @@ def fit(rows: DataFrame) -> Model:
     if not texts or not texts.toxic or not texts.clean:
         return Model()
     n1, n0 = texts.toxic, texts.clean
-    prior = F.lit(PRIOR) * (F.col("toxic") + F.col("clean")) / F.lit(float(n1 + n0))  # pseudo-texts that hold the word
+    pseudo = float(PRIOR * n1)  # texts that the prior stands for
+    prior = F.lit(pseudo) * (F.col("toxic") + F.col("clean")) / F.lit(float(n1 + n0))
     a, b = F.col("toxic") + prior, F.col("clean") + prior
-    odds = F.log(a / (n1 + PRIOR - a)) - F.log(b / (n0 + PRIOR - b))
+    odds = F.log(a / (n1 + pseudo - a)) - F.log(b / (n0 + pseudo - b))
     words = counts.filter((F.col("toxic") >= 3) & (F.length("word") > 0)).select("word", odds.alias("s"), (odds / F.sqrt(1 / a + 1 / b)).alias("z"))
     best = words.filter((F.col("z") >= Z_LEAST) & (F.col("s") > 0)).orderBy(F.desc("z"), "word").limit(LEXICON).collect()
     lexicon = {bytes(r.word): r.s for r in best}
