@@ -8,7 +8,9 @@ fingerprint belongs to each place: the hash of the fewest units from there on
 fingerprints the smaller is selected, and always one whose first unit alone has
 ``sure_words`` words. A run of units that occurs twice and holds two
 neighbouring places with their windows, or one such long unit, therefore
-selects the same fingerprint both times.
+selects the same fingerprint both times. A run is compared where its
+fingerprints stand first, so a passage whose every fingerprint stood still
+earlier in different texts is compared with those.
 
 Selected fingerprints meet on their hash; each one but the first (by doc_id,
 then place) is a match with the first place. Matches are extended unit by unit
@@ -47,12 +49,16 @@ def units(text: Column) -> Column:
     return F.split(text, _CUT)
 
 
+def _bare(u: Column) -> Column:
+    return F.rtrim(u, F.lit(" \n\r\t"))
+
+
 def _unit_hash(u: Column) -> Column:
-    return F.xxhash64(F.rtrim(F.regexp_replace(u, "\\s+$", "")))
+    return F.xxhash64(_bare(u))
 
 
 def _words(u: Column) -> Column:
-    t = F.regexp_replace(u, "\\s+$", "")
+    t = _bare(u)
     return F.when(t == "", F.lit(0)).otherwise(F.length(t) - F.length(F.replace(t, F.lit(" "), F.lit(""))) + 1)
 
 
@@ -89,12 +95,11 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS, gram_words: int =
     sig = materialize(_signatures(docs.select("doc_id", "text")))
     fps = _fingerprints(sig, gram_words, sure_words)
     place = F.struct("doc_id", _TH, "pos")
-    first = fps.groupBy("fp").agg(F.min(place).alias("a"), F.max(place).alias("z")).filter("a < z").select("fp", "a")
+    first = fps.groupBy("fp").agg(F.min(place).alias("a"), F.count("*").alias("n")).filter("n > 1").select("fp", "a")
     matches = fps.join(first, "fp").filter(place > F.col("a"))
     pairs = matches.groupBy("doc_id", _TH, F.col("a.doc_id").alias("a_id"), F.col(f"a.{_TH}").alias("a_th"), (F.col("pos") - F.col("a.pos")).alias("shift")).agg(F.collect_set("pos").alias("hits"))
-    one = sig.dropDuplicates(["doc_id", _TH])
-    earlier = one.select(F.col("doc_id").alias("a_id"), F.col(_TH).alias("a_th"), F.col(_H).alias("a_h"))
-    both = pairs.join(earlier, ["a_id", "a_th"]).join(one, ["doc_id", _TH])
+    earlier = sig.select(F.col("doc_id").alias("a_id"), F.col(_TH).alias("a_th"), F.col(_H).alias("a_h"))
+    both = pairs.join(earlier, ["a_id", "a_th"]).join(sig, ["doc_id", _TH])
     # runs of equal units along the shift
     same = lambda i: F.coalesce((i >= F.col("shift")) & (F.get(F.col(_H), i) == F.get(F.col("a_h"), i - F.col("shift"))), F.lit(False))
     every = F.sequence(F.lit(0), F.size(_H) - 1)
@@ -107,21 +112,18 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS, gram_words: int =
 
 
 def dedup(docs: DataFrame, min_words: int = MIN_WORDS, **options: int) -> DataFrame:
-    """docs with the repeated runs deleted from text, and n_units, n_removed (units) beside it."""
+    """docs with the repeated runs deleted from text, and __bq_runs (their number) beside it."""
     runs = repeated_runs(docs, min_words, **options)
-    gone = runs.groupBy(F.col("doc_id").alias("__bq_id"), _TH).agg(F.array_distinct(F.flatten(F.collect_list(F.sequence("first", "last")))).alias(_GONE))
-    marked = docs.withColumn(_TH, F.xxhash64("text"))
-    joined = marked.join(gone, (marked["doc_id"].cast("long") == gone["__bq_id"]) & (marked[_TH] == gone[_TH]), "left").drop(gone[_TH]).withColumn(_U, units(F.col("text")))
-    left = F.array_except(F.sequence(F.lit(0), F.size(_U) - 1), F.col(_GONE))
-    kept = F.array_join(F.transform(left, lambda i: F.get(F.col(_U), i)), "")
+    gone = runs.groupBy(F.col("doc_id").alias("__bq_id"), F.col(_TH).alias("__bq_gth")).agg(F.collect_set(F.struct("first", "last")).alias(_GONE))
+    joined = docs.join(gone, (docs["doc_id"].cast("long") == gone["__bq_id"]) & (F.xxhash64(docs["text"]) == gone["__bq_gth"]), "left")
+    kept = F.array_join(F.filter(units(F.col("text")), lambda _, i: ~F.exists(_GONE, lambda r: (i >= r.first) & (i <= r.last))), "")
     return joined.select(
         *[F.when(F.col(_GONE).isNull(), F.col("text")).otherwise(kept).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns],
-        F.coalesce(F.size(_U), F.lit(0)).alias("__bq_n_units"), F.coalesce(F.size(_GONE), F.lit(0)).alias("__bq_n_removed"),
+        F.coalesce(F.size(_GONE), F.lit(0)).alias("__bq_runs"),
     )
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, the text that is left, its units before, and the units deleted."""
+    """doc_id, the text that is left, and the runs deleted from it."""
     out = dedup(read(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select("doc_id", "text", F.col("__bq_n_units").alias("n_units"), F.col("__bq_n_removed").alias("n_removed"))
-
+    return out.select("doc_id", "text", F.col("__bq_runs").alias("n_runs"))

@@ -29,7 +29,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     out = _line_dedup.dedup(docs)
-    emptied = (F.col("__bq_n_removed") > 0) & (F.trim(F.col("text")) == "")
+    emptied = (F.col("__bq_runs") > 0) & (F.trim(F.col("text")) == "")
     kept = out.filter(~F.coalesce(emptied, F.lit(False)))
     return kept.select(*[F.length("text").cast("long").alias("n_chars") if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
 
