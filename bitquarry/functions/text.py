@@ -19,7 +19,7 @@ def parse_specs(s: Column | str) -> Column:
     """``{k1=[v2, v1], k2=[..]}`` to a map; a key's values are trimmed, sorted and joined by ", "."""
     pairs = F.regexp_extract_all(col(s), F.lit(r"([^=\[\],{}]+)=\[([^\]]*)\]"), F.lit(0))
     key = lambda p: F.trim(F.regexp_extract(p, r"^([^=]+)=", 1))
-    values = lambda p: F.array_join(F.array_sort(F.filter(F.transform(F.split(F.regexp_extract(p, r"=\[([^\]]*)\]$", 1), ","), F.trim), lambda v: v != "")), ", ")
+    values = lambda p: F.array_join(F.array_sort(F.filter(F.transform(F.split(F.regexp_extract(p, r"=\[([^\]]*)\]$", 1), ","), lambda v: F.trim(v)), lambda v: v != "")), ", ")
     entries = F.filter(F.transform(pairs, lambda p: F.struct(key(p).alias("key"), values(p).alias("value"))), lambda e: (e.key != "") & (e.value != ""))
     # the last of equal keys stands
     last = F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda x: x.key == e.key))
