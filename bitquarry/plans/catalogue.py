@@ -5,7 +5,6 @@ Doubles are rounded to 6 places on both sides.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,8 +12,9 @@ from pyspark.sql import functions as F
 
 from bitquarry.functions import bits as B
 from bitquarry.functions import text as T
-from bitquarry.operators import blocks, metrics, mining, objective, prequential
+from bitquarry.operators import accounts, baselines, blocks, engine, metrics, mining, objective, prequential
 from bitquarry.plans import duck as D
+from bitquarry.sources import generators as G
 from bitquarry.sources import records as R
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -536,8 +536,86 @@ def structural_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.crossJoin(F.broadcast(v)).agg(r6(F.sum(B.entropy_term(F.col("count") / F.col("v")))).alias("entropy"), F.max("v").alias("volume"))  # one row
 
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return prequential_background_bits(spark, sf_dir)
+# evidence accounts
+
+
+_LEDGER = f"""WITH cells AS ({D.CUSTOMER}), n AS (SELECT count(DISTINCT rec_id) AS n, count(DISTINCT key) AS a FROM cells), kv AS (SELECT key, value, count(*) AS bc FROM cells GROUP BY 1, 2), k AS (SELECT key, sum(bc) AS bp, count(*) AS bu FROM kv GROUP BY 1),
+j AS (SELECT s.key AS seed_key, s.value AS seed_value, x.bc AS t, c.key, c.value, count(*) AS c FROM cells s JOIN kv x ON x.key = s.key AND x.value = s.value AND x.bc >= 2 JOIN cells c ON c.rec_id = s.rec_id GROUP BY 1, 2, 3, 4, 5),
+per AS (SELECT seed_key, seed_value, t, j.key, sum(c) AS p, count(*) AS u, max(bp) AS bp, max(bu) AS bu, sum(c * {D.kt('bc', 'bp', 'bu')}) AS bg, sum({D.term('(c - 1)')}) AS less FROM j JOIN kv ON kv.key = j.key AND kv.value = j.value JOIN k ON k.key = j.key GROUP BY 1, 2, 3, 4),
+led AS (SELECT seed_key, seed_value, t, key, CAST(p AS BIGINT) AS p, bg + p * {D.kt('bp', 'n', '2')} + (t - p) * {D.kt('(n - bp)', 'n', '2')} - {D.vblock('less', 'p', 'u', D.naming('bu'))} - {D.col('p', 't')} AS g, n, a FROM per CROSS JOIN n)"""
+
+
+@query(_LEDGER + " SELECT seed_key, seed_value, t, key, p, round(g, 6) AS g FROM led")
+def account_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return accounts.ledger(R.customer(spark, sf_dir)).select("seed_key", "seed_value", "t", "key", "p", r6("g").alias("g"))
+
+
+@query(_LEDGER + f""", pre AS (SELECT *, row_number() OVER w AS size, sum(g) OVER (PARTITION BY seed_key, seed_value ORDER BY g DESC, key ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS released FROM led WHERE g > 0 WINDOW w AS (PARTITION BY seed_key, seed_value ORDER BY g DESC, key)),
+pri AS (SELECT *, {D.price('t', 'size', 'n', '0.0', '0.0', 'a')} AS price FROM pre), b AS (SELECT *, row_number() OVER (PARTITION BY seed_key, seed_value ORDER BY released - price DESC, size) AS k FROM pri)
+SELECT seed_key, seed_value, t, CAST(size AS INTEGER) AS size, round(released, 6) AS released, round(price, 6) AS price, round(released - price, 6) AS margin FROM b WHERE k = 1""")
+def account_releases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = R.customer(spark, sf_dir)
+    n, keys = cells.agg(F.count_distinct("rec_id"), F.count_distinct("key")).first()
+    out = accounts.releases(accounts.ledger(cells), n, keys)
+    return out.select("seed_key", "seed_value", "t", "size", r6("released").alias("released"), r6("price").alias("price"), r6("margin").alias("margin"))
+
+
+@query()
+def engine_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The record-exact learner over four streams: nodes found and their bits. Tested against known groups."""
+    streams = [("two_group", G.two_group(spark, 1000)), ("planted", G.planted(spark, 1500)), ("null", G.uniform_null(spark, 1000)), ("typos", G.typo_stream(spark, 1000))]
+    out = None
+    for name, df in streams:
+        rows = df.select(F.lit(name).alias("stream"), "rec_id", "rec")
+        out = rows if out is None else out.unionByName(rows)
+    return engine.summary(out).select("stream", "records", "nodes", r6("bits").alias("bits"))
+
+
+@query()
+def engine_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The record-exact learner over the suppliers and regions as one stream: each record's label."""
+    cells = R.supplier(spark, sf_dir)
+    return engine.run(R.records(cells).withColumn("stream", F.lit("suppliers")))
+
+
+# clustering baselines
+
+
+def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.table(spark, sf_dir, "embeddings").select(F.lit("all").alias("stream"), F.col("vec_id").cast("long").alias("rec_id"), F.col("embedding").cast("array<double>").alias("v"), F.col("label").alias("truth"))
 
 
-_ = math
+def _scored(spark: SparkSession, sf_dir: str, fit) -> DataFrame:
+    v = _vectors(spark, sf_dir)
+    labels = baselines.fit_groups(v.select("stream", "rec_id", "v"), "stream", fit)
+    return metrics.adjusted_rand(labels.join(v.select("rec_id", "truth"), "rec_id")).select(r6("ari").alias("ari"))
+
+
+@query()
+def dp_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scored(spark, sf_dir, lambda x: baselines.dp_means(x, 1.2))
+
+
+@query()
+def leader_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scored(spark, sf_dir, lambda x: baselines.leader(x, 1.1))
+
+
+@query()
+def summary_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scored(spark, sf_dir, lambda x: baselines.summaries(x, 0.9))
+
+
+@query()
+def sequential_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scored(spark, sf_dir, lambda x: baselines.sequential_kmeans(x, 10))
+
+
+@query()
+def kmeans_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = _vectors(spark, sf_dir)
+    return metrics.adjusted_rand(baselines.kmeans(v, 10).join(v.select("rec_id", "truth"), "rec_id")).select(r6("ari").alias("ari"))
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prequential_background_bits(spark, sf_dir)
