@@ -14,7 +14,7 @@ from collections.abc import Iterable
 
 import numpy as np
 
-CACHE = 300_000
+CACHE = 500_000
 LONGEST_CACHED = 48
 _MARK = "\x01"
 
@@ -34,34 +34,73 @@ class ChunkEncoder:
         self.keeps_space = keeps_space
         self.limit = cache
         self.cache: dict[str, bytes] = {"": b""}
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.old: dict[str, bytes] = {}  # the cache before it was last full
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.special]
+        self.mark = dict(zip(".,;", self._library([".", ",", ";"])))
 
     def _chunks(self, text: str) -> list[str]:
         if any(s in text for s in self.special):
             return [text]
         if not self.keeps_space:
-            return text.replace("\n", " ").split(" ")
+            # ASCII letters may be lower-cased here, as the tokenizer does it anyway
+            return text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass").replace("\n", " ").split(" ")
         words = text.split()
         if _MARK in text or " ".join(words) != text.replace("\n", " "):
             return [text]
         return text.replace(" ", _MARK + " ").replace("\n", f"{_MARK}\n{_MARK}").split(_MARK)
 
     def _library(self, chunks: list[str]) -> Iterable[bytes]:
-        for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False):
-            yield np.array(e.ids, self.dtype).tobytes()
+        """Ids of each chunk. Chunks go through the library many at a time, parted by a special token, which is cut out again."""
+        if not self.special or any(s in c for c in chunks for s in self.special if "<" in c):
+            for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False):
+                yield np.array(e.ids, self.dtype).tobytes()
+            return
+        mark = self.special[0]
+        sign = self.tokenizer.token_to_id(mark)
+        groups = [chunks[k : k + 500] for k in range(0, len(chunks), 500)]
+        for group, e in zip(groups, self.tokenizer.encode_batch_fast([mark.join(g) for g in groups], add_special_tokens=False)):
+            ids = np.array(e.ids, self.dtype)
+            cuts = np.flatnonzero(ids == sign)
+            raw, size = ids.tobytes(), self.dtype.itemsize
+            starts = [0, *((cuts + 1) * size).tolist()]
+            ends = [*(cuts * size).tolist(), len(raw)]
+            if len(starts) != len(group):
+                raise ValueError("the tokenizer doesn't keep its special token apart")
+            for x, y in zip(starts, ends):
+                yield raw[x:y]
+
+    def _learn(self, new: set[str]) -> dict[str, bytes]:
+        """Puts new chunks into the cache; those too long for it are returned."""
+        cache, old, here = self.cache, self.old, {}
+        ask: dict[str, None] = {}
+        tails = []
+        for c in new:
+            ids = old.get(c)
+            if ids is not None:
+                cache[c] = ids
+            elif len(c) > 2 and c[-1] in ".,;" and "a" <= c[-2] <= "z":
+                tails.append(c)  # the mark after a letter is a piece of its own
+                if c[:-1] not in cache:
+                    ask[c[:-1]] = None
+            else:
+                ask[c] = None
+        todo = list(ask)
+        for k in range(0, len(todo), 20_000):
+            part = todo[k : k + 20_000]
+            for c, ids in zip(part, self._library(part)):
+                (cache if len(c) <= LONGEST_CACHED else here)[c] = ids
+        for c in tails:
+            base = cache.get(c[:-1])
+            (cache if base is not None else here)[c] = (here[c[:-1]] if base is None else base) + self.mark[c[-1]]
+        return here
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Null is empty."""
+        if len(self.cache) > self.limit:
+            self.cache, self.old = {"": b""}, self.cache
         cache = self.cache
-        if len(cache) > self.limit:
-            cache = self.cache = {"": b""}
         cut = [self._chunks(t) if t else [] for t in texts]
-        new = list({c for chunks in cut for c in chunks if c not in cache})
-        here: dict[str, bytes] = {}
-        for k in range(0, len(new), 20_000):
-            part = new[k : k + 20_000]
-            for c, ids in zip(part, self._library(part)):
-                (cache if len(c) <= LONGEST_CACHED else here)[c] = ids
+        here = self._learn({c for chunks in cut for c in chunks if c not in cache})
         if here:
             return [b"".join([cache[c] if c in cache else here[c] for c in chunks]) for chunks in cut]
         get = cache.__getitem__

@@ -2,9 +2,9 @@
 
 Centroids are fitted on a bounded sample by k-means whose clusters are held
 near equal size. Every vector goes to its nearest centroid's list, and to
-further lists (``replicas`` at most) whose centroid is almost as near and not
-nearer to a list it is in already (so replicas lie on different sides of a
-boundary). Queries search the centroids by a best-first walk over their
+further lists (``REPLICAS`` at most) whose centroid is almost as near
+(``BOUNDARY``) and not too close to one of a list it is in already
+(``SPREAD``), so replicas lie on different sides of a boundary. Queries search the centroids by a best-first walk over their
 nearest-neighbour graph, held in memory, and read the lists whose distance is
 within a ratio of the best.
 
@@ -13,8 +13,13 @@ all vectors equally long. Lists are dealt to tasks in blocks of bounded size
 (a block number from the vector's hash), so a list that holds a third of all
 rows is many tasks; a block's best are merged per query.
 
-Index: all rows; the sample (``SAMPLE``) only places centroids. Scores are
-inner products of the original vectors in double precision.
+How many lists a query reads is fitted too: for some vectors of the sample, the
+lists of their exact neighbours in the sample say how far down the query's
+order of centroids ``TARGET`` of the neighbours are reached. Vectors without
+cluster structure need many lists, and get them.
+
+Index: all rows; the sample (``SAMPLE``) only places centroids and fits that
+number. Scores are inner products of the original vectors in double precision.
 
 Defined results: vectors that are null, zero, of another length than most, or
 with null or non-finite components take no part; candidates are all rows but
@@ -38,10 +43,12 @@ from bitquarry.llm._common import arrow_batches, materialize, read
 SAMPLE = 20_000
 LIST_ROWS = 300
 MOST_LISTS = 2_000
-REPLICAS = 6
-BOUNDARY = 1.25
-PROBES = 28
-RATIO = 1.6
+REPLICAS = 3
+BOUNDARY = 1.3
+SPREAD = 0.25
+TARGET = 0.95
+RATIO = 2.0
+TRIALS = 200
 BLOCK_ROWS = 4_000
 EVERY = 20
 TOP = 20
@@ -117,7 +124,7 @@ class Graph:
 
 class Index:
     def __init__(self, c: np.ndarray, longest: float):
-        self.c, self.longest = c, longest
+        self.c, self.longest, self.reads = c, longest, len(c)
         self.graph = Graph(c)
         self.between = np.maximum(0.0, self.graph.norm[:, None] - 2 * (c @ c.T) + self.graph.norm[None])
 
@@ -140,16 +147,31 @@ class Index:
             for a in row[1:].tolist():
                 if dist[a] > most or len(kept) >= REPLICAS:
                     break
-                if all(self.between[a, b] > 0.5 * dist[a] for b in kept):
+                if all(self.between[a, b] > SPREAD * dist[a] for b in kept):
                     kept.append(a)
             out.append(kept)
         return out
 
-    def probes(self, q: np.ndarray, n: int = PROBES) -> np.ndarray:
-        p = np.concatenate([q, [0.0]])
-        a, d = self.graph.search(p, min(n, len(self.c)))
+    def probes(self, q: np.ndarray, n: int | None = None) -> np.ndarray:
+        """The lists that a query reads, nearest first. The query has the length of the longest vector, as the points have."""
+        length = math.sqrt(float(q @ q))
+        a, d = self.graph.search(np.concatenate([q * (self.longest / length), [0.0]]), min(n or self.reads, len(self.c)))
         return a[d <= RATIO**2 * d[0]]
 
+    def tune(self, x: np.ndarray, top: int) -> None:
+        """Sets how many lists a query reads, from exact neighbours inside a sample."""
+        lists = self.lists(x)
+        need = []
+        for i in range(0, len(x), max(1, len(x) // TRIALS)):
+            score = x @ x[i]
+            score[i] = -np.inf
+            place = np.full(len(self.c), len(self.c))
+            order = self.probes(x[i], len(self.c))
+            place[order] = np.arange(len(order))
+            need += [int(place[lists[j]].min()) + 1 for j in np.argsort(-score)[: min(top, len(x) - 1)].tolist()]
+        if need:
+            self.reads = min(len(self.c), max(8, int(np.quantile(need, TARGET)) + 1))
+
 
 def _matrix(col: pa.Array, width: int) -> np.ndarray:
     return col.flatten().to_numpy(zero_copy_only=False).reshape(-1, width).astype(np.float64) if len(col) else np.zeros((0, width))
@@ -174,7 +196,9 @@ def build(good: DataFrame, width: int, sample: int = SAMPLE) -> Index:
     index = Index(np.zeros((1, width + 1)), math.sqrt(longest) * (1 + 1e-9))
     p = index.points(np.unique(x, axis=0))
     k = max(1, min(MOST_LISTS, math.ceil(n / LIST_ROWS), len(p)))
-    return Index(fit(p, k), index.longest)
+    index = Index(fit(p, k), index.longest)
+    index.tune(x, TOP)
+    return index
 
 
 _OUT = "query_id bigint, vec_id bigint, score double"

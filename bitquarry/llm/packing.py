@@ -61,14 +61,14 @@ def reduce_dominated(counts: np.ndarray, capacity: int) -> list[Run]:
         left = np.flatnonzero(counts)
         if not len(left):
             return runs
-        j, least = int(left[-1]), int(left[0])
-        second = least if counts[least] > 1 else int(left[1]) if len(left) > 1 else capacity
-        if j == least:
-            second = j if counts[j] > 1 else capacity
-        if len(left) == 1 and counts[j] == 1 or j + (second if least == j else least) > capacity:
+        j = int(left[-1])
+        counts[j] -= 1  # what may stand beside one of the largest
+        fit = np.flatnonzero(counts[: capacity - j + 1])
+        smallest = [int(x) for x in fit[:2] for _ in range(2 if counts[x] > 1 else 1)][:2]
+        counts[j] += 1
+        if not smallest:
             take(j, n=counts[j])
-        elif j + least + second > capacity:
-            fit = left[left <= capacity - j]
+        elif len(smallest) < 2 or j + sum(smallest) > capacity:
             k = int(fit[-1])
             take(j, k, n=counts[j] // 2 if k == j else min(counts[j], counts[k]))
         else:
