@@ -69,10 +69,13 @@ class Epochs:
         paying = accounts.releases(accounts.ledger(every, free), n, keys, nodes, nodes).filter("margin > 0")
         best = paying.orderBy(F.desc("margin"), "seed_key", "seed_value").limit(64).collect()  # candidates of one epoch
         new_members, new_support, taken = None, [], None
+        supports: list[set[str]] = []
         minted = 0
         for r in best:
             if minted == self.most_nodes:
                 break
+            if any(set(r.support) <= keys_ for keys_ in supports):
+                continue  # its records went with a better account
             m = free.filter((F.col("key") == r.seed_key) & (F.col("value") == r.seed_value)).select("rec_id")
             if taken is not None:
                 left = m.join(taken, "rec_id", "left_anti")
@@ -87,6 +90,7 @@ class Epochs:
             new_members = rows if new_members is None else new_members.unionByName(rows)
             taken = new_members.select("rec_id").distinct()
             new_support += [(name, k) for k in r.support]
+            supports.append(set(r.support))
             minted += 1
         if new_members is not None:
             new_members.write.mode("append").parquet(f"{self.path}/membership/epoch={epoch}")
