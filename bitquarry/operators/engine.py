@@ -410,6 +410,103 @@ class Learner:
             self._move(best[1], best[2])
         return most
 
+    def split_delta(self, nid: int, part: set[int]) -> float:
+        """Change of total() if a node's members part in two with its whole support; the background stays."""
+        node = self.nodes[nid]
+        out = self._shape(1) - self._bits_of(node)
+        for side in (node.members & part, node.members - part):
+            counts = {k: Counter(self.records[m][k] for m in side if self.owner.get((m, k)) == nid) for k in node.support}
+            out += self._node_bits(len(side), node.support, {k: sum(k in self.records[m] for m in side) for k in node.support}, counts)
+        return out
+
+    def split(self, nid: int, part: set[int]) -> int:
+        """Members in part become a node of their own; its id."""
+        node = self.nodes[nid]
+        self.last += 1
+        new = Node(self.n, 0, node.support)
+        self.nodes[self.last] = new
+        new.members = node.members & part
+        new.t = len(new.members)
+        node.members = node.members - part
+        node.t = len(node.members)
+        for x in (node, new):
+            x.published = Counter({k: sum(k in self.records[m] for m in x.members) for k in x.support})
+        for k in node.support:
+            self.by_key[k].add(self.last)
+        for m in new.members:
+            for k in node.support & self.records[m].keys():
+                if self.owner[m, k] == nid:
+                    self._give(m, k, self.last)
+        self.edits += 1
+        return self.last
+
+    def best_split(self, nid: int, most: int = 64) -> tuple[float, set[int]] | None:
+        """The best part by its delta and the bits that name it: members with a (key, value), the commonest pairs first, and each grown once."""
+        node = self.nodes[nid]
+        pairs: dict[tuple[str, str], set[int]] = defaultdict(set)
+        for m in node.members:
+            for kv in self.records[m].items():
+                pairs[kv].add(m)
+        seeds = sorted((kv for kv, s in pairs.items() if 1 < len(s) < len(node.members) - 1), key=lambda kv: (-len(pairs[kv]), kv))[:most]
+        tried = [p for kv in seeds for p in (pairs[kv], self._grow(node, pairs[kv])) if 0 < len(p) < len(node.members)]
+        if not tried:
+            return None
+        charge = math.log2(len(tried))
+        best = min(range(len(tried)), key=lambda i: self.split_delta(nid, tried[i]))
+        delta = self.split_delta(nid, tried[best]) + charge
+        return (delta, set(tried[best])) if delta < -1e-9 else None
+
+    def _grow(self, node: Node, seed: set[int]) -> set[int]:
+        """Each member to the half under whose value counts (all keys) it is cheaper."""
+        halves = [defaultdict(Counter), defaultdict(Counter)]
+        for m in node.members:
+            for k, v in self.records[m].items():
+                halves[m not in seed][k][v] += 1
+        size = (len(seed), len(node.members) - len(seed))
+
+        def cost(m: int, h: int) -> float:
+            return sum(_kt(halves[h][k][v], sum(halves[h][k].values()), len(self.values[k])) for k, v in self.records[m].items()) - math.log2((size[h] + 0.5) / (sum(size) + 1))
+
+        return {m for m in node.members if cost(m, 0) < cost(m, 1)}
+
+    def residual_delta(self, members: set[int], support: frozenset) -> float:
+        """Change of total() if records of no node become one."""
+        out, published, counts = self._shape(1), {}, {}
+        for k in support:
+            counts[k] = Counter(self.records[m][k] for m in members if k in self.records[m] and not self.owner[m, k])
+            published[k] = sum(k in self.records[m] for m in members)
+            b = Block()
+            b.counts = self.background[k].counts - counts[k]
+            b.n = sum(b.counts.values())
+            out += b.bits(self._naming(k)) - self.background[k].bits(self._naming(k))
+            out += self._presence(k, self._covered(k, (), members)) - self._presence(k, self._covered(k))
+        return out + self._node_bits(len(members), support, published, counts)
+
+    def residual_mint(self, members: set[int], support: frozenset) -> int:
+        self.last += 1
+        node = Node(self.n, len(members), support, Counter({k: sum(k in self.records[m] for m in members) for k in support}), members=set(members))
+        self.nodes[self.last] = node
+        for k in support:
+            self.by_key[k].add(self.last)
+        for m in members:
+            for k in support & self.records[m].keys():
+                if not self.owner[m, k]:
+                    self._give(m, k, self.last)
+        self.edits += 1
+        return self.last
+
+    def finish(self, most: int = 20) -> int:
+        """Repair, then splits while they pay, each with a repair after; number of moves."""
+        moves = self.repair()
+        for _ in range(most):
+            found = [(s[0], v, s[1]) for v in sorted(self.nodes) if (s := self.best_split(v))]
+            if not found:
+                return moves
+            _, v, part = min(found, key=lambda x: (x[0], x[1]))
+            self.split(v, part)
+            moves += 1 + self.repair()
+        return moves
+
     def _move(self, name: str, args: tuple) -> None:
         if name == "cohort":
             for m in self._cohort(args[0]):

@@ -93,6 +93,26 @@ def test_deltas_equal_differences_of_totals():
     assert all(tried.values()), tried
 
 
+def test_split_and_residual_deltas_are_exact_and_splits_find_groups():
+    import copy
+
+    rng = random.Random(9)
+    rows = [{f"k{j}": f"v{8 * (i % 4) + rng.randrange(8)}" for j in range(4)} for i in range(600)]
+    learner = feed(rows)
+    everyone = set(learner.records) - set().union(*(x.members for x in learner.nodes.values())) if learner.nodes else set(learner.records)
+    support = frozenset(f"k{j}" for j in range(4))
+    t = copy.deepcopy(learner)
+    v = t.residual_mint(everyone, support)
+    assert t.total() - learner.total() == pytest.approx(learner.residual_delta(everyone, support), abs=1e-6)
+    audit(t)
+    part = {m for m in everyone if m % 4 == 1}
+    u = copy.deepcopy(t)
+    u.split(v, part)
+    assert u.total() - t.total() == pytest.approx(t.split_delta(v, part), abs=1e-6)
+    audit(u)
+    assert t.split_delta(v, part) < 0 and t.best_split(v) is not None
+
+
 def test_repair_never_raises_the_total():
     learner = feed(shared(500, 7))
     before = learner.total()
