@@ -64,8 +64,8 @@ def _words(u: Column) -> Column:
 
 def _signatures(docs: DataFrame) -> DataFrame:
     """doc_id, text hash, and the arrays of unit hashes and word counts, for documents with enough words."""
-    u = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias(_TH), units(F.col("text")).alias(_U)).filter("doc_id is not null")
-    return u.select("doc_id", _TH, F.transform(_U, _unit_hash).alias(_H), F.transform(_U, _words).alias(_N))
+    u = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.hash("text").alias(_TH), units(F.col("text")).alias(_U)).filter("doc_id is not null")
+    return u.select("doc_id", _TH, F.transform(_U, _unit_hash).alias(_H), F.transform(_U, _words).cast("array<int>").alias(_N))
 
 
 def _fingerprints(sig: DataFrame, gram_words: int, sure_words: int) -> DataFrame:
@@ -100,12 +100,17 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS, gram_words: int =
     pairs = matches.groupBy("doc_id", _TH, F.col("a.doc_id").alias("a_id"), F.col(f"a.{_TH}").alias("a_th"), (F.col("pos") - F.col("a.pos")).alias("shift")).agg(F.collect_set("pos").alias("hits"))
     earlier = sig.select(F.col("doc_id").alias("a_id"), F.col(_TH).alias("a_th"), F.col(_H).alias("a_h"))
     both = pairs.join(earlier, ["a_id", "a_th"]).join(sig, ["doc_id", _TH])
-    # runs of equal units along the shift
-    same = lambda i: F.coalesce((i >= F.col("shift")) & (F.get(F.col(_H), i) == F.get(F.col("a_h"), i - F.col("shift"))), F.lit(False))
-    every = F.sequence(F.lit(0), F.size(_H) - 1)
-    starts = F.filter(every, lambda i: same(i) & ~same(i - 1))
-    lasts = F.filter(every, lambda i: same(i) & ~same(i + 1))
-    runs = both.select("doc_id", _TH, "a_id", "a_th", "shift", "hits", _N, F.explode(F.arrays_zip(starts.alias("first"), lasts.alias("last"))).alias("r"))
+    # runs of equal units along the shift, from the first place that both have
+    base = F.greatest(F.col("shift"), F.lit(0))
+    n = F.least(F.size(_H) - base, F.size("a_h") - base + F.col("shift"))
+    same = F.zip_with(F.slice(_H, base + 1, n), F.slice("a_h", base - F.col("shift") + 1, n), lambda x, y: x == y)
+    marked = both.filter(n > 0).select("doc_id", _TH, "a_id", "a_th", "shift", "hits", _N, base.alias("base"), same.alias("same"))
+    at = lambda i: F.coalesce(F.get(F.col("same"), i), F.lit(False))
+    places = F.filter(F.transform("same", lambda x, i: F.when(x, i)), lambda i: i.isNotNull())
+    spots = marked.withColumn("places", places)
+    starts = F.transform(F.filter("places", lambda i: ~at(i - 1)), lambda i: i + F.col("base"))
+    lasts = F.transform(F.filter("places", lambda i: ~at(i + 1)), lambda i: i + F.col("base"))
+    runs = spots.select("doc_id", _TH, "a_id", "a_th", "shift", "hits", _N, F.explode(F.arrays_zip(starts.alias("first"), lasts.alias("last"))).alias("r"))
     held = F.exists("hits", lambda p: (p >= F.col("r.first")) & (p <= F.col("r.last")))
     words = F.aggregate(F.slice(_N, F.col("r.first") + 1, F.col("r.last") - F.col("r.first") + 1), F.lit(0), lambda a, x: a + x)
     return runs.filter(held).select("doc_id", _TH, F.col("r.first").alias("first"), F.col("r.last").alias("last"), words.alias("words"), F.col("a_id").alias("source_id"), (F.col("r.first") - F.col("shift")).alias("source_first")).filter(F.col("words") >= min_words)
@@ -115,7 +120,7 @@ def dedup(docs: DataFrame, min_words: int = MIN_WORDS, **options: int) -> DataFr
     """docs with the repeated runs deleted from text, and __bq_runs (their number) beside it."""
     runs = repeated_runs(docs, min_words, **options)
     gone = runs.groupBy(F.col("doc_id").alias("__bq_id"), F.col(_TH).alias("__bq_gth")).agg(F.collect_set(F.struct("first", "last")).alias(_GONE))
-    joined = docs.join(gone, (docs["doc_id"].cast("long") == gone["__bq_id"]) & (F.xxhash64(docs["text"]) == gone["__bq_gth"]), "left")
+    joined = docs.join(gone, (docs["doc_id"].cast("long") == gone["__bq_id"]) & (F.hash(docs["text"]) == gone["__bq_gth"]), "left")
     kept = F.array_join(F.filter(units(F.col("text")), lambda _, i: ~F.exists(_GONE, lambda r: (i >= r.first) & (i <= r.last))), "")
     return joined.select(
         *[F.when(F.col(_GONE).isNull(), F.col("text")).otherwise(kept).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns],
