@@ -98,7 +98,7 @@ def ranks(encoded: DataFrame) -> np.ndarray:
 def write(docs: DataFrame, tokenizer: str, end_id: int, path: str, keeps_space: bool = True) -> None:
     """Writes the file set of docs under path."""
     spark = docs.sparkSession
-    encoded = materialize(encode(docs, tokenizer, end_id, keeps_space))
+    encoded = materialize(encode(docs, tokenizer, end_id, keeps_space), compression="zstd")
     by_rank = ranks(encoded)
     spark.createDataFrame([(by_rank.astype("<u4").tobytes(),)], "ids binary").coalesce(1).write.parquet(f"{path}/ranks")
     rank_of = np.zeros(1 << 16, np.uint32)
@@ -129,7 +129,7 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, path: str, keeps_space:
             yield block()
 
     ordered = encoded.repartitionByRange(parts(spark), "doc_id", "ids_crc32").sortWithinPartitions("doc_id", "ids_crc32").select("doc_id", "ids")
-    ordered.mapInArrow(step, "part int, before bigint, n bigint, doc_ids array<bigint>, counts array<bigint>, control binary, data binary").write.option("compression", "none").parquet(f"{path}/blocks")
+    ordered.mapInArrow(step, "part int, before bigint, n bigint, doc_ids array<bigint>, counts array<bigint>, control binary, data binary").write.option("compression", "zstd").parquet(f"{path}/blocks")
 
 
 def load(spark: SparkSession, path: str) -> DataFrame:

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from bitquarry.llm._tokenize import ChunkEncoder
-from bitquarry.llm.packing import op9_packing, pack, plan, slots  # noqa: F401
+from bitquarry.llm.packing import pack, plan
 from bitquarry.llm.token_files import load, pack as code, unpack, write
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -53,7 +53,6 @@ def test_files_round_trip(spark, tmp_path):
         ids = np.frombuffer(r.ids, "<u4").tolist()
         assert ids in want[r.doc_id] and r.start == at and r.n_tokens == len(ids) and r.ids_crc32 == zlib.crc32(np.array(ids, "<u4").tobytes())
         at += len(ids)
-    write(docs.limit(0), public_tokenizers.path("byte_bpe_50k.json"), 2, f"file://{tmp_path}/e") if False else None
 
 
 def optimum(lengths, capacity):
