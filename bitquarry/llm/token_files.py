@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from bitquarry.llm._common import arrow_batches, materialize, parts, read, shared_dir
 from bitquarry.llm._tokenize import encoder
 
-BLOCK_IDS = 1 << 20
+BLOCK_IDS = 1 << 16
 
 _LENGTHS = np.array([[(c >> (2 * k) & 3) + 1 for k in range(4)] for c in range(256)], np.int64)
 _OFFSETS = np.cumsum(_LENGTHS, axis=1) - _LENGTHS
@@ -86,8 +86,7 @@ def ranks(encoded: DataFrame) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << 16, np.int64)
         for b in batches:
-            for x in b.column(0).to_pylist():
-                total += np.bincount(np.frombuffer(x, "<u2"), minlength=1 << 16)
+            total += np.bincount(np.frombuffer(b"".join(b.column(0).to_pylist()), "<u2"), minlength=1 << 16)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], names=["id", "n"])
 
@@ -134,7 +133,7 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, path: str, keeps_space:
 
 def load(spark: SparkSession, path: str) -> DataFrame:
     """From the files under path: doc_id, start, n_tokens, ids_crc32, ids (unsigned 32-bit, little-endian)."""
-    arrow_batches(spark, 4)
+    arrow_batches(spark)
     files = spark.read.parquet(f"{path}/blocks")
     by_rank = np.frombuffer(spark.read.parquet(f"{path}/ranks").first()["ids"], "<u4")
     base, total = {}, 0
