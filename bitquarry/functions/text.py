@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -92,7 +93,6 @@ def edit_similarity(a: Column | str, b: Column | str) -> Column:
 
 def sequence_ratio(a: Column | str, b: Column | str) -> Column:
     """Matching-blocks ratio (Ratcliff and Obershelp), in an Arrow batch: there is no built-in of it."""
-    import pandas as pd
 
     @F.pandas_udf("double")
     def ratio(x: pd.Series, y: pd.Series) -> pd.Series:

@@ -166,7 +166,7 @@ def relations(spark: SparkSession, n: int = 4000, families: int = 3, species: in
     fam, sp = _s("fam", f), _s("sp", f, "_", s)
     aux = F.when(chance(seed, "a", 0.5), _s("famaux", f)).otherwise(_s("alias", f))
     city = draw(seed, "c", 12)
-    base = F.array(F.struct(fam.alias("key"), _s("v", draw(seed, "v", 5)).alias("value")), F.struct(sp.alias("key"), _s("v", draw(seed, "w", 5)).alias("value")), F.struct(aux.alias("key"), _s("a", draw(seed, "x", 6)).alias("value")))
+    base = F.array(F.struct(fam.alias("key"), _s("f", f, "v", draw(seed, "v", 5)).alias("value")), F.struct(sp.alias("key"), _s("s", f, "_", s, "v", draw(seed, "w", 5)).alias("value")), F.struct(aux.alias("key"), _s("a", f, "v", draw(seed, "x", 6)).alias("value")))
     place = F.when(chance(seed, "p", 0.6), F.array(F.struct(F.lit("city").alias("key"), _s("city", city).alias("value")), F.struct(F.lit("country").alias("key"), _s("country", city % 4).alias("value")))).otherwise(F.array().cast("array<struct<key:string,value:string>>"))
     passport = F.when(chance(seed, "q", 0.3), F.array(F.struct(F.lit("passport").alias("key"), _s("p", draw(seed, "pp", 1000)).alias("value")))).otherwise(F.array().cast("array<struct<key:string,value:string>>"))
     return _rows(spark, n).withColumn("family", draw(seed, "f", families)).withColumn("species", draw(seed, "s", species)).withColumn("rec", F.map_from_entries(F.concat(base, place, passport))).withColumn("truth", f * species + s)
