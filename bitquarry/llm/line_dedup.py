@@ -1,21 +1,20 @@
-"""Repeated-run removal by winnowing over line hashes, with SQL functions only.
-
-A text is cut into units: its lines, and inside a line its sentences (after
-``.``, ``!`` or ``?`` and a space), so that a passage pasted into the middle of
-a line is seen too. Each unit has a hash of its words and a word count. A
-fingerprint belongs to each place: the hash of the fewest units from there on
-(six at most) that have ``gram_words`` words. Of each two neighbouring
-fingerprints the smaller is selected, and always one whose first unit alone has
-``sure_words`` words. A run of units that occurs twice and holds two
-neighbouring places with their windows, or one such long unit, therefore
-selects the same fingerprint both times. A run is compared where its
-fingerprints stand first, so a passage whose every fingerprint stood still
-earlier in different texts is compared with those.
+"""Repeated-passage removal by winnowing over words, with SQL functions only.
+
+A text is cut into words (with the white space after them). Of each ``window``
+neighbouring places the one with the least hash of two words is selected, and
+its fingerprint is the hash of the ``gram`` words from there on. A passage of
+``gram + window - 1`` words (25) that occurs twice therefore selects the same
+fingerprint both times, wherever in lines or sentences it begins and ends. A
+passage is compared where its fingerprints stand first, so one whose every
+fingerprint stood still earlier in different texts is compared with those.
 
 Selected fingerprints meet on their hash; each one but the first (by doc_id,
-then place) is a match with the first place. Matches are extended unit by unit
-both ways; runs of ``min_words`` words or more are deleted from the later
-document, or the later place in the same document. What is first stays.
+then place) is a match with the first place. One that overlaps the same
+fingerprint in the same text (a word or phrase over and over) is a match with
+that instead, so such a text has few shifts. Matches are extended word by word
+both ways, up to ``REACH`` words beyond the outermost match of a shift; runs of
+``min_words`` words or more are deleted from the later document, or the later
+place in the same document, at word offsets. What is first stays.
 
 Hot fingerprints: their first place is a partial aggregate, and their
 occurrences are one side of an equi-join that Spark can split; nothing pairs
@@ -35,97 +34,99 @@ from pyspark.sql import functions as F
 
 from bitquarry.llm._common import materialize, read
 
-GRAM_WORDS = 16
-GRAM_UNITS = 6
-SURE_WORDS = 24
+GRAM = 13
+WINDOW = 13
 MIN_WORDS = 25
+REACH = 256
 
-_CUT = "(?<=\\n)|(?<=[.!?] )"
-_U, _H, _N, _TH, _GONE = "__bq_units", "__bq_h", "__bq_n", "__bq_th", "__bq_gone"
-
-
-def units(text: Column) -> Column:
-    """Pieces that make the text again when joined."""
-    return F.split(text, _CUT)
-
-
-def _bare(u: Column) -> Column:
-    return F.rtrim(u, F.lit(" \n\r\t"))
+_SPACE = " \n\r\t"
+_H, _TH, _PAIRS, _RUNS = "__bq_h", "__bq_th", "__bq_pairs", "__bq_found"
+_PLACE_BITS = 24
 
 
-def _unit_hash(u: Column) -> Column:
-    return F.xxhash64(_bare(u))
+def pieces(text: Column) -> Column:
+    """Words with the white space after them, which make the text again when joined."""
+    return F.split(text, "(?<=[ \\n\\r\\t])(?=[^ \\n\\r\\t])")
 
 
-def _words(u: Column) -> Column:
-    t = _bare(u)
-    return F.when(t == "", F.lit(0)).otherwise(F.length(t) - F.length(F.replace(t, F.lit(" "), F.lit(""))) + 1)
+def _word_hashes(text: Column) -> Column:
+    """Hashes of the words of pieces(text)."""
+    return F.transform(F.split(F.rtrim(text, F.lit(_SPACE)), "[ \\n\\r\\t]+"), lambda w: F.hash(w))
 
 
 def _signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, text hash, and the arrays of unit hashes and word counts, for documents with enough words."""
-    u = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.hash("text").alias(_TH), units(F.col("text")).alias(_U)).filter("doc_id is not null")
-    return u.select("doc_id", _TH, F.transform(_U, _unit_hash).alias(_H), F.transform(_U, _words).cast("array<int>").alias(_N))
-
-
-def _fingerprints(sig: DataFrame, gram_words: int, sure_words: int) -> DataFrame:
-    """doc_id, text hash, place and fingerprint of the selected places."""
-    n = lambda i, k: F.coalesce(F.get(F.col(_N), i + k), F.lit(0))
-
-    def gram(x: Column, i: Column) -> Column:
-        total, out = x, F.when(x >= gram_words, F.xxhash64(F.get(F.col(_H), i)))
-        for k in range(1, GRAM_UNITS):
-            total = total + n(i, k)
-            hashes = [F.get(F.col(_H), i + j) for j in range(k + 1)]
-            enough = total >= gram_words if k < GRAM_UNITS - 1 else F.size(_H) >= i + GRAM_UNITS
-            out = out.when(enough, F.xxhash64(*hashes))
-        return out
-
-    grams = sig.select("doc_id", _TH, _N, F.transform(_N, gram).alias("g"))
-    g = lambda i: F.get(F.col("g"), i)
-    select = lambda x, i: F.struct(
-        i.alias("pos"), x.alias("fp"),
-        (x.isNotNull() & ((F.get(F.col(_N), i) >= sure_words) | g(i + 1).isNull() | (x <= g(i + 1)) | (i == 0) | F.coalesce(x <= F.get(F.col("g"), F.greatest(i - 1, F.lit(0))), F.lit(True)))).alias("keep"))
-    picked = grams.select("doc_id", _TH, F.explode(F.filter(F.transform("g", select), lambda s: s.keep)).alias("s"))
-    return picked.select("doc_id", _TH, "s.pos", "s.fp")
-
-
-def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS, gram_words: int = GRAM_WORDS, sure_words: int = SURE_WORDS) -> DataFrame:
-    """Runs to delete: doc_id, text hash, first and last unit, words, and where the run stands first."""
+    """doc_id, text hash and word hashes of each document."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.hash("text").alias(_TH), _word_hashes(F.col("text")).alias(_H)).filter("doc_id is not null")
+
+
+def _least_ahead(m: str, by: int) -> Column:
+    """The lesser of each element and the one so many places on."""
+    return F.zip_with(m, F.slice(m, by + 1, F.size(m)), lambda a, b: F.least(a, b))
+
+
+def _fingerprints(sig: DataFrame, gram: int, window: int) -> DataFrame:
+    """doc_id, text hash, place and fingerprint of the selected places, and how far back the same one overlaps it."""
+    mask = (1 << _PLACE_BITS) - 1
+    long_enough = sig.filter(F.size(_H) >= gram)
+    key = F.transform(_H, lambda x, i: F.shiftleft(F.xxhash64(x, F.get(F.col(_H), i + 1)), _PLACE_BITS).bitwiseOR(i.cast("long")))
+    least, span = long_enough.select("doc_id", _TH, _H, key.alias("m")), 1
+    while span < window:
+        step = min(span, window - span)
+        least, span = least.select("doc_id", _TH, _H, _least_ahead("m", step).alias("m")), span + step
+    places = F.filter(F.transform(F.array_distinct("m"), lambda x: x.bitwiseAND(F.lit(mask)).cast("int")), lambda i: i + gram <= F.size(_H))
+    at = least.select("doc_id", _TH, _H, places.alias("p"))
+    found = F.transform("p", lambda i: F.struct(F.xxhash64(*[F.get(F.col(_H), i + j) for j in range(gram)]).alias("fp"), i.alias("pos")))
+    sorted_ = at.select("doc_id", _TH, F.size(_H).alias("n"), found.alias("s"))
+    again = F.size(F.array_distinct(F.transform("s", lambda x: x.fp))) < F.size("s")
+    ordered = sorted_.select("doc_id", _TH, F.when(again, F.array_sort("s")).otherwise(F.col("s")).alias("s"), again.alias("again"))
+    before = F.concat(F.slice("s", 1, F.least(F.size("s"), F.lit(1))), F.slice("s", 1, F.greatest(F.size("s") - 1, F.lit(0))))
+    gap = lambda x, y: F.when((x.fp == y.fp) & (x.pos > y.pos) & (x.pos - y.pos < gram), x.pos - y.pos)
+    rows = ordered.select("doc_id", _TH, F.explode(F.zip_with("s", before, lambda x, y: F.struct(x.pos.alias("pos"), x.fp.alias("fp"), gap(x, y).alias("gap")))).alias("s"))
+    return rows.select("doc_id", _TH, "s.pos", "s.fp", "s.gap")
+
+
+def repeated_pairs(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) -> DataFrame:
+    """doc_id, text hash, and for each earlier text and shift: the place from which to compare and the earlier text's word hashes there."""
     sig = materialize(_signatures(docs.select("doc_id", "text")))
-    fps = _fingerprints(sig, gram_words, sure_words)
+    fps = _fingerprints(sig, gram, window)
     place = F.struct("doc_id", _TH, "pos")
     first = fps.groupBy("fp").agg(F.min(place).alias("a"), F.count("*").alias("n")).filter("n > 1").select("fp", "a")
     matches = fps.join(first, "fp").filter(place > F.col("a"))
-    pairs = matches.groupBy("doc_id", _TH, F.col("a.doc_id").alias("a_id"), F.col(f"a.{_TH}").alias("a_th"), (F.col("pos") - F.col("a.pos")).alias("shift")).agg(F.collect_set("pos").alias("hits"))
+    own = F.struct(F.col("doc_id"), F.col(_TH), (F.col("pos") - F.col("gap")).alias("pos"))
+    met = matches.select("doc_id", _TH, "pos", F.when(F.col("gap").isNull(), F.col("a")).otherwise(own).alias("a"))
+    pairs = met.groupBy("doc_id", _TH, F.col("a.doc_id").alias("a_id"), F.col(f"a.{_TH}").alias("a_th"), (F.col("pos") - F.col("a.pos")).alias("shift")).agg(F.min("pos").alias("low"), F.max("pos").alias("high"))
     earlier = sig.select(F.col("doc_id").alias("a_id"), F.col(_TH).alias("a_th"), F.col(_H).alias("a_h"))
-    both = pairs.join(earlier, ["a_id", "a_th"]).join(sig, ["doc_id", _TH])
-    # runs of equal units along the shift, from the first place that both have
-    base = F.greatest(F.col("shift"), F.lit(0))
-    n = F.least(F.size(_H) - base, F.size("a_h") - base + F.col("shift"))
-    same = F.zip_with(F.slice(_H, base + 1, n), F.slice("a_h", base - F.col("shift") + 1, n), lambda x, y: x == y)
-    marked = both.filter(n > 0).select("doc_id", _TH, "a_id", "a_th", "shift", "hits", _N, base.alias("base"), same.alias("same"))
-    at = lambda i: F.coalesce(F.get(F.col("same"), i), F.lit(False))
-    places = F.filter(F.transform("same", lambda x, i: F.when(x, i)), lambda i: i.isNotNull())
-    spots = marked.withColumn("places", places)
-    starts = F.transform(F.filter("places", lambda i: ~at(i - 1)), lambda i: i + F.col("base"))
-    lasts = F.transform(F.filter("places", lambda i: ~at(i + 1)), lambda i: i + F.col("base"))
-    runs = spots.select("doc_id", _TH, "a_id", "a_th", "shift", "hits", _N, F.explode(F.arrays_zip(starts.alias("first"), lasts.alias("last"))).alias("r"))
-    held = F.exists("hits", lambda p: (p >= F.col("r.first")) & (p <= F.col("r.last")))
-    words = F.aggregate(F.slice(_N, F.col("r.first") + 1, F.col("r.last") - F.col("r.first") + 1), F.lit(0), lambda a, x: a + x)
-    return runs.filter(held).select("doc_id", _TH, F.col("r.first").alias("first"), F.col("r.last").alias("last"), words.alias("words"), F.col("a_id").alias("source_id"), (F.col("r.first") - F.col("shift")).alias("source_first")).filter(F.col("words") >= min_words)
+    both = pairs.join(earlier, ["a_id", "a_th"])
+    start = F.greatest(F.col("low") - REACH, F.col("shift"), F.lit(0))
+    part = F.slice("a_h", start - F.col("shift") + 1, F.col("high") + gram + REACH - start)
+    return both.groupBy("doc_id", _TH).agg(F.collect_set(F.struct(start.alias("start"), part.alias("words"))).alias(_PAIRS))
+
+
+def _runs(min_words: int) -> tuple[Column, Column, Column]:
+    """Three steps from the pairs and word hashes of a text to its runs (first and last word)."""
+    same = F.transform(_PAIRS, lambda p: F.struct(
+        p.start.alias("start"),
+        F.zip_with(F.slice(_H, p.start + 1, F.least(F.size(p.words), F.size(_H) - p.start)), p.words, lambda x, y: F.coalesce(x == y, F.lit(False))).alias("same")))
+    breaks = F.transform("same", lambda p: F.struct(
+        p.start.alias("start"),
+        F.concat(F.array(F.lit(-1)), F.filter(F.transform(p.same, lambda x, i: F.when(~x, i)), lambda i: i.isNotNull()), F.array(F.size(p.same))).alias("at")))
+    runs = F.flatten(F.transform("breaks", lambda p: F.filter(
+        F.zip_with(p.at, F.slice(p.at, 2, F.size(p.at)), lambda b, c: F.struct((p.start + b + 1).alias("first"), (p.start + c - 1).alias("last"))),
+        lambda r: r["last"] - r["first"] + 1 >= min_words)))
+    return same, breaks, F.array_distinct(runs)
 
 
 def dedup(docs: DataFrame, min_words: int = MIN_WORDS, **options: int) -> DataFrame:
     """docs with the repeated runs deleted from text, and __bq_runs (their number) beside it."""
-    runs = repeated_runs(docs, min_words, **options)
-    gone = runs.groupBy(F.col("doc_id").alias("__bq_id"), F.col(_TH).alias("__bq_gth")).agg(F.collect_set(F.struct("first", "last")).alias(_GONE))
-    joined = docs.join(gone, (docs["doc_id"].cast("long") == gone["__bq_id"]) & (F.hash(docs["text"]) == gone["__bq_gth"]), "left")
-    kept = F.array_join(F.filter(units(F.col("text")), lambda _, i: ~F.exists(_GONE, lambda r: (i >= r.first) & (i <= r.last))), "")
-    return joined.select(
-        *[F.when(F.col(_GONE).isNull(), F.col("text")).otherwise(kept).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns],
-        F.coalesce(F.size(_GONE), F.lit(0)).alias("__bq_runs"),
-    )
+    pairs = repeated_pairs(docs, **options).withColumnsRenamed({"doc_id": "__bq_id", _TH: "__bq_gth"})
+    joined = docs.join(pairs, (docs["doc_id"].cast("long") == pairs["__bq_id"]) & (F.hash(docs["text"]) == pairs["__bq_gth"]), "left")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    same, breaks, runs = _runs(min_words)
+    hashed = joined.select(*columns, _PAIRS, F.when(F.col(_PAIRS).isNotNull(), _word_hashes(F.col("text"))).alias(_H))
+    found = hashed.select(*columns, same.alias("same")).select(*columns, breaks.alias("breaks")).select(*columns, runs.alias(_RUNS))
+    kept = F.array_join(F.filter(pieces(F.col("text")), lambda _, i: ~F.exists(_RUNS, lambda r: (i >= r["first"]) & (i <= r["last"]))), "")
+    n = F.coalesce(F.size(_RUNS), F.lit(0))
+    return found.select(*[F.when(n > 0, kept).otherwise(F.col("text")).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns], n.alias("__bq_runs"))
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -74,3 +74,21 @@ def test_runs_match_brute_force(spark):
             if k not in may:
                 assert u.rstrip(".") in left
         seen.append(us)
+
+
+def test_passages_that_begin_and_end_inside_sentences_go(spark):
+    rng = random.Random(4)
+    words = lambda n: " ".join(f"w{rng.randrange(5000)}" for _ in range(n))
+    one, spam = words(50), words(50)
+    mid = words(20) + ". " + words(10) + ". " + words(20)
+    rows = [
+        (1, f"{words(9)} {one} {words(9)}."), (2, f"{words(8)} {one} {words(7)}."),
+        (3, f"{words(6)} {mid} {words(6)}."), (4, f"{words(5)} {mid} {words(4)}."),
+        (5, "buy " * 3000 + spam), (6, words(30) + "\n" + spam + " buy" * 2000),
+    ]
+    got = {r.doc_id: r.text for r in dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    before = dict(rows)
+    assert got[1] == before[1] and got[3] == before[3]
+    assert got[2] == before[2].replace(one + " ", "") and got[4] == before[4].replace(mid + " ", "")
+    assert got[5].count("buy") <= 25 and got[5].endswith(spam)
+    assert spam not in got[6] and got[6].count("buy") <= 25
