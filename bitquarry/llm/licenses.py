@@ -3,12 +3,14 @@
 Templates are short word sequences with the label they stand for and key
 phrases that must stand in their place. The index has a posting (template,
 place) for each template word. For a text, only the licence words that it
-holds are looked up, those of highest IDF first: the document frequencies are
-counted over all documents in a first pass. Each of a text's ``rare_words``
-rarest licence words gives, for each place of it and each posting, the place
-where the template would begin; places where at least ``share`` of the
-template's words that were looked up agree are candidates, and a candidate
-counts if every key phrase stands where the template has it.
+holds are looked up: of each template's key phrases the ``rare_words`` rarest
+that stand in the text, those of highest IDF first. The document frequencies
+are counted over all documents in a first pass. Each gives, for each place of
+it and each posting, the place where the template would begin; places where at
+least ``share`` of the template's words that were looked up agree are
+candidates, and a candidate counts if every key phrase stands where the
+template has it. There all of the words looked up agree, so no template is
+lost to the other licences in a text or to words of it elsewhere.
 
 The base count is of its own kind: every place where a base phrase's words
 stand consecutively.
@@ -72,6 +74,11 @@ def vocabulary(templates=TEMPLATES) -> list[str]:
     return sorted({w for t, _, _ in templates for w in t.split()} - COMMON)
 
 
+def _asked(template) -> set[str]:
+    """The licence words of a template's key phrases."""
+    return {w for k in template[2] for w in k.split()} - COMMON
+
+
 def _signal(templates) -> list[str]:
     """Words of which every template's and base phrase's key phrases hold one; a text without them has no place of any."""
     return sorted({max((w for w in k.split() if w not in COMMON), key=lambda w: (len(w), w)) for _, _, keys in templates for k in keys[:1]} | {"license"})
@@ -104,7 +111,8 @@ def scan(docs: DataFrame, templates=TEMPLATES, rare_words: int = RARE_WORDS, sha
     vocab = vocabulary(templates)
     idf = {w: math.log((total + 1) / (df.get(w, 0) + 1)) for w in vocab}
     ranked = sorted(vocab, key=lambda w: (-idf[w], w))
-    postings = {w: [(t, p) for t, (text, _, _) in enumerate(templates) for p, x in enumerate(text.split()) if x == w] for w in vocab}
+    postings = {w: [(t, p) for t, (text, _, _) in enumerate(templates) for p, x in enumerate(text.split()) if x == w and w in _asked(templates[t])] for w in vocab}
+    postings = {w: ps for w, ps in postings.items() if ps}
     order = _arr(ranked)
 
     base = docs.select("doc_id", words(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("ws"))
@@ -131,17 +139,18 @@ def scan(docs: DataFrame, templates=TEMPLATES, rare_words: int = RARE_WORDS, sha
         return F.transform(ok, lambda i: i - (len(ps) - 1))
 
     found = at.select("doc_id", "ws", "at", *[places(p).alias(f"b{k}") for k, (p, _) in enumerate(BASE)])
-    # the text's rarest licence words
-    mine = F.slice(F.array_intersect(order, F.transform("at", w)), 1, rare_words)
-    found = found.withColumn("mine", mine)
+    # each template's rarest words in the text
+    found = found.withColumn("held", F.array_intersect(order, F.transform("at", w)))
+    rarest = [F.slice(F.array_intersect(_arr([x for x in ranked if x in _asked(t)]), F.col("held")), 1, rare_words) for t in templates]
+    found = found.withColumn("mine", F.array_distinct(F.concat(*rarest)))
     # (template, start) of every posting of a looked-up word at each of its places
-    index = F.create_map(*[x for word in vocab for x in (F.lit(word), F.array(*[F.struct(F.lit(t).alias("t"), F.lit(p).alias("p")) for t, p in postings[word]]))])
+    index = F.create_map(*[x for word in postings for x in (F.lit(word), F.array(*[F.struct(F.lit(t).alias("t"), F.lit(p).alias("p")) for t, p in postings[word]]))])
     votes = F.flatten(F.transform(F.filter("at", lambda i: F.array_contains("mine", w(i))), lambda i: F.transform(F.element_at(index, w(i)), lambda q: F.struct(q.t.alias("t"), (i - q.p).alias("s")))))
     found = found.withColumn("votes", F.when(F.size("mine") > 0, votes).otherwise(F.array().cast("array<struct<t:int,s:int>>")))
     labels, strengths = [], []
     for t, (text, label, keys) in enumerate(templates):
         ts = text.split()
-        enough = _agreeing(t, sorted(set(ts) & set(vocab)), share)
+        enough = _agreeing(t, sorted(_asked(templates[t])), share)
         for k in keys:
             ks = k.split()
             off = next(i for i in range(len(ts)) if ts[i : i + len(ks)] == ks)

@@ -81,3 +81,16 @@ def test_license_base_counts_match_brute_force_and_labels(spark):
     assert by["Licensed under CC BY-NC 4.0."] == "cc-by-nc-4.0" and by["This work is licensed under the GNU General Public License, version 3."] == "gpl,gpl-3.0"
     assert by["all rights not reserved"] == "" and by["All rights reserved"] == "all-rights-reserved"
     assert scan(df.limit(0)).count() == 0
+
+
+def test_license_labels_of_files_with_several_licenses(spark):
+    from bitquarry.llm.licenses import TEMPLATES
+
+    several = "Licensed under the Apache License, Version 2.0. Licensed under CC BY-NC 4.0. All rights reserved. This work is licensed under the GNU General Public License, version 3."
+    notice = ". ".join(t for t, _, _ in TEMPLATES)
+    elsewhere = "Mozilla Public License. Licensed under the Apache License, Version 2.0."
+    df = spark.createDataFrame([(1, several), (2, notice), (3, elsewhere)] + [(k, "gnu general public license version 3") for k in range(4, 20)], "doc_id long, text string")
+    got = {r.doc_id: r for r in scan(df).collect()}
+    assert got[1].labels == "all-rights-reserved,apache,apache-2.0,cc-by-nc-4.0,gpl,gpl-3.0"
+    assert got[2].labels == ",".join(sorted({x for _, x, _ in TEMPLATES} | {"apache", "gpl", "mit"})) and got[2].score == 1.0
+    assert got[3].labels == "apache,apache-2.0,mpl-2.0"
