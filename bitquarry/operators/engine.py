@@ -384,8 +384,13 @@ class Learner:
         return out + self._node_bits(len(members), node.support, published, counts) - self._bits_of(node)
 
     def _cohort(self, nid: int) -> list[int]:
-        support, taken = self.nodes[nid].support, set().union(*(x.members for x in self.nodes.values()))
-        return [m for m, r in self.records.items() if m not in taken and support & r.keys()]
+        support = self.nodes[nid].support
+        return [m for m in self._free() if support & self.records[m].keys()]
+
+    def _free(self) -> list[int]:
+        """Records of no node."""
+        taken = set().union(*(x.members for x in self.nodes.values()))
+        return [m for m in self.records if m not in taken]
 
     def absorb(self, nid: int) -> int:
         """A new node joins nodes whose support holds its own or is held by it, while the total falls; the node that is left."""
@@ -397,18 +402,43 @@ class Learner:
             self.merge(best[2], nid)
             nid = best[2]
 
-    def repair(self, most: int = 50) -> int:
-        """Merges, joint reassignments and deletes, the best first, while the total falls; number of moves."""
-        for moves in range(most):
-            ids = sorted(self.nodes, key=lambda v: (self.nodes[v].born, v))
-            trials = [(self.delete_delta(v), "delete", (v,)) for v in ids]
-            trials += [(self.merge_delta(a, b), "merge", (a, b)) for i, a in enumerate(ids) for b in ids[i + 1 :] if self.nodes[a].support & self.nodes[b].support]
-            trials += [(self.cohort_delta(v, c), "cohort", (v,)) for v in ids if (c := self._cohort(v))]
-            best = min(trials, default=(0.0, "", ()))
-            if best[0] >= -1e-9:
+    def repair(self, final: bool = False) -> int:
+        """Rounds of merges, joint reassignments and deletes, each the best first and until none pays, while the total falls; number of moves.
+
+        The final pass takes splits and mints out of the residual as well: during the stream they would decide on partial evidence.
+        """
+        kinds = [("merge", self._merges), ("cohort", self._cohorts), ("delete", self._deletes)]
+        if final:
+            kinds += [("split", self._splits), ("residual_mint", self._residual_mints)]
+        moves = 0
+        while True:
+            before = moves
+            for name, trials in kinds:
+                while (best := min(trials(), key=lambda x: x[:2], default=(0.0, ())))[0] < -1e-9:
+                    self._move(name, (*best[1], *best[2:]))
+                    moves += 1
+            if moves == before:
                 return moves
-            self._move(best[1], best[2])
-        return most
+
+    def _ids(self) -> list[int]:
+        return sorted(self.nodes, key=lambda v: (self.nodes[v].born, v))
+
+    def _merges(self) -> list[tuple]:
+        ids = self._ids()
+        return [(self.merge_delta(a, b), (a, b)) for i, a in enumerate(ids) for b in ids[i + 1 :] if self.nodes[a].support & self.nodes[b].support]
+
+    def _cohorts(self) -> list[tuple]:
+        free = self._free()
+        return [(self.cohort_delta(v, c), (v,)) for v in self._ids() if (c := [m for m in free if self.nodes[v].support & self.records[m].keys()])]
+
+    def _deletes(self) -> list[tuple]:
+        return [(self.delete_delta(v), (v,)) for v in self._ids()]
+
+    def _splits(self) -> list[tuple]:
+        return [(found[0], (v,), found[1]) for v in self._ids() if (found := self.best_split(v))]
+
+    def _residual_mints(self) -> list[tuple]:
+        return [(found[0], (), *found[1:])] if (found := self.best_residual_mint()) else []
 
     def split_delta(self, nid: int, part: set[int]) -> float:
         """Change of total() if a node's members part in two with its whole support; the background stays."""
@@ -443,12 +473,7 @@ class Learner:
     def best_split(self, nid: int, most: int = 64) -> tuple[float, set[int]] | None:
         """The best part by its delta and the bits that name it: members with a (key, value), the commonest pairs first, and each grown once."""
         node = self.nodes[nid]
-        pairs: dict[tuple[str, str], set[int]] = defaultdict(set)
-        for m in node.members:
-            for kv in self.records[m].items():
-                pairs[kv].add(m)
-        seeds = sorted((kv for kv, s in pairs.items() if 1 < len(s) < len(node.members) - 1), key=lambda kv: (-len(pairs[kv]), kv))[:most]
-        tried = [p for kv in seeds for p in (pairs[kv], self._grow(node, pairs[kv])) if 0 < len(p) < len(node.members)]
+        tried = self._parts(node.members, most, 2)
         if not tried:
             return None
         charge = math.log2(len(tried))
@@ -456,18 +481,38 @@ class Learner:
         delta = self.split_delta(nid, tried[best]) + charge
         return (delta, set(tried[best])) if delta < -1e-9 else None
 
-    def _grow(self, node: Node, seed: set[int]) -> set[int]:
+    def _parts(self, members: set[int], most: int, least: int) -> list[set[int]]:
+        """Proper parts: members with a (key, value), the commonest pairs first, and each grown once; the rest has least members or more before it grows."""
+        pairs: dict[tuple[str, str], set[int]] = defaultdict(set)
+        for m in members:
+            for kv in self.records[m].items():
+                pairs[kv].add(m)
+        seeds = sorted((kv for kv, s in pairs.items() if 1 < len(s) <= len(members) - least), key=lambda kv: (-len(pairs[kv]), kv))[:most]
+        return [p for kv in seeds for p in (pairs[kv], self._grow(members, pairs[kv])) if 0 < len(p) < len(members)]
+
+    def _grow(self, members: set[int], seed: set[int]) -> set[int]:
         """Each member to the half under whose value counts (all keys) it is cheaper."""
         halves = [defaultdict(Counter), defaultdict(Counter)]
-        for m in node.members:
+        for m in members:
             for k, v in self.records[m].items():
                 halves[m not in seed][k][v] += 1
-        size = (len(seed), len(node.members) - len(seed))
+        totals = [{k: sum(c.values()) for k, c in half.items()} for half in halves]
 
         def cost(m: int, h: int) -> float:
-            return sum(_kt(halves[h][k][v], sum(halves[h][k].values()), len(self.values[k])) for k, v in self.records[m].items()) - math.log2((size[h] + 0.5) / (sum(size) + 1))
+            return sum(_kt(halves[h][k][v], totals[h].get(k, 0), len(self.values[k])) for k, v in self.records[m].items())
+
+        return {m for m in members if cost(m, 0) <= cost(m, 1)}
 
-        return {m for m in node.members if cost(m, 0) < cost(m, 1)}
+    def best_residual_mint(self, most: int = 64) -> tuple[float, set[int], frozenset] | None:
+        """The best node out of records of no node, with all of their keys: its delta and the bits that name it, members and support."""
+        free = {m for m in self._free() if self.records[m]}
+        tried = [(p, frozenset().union(*(self.records[m] for m in p))) for p in self._parts(free, most, 1)]
+        if not tried:
+            return None
+        deltas = [self.residual_delta(p, support) for p, support in tried]
+        best = min(range(len(tried)), key=deltas.__getitem__)
+        delta = deltas[best] + math.log2(len(tried))
+        return (delta, set(tried[best][0]), tried[best][1]) if delta < -1e-9 else None
 
     def residual_delta(self, members: set[int], support: frozenset) -> float:
         """Change of total() if records of no node become one."""
@@ -495,18 +540,6 @@ class Learner:
         self.edits += 1
         return self.last
 
-    def finish(self, most: int = 20) -> int:
-        """Repair, then splits while they pay, each with a repair after; number of moves."""
-        moves = self.repair()
-        for _ in range(most):
-            found = [(s[0], v, s[1]) for v in sorted(self.nodes) if (s := self.best_split(v))]
-            if not found:
-                return moves
-            _, v, part = min(found, key=lambda x: (x[0], x[1]))
-            self.split(v, part)
-            moves += 1 + self.repair()
-        return moves
-
     def _move(self, name: str, args: tuple) -> None:
         if name == "cohort":
             for m in self._cohort(args[0]):
@@ -523,6 +556,10 @@ class Learner:
         return out
 
 
+#: Records between two repairs.
+EVERY = 100
+
+
 def _groups(rows: pd.DataFrame, every: int, final: bool) -> tuple[Learner, list[int]]:
     learner, ids = Learner(), []
     for rec_id, rec in sorted(zip(rows["rec_id"], rows["rec"])):
@@ -530,12 +567,12 @@ def _groups(rows: pd.DataFrame, every: int, final: bool) -> tuple[Learner, list[
         ids.append(rec_id)
         if every and learner.n % every == 0 and learner.nodes:
             learner.repair()
-    if final and learner.nodes:
-        learner.repair()
+    if final:
+        learner.repair(final=True)
     return learner, ids
 
 
-def run(records: DataFrame, by: str = "stream", every: int = 0, final: bool = True) -> DataFrame:
+def run(records: DataFrame, by: str = "stream", every: int = EVERY, final: bool = True) -> DataFrame:
     """(by, rec_id, rec) to (by, rec_id, label): each stream learned in arrival order, in a task of its own."""
 
     def learn(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -547,7 +584,7 @@ def run(records: DataFrame, by: str = "stream", every: int = 0, final: bool = Tr
     return records.select(by, "rec_id", "rec").groupBy(by).applyInPandas(learn, f"{by} {kind}, rec_id bigint, label bigint")
 
 
-def summary(records: DataFrame, by: str = "stream", every: int = 0, final: bool = True) -> DataFrame:
+def summary(records: DataFrame, by: str = "stream", every: int = EVERY, final: bool = True) -> DataFrame:
     """One row for each stream: records, nodes, total bits, edits, receipts (JSON)."""
 
     def learn(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -571,8 +608,9 @@ def consensus(records: DataFrame, orders: int = 3, seed: int = 0) -> DataFrame:
         learner = Learner()
         for rec in pdf["rec"]:
             learner.process(dict(rec))
-        if learner.nodes:
-            learner.repair()
+            if learner.n % EVERY == 0 and learner.nodes:
+                learner.repair()
+        learner.repair(final=True)
         label = learner.labels()
         return pd.DataFrame({"run": pdf["run"], "rec_id": pdf["rec_id"], "label": [label[k] for k in range(1, len(pdf) + 1)], "bits": learner.total()})
 

@@ -135,3 +135,30 @@ def test_epochs_find_planted_groups_and_nothing_in_noise(spark, tmp_path):
     e = Epochs(str(tmp_path / "null"))
     e.step(G.uniform_null(spark, 300).select("rec_id", "rec"), 0)
     assert e.tables(spark, 9)[2].count() == 0
+
+
+def test_repair_reaches_its_fixpoint_and_the_final_pass_splits_and_mints():
+    # 60 slices of one group: more than 50 merges are needed
+    learner = Learner()
+    rows = [{f"k{j}": f"v{(i + j) % 3}" for j in range(4)} for i in range(300)]
+    for r in rows:
+        learner.process(r)
+    for v in list(learner.nodes):
+        learner.delete(v)
+    for i in range(60):
+        learner.residual_mint(set(range(5 * i + 1, 5 * i + 6)), frozenset(rows[0]))
+    assert learner.repair() >= 59 and len(learner.nodes) <= 1
+    audit(learner)
+    assert not any(x[0] < -1e-9 for x in learner._merges() + learner._cohorts() + learner._deletes())
+    # groups that share keys and differ in values, out of the residual alone
+    rng = random.Random(5)
+    rows = [{f"k{j}": f"v{8 * (i % 4) + rng.randrange(8)}" for j in range(4)} for i in range(400)]
+    learner = feed(rows)
+    for v in list(learner.nodes):
+        learner.delete(v)
+    before = learner.total()
+    assert learner.repair(final=True) > 0 and learner.total() < before
+    audit(learner)
+    groups = [{m % 4 for m in x.members} for x in learner.nodes.values()]
+    assert len(groups) >= 2 and all(len(g) == 1 for g in groups)
+    assert not learner._splits() and not learner._residual_mints()
