@@ -573,9 +573,9 @@ def engine_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def engine_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The record-exact learner over the suppliers and regions as one stream: each record's label."""
-    cells = R.supplier(spark, sf_dir)
-    return engine.run(R.records(cells).withColumn("stream", F.lit("suppliers")))
+    """The record-exact learner over the customers (nation, region, segment) as one stream: each record's label."""
+    cells = R.customer(spark, sf_dir)
+    return engine.run(R.records(cells).withColumn("stream", F.lit("customers")))
 
 
 # clustering baselines

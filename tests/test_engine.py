@@ -162,3 +162,12 @@ def test_repair_reaches_its_fixpoint_and_the_final_pass_splits_and_mints():
     groups = [{m % 4 for m in x.members} for x in learner.nodes.values()]
     assert len(groups) >= 2 and all(len(g) == 1 for g in groups)
     assert not learner._splits() and not learner._residual_mints()
+
+
+def test_engine_customers_labels_every_customer(spark):
+    from bitquarry.plans import catalogue
+    from bitquarry.sources import records as R
+
+    sf = "/root/testdata/sf0.001"
+    got = {r.rec_id for r in catalogue.engine_customers(spark, sf).collect()}
+    assert got == {r.c_custkey for r in R.table(spark, sf, "customer").collect()}
