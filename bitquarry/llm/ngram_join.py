@@ -14,8 +14,8 @@ they are left out wherever enough other ranges are left for the count
 Signatures are packed per bucket and met there; inside a batch, and then in a
 bucket, a signature that several documents share gives a chain of edges, never
 pairs. Components of these edges hold all candidates. Inside them, one
-document of each distinct set is compared exactly (``100 * intersection >=
-85 * union`` on the sets); a component beyond ``tile_shingles`` is cut into
+document of each distinct set is compared exactly (``den * intersection >=
+num * union`` on the sets); a component beyond ``tile_shingles`` is cut into
 blocks and each two blocks meet in a task of their own, so no task holds an
 unbounded group. Links between tiles are joined by connected components.
 
@@ -136,10 +136,10 @@ def _shape(k: int) -> tuple[int, int, int, int]:
     return need + (need // 40), N2, K2, need
 
 
-def _sign(h: np.ndarray, sums: np.ndarray) -> list[np.ndarray]:
+def _sign(h: np.ndarray, sums: np.ndarray, num: int = NUMERATOR, den: int = DENOMINATOR) -> list[np.ndarray]:
     """Signatures of a set: sorted hashes h; sums: running sums of mixed hashes, with a 0 before."""
     out = []
-    for window, k in windows(len(h)):
+    for window, k in windows(len(h), num, den):
         n1, n2, k2, need = _shape(k)
         m = n1 * n2
         edges = np.searchsorted(h >> np.uint64(11), (np.arange(1, m, dtype=np.float64) * (2.0**53 / m)).astype(np.uint64))
@@ -175,7 +175,7 @@ def _chain(sig: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return d[:-1][same], d[1:][same], order[np.concatenate([[True], ~same])] if len(s) else order
 
 
-def _signatures(docs: DataFrame, buckets: int) -> DataFrame:
+def _signatures(docs: DataFrame, buckets: int, width: int = WIDTH, num: int = NUMERATOR, den: int = DENOMINATOR) -> DataFrame:
     """Per batch and bucket: signatures with their documents; in bucket -1: each document's size and set hash."""
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,12 +185,12 @@ def _signatures(docs: DataFrame, buckets: int) -> DataFrame:
             sigs: list[np.ndarray] = []
             owner: list[int] = []
             with np.errstate(over="ignore"):
-                for d, h in zip(ids.tolist(), shingle_sets(b.column(1).to_pylist())):
+                for d, h in zip(ids.tolist(), shingle_sets(b.column(1).to_pylist(), width)):
                     m = mix(h + _STEP)
                     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(m)])
                     info.append((d, len(h), int(sums[-1]), int(np.bitwise_xor.reduce(mix(m ^ _MIX1))) if len(h) else 0))
                     if len(h):
-                        for s in _sign(h, sums):
+                        for s in _sign(h, sums, num, den):
                             sigs.append(s)
                             owner.append(d)
                 rows = [_packed(int(mix(ids[:1].astype(np.uint64))[0] % np.uint64(buckets)), "info", np.array([x[0] for x in info], np.int64), np.array([x[1] for x in info], np.int64), np.array([x[2:] for x in info], np.uint64))]
@@ -301,24 +301,28 @@ def link_sets(ids: list[int], sets: list[np.ndarray], sides: list[int] | None =
     return edges
 
 
-def _links(table: pa.Table) -> pa.Table:
+def _links(table: pa.Table, width: int = WIDTH, num: int = NUMERATOR, den: int = DENOMINATOR) -> pa.Table:
     """Edges inside one tile."""
     ids = table.column("doc_id").to_pylist()
     blocks = table.column("block").to_pylist()
-    sets = list(shingle_sets(table.column("text").to_pylist()))
+    sets = list(shingle_sets(table.column("text").to_pylist(), width))
     two = len(set(blocks)) > 1
-    edges = link_sets(ids, sets, [int(b > min(blocks)) for b in blocks] if two else None) if len(ids) > 1 else []
+    edges = link_sets(ids, sets, [int(b > min(blocks)) for b in blocks] if two else None, num, den) if len(ids) > 1 else []
     return pa.table([pa.array([a for a, _ in edges], pa.int64()), pa.array([b for _, b in edges], pa.int64())], names=["a", "b"])
 
 
-def similar_groups(docs: DataFrame, tile_shingles: int = TILE_SHINGLES) -> DataFrame:
+def similar_groups(docs: DataFrame, tile_shingles: int = TILE_SHINGLES, width: int = WIDTH, num: int = NUMERATOR, den: int = DENOMINATOR) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links) of every row of docs (doc_id, text)."""
     spark = docs.sparkSession
     arrow_batches(spark)
+
+    def linked(table: pa.Table) -> pa.Table:
+        return _links(table, width, num, den)
+
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     whole = docs.filter("doc_id is not null")
     buckets = 4 * parts(spark)
-    met = materialize(_signatures(whole, buckets).groupBy("bucket").applyInArrow(_meet, _OUT))
+    met = materialize(_signatures(whole, buckets, width, num, den).groupBy("bucket").applyInArrow(_meet, _OUT))
     info = met.filter("kind = 'info'").select("doc_id", F.col("other").alias("n"), "h1", "h2")
     candidates = components(met.filter("kind = 'edge'").select("doc_id", "other"))
     # one document of each distinct set goes on; a set's other documents are linked with it
@@ -330,17 +334,17 @@ def similar_groups(docs: DataFrame, tile_shingles: int = TILE_SHINGLES) -> DataF
     placed = sized.withColumn("block", F.pmod(F.xxhash64("h1", "h2"), F.col("blocks")).cast("int"))
     tiles = placed.select("root", "doc_id", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select("root", "doc_id", "block", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"))
     # texts are dealt by doc_id at every size: candidates grow with the documents, so they are never broadcast
-    links = tiles.hint("merge").join(whole, "doc_id").groupBy("root", "x", "y").applyInArrow(_links, "a bigint, b bigint")
+    links = tiles.hint("merge").join(whole, "doc_id").groupBy("root", "x", "y").applyInArrow(linked, "a bigint, b bigint")
     found = components(copies.unionByName(links))
     out = info.join(found, info["doc_id"] == found["node"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "doc_id").alias("component_id"))
     return out.unionByName(docs.filter("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("n_shingles"), F.lit(None).cast("long").alias("component_id")))
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, width: int = WIDTH, num: int = NUMERATOR, den: int = DENOMINATOR) -> DataFrame:
     """docs with the smallest doc_id of each group of similar texts alone."""
-    groups = similar_groups(docs).select(F.col("doc_id").alias("__bq_id"), "component_id").filter("__bq_id <> component_id").select("__bq_id").distinct()
+    groups = similar_groups(docs, width=width, num=num, den=den).select(F.col("doc_id").alias("__bq_id"), "component_id").filter("__bq_id <> component_id").select("__bq_id").distinct()
     return docs.join(groups, docs["doc_id"].cast("long") == groups["__bq_id"], "left_anti")
 
 
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similar_groups(read(spark, sf_dir, "documents"))
+    return similar_groups(read(spark, sf_dir, "documents"), width=4, num=85, den=100)

@@ -2,7 +2,7 @@
 
 toxicity         documents that score 0.5 or more go
 line_dedup       later copies of repeated runs go from the texts; a document of which nothing is left goes
-ngram_join       the smallest doc_id of each group of similar texts stays
+ngram_join       the smallest doc_id of each group of similar texts stays (0.8 or more on five-word shingles)
 decontaminate    documents over the benchmark contamination rule go
 packing          the rest is packed; one row for each piece
 
@@ -35,7 +35,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _ngram_join.keep_one(docs)
+    return _ngram_join.keep_one(docs, width=5, num=80, den=100)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

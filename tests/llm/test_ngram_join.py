@@ -81,3 +81,13 @@ def test_link_sets_and_components_match_brute_force(spark):
 def test_very_long_text():
     sets = list(shingle_sets([" ".join(f"w{i % 70000}" for i in range(900_000)), "a b c d", "x" * 100_000 + " y z q"]))
     assert [len(s) for s in sets] == [70000, 1, 1]
+
+
+def test_pipeline_stage_takes_five_words_and_four_fifths(spark):
+    import corpus_pipeline
+
+    text = [f"w{k}" for k in range(100)]
+    rows = [(1, " ".join(text)), (2, " ".join(text + [f"n{k}" for k in range(20)])), (3, " ".join(text + [f"m{k}" for k in range(30)]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.ngram_join(spark, docs, "").collect()) == [1, 3]
+    assert keep_one(docs).count() == 3
