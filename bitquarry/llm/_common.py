@@ -49,6 +49,14 @@ def materialize(df: DataFrame, path: str | None = None, **options: str) -> DataF
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_folder(written: DataFrame) -> None:
+    """Removes the folder of a materialized DataFrame that nothing reads any more."""
+    spark = written.sparkSession
+    folder = spark._jvm.org.apache.hadoop.fs.Path(written.inputFiles()[0]).getParent() if written.inputFiles() else None
+    if folder is not None:
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def arrow_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Keeps Arrow batches small where the session has the default: texts may be long and Python workers are small."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -1,24 +1,35 @@
-"""Repeated-passage removal by winnowing over words, with SQL functions only.
-
-A text is cut into words (with the white space after them). Of each ``window``
-neighbouring places the one with the least hash of two words is selected, and
-its fingerprint is the hash of the ``gram`` words from there on. A passage of
-``gram + window - 1`` words (25) that occurs twice therefore selects the same
-fingerprint both times, wherever in lines or sentences it begins and ends. A
-passage is compared where its fingerprints stand first, so one whose every
-fingerprint stood still earlier in different texts is compared with those.
-
-Selected fingerprints meet on their hash; each one but the first (by doc_id,
-then place) is a match with the first place. One that overlaps the same
-fingerprint in the same text (a word or phrase over and over) is a match with
-that instead, so such a text has few shifts. Matches are extended word by word
-both ways, up to ``REACH`` words beyond the outermost match of a shift; runs of
-``min_words`` words or more are deleted from the later document, or the later
-place in the same document, at word offsets. What is first stays.
-
-Hot fingerprints: their first place is a partial aggregate, and their
-occurrences are one side of an equi-join that Spark can split; nothing pairs
-the occurrences with each other.
+"""Repeated-passage removal by winnowing over line hashes, with SQL functions only.
+
+Lines. A text's bytes, written as hexadecimal digits, are cut at every digit
+``DIGIT``; what is longer than ``LONGEST`` digits then is cut at every digit
+``SPARE`` (that of spaces) too. That is a rule of content alone, for every
+script, so a passage is cut alike wherever it stands, in whatever line or
+sentence it begins or ends; in prose a line has about 14 bytes. Line feeds
+count as spaces.
+
+Winnowing. Of each ``window`` neighbouring lines the one of least hash is
+selected (of equal ones the first), and its fingerprint is the hash of the
+``gram`` lines from there on. Two places that share ``gram + window - 1`` whole
+lines select the same fingerprint there. A shared passage of 50 words has some
+twenty lines, one of 25 about eleven; seven whole ones are needed.
+
+Joining positions. A fingerprint's first place (by doc_id, then place) is a
+hash aggregate over one row for each document and fingerprint. Every other
+place of a repeated fingerprint is an anchor against the first.
+
+Extension. From an anchor the match goes on both ways, byte by byte, as far as
+both texts agree (a binary search over the length of the common part); anchors
+inside a match already found are passed over. Matches are trimmed to whole
+words; those of ``piece`` words or more cover words that stood earlier, and
+covered runs of ``min_words`` words or more are deleted. A run may have stood
+earlier in several parts, each in another text, so a passage goes also where
+every fingerprint of it stood still earlier elsewhere. What is first stays.
+
+Cost. Bit tables (``_marks``; of bounded size whatever the input, and no more
+than a saving: what passes them is joined all the same) keep fingerprints that
+stand once, and texts without matches, out of the later joins. Those are plain
+equi-joins of written tables, which Spark splits where a key is hot; nothing
+pairs the places of a fingerprint with each other.
 
 Defined results: null stays null and empty stays empty; equal rows (same
 doc_id and text) are one document and keep one decision; rows that share a
@@ -29,34 +40,47 @@ gives an empty result.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bitquarry.llm._common import materialize, read
+from bitquarry.llm._common import drop_folder, materialize, read
 
-GRAM = 13
-WINDOW = 13
+DIGIT, SPARE, LONGEST = "9", "0", 256
+GRAM = 3
+WINDOW = 5
 MIN_WORDS = 25
-REACH = 256
+PIECE = 10
+#: lines that are carried along beyond the outermost anchors of two texts
+AROUND = 32
+MOST_BITS = 1 << 26
+
+_TH, _PLACE_BITS = "__bq_th", 24
+_POWERS = [1 << k for k in range(26, -1, -1)]
 
-_SPACE = " \n\r\t"
-_H, _TH, _PAIRS, _RUNS = "__bq_h", "__bq_th", "__bq_pairs", "__bq_found"
-_PLACE_BITS = 24
 
+def _plain(text: Column) -> Column:
+    return F.replace(text, F.lit("\n"), F.lit(" "))
 
-def pieces(text: Column) -> Column:
-    """Words with the white space after them, which make the text again when joined."""
-    return F.split(text, "(?<=[ \\n\\r\\t])(?=[^ \\n\\r\\t])")
 
+def _digits(text: Column) -> Column:
+    return F.hex(_plain(text))
 
-def _word_hashes(text: Column) -> Column:
-    """Hashes of the words of pieces(text)."""
-    return F.transform(F.split(F.rtrim(text, F.lit(_SPACE)), "[ \\n\\r\\t]+"), lambda w: F.hash(w))
 
+def _lines(digits: str) -> Column:
+    return F.split(F.col(digits), DIGIT)
 
-def _signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, text hash and word hashes of each document."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.hash("text").alias(_TH), _word_hashes(F.col("text")).alias(_H)).filter("doc_id is not null")
+
+def _ruled(digits: str, lines: str) -> Column:
+    """The digits with DIGIT at every cut; the lines are those of the first cut."""
+    finer = F.transform(lines, lambda x: F.when(F.octet_length(x) > LONGEST, F.replace(x, F.lit(SPARE), F.lit(DIGIT))).otherwise(x))
+    return F.when(F.exists(lines, lambda x: F.octet_length(x) > LONGEST), F.array_join(finer, DIGIT)).otherwise(F.col(digits))
+
+
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with value computed once."""
+    return F.get(F.transform(F.array(value), then), 0)
 
 
 def _least_ahead(m: str, by: int) -> Column:
@@ -64,69 +88,202 @@ def _least_ahead(m: str, by: int) -> Column:
     return F.zip_with(m, F.slice(m, by + 1, F.size(m)), lambda a, b: F.least(a, b))
 
 
-def _fingerprints(sig: DataFrame, gram: int, window: int) -> DataFrame:
-    """doc_id, text hash, place and fingerprint of the selected places, and how far back the same one overlaps it."""
-    mask = (1 << _PLACE_BITS) - 1
-    long_enough = sig.filter(F.size(_H) >= gram)
-    key = F.transform(_H, lambda x, i: F.shiftleft(F.xxhash64(x, F.get(F.col(_H), i + 1)), _PLACE_BITS).bitwiseOR(i.cast("long")))
-    least, span = long_enough.select("doc_id", _TH, _H, key.alias("m")), 1
+def fingerprints(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) -> DataFrame:
+    """doc_id, text hash and the selected fingerprints s of each document: fp, pos (its line), whether it is fp's first place there, and whether others follow."""
+    texts = docs.filter("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.hash("text").alias(_TH), _digits(F.col("text")).alias("d"))
+    first = texts.select("doc_id", _TH, "d", _lines("d").alias("u"))
+    long_ = F.exists("u", lambda x: F.octet_length(x) > LONGEST)
+    cut = first.select("doc_id", _TH, F.when(long_, F.split(_ruled("d", "u"), DIGIT)).otherwise(F.col("u")).alias("u"))
+    key = F.transform("u", lambda x, i: F.shiftleft(F.hash(x).cast("long"), _PLACE_BITS).bitwiseOR(i.cast("long")))
+    keyed = cut.select("doc_id", _TH, key.alias("m")).filter(F.size("m") >= gram)
+    least, span = keyed.select("doc_id", _TH, "m", F.slice("m", 1, F.size("m") - (gram - 1)).alias("k")), 1
     while span < window:
         step = min(span, window - span)
-        least, span = least.select("doc_id", _TH, _H, _least_ahead("m", step).alias("m")), span + step
-    places = F.filter(F.transform(F.array_distinct("m"), lambda x: x.bitwiseAND(F.lit(mask)).cast("int")), lambda i: i + gram <= F.size(_H))
-    at = least.select("doc_id", _TH, _H, places.alias("p"))
-    found = F.transform("p", lambda i: F.struct(F.xxhash64(*[F.get(F.col(_H), i + j) for j in range(gram)]).alias("fp"), i.alias("pos")))
-    sorted_ = at.select("doc_id", _TH, F.size(_H).alias("n"), found.alias("s"))
-    again = F.size(F.array_distinct(F.transform("s", lambda x: x.fp))) < F.size("s")
-    ordered = sorted_.select("doc_id", _TH, F.when(again, F.array_sort("s")).otherwise(F.col("s")).alias("s"), again.alias("again"))
-    before = F.concat(F.slice("s", 1, F.least(F.size("s"), F.lit(1))), F.slice("s", 1, F.greatest(F.size("s") - 1, F.lit(0))))
-    gap = lambda x, y: F.when((x.fp == y.fp) & (x.pos > y.pos) & (x.pos - y.pos < gram), x.pos - y.pos)
-    rows = ordered.select("doc_id", _TH, F.explode(F.zip_with("s", before, lambda x, y: F.struct(x.pos.alias("pos"), x.fp.alias("fp"), gap(x, y).alias("gap")))).alias("s"))
-    return rows.select("doc_id", _TH, "s.pos", "s.fp", "s.gap")
-
-
-def repeated_pairs(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) -> DataFrame:
-    """doc_id, text hash, and for each earlier text and shift: the place from which to compare and the earlier text's word hashes there."""
-    sig = materialize(_signatures(docs.select("doc_id", "text")))
-    fps = _fingerprints(sig, gram, window)
-    place = F.struct("doc_id", _TH, "pos")
-    first = fps.groupBy("fp").agg(F.min(place).alias("a"), F.count("*").alias("n")).filter("n > 1").select("fp", "a")
-    matches = fps.join(first, "fp").filter(place > F.col("a"))
-    own = F.struct(F.col("doc_id"), F.col(_TH), (F.col("pos") - F.col("gap")).alias("pos"))
-    met = matches.select("doc_id", _TH, "pos", F.when(F.col("gap").isNull(), F.col("a")).otherwise(own).alias("a"))
-    pairs = met.groupBy("doc_id", _TH, F.col("a.doc_id").alias("a_id"), F.col(f"a.{_TH}").alias("a_th"), (F.col("pos") - F.col("a.pos")).alias("shift")).agg(F.min("pos").alias("low"), F.max("pos").alias("high"))
-    earlier = sig.select(F.col("doc_id").alias("a_id"), F.col(_TH).alias("a_th"), F.col(_H).alias("a_h"))
-    both = pairs.join(earlier, ["a_id", "a_th"])
-    start = F.greatest(F.col("low") - REACH, F.col("shift"), F.lit(0))
-    part = F.slice("a_h", start - F.col("shift") + 1, F.col("high") + gram + REACH - start)
-    return both.groupBy("doc_id", _TH).agg(F.collect_set(F.struct(start.alias("start"), part.alias("words"))).alias(_PAIRS))
-
-
-def _runs(min_words: int) -> tuple[Column, Column, Column]:
-    """Three steps from the pairs and word hashes of a text to its runs (first and last word)."""
-    same = F.transform(_PAIRS, lambda p: F.struct(
-        p.start.alias("start"),
-        F.zip_with(F.slice(_H, p.start + 1, F.least(F.size(p.words), F.size(_H) - p.start)), p.words, lambda x, y: F.coalesce(x == y, F.lit(False))).alias("same")))
-    breaks = F.transform("same", lambda p: F.struct(
-        p.start.alias("start"),
-        F.concat(F.array(F.lit(-1)), F.filter(F.transform(p.same, lambda x, i: F.when(~x, i)), lambda i: i.isNotNull()), F.array(F.size(p.same))).alias("at")))
-    runs = F.flatten(F.transform("breaks", lambda p: F.filter(
-        F.zip_with(p.at, F.slice(p.at, 2, F.size(p.at)), lambda b, c: F.struct((p.start + b + 1).alias("first"), (p.start + c - 1).alias("last"))),
-        lambda r: r["last"] - r["first"] + 1 >= min_words)))
-    return same, breaks, F.array_distinct(runs)
-
-
-def dedup(docs: DataFrame, min_words: int = MIN_WORDS, **options: int) -> DataFrame:
+        least, span = least.select("doc_id", _TH, "m", _least_ahead("k", step).alias("k")), span + step
+    pos = lambda v: v.bitwiseAND(F.lit((1 << _PLACE_BITS) - 1)).cast("int")
+    line = lambda v: F.shiftright(v, _PLACE_BITS)
+    places = least.select("doc_id", _TH, "m", F.array_distinct("k").alias("k"))
+    fp = F.transform("k", lambda v: F.xxhash64(line(v), *[line(F.get(F.col("m"), pos(v) + j)) for j in range(1, gram)]))
+    hashed = places.select("doc_id", _TH, F.transform("k", pos).alias("p"), fp.alias("f"))
+    again = F.size(F.array_distinct("f")) < F.size("f")
+    pairs = hashed.select("doc_id", _TH, again.alias("again"), F.zip_with("f", "p", lambda f, p: F.struct(f.alias("fp"), p.alias("pos"), F.lit(True).alias("lead"), F.lit(False).alias("more"))).alias("s"))
+    sorted_ = pairs.select("doc_id", _TH, "again", F.when(F.col("again"), F.array_sort("s")).otherwise(F.col("s")).alias("s"))
+    same = lambda x, k: F.coalesce(F.get(F.col("s"), k).fp == x.fp, F.lit(False))
+    marked = F.transform("s", lambda x, i: F.struct(x.fp.alias("fp"), x.pos.alias("pos"), (~same(x, i - 1)).alias("lead"), same(x, i + 1).alias("more")))
+    return sorted_.select("doc_id", _TH, F.when(F.col("again"), marked).otherwise(F.col("s")).alias("s"))
+
+
+def _first(rows: DataFrame, unique: bool) -> DataFrame:
+    """Fingerprints that stand more than once, with their first place: fp, a_id, a_th, a_pos."""
+    leads = rows.filter("lead")
+    often = (F.count("*") > 1) | F.max("more")
+    if unique:  # a text for each doc_id: no ties, and everything fits a hash aggregate
+        at = F.shiftleft(F.col(_TH).cast("long"), 32).bitwiseOR(F.col("pos").cast("long"))
+        got = leads.withColumn("at", at).groupBy("fp").agg(F.min("doc_id").alias("a_id"), F.min_by("at", "doc_id").alias("at"), often.alias("often")).filter("often")
+        return got.select("fp", "a_id", F.shiftright("at", 32).cast("int").alias("a_th"), F.col("at").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("a_pos"))
+    got = leads.groupBy("fp").agg(F.min(F.struct("doc_id", _TH, "pos")).alias("a"), often.alias("often")).filter("often")
+    return got.select("fp", F.col("a.doc_id").alias("a_id"), F.col(f"a.{_TH}").alias("a_th"), F.col("a.pos").alias("a_pos"))
+
+
+def _marks(keys: DataFrame, n: int) -> tuple[DataFrame, int]:
+    """A bit table of the column k of keys, 16 bits a key or more up to MOST_BITS, and its size."""
+    bits = 1 << 16
+    while bits < 16 * n and bits < MOST_BITS:
+        bits *= 2
+    x = F.pmod(F.xxhash64("k", F.lit(7)), F.lit(bits))
+    return keys.select(x.alias("x")).groupBy(F.shiftright("x", 6).alias("__bq_w")).agg(F.bit_or(F.expr("shiftleft(1L, int(x & 63))")).alias("__bq_bits")), bits
+
+
+def _maybe(df: DataFrame, key: Column, marks: tuple[DataFrame, int]) -> DataFrame:
+    """df with __bq_in: false only where key is not among the marked ones."""
+    table, bits = marks  # MOST_BITS / 64 rows of two longs at most
+    x = F.pmod(F.xxhash64(key, F.lit(7)), F.lit(bits))
+    joined = df.withColumn("__bq_x", x).withColumn("__bq_w", F.shiftright("__bq_x", 6)).join(F.broadcast(table), "__bq_w", "left")
+    return joined.withColumn("__bq_in", F.coalesce(F.expr("(shiftright(__bq_bits, int(__bq_x & 63)) & 1) = 1"), F.lit(False))).drop("__bq_x", "__bq_w", "__bq_bits")
+
+
+def anchors(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) -> DataFrame:
+    """doc_id, text hash, a_id, a_th and the anchors (pos, a_pos, in order) of each document against each earlier text or place; written."""
+    fps = materialize(fingerprints(docs.select("doc_id", "text"), gram, window))
+    unique = fps.groupBy("doc_id").agg((F.min(_TH) != F.max(_TH)).alias("two")).filter("two").isEmpty()
+    rows = fps.select("doc_id", _TH, F.explode("s").alias("s")).select("doc_id", _TH, "s.fp", "s.pos", "s.lead", "s.more")
+    first = materialize(_first(rows, unique))
+    repeated = _maybe(rows.select("doc_id", _TH, "fp", "pos"), F.col("fp"), _marks(first.select(F.col("fp").alias("k")), first.count())).filter("__bq_in").drop("__bq_in")
+    later = F.struct("doc_id", _TH, "pos") > F.struct("a_id", "a_th", "a_pos")
+    met = repeated.join(first, "fp").filter(later)
+    out = materialize(met.groupBy("doc_id", _TH, "a_id", "a_th").agg(F.array_sort(F.collect_set(F.struct("pos", "a_pos"))).alias("at")))
+    drop_folder(fps)
+    drop_folder(first)
+    return out
+
+
+def _before(digits: Column, k: Column) -> Column:
+    """digits up to the cut before line k."""
+    return F.call_function("substring_index", digits, F.lit(DIGIT), k)
+
+
+def _offset(digits: Column, k: Column) -> Column:
+    """Where line k begins."""
+    return F.when(k <= 0, F.lit(0)).otherwise(F.octet_length(_before(digits, k)) + 1)
+
+
+def _sub(b: Column, at: Column, n: Column) -> Column:
+    """n of the bytes b from place ``at`` (from 0)."""
+    return F.substring(b, at + 1, n)
+
+
+def earlier_parts(docs: DataFrame, pairs: DataFrame, gram: int = GRAM) -> DataFrame:
+    """For each document with anchors: the parts of earlier texts around them (digits, number of their first line, anchors)."""
+    ids = pairs.select(F.col("a_id").alias("k")).distinct()
+    near = _maybe(docs.select(F.col("doc_id").cast("long").alias("a_id"), F.hash("text").alias("a_th"), "text"), F.col("a_id"), _marks(ids, ids.count())).filter("__bq_in")
+    near = near.select("a_id", "a_th", _digits(F.col("text")).alias("a")).select("a_id", "a_th", "a", _lines("a").alias("u")).select("a_id", "a_th", "a", _ruled("a", "u").alias("r"))
+    both = pairs.join(near, ["a_id", "a_th"])
+    low, high = F.array_min(F.transform("at", lambda x: x.a_pos)), F.array_max(F.transform("at", lambda x: x.a_pos))
+    both = both.select("doc_id", _TH, "at", "a", "r", F.greatest(low - AROUND, F.lit(0)).alias("line"), F.octet_length(_before(F.col("r"), high + gram + AROUND)).alias("end"))
+    both = both.withColumn("begin", _offset(F.col("r"), F.col("line")))
+    cut = lambda c: F.substring(c, F.col("begin") + 1, F.col("end") - F.col("begin"))
+    part = F.struct(cut("a").alias("a"), F.when(F.col("r") != F.col("a"), cut("r")).alias("r"), "line", "at")
+    return both.select("doc_id", _TH, part.alias("part")).groupBy("doc_id", _TH).agg(F.collect_set("part").alias("__bq_parts"))
+
+
+def _common(x: Column, i: Column, y: Column, j: Column, back: bool = False) -> Column:
+    """How many bytes agree from place i of x and j of y on, or before them."""
+    def agrees(n: Column, p: Column) -> Column:
+        if back:
+            return (i - n - p >= 0) & (j - n - p >= 0) & (_sub(x, i - n - p, p) == _sub(y, j - n - p, p))
+        return (i + n + p <= F.octet_length(x)) & (j + n + p <= F.octet_length(y)) & (_sub(x, i + n, p) == _sub(y, j + n, p))
+
+    return F.aggregate(F.array(*map(F.lit, _POWERS)), F.lit(0), lambda n, p: F.when(agrees(n, p), n + p).otherwise(n))
+
+
+def _matches(part: Column, gram: int) -> Column:
+    """Maximal matches (from, to; in digits) of the text whose ruled digits are __bq_d and digits __bq_b with one earlier part."""
+    d, b, a = F.col("__bq_d"), F.col("__bq_b"), part["a"].cast("binary")
+    ruled = F.coalesce(part["r"], part["a"])
+
+    def found(x: Column) -> Column:
+        at = F.struct(_offset(d, x.pos).alias("i"), _offset(ruled, x.a_pos - part["line"]).alias("j"))
+        return _let(at, lambda o: F.struct((o.i - _common(b, o.i, a, o.j, True)).alias("s"), (o.i + _common(b, o.i, a, o.j)).alias("e"), o.i.alias("i")))
+
+    def step(acc: Column, x: Column) -> Column:
+        def grown(m: Column) -> Column:
+            inside = _sub(d.cast("binary"), m.i, m.e - m.i).cast("string")
+            lines = F.octet_length(inside) - F.octet_length(F.replace(inside, F.lit(DIGIT), F.lit("")))
+            return F.struct((x.pos + F.greatest(lines, F.lit(1))).cast("int").alias("end"), F.concat(acc["found"], F.array(F.struct(m.s.alias("s"), m.e.alias("e")))).alias("found"))
+
+        return F.when(x.pos < acc["end"], acc).otherwise(_let(found(x), grown))
+
+    none = F.struct(F.lit(-1).alias("end"), F.array().cast("array<struct<s:int,e:int>>").alias("found"))
+    return F.aggregate(part["at"], none, step, lambda acc: acc["found"])
+
+
+def _whole_words(m: Column) -> Column:
+    """A match in digits as a range of bytes that holds whole words alone."""
+    t = F.col("__bq_t")
+    s, e = F.floor((m.s + 1) / 2).cast("int"), F.floor(m.e / 2).cast("int")
+
+    def trimmed(r: Column) -> Column:
+        inner = _sub(t, r.s, r.e - r.s).cast("string")
+        clean_left = (r.s == 0) | (_sub(t, r.s - 1, F.lit(1)) == F.lit(b" "))
+        clean_right = (r.e == F.octet_length(t)) | (_sub(t, r.e, F.lit(1)) == F.lit(b" "))
+        left = F.when(clean_left, F.lit(0)).otherwise(F.octet_length(F.call_function("substring_index", inner, F.lit(" "), F.lit(1))))
+        right = F.when(clean_right, F.lit(0)).otherwise(F.octet_length(F.call_function("substring_index", inner, F.lit(" "), F.lit(-1))))
+        return F.struct((r.s + left).alias("s"), F.greatest(r.e - right, r.s + left).alias("e"))
+
+    def stripped(r: Column) -> Column:
+        inner = _sub(t, r.s, r.e - r.s).cast("string")
+        begin = r.s + F.octet_length(inner) - F.octet_length(F.ltrim(inner))
+        return F.struct(begin.alias("s"), F.greatest(r.e - F.octet_length(inner) + F.octet_length(F.rtrim(inner)), begin).alias("e"))
+
+    return _let(_let(F.struct(s.alias("s"), e.alias("e")), trimmed), stripped)
+
+
+def _n_words(r: Column) -> Column:
+    inner = _sub(F.col("__bq_t"), r.s, r.e - r.s).cast("string")
+    return F.size(F.array_remove(F.split(F.replace(F.replace(inner, F.lit("\r"), F.lit(" ")), F.lit("\t"), F.lit(" ")), " "), ""))
+
+
+def _joined(ranges: Column) -> Column:
+    """Sorted ranges as runs: those that meet or overlap, or have one space between them, made one."""
+    def step(acc: Column, r: Column) -> Column:
+        last = F.element_at(acc, -1)
+        longer = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last.s.alias("s"), F.greatest(last.e, r.e).alias("e"))))
+        return F.when(F.size(acc) == 0, F.array(r)).when(r.s <= last.e + 1, longer).otherwise(F.concat(acc, F.array(r)))
+
+    return F.aggregate(ranges, F.array().cast("array<struct<s:int,e:int>>"), step)
+
+
+def _without(runs: Column) -> Column:
+    """The original text's bytes without the runs and the space after each."""
+    t = F.col("__bq_o")
+    stops = F.concat(runs, F.array(F.struct(F.octet_length(t).alias("s"), F.octet_length(t).alias("e"))))
+    kept = F.aggregate(
+        stops, F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("kept")),
+        lambda acc, r: F.struct(F.least(r.e + 1, F.octet_length(t)).cast("int").alias("at"), F.concat(acc["kept"], F.array(_sub(t, acc["at"], r.s - acc["at"]).cast("string"))).alias("kept")),
+        lambda acc: acc["kept"])
+    return F.array_join(kept, "")
+
+
+def dedup(docs: DataFrame, min_words: int = MIN_WORDS, piece: int = PIECE, gram: int = GRAM, window: int = WINDOW) -> DataFrame:
     """docs with the repeated runs deleted from text, and __bq_runs (their number) beside it."""
-    pairs = repeated_pairs(docs, **options).withColumnsRenamed({"doc_id": "__bq_id", _TH: "__bq_gth"})
-    joined = docs.join(pairs, (docs["doc_id"].cast("long") == pairs["__bq_id"]) & (F.hash(docs["text"]) == pairs["__bq_gth"]), "left")
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    same, breaks, runs = _runs(min_words)
-    hashed = joined.select(*columns, _PAIRS, F.when(F.col(_PAIRS).isNotNull(), _word_hashes(F.col("text"))).alias(_H))
-    found = hashed.select(*columns, same.alias("same")).select(*columns, breaks.alias("breaks")).select(*columns, runs.alias(_RUNS))
-    kept = F.array_join(F.filter(pieces(F.col("text")), lambda _, i: ~F.exists(_RUNS, lambda r: (i >= r["first"]) & (i <= r["last"]))), "")
-    n = F.coalesce(F.size(_RUNS), F.lit(0))
-    return found.select(*[F.when(n > 0, kept).otherwise(F.col("text")).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns], n.alias("__bq_runs"))
+    pairs = anchors(docs, gram, window)
+    parts = earlier_parts(docs, pairs, gram).withColumnsRenamed({"doc_id": "__bq_id", _TH: "__bq_gth"})
+    ids = pairs.select(F.col("doc_id").alias("k")).distinct()
+    split = _maybe(docs, F.col("doc_id").cast("long"), _marks(ids, ids.count()))
+    alone = split.filter(~F.col("__bq_in")).select(*columns, F.lit(0).alias("__bq_runs"))
+    own = split.filter("__bq_in").select(*columns)
+    met = own.join(parts, (own["doc_id"].cast("long") == parts["__bq_id"]) & (F.hash(own["text"]) == parts["__bq_gth"]), "left")
+    matched = F.col("__bq_parts").isNotNull()
+    given = met.select(*columns, "__bq_parts", F.when(matched, _digits(F.col("text"))).alias("__bq_b"), F.when(matched, _plain(F.col("text"))).cast("binary").alias("__bq_t"), F.col("text").cast("binary").alias("__bq_o"))
+    given = given.withColumn("__bq_u", _lines("__bq_b")).withColumn("__bq_d", _ruled("__bq_b", "__bq_u")).withColumn("__bq_b", F.col("__bq_b").cast("binary"))
+    found = given.withColumn("__bq_m", F.flatten(F.transform("__bq_parts", lambda p: _matches(p, gram))))
+    words = found.withColumn("__bq_m", F.array_sort(F.array_distinct(F.filter(F.transform("__bq_m", _whole_words), lambda r: _n_words(r) >= piece))))
+    runs = words.withColumn("__bq_m", _joined(F.col("__bq_m"))).withColumn("__bq_m", F.filter("__bq_m", lambda r: _n_words(r) >= min_words))
+    n = F.coalesce(F.size("__bq_m"), F.lit(0))
+    cut = runs.withColumn("__bq_runs", n).withColumn("__bq_left", F.when(F.col("__bq_runs") > 0, _without(F.col("__bq_m"))))
+    out = cut.select(*[F.when(F.col("__bq_runs") > 0, F.col("__bq_left")).otherwise(F.col("text")).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns], "__bq_runs")
+    return out.unionByName(alone)
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
