@@ -72,10 +72,14 @@ def _lines(digits: str) -> Column:
     return F.split(F.col(digits), DIGIT)
 
 
+def _long(lines: str) -> Column:
+    return F.exists(lines, lambda x: F.octet_length(x) > LONGEST)
+
+
 def _ruled(digits: str, lines: str) -> Column:
     """The digits with DIGIT at every cut; the lines are those of the first cut."""
     finer = F.transform(lines, lambda x: F.when(F.octet_length(x) > LONGEST, F.replace(x, F.lit(SPARE), F.lit(DIGIT))).otherwise(x))
-    return F.when(F.exists(lines, lambda x: F.octet_length(x) > LONGEST), F.array_join(finer, DIGIT)).otherwise(F.col(digits))
+    return F.when(_long(lines), F.array_join(finer, DIGIT)).otherwise(F.col(digits))
 
 
 def _let(value: Column, then: Callable[[Column], Column]) -> Column:
@@ -92,8 +96,7 @@ def fingerprints(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) -> Dat
     """doc_id, text hash and the selected fingerprints s of each document: fp, pos (its line), whether it is fp's first place there, and whether others follow."""
     texts = docs.filter("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.hash("text").alias(_TH), _digits(F.col("text")).alias("d"))
     first = texts.select("doc_id", _TH, "d", _lines("d").alias("u"))
-    long_ = F.exists("u", lambda x: F.octet_length(x) > LONGEST)
-    cut = first.select("doc_id", _TH, F.when(long_, F.split(_ruled("d", "u"), DIGIT)).otherwise(F.col("u")).alias("u"))
+    cut = first.select("doc_id", _TH, F.when(_long("u"), F.split(_ruled("d", "u"), DIGIT)).otherwise(F.col("u")).alias("u"))
     key = F.transform("u", lambda x, i: F.shiftleft(F.hash(x).cast("long"), _PLACE_BITS).bitwiseOR(i.cast("long")))
     keyed = cut.select("doc_id", _TH, key.alias("m")).filter(F.size("m") >= gram)
     least, span = keyed.select("doc_id", _TH, "m", F.slice("m", 1, F.size("m") - (gram - 1)).alias("k")), 1
@@ -175,14 +178,19 @@ def _sub(b: Column, at: Column, n: Column) -> Column:
 def earlier_parts(docs: DataFrame, pairs: DataFrame, gram: int = GRAM) -> DataFrame:
     """For each document with anchors: the parts of earlier texts around them (digits, number of their first line, anchors)."""
     ids = pairs.select(F.col("a_id").alias("k")).distinct()
-    near = _maybe(docs.select(F.col("doc_id").cast("long").alias("a_id"), F.hash("text").alias("a_th"), "text"), F.col("a_id"), _marks(ids, ids.count())).filter("__bq_in")
-    near = near.select("a_id", "a_th", _digits(F.col("text")).alias("a")).select("a_id", "a_th", "a", _lines("a").alias("u")).select("a_id", "a_th", "a", _ruled("a", "u").alias("r"))
-    both = pairs.join(near, ["a_id", "a_th"])
+    texts = docs.select(F.col("doc_id").cast("long").alias("a_id"), F.hash("text").alias("a_th"), F.encode(_plain(F.col("text")), "UTF-8").alias("b"))
+    near = _maybe(texts, F.col("a_id"), _marks(ids, ids.count())).filter("__bq_in")
+    # ruled digits go along only where they differ from the plain ones
+    near = near.select("a_id", "a_th", "b", F.hex("b").alias("a")).select("a_id", "a_th", "b", "a", _lines("a").alias("u"))
+    near = near.select("a_id", "a_th", "b", F.when(_long("u"), _ruled("a", "u")).alias("r"))
+    both = pairs.join(near, ["a_id", "a_th"]).withColumn("r0", F.coalesce("r", F.hex("b")))
     low, high = F.array_min(F.transform("at", lambda x: x.a_pos)), F.array_max(F.transform("at", lambda x: x.a_pos))
-    both = both.select("doc_id", _TH, "at", "a", "r", F.greatest(low - AROUND, F.lit(0)).alias("line"), F.octet_length(_before(F.col("r"), high + gram + AROUND)).alias("end"))
-    both = both.withColumn("begin", _offset(F.col("r"), F.col("line")))
-    cut = lambda c: F.substring(c, F.col("begin") + 1, F.col("end") - F.col("begin"))
-    part = F.struct(cut("a").alias("a"), F.when(F.col("r") != F.col("a"), cut("r")).alias("r"), "line", "at")
+    both = both.select("doc_id", _TH, "at", "b", "r", "r0", F.greatest(low - AROUND, F.lit(0)).alias("line"), F.octet_length(_before(F.col("r0"), high + gram + AROUND)).alias("end"))
+    both = both.withColumn("begin", _offset(F.col("r0"), F.col("line")))
+    skip = F.floor(F.col("begin") / 2).cast("int")
+    part = F.struct(
+        F.substring("b", skip + 1, F.ceil(F.col("end") / 2).cast("int") - skip).alias("b"), (F.col("begin") % 2).alias("odd"),
+        F.when(F.col("r").isNotNull(), F.substring("r", F.col("begin") + 1, F.col("end") - F.col("begin"))).alias("r"), "line", "at")
     return both.select("doc_id", _TH, part.alias("part")).groupBy("doc_id", _TH).agg(F.collect_set("part").alias("__bq_parts"))
 
 
@@ -196,13 +204,12 @@ def _common(x: Column, i: Column, y: Column, j: Column, back: bool = False) -> C
     return F.aggregate(F.array(*map(F.lit, _POWERS)), F.lit(0), lambda n, p: F.when(agrees(n, p), n + p).otherwise(n))
 
 
-def _matches(part: Column, gram: int) -> Column:
+def _matches(part: Column) -> Column:
     """Maximal matches (from, to; in digits) of the text whose ruled digits are __bq_d and digits __bq_b with one earlier part."""
-    d, b, a = F.col("__bq_d"), F.col("__bq_b"), part["a"].cast("binary")
-    ruled = F.coalesce(part["r"], part["a"])
+    d, b, a = F.col("__bq_d"), F.col("__bq_b"), part["a"]
 
     def found(x: Column) -> Column:
-        at = F.struct(_offset(d, x.pos).alias("i"), _offset(ruled, x.a_pos - part["line"]).alias("j"))
+        at = F.struct(_offset(d, x.pos).alias("i"), (_offset(part["r"], x.a_pos - part["line"]) + part["odd"]).alias("j"))
         return _let(at, lambda o: F.struct((o.i - _common(b, o.i, a, o.j, True)).alias("s"), (o.i + _common(b, o.i, a, o.j)).alias("e"), o.i.alias("i")))
 
     def step(acc: Column, x: Column) -> Column:
@@ -277,7 +284,8 @@ def dedup(docs: DataFrame, min_words: int = MIN_WORDS, piece: int = PIECE, gram:
     matched = F.col("__bq_parts").isNotNull()
     given = met.select(*columns, "__bq_parts", F.when(matched, _digits(F.col("text"))).alias("__bq_b"), F.when(matched, _plain(F.col("text"))).cast("binary").alias("__bq_t"), F.col("text").cast("binary").alias("__bq_o"))
     given = given.withColumn("__bq_u", _lines("__bq_b")).withColumn("__bq_d", _ruled("__bq_b", "__bq_u")).withColumn("__bq_b", F.col("__bq_b").cast("binary"))
-    found = given.withColumn("__bq_m", F.flatten(F.transform("__bq_parts", lambda p: _matches(p, gram))))
+    parts = F.transform("__bq_parts", lambda p: _let(F.hex(p.b), lambda h: F.struct(h.cast("binary").alias("a"), F.coalesce(p.r, F.substring(h, p.odd + 1, F.octet_length(h))).alias("r"), p.odd.alias("odd"), p.line.alias("line"), p["at"].alias("at"))))
+    found = given.withColumn("__bq_parts", parts).withColumn("__bq_m", F.flatten(F.transform("__bq_parts", _matches)))
     words = found.withColumn("__bq_m", F.array_sort(F.array_distinct(F.filter(F.transform("__bq_m", _whole_words), lambda r: _n_words(r) >= piece))))
     runs = words.withColumn("__bq_m", _joined(F.col("__bq_m"))).withColumn("__bq_m", F.filter("__bq_m", lambda r: _n_words(r) >= min_words))
     n = F.coalesce(F.size("__bq_m"), F.lit(0))

@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from bitquarry.llm._common import arrow_batches, materialize, read
+from bitquarry.llm._common import arrow_batches, lean, materialize, read, text_slices
 from bitquarry.llm._tokenize import encoder
 
 CAPACITY = 4096
@@ -150,23 +150,25 @@ def slots(runs: list[Run]) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray
 def pieces(docs: DataFrame, tokenizer: str, end_id: int, keeps_space: bool, capacity: int = CAPACITY) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, and each piece's number among those of its length in its task."""
     arrow_batches(docs.sparkSession)
-    end = np.array([end_id], "<u2").tobytes()
 
+    @lean
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, enc = TaskContext.get().partitionId(), encoder(tokenizer, keeps_space)
         numbers: dict[int, int] = {}
-        for b in batches:
-            rows: list[tuple] = []
-            for d, x in zip(b.column(0).to_pylist(), enc.encode(b.column(1).to_pylist())):
-                ids = np.frombuffer(x + end, "<u2").astype("<u4")
-                for k in range(0, len(ids), capacity):
-                    p = ids[k : k + capacity]
-                    number = numbers.get(len(p), 0)
-                    numbers[len(p)] = number + 1
-                    rows.append((d, k // capacity, k, len(p), zlib.crc32(p.tobytes()), task, number))
-            if rows:
-                cols = zip(*rows)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()))], names=["doc_id", "piece", "start", "length", "ids_crc32", "task", "number"])
+        for whole in batches:
+            for b in text_slices(whole, 1):
+                ids, starts = enc.encode_batch(b.column(1), end_id)
+                raw = memoryview(ids.astype("<u4")).cast("B")
+                rows: list[tuple] = []
+                for d, x, y in zip(b.column(0).to_pylist(), starts.tolist(), starts[1:].tolist()):
+                    for k in range(x, y, capacity):
+                        n = min(capacity, y - k)
+                        number = numbers.get(n, 0)
+                        numbers[n] = number + 1
+                        rows.append((d, (k - x) // capacity, k - x, n, zlib.crc32(raw[4 * k : 4 * (k + n)]), task, number))
+                if rows:
+                    cols = zip(*rows)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()))], names=["doc_id", "piece", "start", "length", "ids_crc32", "task", "number"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(step, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, task int, number bigint")
 

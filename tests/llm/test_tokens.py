@@ -10,7 +10,7 @@ from bitquarry.llm.token_files import load, pack as code, unpack, write
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
-TEXTS = [None, "", " ", "a", "  two  spaces ", "tab\tnew\n\nline\r\n", "Ümlaut naïve ΣΑΣ İ 漢字かな 🙂🙂", "it's we'll 123 4567 x" * 3, "<|endoftext|> in text", "\u00a0nbsp\u3000ideographic", "e\u0301 x \u0301y", "a\x1cb \x01c", "The and attion to thanedble the, anea. Eriner thanea.\nThen edinth.", "x" * 5000, "word " * 3000]
+TEXTS = [None, "", " ", "a", "  two  spaces ", "tab\tnew\n\nline\r\n", "Ümlaut naïve ΣΑΣ İ 漢字かな 🙂🙂", "it's we'll 123 4567 x" * 3, "<|endoftext|> in text", "\u00a0nbsp\u3000ideographic", "e\u0301 x \u0301y", "a\x1cb \x01c", "x \x02", "\x85 b", "a\u2003b", " lead", "trail\n", "The and attion to thanedble the, anea. Eriner thanea.\nThen edinth.", "x" * 5000, "word " * 3000]
 
 
 @pytest.mark.parametrize(("name", "keeps"), [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
@@ -18,7 +18,7 @@ def test_chunks_give_the_ids_of_whole_texts(name, keeps):
     from tokenizers import Tokenizer
 
     whole = Tokenizer.from_file(public_tokenizers.path(name))
-    enc = ChunkEncoder(public_tokenizers.path(name), keeps, cache=50)
+    enc = ChunkEncoder(public_tokenizers.path(name), keeps, cache_bytes=5_000)
     rng = random.Random(1)
     alphabet = ["a", "b", " ", " ", "\n", "é", "1", "'", "s", ".", "\t", "Z", "\u0301", "漢"]
     texts = TEXTS + ["".join(rng.choice(alphabet) for _ in range(rng.randint(1, 40))) for _ in range(400)]
@@ -27,6 +27,13 @@ def test_chunks_give_the_ids_of_whole_texts(name, keeps):
             assert np.frombuffer(ids, "<u2").tolist() == whole.encode(t or "", add_special_tokens=False).ids, repr(t)
 
 
+def test_the_cache_stays_in_its_bytes():
+    enc = ChunkEncoder(public_tokenizers.path("byte_bpe_50k.json"), True, cache_bytes=100_000)
+    for k in range(40):
+        enc.encode([" ".join(f"w{k}x{j}" for j in range(100))])
+        assert enc.held <= 100_000 + 100 * 400 and len(enc.cache) + len(enc.old) < 2 * 140_000 / 250
+
+
 def test_code_round_trip():
     rng = np.random.default_rng(0)
     for n in (0, 1, 2, 3, 4, 5, 1000, 4097):
