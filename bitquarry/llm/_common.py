@@ -12,18 +12,20 @@ so a byte table gives the same words as the pattern on characters.
 from __future__ import annotations
 
 import ctypes
+import hashlib
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
-from functools import wraps
+from functools import lru_cache, wraps
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _ALNUM = bytes(
-    _LOWER[c] if c >= 128 or 48 <= c <= 57 or 65 <= c <= 90 or 97 <= c <= 122 else 32
+    LOWER[c] if c >= 128 or 48 <= c <= 57 or 65 <= c <= 90 or 97 <= c <= 122 else 32
     for c in range(256)
 )
 
@@ -34,7 +36,80 @@ def alnum_words(text: str | None) -> list[bytes]:
 
 def space_words(text: str | None) -> list[bytes]:
     # bytes.split() without an argument cuts at 0x20 and 0x09-0x0D and nothing else
-    return text.encode("utf-8", "surrogatepass").translate(_LOWER).split() if text else []
+    return text.encode("utf-8", "surrogatepass").translate(LOWER).split() if text else []
+
+
+_MIX1, _MIX2, _STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
+_BASE = 0x5851F42D4C957F2D
+#: bytes hashed at once
+_HASHED = 1 << 20
+
+
+def mix(x: np.ndarray) -> np.ndarray:
+    """A permutation of 64-bit integers that spreads every bit."""
+    with np.errstate(over="ignore"):
+        x = (x ^ (x >> np.uint64(30))) * _MIX1
+        x = (x ^ (x >> np.uint64(27))) * _MIX2
+        return x ^ (x >> np.uint64(31))
+
+
+def text_bytes(texts: pa.Array) -> tuple[bytes, np.ndarray]:
+    """The bytes of all texts in one, and where each begins (one more than texts). Null is empty."""
+    if isinstance(texts, pa.ChunkedArray):
+        texts = pa.concat_arrays(texts.chunks) if texts.num_chunks else pa.array([], texts.type)
+    texts = pc.fill_null(texts, "")
+    if not len(texts):
+        return b"", np.zeros(1, np.int64)
+    large = pa.types.is_large_string(texts.type)
+    offsets = np.frombuffer(texts.buffers()[1], np.int64 if large else np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    data = texts.buffers()[2]
+    return (data.slice(int(offsets[0]), int(offsets[-1] - offsets[0])).to_pybytes() if data else b""), offsets - offsets[0]
+
+
+def word_places(texts: pa.Array, table: bytes | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of all texts (through table, if given), where each word begins and ends, and each text's first word (one more than texts)."""
+    data, offsets = text_bytes(texts)
+    raw = np.frombuffer(data.translate(table) if table else data, np.uint8)
+    word = ~((raw == 32) | ((raw >= 9) & (raw <= 13)))
+    before = np.concatenate([[False], word[:-1]]) if len(raw) else word
+    inner = offsets[(offsets > 0) & (offsets < len(raw))]
+    begins = word & ~before
+    begins[inner] = word[inner]
+    starts = np.flatnonzero(begins)
+    stops = ~word & before
+    stops[inner] |= before[inner]
+    ends = np.flatnonzero(stops)
+    if len(raw) and word[-1]:
+        ends = np.append(ends, len(raw))
+    return raw, starts, ends, np.searchsorted(starts, offsets)
+
+
+@lru_cache(1)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    with np.errstate(over="ignore"):
+        up = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, np.uint64(_BASE))]))
+        down = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, np.uint64(pow(_BASE, -1, 1 << 64)))]))
+    return up, down
+
+
+def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each word: a polynomial of its bytes, mixed with its length."""
+    out = np.zeros(len(starts), np.uint64)
+    up, down = _powers(_HASHED)
+    with np.errstate(over="ignore"):
+        a = 0
+        while a < len(starts):
+            base = int(starts[a])
+            b = max(a + 1, int(np.searchsorted(ends, base + _HASHED, "right")))
+            if ends[b - 1] - base <= _HASHED:
+                part = raw[base : ends[b - 1]].astype(np.uint64) + np.uint64(1)
+                part *= up[: len(part)]
+                sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(part)])
+                out[a:b] = (sums[ends[a:b] - base] - sums[starts[a:b] - base]) * down[starts[a:b] - base]
+            else:  # a single word beyond the block
+                out[a] = int.from_bytes(hashlib.blake2b(raw[base : ends[a]].tobytes(), digest_size=8).digest(), "little")
+            a = b
+        return mix(out + (ends - starts).astype(np.uint64) * _STEP)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -72,6 +147,8 @@ def arrow_batches(spark: SparkSession, rows: int = 1000) -> None:
 def text_slices(batch: pa.RecordBatch, column: int, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The batch in slices of rows whose texts have about ``most`` bytes, or one row."""
     col = batch.column(column)
+    if isinstance(col, pa.ChunkedArray):
+        raise TypeError("a batch, not a table")
     if not batch.num_rows or col.nbytes <= most:
         yield batch
         return

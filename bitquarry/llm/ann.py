@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bitquarry.llm._common import arrow_batches, materialize, read
+from bitquarry.llm._common import arrow_batches, lean, materialize, read
 
 SAMPLE = 20_000
 LIST_ROWS = 300
@@ -235,6 +235,7 @@ def search(vectors: DataFrame, every: int = EVERY, top: int = TOP) -> DataFrame:
     index = build(good, width)
     held = spark.sparkContext.broadcast(index)  # MOST_LISTS centroids at most
 
+    @lean
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
@@ -242,6 +243,7 @@ def search(vectors: DataFrame, every: int = EVERY, top: int = TOP) -> DataFrame:
             lists = held.value.lists(_matrix(b.column(1), width))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(lists, pa.list_(pa.int32()))], names=["vec_id", "v", "lists"])
 
+    @lean
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:

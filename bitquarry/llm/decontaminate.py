@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bitquarry.llm._common import alnum_words, arrow_batches, read
+from bitquarry.llm._common import alnum_words, arrow_batches, lean, read
 
 WINDOW = 13
 COVERAGE_INVERSE = 20
@@ -192,6 +192,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", window: int
     for block in [*blocks(benchmark, block_words)] or [[]]:
         held = spark.sparkContext.broadcast(SuffixAutomaton(block, window))
 
+        @lean
         def step(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             auto = held.value
             for b in batches:
@@ -252,6 +253,7 @@ def remove(docs: DataFrame, benchmark: DataFrame, action: str = "drop", max_span
     limit = max_span if max_span is not None else 1 << 60
     cover = action == "cut"
 
+    @lean
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             at = {c: i for i, c in enumerate(b.schema.names)}

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bitquarry.llm._common import arrow_batches, read
+from bitquarry.llm._common import arrow_batches, lean, read
 
 SIGMA = 1.0
 
@@ -184,6 +184,7 @@ def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every page."""
     arrow_batches(pages.sparkSession)
 
+    @lean
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = [" ".join(main_blocks(h)) for h in b.column(2).to_pylist()]

@@ -1,29 +1,28 @@
-"""Repeated-passage removal by winnowing over line hashes, with SQL functions only.
+"""Repeated-passage removal by winnowing over hashed words.
 
-Lines. A text's bytes, written as hexadecimal digits, are cut at every digit
-``DIGIT``; what is longer than ``LONGEST`` digits then is cut at every digit
-``SPARE`` (that of spaces) too. That is a rule of content alone, for every
-script, so a passage is cut alike wherever it stands, in whatever line or
-sentence it begins or ends; in prose a line has about 14 bytes. Line feeds
-count as spaces.
-
-Winnowing. Of each ``window`` neighbouring lines the one of least hash is
-selected (of equal ones the first), and its fingerprint is the hash of the
-``gram`` lines from there on. Two places that share ``gram + window - 1`` whole
-lines select the same fingerprint there. A shared passage of 50 words has some
-twenty lines, one of 25 about eleven; seven whole ones are needed.
+A text's words are hashed. Of each ``window`` neighbouring places the one of
+least hash is selected (of equal ones the first); its fingerprint is the hash
+of the ``gram`` words from there on. A passage of ``gram + window - 1`` words
+(25) that occurs twice therefore selects the same fingerprint both times,
+wherever in lines or sentences it begins and ends: windows of hashed lines
+would miss what is cut inside lines.
 
 Joining positions. A fingerprint's first place (by doc_id, then place) is a
 hash aggregate over one row for each document and fingerprint. Every other
 place of a repeated fingerprint is an anchor against the first.
 
-Extension. From an anchor the match goes on both ways, byte by byte, as far as
-both texts agree (a binary search over the length of the common part); anchors
-inside a match already found are passed over. Matches are trimmed to whole
-words; those of ``piece`` words or more cover words that stood earlier, and
-covered runs of ``min_words`` words or more are deleted. A run may have stood
-earlier in several parts, each in another text, so a passage goes also where
-every fingerprint of it stood still earlier elsewhere. What is first stays.
+Extension. From an anchor the match goes on both ways, word by word, as far as
+both texts agree (and ``AROUND`` words beyond the outermost anchors at most);
+anchors inside a match already found are passed over. Matches of ``piece``
+words or more cover words that stood earlier, and covered runs of
+``min_words`` words or more are deleted with the white space behind them. A
+run may have stood earlier in several parts, each in another text, so a
+passage goes also where every fingerprint of it stood still earlier elsewhere.
+What is first stays.
+
+Style. Fingerprints and extension are numpy over Arrow batches, everything
+between them is joins and aggregates: forms with SQL functions alone cost more
+than twice the limit (README).
 
 Cost. Bit tables (``_marks``; of bounded size whatever the input, and no more
 than a saving: what passes them is joined all the same) keep fingerprints that
@@ -40,80 +39,76 @@ gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bitquarry.llm._common import drop_folder, materialize, read
+from bitquarry.llm._common import arrow_batches, drop_folder, lean, materialize, mix, read, text_slices, word_hashes, word_places
 
-DIGIT, SPARE, LONGEST = "9", "0", 256
-GRAM = 3
-WINDOW = 5
+GRAM = 13
+WINDOW = 13
 MIN_WORDS = 25
 PIECE = 10
-#: lines that are carried along beyond the outermost anchors of two texts
-AROUND = 32
+#: words that are carried along beyond the outermost anchors of two texts
+AROUND = 64
 MOST_BITS = 1 << 26
 
-_TH, _PLACE_BITS = "__bq_th", 24
-_POWERS = [1 << k for k in range(26, -1, -1)]
-
-
-def _plain(text: Column) -> Column:
-    return F.replace(text, F.lit("\n"), F.lit(" "))
-
-
-def _digits(text: Column) -> Column:
-    return F.hex(_plain(text))
-
-
-def _lines(digits: str) -> Column:
-    return F.split(F.col(digits), DIGIT)
-
-
-def _long(lines: str) -> Column:
-    return F.exists(lines, lambda x: F.octet_length(x) > LONGEST)
-
+_TH = "__bq_th"
+_PLACE = np.uint64((1 << 24) - 1)
+
+
+def select(h: np.ndarray, first: np.ndarray, gram: int, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Selected places (numbers of words) and their fingerprints. h: hashes of the words of all texts; first: where each text begins, and the end."""
+    n = len(h) - gram + 1
+    if n <= 0:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    with np.errstate(over="ignore"):
+        fp = np.zeros(n, np.uint64)
+        for j in range(gram):
+            fp = fp * np.uint64(0x94D049BB133111EB) + h[j : j + n]
+        fp = mix(fp)
+    places = np.maximum(0, np.diff(first) - gram + 1)  # of each text
+    text = np.repeat(np.arange(len(places)), places)
+    nth = np.arange(len(text)) - np.repeat(np.cumsum(places) - places, places)
+    word = first[text] + nth
+    # texts are kept apart by so much room that no window holds places of two
+    at = np.arange(len(text)) + text * (window - 1)
+    room = np.full(int(at[-1]) + window if len(at) else 0, ~np.uint64(0))
+    room[at] = (fp[word] & ~_PLACE) | (nth.astype(np.uint64) & _PLACE)
+    least, span = room, 1
+    while span < window:
+        step = min(span, window - span)
+        least = np.minimum(least[:-step], least[step:])
+        span += step
+    whole = (nth + window <= places[text]) | (nth == 0)  # windows inside a text, or all of a short one
+    best = (least[at[whole]] & _PLACE).astype(np.int64)
+    got = np.unique(first[text[whole]] + best)
+    return got, fp[got]
 
-def _ruled(digits: str, lines: str) -> Column:
-    """The digits with DIGIT at every cut; the lines are those of the first cut."""
-    finer = F.transform(lines, lambda x: F.when(F.octet_length(x) > LONGEST, F.replace(x, F.lit(SPARE), F.lit(DIGIT))).otherwise(x))
-    return F.when(_long(lines), F.array_join(finer, DIGIT)).otherwise(F.col(digits))
 
+_ROWS = f"doc_id bigint, {_TH} int, fp bigint, pos int, lead boolean, more boolean"
 
-def _let(value: Column, then: Callable[[Column], Column]) -> Column:
-    """then(value), with value computed once."""
-    return F.get(F.transform(F.array(value), then), 0)
 
+def fingerprints(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) -> DataFrame:
+    """doc_id, text hash, fp, pos (its word), whether it is fp's first place in the document, and whether others follow there."""
 
-def _least_ahead(m: str, by: int) -> Column:
-    """The lesser of each element and the one so many places on."""
-    return F.zip_with(m, F.slice(m, by + 1, F.size(m)), lambda a, b: F.least(a, b))
+    @lean
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in text_slices(whole, 2, 1 << 20):
+                raw, starts, ends, first = word_places(b.column(2))
+                at, fp = select(word_hashes(raw, starts, ends), first, gram, window)
+                doc = np.searchsorted(first, at, "right") - 1
+                order = np.lexsort((at, fp, doc))
+                at, fp, doc = at[order], fp[order], doc[order]
+                same = np.concatenate([[False], (fp[1:] == fp[:-1]) & (doc[1:] == doc[:-1])]) if len(at) else np.zeros(0, bool)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(doc)), b.column(1).take(pa.array(doc)), pa.array(fp.view(np.int64)), pa.array((at - first[doc]).astype(np.int32)), pa.array(~same), pa.array(np.concatenate([same[1:], [False]]) if len(at) else same)], names=["doc_id", _TH, "fp", "pos", "lead", "more"])
 
-
-def fingerprints(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) -> DataFrame:
-    """doc_id, text hash and the selected fingerprints s of each document: fp, pos (its line), whether it is fp's first place there, and whether others follow."""
-    texts = docs.filter("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.hash("text").alias(_TH), _digits(F.col("text")).alias("d"))
-    first = texts.select("doc_id", _TH, "d", _lines("d").alias("u"))
-    cut = first.select("doc_id", _TH, F.when(_long("u"), F.split(_ruled("d", "u"), DIGIT)).otherwise(F.col("u")).alias("u"))
-    key = F.transform("u", lambda x, i: F.shiftleft(F.hash(x).cast("long"), _PLACE_BITS).bitwiseOR(i.cast("long")))
-    keyed = cut.select("doc_id", _TH, key.alias("m")).filter(F.size("m") >= gram)
-    least, span = keyed.select("doc_id", _TH, "m", F.slice("m", 1, F.size("m") - (gram - 1)).alias("k")), 1
-    while span < window:
-        step = min(span, window - span)
-        least, span = least.select("doc_id", _TH, "m", _least_ahead("k", step).alias("k")), span + step
-    pos = lambda v: v.bitwiseAND(F.lit((1 << _PLACE_BITS) - 1)).cast("int")
-    line = lambda v: F.shiftright(v, _PLACE_BITS)
-    places = least.select("doc_id", _TH, "m", F.array_distinct("k").alias("k"))
-    fp = F.transform("k", lambda v: F.xxhash64(line(v), *[line(F.get(F.col("m"), pos(v) + j)) for j in range(1, gram)]))
-    hashed = places.select("doc_id", _TH, F.transform("k", pos).alias("p"), fp.alias("f"))
-    again = F.size(F.array_distinct("f")) < F.size("f")
-    pairs = hashed.select("doc_id", _TH, again.alias("again"), F.zip_with("f", "p", lambda f, p: F.struct(f.alias("fp"), p.alias("pos"), F.lit(True).alias("lead"), F.lit(False).alias("more"))).alias("s"))
-    sorted_ = pairs.select("doc_id", _TH, "again", F.when(F.col("again"), F.array_sort("s")).otherwise(F.col("s")).alias("s"))
-    same = lambda x, k: F.coalesce(F.get(F.col("s"), k).fp == x.fp, F.lit(False))
-    marked = F.transform("s", lambda x, i: F.struct(x.fp.alias("fp"), x.pos.alias("pos"), (~same(x, i - 1)).alias("lead"), same(x, i + 1).alias("more")))
-    return sorted_.select("doc_id", _TH, F.when(F.col("again"), marked).otherwise(F.col("s")).alias("s"))
+    rows = docs.filter("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.hash("text").alias(_TH), F.col("text").cast("string"))
+    return rows.mapInArrow(step, _ROWS)
 
 
 def _first(rows: DataFrame, unique: bool) -> DataFrame:
@@ -149,9 +144,8 @@ def anchors(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) -> DataFram
     """doc_id, text hash, a_id, a_th and the anchors (pos, a_pos, in order) of each document against each earlier text or place; written."""
     fps = materialize(fingerprints(docs.select("doc_id", "text"), gram, window))
     unique = fps.groupBy("doc_id").agg((F.min(_TH) != F.max(_TH)).alias("two")).filter("two").isEmpty()
-    rows = fps.select("doc_id", _TH, F.explode("s").alias("s")).select("doc_id", _TH, "s.fp", "s.pos", "s.lead", "s.more")
-    first = materialize(_first(rows, unique))
-    repeated = _maybe(rows.select("doc_id", _TH, "fp", "pos"), F.col("fp"), _marks(first.select(F.col("fp").alias("k")), first.count())).filter("__bq_in").drop("__bq_in")
+    first = materialize(_first(fps, unique))
+    repeated = _maybe(fps.select("doc_id", _TH, "fp", "pos"), F.col("fp"), _marks(first.select(F.col("fp").alias("k")), first.count())).filter("__bq_in").drop("__bq_in")
     later = F.struct("doc_id", _TH, "pos") > F.struct("a_id", "a_th", "a_pos")
     met = repeated.join(first, "fp").filter(later)
     out = materialize(met.groupBy("doc_id", _TH, "a_id", "a_th").agg(F.array_sort(F.collect_set(F.struct("pos", "a_pos"))).alias("at")))
@@ -160,119 +154,68 @@ def anchors(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) -> DataFram
     return out
 
 
-def _before(digits: Column, k: Column) -> Column:
-    """digits up to the cut before line k."""
-    return F.call_function("substring_index", digits, F.lit(DIGIT), k)
-
-
-def _offset(digits: Column, k: Column) -> Column:
-    """Where line k begins."""
-    return F.when(k <= 0, F.lit(0)).otherwise(F.octet_length(_before(digits, k)) + 1)
-
-
-def _sub(b: Column, at: Column, n: Column) -> Column:
-    """n of the bytes b from place ``at`` (from 0)."""
-    return F.substring(b, at + 1, n)
-
-
 def earlier_parts(docs: DataFrame, pairs: DataFrame, gram: int = GRAM) -> DataFrame:
-    """For each document with anchors: the parts of earlier texts around them (digits, number of their first line, anchors)."""
+    """For each document with anchors, __bq_parts: the word hashes of earlier texts around them, the number of the first word, and the anchors."""
     ids = pairs.select(F.col("a_id").alias("k")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("a_id"), F.hash("text").alias("a_th"), F.encode(_plain(F.col("text")), "UTF-8").alias("b"))
-    near = _maybe(texts, F.col("a_id"), _marks(ids, ids.count())).filter("__bq_in")
-    # ruled digits go along only where they differ from the plain ones
-    near = near.select("a_id", "a_th", "b", F.hex("b").alias("a")).select("a_id", "a_th", "b", "a", _lines("a").alias("u"))
-    near = near.select("a_id", "a_th", "b", F.when(_long("u"), _ruled("a", "u")).alias("r"))
-    both = pairs.join(near, ["a_id", "a_th"]).withColumn("r0", F.coalesce("r", F.hex("b")))
+    texts = docs.select(F.col("doc_id").cast("long").alias("a_id"), F.hash("text").alias("a_th"), "text")
+    near = _maybe(texts, F.col("a_id"), _marks(ids, ids.count())).filter("__bq_in").drop("__bq_in")
     low, high = F.array_min(F.transform("at", lambda x: x.a_pos)), F.array_max(F.transform("at", lambda x: x.a_pos))
-    both = both.select("doc_id", _TH, "at", "b", "r", "r0", F.greatest(low - AROUND, F.lit(0)).alias("line"), F.octet_length(_before(F.col("r0"), high + gram + AROUND)).alias("end"))
-    both = both.withColumn("begin", _offset(F.col("r0"), F.col("line")))
-    skip = F.floor(F.col("begin") / 2).cast("int")
-    part = F.struct(
-        F.substring("b", skip + 1, F.ceil(F.col("end") / 2).cast("int") - skip).alias("b"), (F.col("begin") % 2).alias("odd"),
-        F.when(F.col("r").isNotNull(), F.substring("r", F.col("begin") + 1, F.col("end") - F.col("begin"))).alias("r"), "line", "at")
-    return both.select("doc_id", _TH, part.alias("part")).groupBy("doc_id", _TH).agg(F.collect_set("part").alias("__bq_parts"))
-
-
-def _common(x: Column, i: Column, y: Column, j: Column, back: bool = False) -> Column:
-    """How many bytes agree from place i of x and j of y on, or before them."""
-    def agrees(n: Column, p: Column) -> Column:
-        if back:
-            return (i - n - p >= 0) & (j - n - p >= 0) & (_sub(x, i - n - p, p) == _sub(y, j - n - p, p))
-        return (i + n + p <= F.octet_length(x)) & (j + n + p <= F.octet_length(y)) & (_sub(x, i + n, p) == _sub(y, j + n, p))
-
-    return F.aggregate(F.array(*map(F.lit, _POWERS)), F.lit(0), lambda n, p: F.when(agrees(n, p), n + p).otherwise(n))
-
-
-def _matches(part: Column) -> Column:
-    """Maximal matches (from, to; in digits) of the text whose ruled digits are __bq_d and digits __bq_b with one earlier part."""
-    d, b, a = F.col("__bq_d"), F.col("__bq_b"), part["a"]
-
-    def found(x: Column) -> Column:
-        at = F.struct(_offset(d, x.pos).alias("i"), (_offset(part["r"], x.a_pos - part["line"]) + part["odd"]).alias("j"))
-        return _let(at, lambda o: F.struct((o.i - _common(b, o.i, a, o.j, True)).alias("s"), (o.i + _common(b, o.i, a, o.j)).alias("e"), o.i.alias("i")))
-
-    def step(acc: Column, x: Column) -> Column:
-        def grown(m: Column) -> Column:
-            inside = _sub(d.cast("binary"), m.i, m.e - m.i).cast("string")
-            lines = F.octet_length(inside) - F.octet_length(F.replace(inside, F.lit(DIGIT), F.lit("")))
-            return F.struct((x.pos + F.greatest(lines, F.lit(1))).cast("int").alias("end"), F.concat(acc["found"], F.array(F.struct(m.s.alias("s"), m.e.alias("e")))).alias("found"))
-
-        return F.when(x.pos < acc["end"], acc).otherwise(_let(found(x), grown))
-
-    none = F.struct(F.lit(-1).alias("end"), F.array().cast("array<struct<s:int,e:int>>").alias("found"))
-    return F.aggregate(part["at"], none, step, lambda acc: acc["found"])
-
-
-def _whole_words(m: Column) -> Column:
-    """A match in digits as a range of bytes that holds whole words alone."""
-    t = F.col("__bq_t")
-    s, e = F.floor((m.s + 1) / 2).cast("int"), F.floor(m.e / 2).cast("int")
-
-    def trimmed(r: Column) -> Column:
-        inner = _sub(t, r.s, r.e - r.s).cast("string")
-        clean_left = (r.s == 0) | (_sub(t, r.s - 1, F.lit(1)) == F.lit(b" "))
-        clean_right = (r.e == F.octet_length(t)) | (_sub(t, r.e, F.lit(1)) == F.lit(b" "))
-        left = F.when(clean_left, F.lit(0)).otherwise(F.octet_length(F.call_function("substring_index", inner, F.lit(" "), F.lit(1))))
-        right = F.when(clean_right, F.lit(0)).otherwise(F.octet_length(F.call_function("substring_index", inner, F.lit(" "), F.lit(-1))))
-        return F.struct((r.s + left).alias("s"), F.greatest(r.e - right, r.s + left).alias("e"))
-
-    def stripped(r: Column) -> Column:
-        inner = _sub(t, r.s, r.e - r.s).cast("string")
-        begin = r.s + F.octet_length(inner) - F.octet_length(F.ltrim(inner))
-        return F.struct(begin.alias("s"), F.greatest(r.e - F.octet_length(inner) + F.octet_length(F.rtrim(inner)), begin).alias("e"))
-
-    return _let(_let(F.struct(s.alias("s"), e.alias("e")), trimmed), stripped)
-
-
-def _n_words(r: Column) -> Column:
-    inner = _sub(F.col("__bq_t"), r.s, r.e - r.s).cast("string")
-    return F.size(F.array_remove(F.split(F.replace(F.replace(inner, F.lit("\r"), F.lit(" ")), F.lit("\t"), F.lit(" ")), " "), ""))
-
-
-def _joined(ranges: Column) -> Column:
-    """Sorted ranges as runs: those that meet or overlap, or have one space between them, made one."""
-    def step(acc: Column, r: Column) -> Column:
-        last = F.element_at(acc, -1)
-        longer = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last.s.alias("s"), F.greatest(last.e, r.e).alias("e"))))
-        return F.when(F.size(acc) == 0, F.array(r)).when(r.s <= last.e + 1, longer).otherwise(F.concat(acc, F.array(r)))
-
-    return F.aggregate(ranges, F.array().cast("array<struct<s:int,e:int>>"), step)
+    both = pairs.join(near, ["a_id", "a_th"]).select("doc_id", _TH, "text", F.greatest(low - AROUND, F.lit(0)).alias("word"), (high + gram + AROUND).alias("end"), "at")
+
+    @lean
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, h = None, None
+        for whole in batches:
+            for b in text_slices(whole, 2):
+                parts = []
+                for t, a, e in zip(b.column(2), b.column(3).to_pylist(), b.column(4).to_pylist()):
+                    if last is None or not t.equals(last):  # the join has the rows of an earlier text together
+                        last = t
+                        raw, starts, ends, _ = word_places(pa.array([t.as_py()], pa.string()))
+                        h = word_hashes(raw, starts, ends).astype(np.uint32)
+                    parts.append(h[a:e].tobytes())
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(parts, pa.binary()), b.column(3), b.column(5)], names=["doc_id", _TH, "a", "word", "at"])
+
+    parts = both.mapInArrow(cut, f"doc_id bigint, {_TH} int, a binary, word int, at array<struct<pos:int,a_pos:int>>")
+    return parts.groupBy("doc_id", _TH).agg(F.collect_set(F.struct("a", "word", "at")).alias("__bq_parts"))
+
+
+def covered(h: np.ndarray, parts: list[dict], gram: int, piece: int) -> list[tuple[int, int]]:
+    """Maximal matches of ``piece`` words or more with earlier parts, as word ranges."""
+    out: list[tuple[int, int]] = []
+    for part in parts:
+        a, line, end = np.frombuffer(part["a"], np.uint32), part["word"], -1
+        shifts: dict[int, tuple[int, int, np.ndarray]] = {}
+        for x in part["at"]:
+            if x["pos"] + gram <= end:
+                continue
+            shift = x["pos"] - x["a_pos"]
+            if shift not in shifts:
+                lo, hi = max(0, shift + line), min(len(h), shift + line + len(a))
+                shifts[shift] = lo, hi, np.flatnonzero(h[lo:hi] != a[lo - shift - line : hi - shift - line]) + lo
+            lo, hi, other = shifts[shift]
+            k = int(np.searchsorted(other, x["pos"]))
+            s, e = int(other[k - 1]) + 1 if k else lo, int(other[k]) if k < len(other) else hi
+            if e - s >= piece:
+                out.append((s, e))
+                end = max(end, e)
+    return out
 
 
-def _without(runs: Column) -> Column:
-    """The original text's bytes without the runs and the space after each."""
-    t = F.col("__bq_o")
-    stops = F.concat(runs, F.array(F.struct(F.octet_length(t).alias("s"), F.octet_length(t).alias("e"))))
-    kept = F.aggregate(
-        stops, F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("kept")),
-        lambda acc, r: F.struct(F.least(r.e + 1, F.octet_length(t)).cast("int").alias("at"), F.concat(acc["kept"], F.array(_sub(t, acc["at"], r.s - acc["at"]).cast("string"))).alias("kept")),
-        lambda acc: acc["kept"])
-    return F.array_join(kept, "")
+def runs(ranges: list[tuple[int, int]], least: int) -> list[list[int]]:
+    """The union of ranges, without runs of fewer than ``least`` words."""
+    out: list[list[int]] = []
+    for s, e in sorted(ranges):
+        if out and s <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], e)
+        else:
+            out.append([s, e])
+    return [r for r in out if r[1] - r[0] >= least]
 
 
 def dedup(docs: DataFrame, min_words: int = MIN_WORDS, piece: int = PIECE, gram: int = GRAM, window: int = WINDOW) -> DataFrame:
     """docs with the repeated runs deleted from text, and __bq_runs (their number) beside it."""
+    arrow_batches(docs.sparkSession)
     columns = [F.col(f"`{c}`") for c in docs.columns]
     pairs = anchors(docs, gram, window)
     parts = earlier_parts(docs, pairs, gram).withColumnsRenamed({"doc_id": "__bq_id", _TH: "__bq_gth"})
@@ -280,18 +223,33 @@ def dedup(docs: DataFrame, min_words: int = MIN_WORDS, piece: int = PIECE, gram:
     split = _maybe(docs, F.col("doc_id").cast("long"), _marks(ids, ids.count()))
     alone = split.filter(~F.col("__bq_in")).select(*columns, F.lit(0).alias("__bq_runs"))
     own = split.filter("__bq_in").select(*columns)
-    met = own.join(parts, (own["doc_id"].cast("long") == parts["__bq_id"]) & (F.hash(own["text"]) == parts["__bq_gth"]), "left")
-    matched = F.col("__bq_parts").isNotNull()
-    given = met.select(*columns, "__bq_parts", F.when(matched, _digits(F.col("text"))).alias("__bq_b"), F.when(matched, _plain(F.col("text"))).cast("binary").alias("__bq_t"), F.col("text").cast("binary").alias("__bq_o"))
-    given = given.withColumn("__bq_u", _lines("__bq_b")).withColumn("__bq_d", _ruled("__bq_b", "__bq_u")).withColumn("__bq_b", F.col("__bq_b").cast("binary"))
-    parts = F.transform("__bq_parts", lambda p: _let(F.hex(p.b), lambda h: F.struct(h.cast("binary").alias("a"), F.coalesce(p.r, F.substring(h, p.odd + 1, F.octet_length(h))).alias("r"), p.odd.alias("odd"), p.line.alias("line"), p["at"].alias("at"))))
-    found = given.withColumn("__bq_parts", parts).withColumn("__bq_m", F.flatten(F.transform("__bq_parts", _matches)))
-    words = found.withColumn("__bq_m", F.array_sort(F.array_distinct(F.filter(F.transform("__bq_m", _whole_words), lambda r: _n_words(r) >= piece))))
-    runs = words.withColumn("__bq_m", _joined(F.col("__bq_m"))).withColumn("__bq_m", F.filter("__bq_m", lambda r: _n_words(r) >= min_words))
-    n = F.coalesce(F.size("__bq_m"), F.lit(0))
-    cut = runs.withColumn("__bq_runs", n).withColumn("__bq_left", F.when(F.col("__bq_runs") > 0, _without(F.col("__bq_m"))))
-    out = cut.select(*[F.when(F.col("__bq_runs") > 0, F.col("__bq_left")).otherwise(F.col("text")).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns], "__bq_runs")
-    return out.unionByName(alone)
+    met = own.join(parts, (own["doc_id"].cast("long") == parts["__bq_id"]) & (F.hash(own["text"]) == parts["__bq_gth"]), "left").select(*columns, "__bq_parts")
+    text = docs.columns.index("text")
+
+    @lean
+    def delete(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in text_slices(whole, text, 1 << 20):
+                raw, starts, ends, first = word_places(b.column(text))
+                h = word_hashes(raw, starts, ends).astype(np.uint32)
+                old, n, texts = b.column(len(b.columns) - 1), [], b.column(text).to_pylist()
+                for k, (x, y) in enumerate(zip(first.tolist(), first[1:].tolist())):
+                    gone = runs(covered(h[x:y], old[k].as_py(), gram, piece), min_words) if old[k].is_valid else []
+                    n.append(len(gone))
+                    if gone:
+                        t = texts[k].encode("utf-8", "surrogatepass")
+                        edge = np.append(starts[x:y] - starts[x], 0) + (len(t) - len(t.lstrip(b" \t\n\v\f\r")))
+                        edge[-1] = len(t)
+                        cut, kept = 0, []
+                        for s, e in gone:
+                            kept.append(t[cut : edge[s]])
+                            cut = int(edge[e])
+                        texts[k] = b"".join([*kept, t[cut:]]).decode("utf-8", "surrogatepass")
+                cols = [pa.array(texts, pa.string()) if i == text else b.column(i) for i in range(len(b.columns) - 1)]
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(n, pa.int32())], names=[*b.schema.names[:-1], "__bq_runs"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    return met.mapInArrow(delete, f"{schema}, __bq_runs int").unionByName(alone)
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -37,77 +37,40 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bitquarry.llm._common import arrow_batches, materialize, parts, read, space_words
+from bitquarry.llm._common import LOWER, arrow_batches, lean, materialize, mix, parts, read, text_slices, word_hashes, word_places
 from bitquarry.llm._components import components, contract
 
 WIDTH = 4
 NUMERATOR, DENOMINATOR = 85, 100
 N2, K2 = 3, 1
 TILE_SHINGLES = 1_500_000
-CHUNK_WORDS = 400_000
+BUCKET_DOCS = 4_000
 
 _MIX1, _MIX2, _STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
 
-def mix(x: np.ndarray) -> np.ndarray:
-    """A permutation of 64-bit integers that spreads every bit."""
-    x = (x ^ (x >> np.uint64(30))) * _MIX1
-    x = (x ^ (x >> np.uint64(27))) * _MIX2
-    return x ^ (x >> np.uint64(31))
-
-
-@lru_cache(1)
-def _powers(n: int) -> np.ndarray:
-    return np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, np.uint64(0x5851F42D4C957F2D))]))
-
-
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    """A 64-bit hash of each word: a polynomial of its bytes, mixed."""
-    if not words:
-        return np.empty(0, np.uint64)
-    text = np.frombuffer(b" ".join(words), np.uint8).astype(np.uint64)
-    lengths = np.fromiter(map(len, words), np.int64, len(words))
-    starts = np.cumsum(lengths + 1) - lengths - 1
-    # Each byte weighs by its place in its own word; sums stay inside the word
-    top = int(lengths.max())
-    p = _powers(1 << max(6, top.bit_length()))
-    place = np.arange(len(text)) - np.repeat(starts, np.minimum(lengths + 1, len(text) - starts))
-    weighed = (text + np.uint64(1)) * p[place]
-    weighed[starts[1:] - 1] = 0
-    with np.errstate(over="ignore"):
-        return mix(np.add.reduceat(weighed, starts) + lengths.astype(np.uint64) * _STEP)
-
-
-def shingle_sets(texts: list[str | None], width: int = WIDTH) -> Iterator[np.ndarray]:
+def shingle_sets(texts: pa.Array, width: int = WIDTH) -> Iterator[np.ndarray]:
     """For each text, the sorted distinct hashes of its shingles."""
-    k = 0
-    while k < len(texts):
-        words: list[bytes] = []
-        counts: list[int] = []
-        while k < len(texts) and (len(words) < CHUNK_WORDS or not counts):
-            w = space_words(texts[k])
-            counts.append(len(w))
-            words += w
-            k += 1
-        h = word_hashes(words)
+    for part in text_slices(pa.RecordBatch.from_arrays([texts], names=["text"]), 0, 1 << 20):
+        raw, starts, ends, first = word_places(part.column(0), LOWER)
+        h = word_hashes(raw, starts, ends)
         with np.errstate(over="ignore"):
-            rolled = np.zeros(max(0, len(h) - width + 1), np.uint64)
+            n = max(0, len(h) - width + 1)
+            rolled = np.zeros(n, np.uint64)
             for j in range(width):
-                rolled = rolled * _MIX2 + h[j : len(h) - width + 1 + j]
+                rolled = rolled * _MIX2 + h[j : j + n]
             rolled = mix(rolled ^ _STEP)
-            at = 0
-            for n in counts:
-                if n >= width:
-                    s = np.sort(rolled[at : at + n - width + 1])
+            for a, b in zip(first.tolist(), first[1:].tolist()):
+                if b - a >= width:
+                    s = np.sort(rolled[a : b - width + 1])
                     yield s[np.concatenate([[True], s[1:] != s[:-1]])]
-                elif n:
+                elif b > a:
                     whole = np.zeros(1, np.uint64)
-                    for x in h[at : at + n]:
+                    for x in h[a:b]:
                         whole = whole * _MIX1 + x
-                    yield mix(whole ^ np.uint64(n))
+                    yield mix(whole ^ np.uint64(b - a))
                 else:
                     yield np.empty(0, np.uint64)
-                at += n
 
 
 @lru_cache(100_000)
@@ -178,14 +141,15 @@ def _chain(sig: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
 def _signatures(docs: DataFrame, buckets: int, width: int = WIDTH, num: int = NUMERATOR, den: int = DENOMINATOR) -> DataFrame:
     """Per batch and bucket: signatures with their documents; in bucket -1: each document's size and set hash."""
 
+    @lean
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (x for whole in batches for x in text_slices(whole, 1)):
             ids = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             info: list[tuple] = []
             sigs: list[np.ndarray] = []
             owner: list[int] = []
             with np.errstate(over="ignore"):
-                for d, h in zip(ids.tolist(), shingle_sets(b.column(1).to_pylist(), width)):
+                for d, h in zip(ids.tolist(), shingle_sets(b.column(1), width)):
                     m = mix(h + _STEP)
                     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(m)])
                     info.append((d, len(h), int(sums[-1]), int(np.bitwise_xor.reduce(mix(m ^ _MIX1))) if len(h) else 0))
@@ -305,7 +269,7 @@ def _links(table: pa.Table, width: int = WIDTH, num: int = NUMERATOR, den: int =
     """Edges inside one tile."""
     ids = table.column("doc_id").to_pylist()
     blocks = table.column("block").to_pylist()
-    sets = list(shingle_sets(table.column("text").to_pylist(), width))
+    sets = list(shingle_sets(table.column("text").combine_chunks(), width))
     two = len(set(blocks)) > 1
     edges = link_sets(ids, sets, [int(b > min(blocks)) for b in blocks] if two else None, num, den) if len(ids) > 1 else []
     return pa.table([pa.array([a for a, _ in edges], pa.int64()), pa.array([b for _, b in edges], pa.int64())], names=["a", "b"])
@@ -321,7 +285,7 @@ def similar_groups(docs: DataFrame, tile_shingles: int = TILE_SHINGLES, width: i
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     whole = docs.filter("doc_id is not null")
-    buckets = 4 * parts(spark)
+    buckets = max(4 * parts(spark), whole.count() // BUCKET_DOCS)
     met = materialize(_signatures(whole, buckets, width, num, den).groupBy("bucket").applyInArrow(_meet, _OUT))
     info = met.filter("kind = 'info'").select("doc_id", F.col("other").alias("n"), "h1", "h2")
     candidates = components(met.filter("kind = 'edge'").select("doc_id", "other"))

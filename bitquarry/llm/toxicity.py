@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bitquarry.llm._common import alnum_words, arrow_batches, materialize, read
+from bitquarry.llm._common import alnum_words, arrow_batches, lean, materialize, read
 
 SAMPLE = 20_000
 PRIOR = 10
@@ -144,6 +144,7 @@ def score(words: list[bytes], m: Model) -> float:
 def _counted(rows: DataFrame, lexicon: frozenset[bytes] | None) -> DataFrame:
     """word, toxic, clean: without a lexicon the texts that hold the word, else its places."""
 
+    @lean
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             toxic, clean = Counter(), Counter()
@@ -185,6 +186,7 @@ def fit(rows: DataFrame) -> Model:
     m = Model(lexicon, cost=max(0.05, 4 * sum(p * s for p, s in shares)))
     m.lam = _solve_lambda(shares, m.cost)
 
+    @lean
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = [(len(w), [s for s, _, _ in segments([(i, lexicon[x]) for i, x in enumerate(w) if x in lexicon], m.cost)]) for w in map(alnum_words, b.column(0).to_pylist())]
@@ -222,6 +224,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     text = docs.columns.index("text")
 
+    @lean
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
         for b in batches:

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bitquarry.llm._common import arrow_batches, materialize, read
+from bitquarry.llm._common import arrow_batches, lean, materialize, read
 
 #: (action, host, path prefix): a rule fits its host and all subdomains
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
@@ -155,6 +155,7 @@ def verdicts(pages: DataFrame, rules=RULES, blocked: DataFrame | None = None, mo
             levels.setdefault(r.shard, []).append(np.frombuffer(r.bits, np.uint8))
         held = spark.sparkContext.broadcast(levels)
 
+        @lean
         def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 at = {c: i for i, c in enumerate(b.schema.names)}
