@@ -116,6 +116,8 @@ def shared_dir(spark: SparkSession) -> str:
     """A new folder below spark.checkpoint.dir; where that is unset (tests), below a folder of this machine."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="bitquarry-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/bq-{uuid.uuid4().hex}"

@@ -60,16 +60,17 @@ def _local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(r)], names=["u", "v"])
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """node, root (smallest node of its component) for every node of edges (two long columns); loops are left out."""
     a, b = edges.columns
     edges = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u <> v")
     now = materialize(edges.mapInArrow(_local, "u bigint, v bigint"))
     last = None
-    for _ in range(rounds):
+    while True:  # a logarithm of the nodes in rounds
         # large star: neighbours above u get the smallest of u and its neighbours
         both = now.union(now.select("v", "u"))
-        low = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
+        # written, so that the join stands alone and a node with many edges can be split
+        low = materialize(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")))
         now = both.filter("v > u").join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         # small star: u and its neighbours below get the smallest of them
         down = now.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))

@@ -49,6 +49,8 @@ SPREAD = 0.25
 TARGET = 0.95
 RATIO = 2.0
 TRIALS = 200
+#: lists are read past the ratio until they hold so many times what is asked for
+ENOUGH = 2
 BLOCK_ROWS = 4_000
 EVERY = 20
 TOP = 20
@@ -152,11 +154,20 @@ class Index:
             out.append(kept)
         return out
 
-    def probes(self, q: np.ndarray, n: int | None = None) -> np.ndarray:
-        """The lists that a query reads, nearest first. The query has the length of the longest vector, as the points have."""
+    def probes(self, q: np.ndarray, n: int | None = None, sizes: np.ndarray | None = None, top: int = TOP) -> np.ndarray:
+        """The lists that a query reads, nearest first. The query has the length of the longest vector, as the points have. sizes: of each list."""
         length = math.sqrt(float(q @ q))
-        a, d = self.graph.search(np.concatenate([q * (self.longest / length), [0.0]]), min(n or self.reads, len(self.c)))
-        return a[d <= RATIO**2 * d[0]]
+        point = np.concatenate([q * (self.longest / length), [0.0]])
+        a, d = self.graph.search(point, min(n or self.reads, len(self.c)))
+        near = int((d <= RATIO**2 * d[0]).sum())
+        if sizes is None:
+            return a[:near]
+        while True:  # a list or two may hold next to nothing: on down the order until there is enough
+            held = np.cumsum(sizes[a])
+            enough = int(np.searchsorted(held, ENOUGH * (REPLICAS * top + 1))) + 1
+            if enough <= len(a) or len(a) == len(self.c):
+                return a[: max(near, enough)]
+            a, d = self.graph.search(point, min(2 * len(a), len(self.c)))
 
     def tune(self, x: np.ndarray, top: int) -> None:
         """Sets how many lists a query reads, from exact neighbours inside a sample."""
@@ -209,18 +220,18 @@ def _best(q: np.ndarray, x: np.ndarray, qid: np.ndarray, xid: np.ndarray, top: i
     out: list[tuple] = []
     for a in range(0, len(q), 256):
         s = q[a : a + 256] @ x.T
-        for row, i in zip(s, qid[a : a + 256].tolist()):
+        for row, i, v in zip(s, qid[a : a + 256].tolist(), q[a : a + 256]):
             row = np.where(xid == i, -np.inf, row)
             if len(row) > top:
                 edge = np.partition(row, len(row) - top)[len(row) - top]
-                # near ties stay until the exact sums decide
                 at = np.flatnonzero(row >= edge - 1e-9 * max(1.0, abs(edge)))
-                if len(at) > 4 * top:
-                    at = at[np.lexsort((xid[at], -np.round(row[at], 9)))][: 4 * top]
             else:
                 at = np.arange(len(row))
             at = at[np.isfinite(row[at])]
-            out.append((np.full(len(at), i), xid[at], row[at]))
+            # summed the same way for every vector, so equal vectors have equal scores in any block
+            exact = (x[at] * v).sum(1)
+            best = np.lexsort((xid[at], -exact))[:top]
+            out.append((np.full(len(best), i), xid[at][best], exact[best]))
     return tuple(np.concatenate([o[k] for o in out]) for k in range(3)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
 
 
@@ -248,13 +259,17 @@ def search(vectors: DataFrame, every: int = EVERY, top: int = TOP) -> DataFrame:
         for b in batches:
             if not b.num_rows:
                 continue
-            lists = [held.value.probes(q).tolist() for q in _matrix(b.column(1), width)]
+            lists = [held.value.probes(q, None, sized.value, top).tolist() for q in _matrix(b.column(1), width)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(lists, pa.list_(pa.int32()))], names=["vec_id", "v", "lists"])
 
     spec = "vec_id bigint, v array<double>, lists array<int>"
     postings = materialize(good.mapInArrow(place, spec))
     sizes = postings.select(F.explode("lists").alias("list")).groupBy("list").agg(F.count("*").alias("n"))
     blocks = {r.list: max(1, -(-r.n // BLOCK_ROWS)) for r in sizes.collect()}  # MOST_LISTS rows at most
+    rows_of = np.zeros(len(index.c), np.int64)
+    for r in sizes.collect():
+        rows_of[r.list] = r.n
+    sized = spark.sparkContext.broadcast(rows_of)
     count = F.create_map(*[F.lit(x) for kv in sorted(blocks.items()) for x in kv]) if blocks else None
     members = postings.select(F.explode("lists").alias("list"), "vec_id", "v").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.element_at(count, F.col("list"))).cast("int"))
     queries = good.filter(F.col("vec_id") % every == 0).mapInArrow(ask, spec)

@@ -11,7 +11,7 @@ one window as a whole and is found along the suffix links.
 Defined results: null or empty texts have no words and no hit; null items, and
 items without words, have no window; repeated item rows count as one item_id;
 repeated document rows give repeated result rows; empty tables give empty
-results; other columns are carried by ``remove`` untouched.
+results; items with a null item_id have no window; other columns are carried by ``remove`` untouched.
 """
 
 from __future__ import annotations
@@ -164,19 +164,19 @@ def _merge(spans: list[list[int]]) -> list[list[int]]:
 
 
 def blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> Iterator[list[tuple[str, list[bytes]]]]:
-    """The items, streamed to the driver in blocks of bounded size."""
+    """The items, streamed to the driver in blocks of bounded size; one empty block if there are none."""
     block: list[tuple[str, list[bytes]]] = []
-    size = 0
+    size, done = 0, False
     for row in benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").toLocalIterator():
         words = alnum_words(row["text"])
         if not words or row["item_id"] is None:
             continue
         if block and size + len(words) > block_words:
             yield block
-            block, size = [], 0
+            block, size, done = [], 0, True
         block.append((row["item_id"], words))
         size += len(words)
-    if block:
+    if block or not done:
         yield block
 
 
@@ -189,7 +189,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", window: int
     arrow_batches(spark)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     out = docs
-    for block in [*blocks(benchmark, block_words)] or [[]]:
+    for block in blocks(benchmark, block_words):
         held = spark.sparkContext.broadcast(SuffixAutomaton(block, window))
 
         @lean

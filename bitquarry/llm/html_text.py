@@ -4,11 +4,13 @@ The standard library's parser streams events; they are laid out as lines, one
 for each block of running text, with the count of its text and of its tags.
 The text-to-tag ratios are smoothed with a Gaussian, and a threshold (found by
 two-means clustering of the smoothed ratios) tells content from other lines;
-content regions are the runs of lines beyond it. Regions then grow or shrink to
-the page's own structure: what stands in scripts, styles, navigation, headers,
-footers, asides, forms, notices, adverts and comment lists (by element name,
-class, id or role) never counts, and where the page marks an article or a main
-element that holds content lines, that element's lines are the regions.
+content regions grow from the lines beyond it, and a page without such lines has
+no text. Structure excludes and joins: what stands in scripts, styles,
+navigation, headers, footers, asides, forms, notices, adverts and comment lists
+(by element name, class, id or role) never counts, and where article or main
+elements hold a third of the content lines' text or more, these elements are
+the regions; else a region goes from the first content line to the last, with
+the open lines around them.
 
 White space inside a block becomes one space; blocks join in page order by one
 space; character references are decoded by the parser. Nothing else is dropped
@@ -35,8 +37,8 @@ from bitquarry.llm._common import arrow_batches, lean, read
 SIGMA = 1.0
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_SKIP = frozenset("script style template noscript iframe object svg math head title select textarea".split())
-_SIDE = frozenset("nav header footer aside form menu dialog button fieldset figcaption".split())
+_SKIP = frozenset("script style template noscript iframe object svg head title select textarea".split())
+_SIDE = frozenset("nav header footer aside form menu dialog button".split())
 _BLOCK = frozenset("address article aside blockquote body br caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split())
 #: elements that end an open p
 _CLOSES_P = _BLOCK - {"body", "br", "caption", "html", "option", "title", "tbody", "td", "tfoot", "th", "thead", "tr"}
@@ -45,6 +47,8 @@ _SIDE_NAME = re.compile(
     r"(?:^|[-_ ])(?:ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|nav|navbar|navigation|menu|breadcrumbs?|header|masthead|footer|sidebar|aside|widget|related|recommend\w*|share|sharing|social|cookies?|consent|notice|popup|modal|newsletter|subscribe|signup|login|search|comments?|commentlist|disqus|replies|pagination|pager|copyright|skip|toolbar|tags?)(?:$|[-_ ])",
     re.IGNORECASE,
 )
+#: elements of running text: a class names one of them only if it is the word itself, as in "ad" but not "share-price"
+_TEXT = frozenset("p h1 h2 h3 h4 h5 h6 span em strong b i td li dt dd blockquote".split())
 _SIDE_ROLE = frozenset("navigation banner contentinfo complementary search form menu menubar toolbar dialog alert alertdialog".split())
 
 
@@ -70,6 +74,20 @@ class _Lines(HTMLParser):
             self.tags = 0
         self.parts = []
 
+    @staticmethod
+    def _named(tag: str, given: dict[str, str]) -> bool:
+        names = [given.get(k, "") for k in ("class", "id")]
+        if tag in _TEXT:
+            return any(_SIDE_NAME.fullmatch(x) for n in names for x in n.split())
+        return any(map(_SIDE_NAME.search, names))
+
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        """Broken declarations end at the next >, as browsers have it."""
+        try:
+            return super().parse_marked_section(i, report)
+        except AssertionError:
+            return self.rawdata.find(">", i) + 1 or -1
+
     def _pop(self, k: int) -> None:
         self.flush()
         del self.stack[k:]
@@ -97,7 +115,7 @@ class _Lines(HTMLParser):
         _, skipped, side, article = self._state()
         given = {k: v or "" for k, v in attrs}
         if not side and tag not in ("html", "body", "article", "main"):
-            side = tag in _SIDE or given.get("role", "").lower() in _SIDE_ROLE or any(_SIDE_NAME.search(given.get(k, "")) for k in ("class", "id")) or "hidden" in given or given.get("aria-hidden") == "true"
+            side = tag in _SIDE or given.get("role", "").lower() in _SIDE_ROLE or self._named(tag, given) or "hidden" in given or given.get("aria-hidden") == "true"
         if tag in ("article", "main") and not side:
             self.articles += 1
             article = article or self.articles
@@ -149,6 +167,12 @@ def main_blocks(html: str | None) -> list[str]:
     """The content blocks of a page, in page order."""
     if not html:
         return []
+    cut = html.rfind("<!--")
+    if cut >= 0 and "-->" not in html[cut:] and "</script" not in html[cut:].lower():
+        html = html[:cut]  # cut off inside a comment
+    cut = html.rfind("<!")
+    if cut >= 0 and ">" not in html[cut:]:
+        html = html[:cut]  # or a declaration
     parser = _Lines()
     parser.feed(html)
     parser.close()
@@ -159,25 +183,31 @@ def main_blocks(html: str | None) -> list[str]:
     ratios = np.array([0.0 if side else len(text) / max(1, tags) for text, tags, side, _ in lines])
     level = smooth(ratios)
     content = level >= threshold(level)
+    return [line[0] for line, c in zip(lines, regions(lines, content)) if c]
+
+
+def regions(lines: list[list], content: np.ndarray) -> np.ndarray:
+    """The content lines, grown to whole regions. Without content lines there is none."""
     open_ = np.array([not side for _, _, side, _ in lines])
-    content &= open_
-    articles = np.array([a for _, _, _, a in lines])
-    marked = {a for a in articles[content].tolist() if a} or {a for a in articles[open_].tolist() if a}
-    if marked:
-        content = open_ & np.isin(articles, list(marked))
-    elif content.any():
-        # regions: from the first content line to the last between side lines; a heading before joins
-        grown = content.copy()
-        at = np.flatnonzero(content)
-        for x, y in zip(at, at[1:]):
-            if open_[x : y + 1].all():
-                grown[x : y + 1] = True
-        first = at[0]
-        while first > 0 and open_[first - 1] and len(lines[first - 1][0]) < 200:
-            first -= 1
-            grown[first] = True
-        content = grown
-    return [line[0] for line, c in zip(lines, content) if c]
+    content = content & open_
+    if not content.any():
+        return content
+    size = np.array([len(text) for text, _, _, _ in lines])
+    article = np.array([a for _, _, _, a in lines])
+    inside = content & (article > 0)
+    if 3 * size[inside].sum() >= size[content].sum():
+        # marked elements that hold content lines are regions; what else passed the threshold stands beside the article
+        return open_ & np.isin(article, np.unique(article[inside]))
+    grown = content.copy()
+    at = np.flatnonzero(content)
+    for x, y in zip(at, at[1:]):  # what stands between two content lines, side lines apart
+        grown[x : y + 1] |= open_[x : y + 1]
+    for step, k in ((-1, at[0]), (1, at[-1])):  # open lines before the first (headings) and after the last
+        k += step
+        while 0 <= k < len(lines) and open_[k]:
+            grown[k] = True
+            k += step
+    return grown
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -44,7 +44,6 @@ from bitquarry.llm._common import alnum_words, arrow_batches, lean, materialize,
 SAMPLE = 20_000
 PRIOR = 10
 Z_LEAST = 2.5
-LEXICON = 50_000
 E_MOST = 0.01
 
 
@@ -67,26 +66,33 @@ def segments(hits: list[tuple[int, float]], cost: float) -> list[tuple[float, in
     """All maximal scoring segments (score, from, to) where words outside hits cost ``cost`` each; linear in hits.
 
     Ruzzo and Tompa's method: each candidate knows the running sum left of it
-    and at its right end; a new one joins the nearest earlier candidate with a
-    smaller left sum, unless that one's right sum is as great.
+    and at its right end, and the nearest earlier candidate with a smaller left
+    sum; a new one joins that candidate, unless its right sum is as great. When
+    there is none, no later candidate can join any so far.
     """
-    found: list[list] = []  # left sum, right sum, from, to
+    done: list[list] = []
+    found: list[list] = []  # left sum, right sum, from, to, nearest earlier one with a smaller left sum
     total, at = 0.0, 0
     for i, s in hits:
         total -= cost * (i - at)
         at = i + 1
-        cand = [total, total + s, i, i + 1]
+        cand = [total, total + s, i, i + 1, -1]
         total += s
-        while found:
+        while True:
             j = len(found) - 1
             while j >= 0 and found[j][0] >= cand[0]:
-                j -= 1
-            if j < 0 or found[j][1] >= cand[1]:
+                j = found[j][4]
+            if j < 0:
+                done += found
+                found = [cand]
                 break
-            cand = [found[j][0], cand[1], found[j][2], cand[3]]
+            if found[j][1] >= cand[1]:
+                cand[4] = j
+                found.append(cand)
+                break
+            cand = [found[j][0], cand[1], found[j][2], cand[3], -1]
             del found[j:]
-        found.append(cand)
-    return [(r - l, a, b) for l, r, a, b in found]
+    return [(r - l, a, b) for l, r, a, b, _ in done + found]
 
 
 def _solve_lambda(shares: list[tuple[float, float]], cost: float) -> float:
@@ -134,11 +140,12 @@ def _row(bits: float, n: int) -> tuple[float, float, float]:
     return 1.0, math.log1p(bits), math.log1p(n)
 
 
-def score(words: list[bytes], m: Model) -> float:
+def score(words: list[bytes], m: Model) -> tuple[float, list[tuple[float, int, int]]]:
+    """The document's score and its toxic passages."""
     if not m.trained:
-        return 0.0
-    bits, n, _ = features(words, m)
-    return 1 / (1 + math.exp(-max(-30.0, min(30.0, sum(a * b for a, b in zip(m.weights, _row(bits, n)))))))
+        return 0.0, []
+    bits, n, good = features(words, m)
+    return 1 / (1 + math.exp(-max(-30.0, min(30.0, sum(a * b for a, b in zip(m.weights, _row(bits, n))))))), good
 
 
 def _counted(rows: DataFrame, lexicon: frozenset[bytes] | None) -> DataFrame:
@@ -175,7 +182,7 @@ def fit(rows: DataFrame) -> Model:
     a, b = F.col("toxic") + prior, F.col("clean") + prior
     odds = F.log(a / (n1 + pseudo - a)) - F.log(b / (n0 + pseudo - b))
     words = counts.filter((F.col("toxic") >= 3) & (F.length("word") > 0)).select("word", odds.alias("s"), (odds / F.sqrt(1 / a + 1 / b)).alias("z"))
-    best = words.filter((F.col("z") >= Z_LEAST) & (F.col("s") > 0)).orderBy(F.desc("z"), "word").limit(LEXICON).collect()
+    best = words.filter((F.col("z") >= Z_LEAST) & (F.col("s") > 0)).collect()  # as many as the sample has words at most
     lexicon = {bytes(r.word): r.s for r in best}
     if not lexicon:
         return Model()
@@ -230,9 +237,9 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
         for b in batches:
             scores, spans = [], []
             for t in b.column(text).to_pylist():
-                words = alnum_words(t)
-                scores.append(score(words, m))
-                spans.append([[x, y] for _, x, y in features(words, m)[2]] if m.trained else [])
+                found, good = score(alnum_words(t), m)
+                scores.append(found)
+                spans.append([[x, y] for _, x, y in good])
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores, pa.float64()), pa.array(spans, pa.list_(pa.list_(pa.int64())))], names=[*b.schema.names, "__bq_score", "__bq_spans"])
 
     return docs.mapInArrow(step, f"{schema}, __bq_score double, __bq_spans array<array<bigint>>")

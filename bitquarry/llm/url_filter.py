@@ -7,17 +7,20 @@ universe up stops at the first level that doesn't hold it, and the level's
 number says, without error, whether the key is listed. The universe is every
 key of the corpus, so every row's answer is exact and needs no join.
 
-A key is the url's host and what of its path rules can depend on (``depth``
-segments). The listed keys are those that the rules block, and those in
-``blocked`` that no rule fits; keys that no rule fits and that are in no list
-are allowed.
+A key is a host. Listed are the hosts of which a rule blocks some page of the
+corpus, and those in ``blocked``. A url that a rule fits gets that rule's
+verdict; any other is blocked if its host is listed, which the cascade says.
+
+Keys are hashed to 64 bits. Hashes that a listed and another host share are
+found when the universe is built, and their rows are answered by the host
+itself.
 
 The keys are dealt to shards by hash, so that a shard's levels stay within
 ``shard_keys`` keys. Filters up to ``most_bytes`` in all are broadcast; beyond
 it rows are dealt to the shards, each of which reads its own levels.
 
 Defined results: a null url, or one without ``://``, has an empty host and
-path, no rule, and is allowed; repeated rows give equal rows; an empty table
+path, no rule, and is allowed (the empty host is never listed); repeated rows give equal rows; an empty table
 gives an empty result; other columns are kept by ``verdicts`` untouched.
 """
 
@@ -40,6 +43,7 @@ BITS_PER_KEY = 10.0
 MOST_BYTES = 64 << 20
 SHARD_KEYS = 2_000_000
 _HASHES = 5
+MOST_SHARED = 1_000
 
 
 def host(url: Column) -> Column:
@@ -112,11 +116,6 @@ def listed_by(levels: list[np.ndarray], keys: np.ndarray) -> np.ndarray:
     return depth % 2 == 1
 
 
-def _key(h: Column, p: Column, depth: int) -> Column:
-    """The host and the first segments of the path, with the slash that ends them."""
-    return F.concat(h, F.lit("\n"), F.regexp_extract(p, f"^((?:/[^/]*){{0,{depth}}}/?)", 1))
-
-
 def build(keys: DataFrame, shards: int) -> DataFrame:
     """keys (key long, shard int, listed boolean; distinct) to shard, level, bits."""
 
@@ -130,20 +129,26 @@ def build(keys: DataFrame, shards: int) -> DataFrame:
 
 
 def verdicts(pages: DataFrame, rules=RULES, blocked: DataFrame | None = None, most_bytes: int = MOST_BYTES, shard_keys: int = SHARD_KEYS) -> DataFrame:
-    """pages with __bq_host, __bq_path, __bq_rule and __bq_verdict. blocked: a table of hosts (column host) to block where no rule fits."""
+    """pages with __bq_host, __bq_path, __bq_rule and __bq_verdict. blocked: a table of more listed hosts (column host)."""
     spark = pages.sparkSession
     arrow_batches(spark, 10_000)
-    depth = max((r[2].rstrip("/").count("/") for r in rules), default=0)
     hosted = pages.withColumns({"__bq_host": host(F.col("url")), "__bq_path": path(F.col("url"))})
     name, action = rule(F.col("__bq_host"), F.col("__bq_path"), rules)
-    hosted = hosted.withColumns({"__bq_rule": name, "__bq_key": F.xxhash64(_key(F.col("__bq_host"), F.col("__bq_path"), depth))})
-    universe = hosted.groupBy("__bq_key").agg(F.first("__bq_host").alias("host"), F.max(F.coalesce(action == "block", F.lit(False))).alias("listed"), F.max(name.isNotNull()).alias("ruled"))
+    hosted = hosted.withColumns({"__bq_rule": name, "__bq_action": action, "__bq_key": F.xxhash64("__bq_host")})
+    hosts = hosted.groupBy("__bq_host").agg(F.max((F.col("__bq_action") == "block") & (F.col("__bq_host") != "")).alias("listed")).select(F.col("__bq_host").alias("host"), F.coalesce("listed", F.lit(False)).alias("listed"))
     if blocked is not None:
-        universe = universe.join(blocked.select("host").distinct().withColumn("b", F.lit(True)), "host", "left").withColumn("listed", F.when(F.col("ruled"), F.col("listed")).otherwise(F.coalesce("b", F.lit(False))))
+        hosts = hosts.join(blocked.filter("host <> ''").select("host").distinct().withColumn("b", F.lit(True)), "host", "left").select("host", (F.col("listed") | F.coalesce("b", F.lit(False))).alias("listed"))
+    universe = materialize(hosts.select("host", "listed", F.xxhash64("host").alias("key")))
     n = universe.count()
     shards = max(1, -(-n // shard_keys))
-    shard = F.pmod(F.xxhash64(F.col("__bq_key"), F.lit(1)), F.lit(shards)).cast("int")
-    filters = materialize(build(universe.select(F.col("__bq_key").alias("key"), shard.alias("shard"), "listed"), shards))
+    keys = universe.groupBy("key").agg(F.max("listed").alias("listed"), (F.max("listed") != F.min("listed")).alias("shared"))
+    # hosts of shared hashes: about n * n / 2**65 of them, so next to none
+    apart = [r.host for r in universe.join(keys.filter("shared"), "key").filter(~universe["listed"]).select("host").limit(MOST_SHARED + 1).collect()]
+    if len(apart) > MOST_SHARED:
+        raise RuntimeError("too many hosts share a 64-bit hash")
+    shard_of = lambda key: F.pmod(F.xxhash64(key, F.lit(1)), F.lit(shards)).cast("int")
+    shard = shard_of(F.col("__bq_key"))
+    filters = materialize(build(keys.select("key", shard_of(F.col("key")).alias("shard"), "listed"), shards))
     size = filters.agg(F.sum(F.length("bits"))).first()[0] or 0
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in hosted.schema.fields)
     spec = f"{fields}, __bq_shard int, __bq_listed boolean"
@@ -177,7 +182,8 @@ def verdicts(pages: DataFrame, rules=RULES, blocked: DataFrame | None = None, mo
         left = filters.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
         right = dealt.withColumn("__bq_salt", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in ("__bq_host", "__bq_path", "url")]), F.lit(salts)).cast("int"))
         answered = left.groupBy("shard", "salt").cogroup(right.groupBy("__bq_shard", "__bq_salt")).applyInPandas(meet, spec)
-    return answered.withColumn("__bq_verdict", F.when(F.col("__bq_listed"), "block").otherwise("allow")).drop("__bq_key", "__bq_shard", "__bq_listed")
+    listed = F.col("__bq_listed") & ~F.col("__bq_host").isin(apart) if apart else F.col("__bq_listed")
+    return answered.withColumn("__bq_verdict", F.coalesce("__bq_action", F.when(listed, "block").otherwise("allow"))).drop("__bq_key", "__bq_shard", "__bq_listed", "__bq_action")
 
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -193,6 +199,7 @@ h AS (SELECT page_id,
 rules AS (SELECT * FROM (VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')) AS t(action, rh, rp)),
 f AS (SELECT page_id, rh || rp AS rule, action, row_number() OVER (PARTITION BY page_id ORDER BY length(rh || rp) DESC) AS k
       FROM (SELECT DISTINCT page_id, host, path FROM h) JOIN rules ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp))
-SELECT h.page_id, h.host, h.path, f.rule, coalesce(f.action, 'allow') AS verdict
+SELECT h.page_id, h.host, h.path, f.rule,
+       coalesce(f.action, CASE WHEN h.host IN (SELECT b.host FROM h b JOIN f g ON b.page_id = g.page_id AND g.k = 1 AND g.action = 'block' AND b.host <> '') THEN 'block' ELSE 'allow' END) AS verdict
 FROM h LEFT JOIN f ON h.page_id = f.page_id AND f.k = 1
 """

@@ -28,6 +28,33 @@ def test_broken_and_empty_pages(spark):
     assert extract(df.limit(0)).count() == 0
 
 
+def test_broken_declarations_and_comments_do_not_stop_a_page():
+    for bad in ("<![foo[bar]]>", "<![ x>", "<![%x>", "<![if !IE]>"):
+        assert " ".join(main_blocks(f"<article><p>before {bad}after</p></article>")).startswith("before")
+    assert main_blocks("<article><p>before</p><![%x") == ["before"]
+    assert main_blocks("<article><p>text of it</p></article><!-- cut off <p>never</p>") == ["text of it"]
+
+
+def test_the_threshold_decides():
+    import bitquarry.llm.html_text as h
+
+    long_ = "<p>" + "words of a long text beside it " * 30 + "</p>"
+    page = f"<article><p>short</p></article><div>{long_}{long_}</div><div>x</div><div><a>y</a> <a>z</a></div>"
+    assert " ".join(main_blocks(page)).count("long text") == 60
+    before = h.threshold
+    try:
+        h.threshold = lambda x: float(x.max()) + 1
+        assert main_blocks(page) == []
+    finally:
+        h.threshold = before
+
+
+def test_text_elements_keep_their_text():
+    page = "<article><p class='share-price'>prices rose</p><figure><figcaption>a caption</figcaption></figure><p>" + "text " * 60 + "</p><p class='ad'>buy</p><div class='share-buttons'>share</div></article>"
+    got = " ".join(main_blocks(page))
+    assert got.startswith("prices rose a caption text") and "buy" not in got and not got.endswith("share")
+
+
 def test_cascade_is_exact():
     rng = np.random.default_rng(3)
     for n, m in ((0, 10), (10, 0), (1000, 5000), (5000, 300)):
@@ -56,11 +83,16 @@ URLS = [None, "", "no scheme", "http://", "http://Example.com", "http://example.
 
 def test_verdicts(spark):
     df = spark.createDataFrame([(i, u, "z") for i, u in enumerate(URLS + URLS[:3])], "page_id long, url string, host string")
-    want = {i: python_verdict(u) for i, u in enumerate(URLS + URLS[:3])}
+    plain = {i: python_verdict(u) for i, u in enumerate(URLS + URLS[:3])}
+    listed = {h for h, _, _, v in plain.values() if v == "block"}  # hosts of which a rule blocks a page
+    want = {i: (h, p, r, v if r else "block" if h in listed else "allow") for i, (h, p, r, v) in plain.items()}
+    assert sum(want[i] != plain[i] for i in plain) == 4
     for most in (1 << 26, 0):
         got = {r.page_id: (r["__bq_host"], r["__bq_path"], r["__bq_rule"], r["__bq_verdict"]) for r in verdicts(df, most_bytes=most, shard_keys=5).collect()}
         assert got == want
     blocked = spark.createDataFrame([("e.org",), ("example.com",)], "host string")
     got = {r.page_id: r["__bq_verdict"] for r in verdicts(df, blocked=blocked).collect()}
-    assert got[16] == "block" and got[9] == "allow"
+    assert got[16] == "block" and got[9] == "allow" and got[4] == "block"
+    got = {r.page_id: r["__bq_verdict"] for r in verdicts(df.filter("page_id in (9, 13, 16)")).collect()}
+    assert set(got.values()) == {"allow"}
     assert verdicts(df.limit(0)).count() == 0

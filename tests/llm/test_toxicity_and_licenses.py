@@ -30,6 +30,15 @@ def test_segments_match_the_definition():
         assert got == brute_segments(hits, 0.71, n)
 
 
+def test_segments_are_linear():
+    import time
+
+    for hits in ([(3 * i, 1.0) for i in range(100_000)], [(i, 1.0) for i in range(100_000)], [(2 * i, 1.0 + 0.5 * (i % 3)) for i in range(100_000)]):
+        began = time.process_time()
+        segments(hits, 1.5)
+        assert time.process_time() - began < 5
+
+
 def test_learns_and_scores(spark):
     rng = random.Random(2)
     bad = ["vile", "rot", "scorn"]
@@ -94,3 +103,25 @@ def test_license_labels_of_files_with_several_licenses(spark):
     assert got[1].labels == "all-rights-reserved,apache,apache-2.0,cc-by-nc-4.0,gpl,gpl-3.0"
     assert got[2].labels == ",".join(sorted({x for _, x, _ in TEMPLATES} | {"apache", "gpl", "mit"})) and got[2].score == 1.0
     assert got[3].labels == "apache,apache-2.0,mpl-2.0"
+
+
+def test_license_labels_and_scores_match_brute_force(spark):
+    from bitquarry.llm.licenses import BASE, TEMPLATES
+
+    rng = random.Random(5)
+    parts = [" ".join(t.split()[a:b]) for t, _, ks in TEMPLATES for a, b in ((0, None), (1, None), (0, -1))] + [k for _, _, ks in TEMPLATES for k in ks] + ["license", "public", "x y", "4 0", "Version 2"]
+    texts = [". ".join(rng.choice(parts) for _ in range(rng.randint(1, 9))) for _ in range(300)]
+    got = {r.doc_id: r for r in scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, t in enumerate(texts):
+        w = re.findall(r"[a-z0-9]+", t.lower())
+        at = lambda ps: [k for k in range(len(w)) if w[k : k + len(ps)] == ps]
+        labels = {label for p, label in BASE if at(p.split())}
+        score = 0.5 if labels else 0.0
+        for text, label, (key,) in TEMPLATES:
+            ts, ks = text.split(), key.split()
+            off = next(k for k in range(len(ts)) if ts[k : k + len(ks)] == ks)
+            for p in at(ks):
+                labels.add(label)
+                score = max(score, sum(0 <= p - off + k < len(w) and w[p - off + k] == x for k, x in enumerate(ts)) / len(ts))
+        assert got[i].labels == ",".join(sorted(labels)), t
+        assert abs(got[i].score - score) < 1e-9, t
