@@ -91,19 +91,30 @@ def windows(n: int, num: int = NUMERATOR, den: int = DENOMINATOR) -> tuple[tuple
 
 
 @lru_cache(10_000)
-def _shape(k: int) -> tuple[int, int, int, int]:
-    """n1, n2, k2 and how many ranges without an empty signature make a set regular."""
+def _shape(k: int, low: int) -> tuple[int, int, int, int]:
+    """n1, n2, k2 and how many ranges without an empty signature make a set regular, for sets of ``low`` shingles or more.
+
+    ``need`` ranges are enough for one with at most k2 differences. There are
+    as many more as ranges with an empty signature are to be expected (and 2.5
+    deviations), so that nearly all sets are regular; very small sets can't be.
+    """
     if k == 0:
         return 1, 1, 0, 1
     need = k // (K2 + 1) + 1
-    return need + (need // 40), N2, K2, need
+
+    def short(more: int) -> float:
+        bare = min(1.0, math.comb(N2, K2) * math.exp(-(N2 - K2) * low / ((need + more) * N2))) * (need + more)
+        return bare + 2.5 * math.sqrt(bare) - more
+
+    more = min(range(need + 1), key=lambda e: (max(0.0, short(e)), e))
+    return need + more, N2, K2, need
 
 
 def _sign(h: np.ndarray, sums: np.ndarray, num: int = NUMERATOR, den: int = DENOMINATOR) -> list[np.ndarray]:
     """Signatures of a set: sorted hashes h; sums: running sums of mixed hashes, with a 0 before."""
     out = []
     for window, k in windows(len(h), num, den):
-        n1, n2, k2, need = _shape(k)
+        n1, n2, k2, need = _shape(k, math.ceil((den / num) ** window - 1e-9))
         m = n1 * n2
         edges = np.searchsorted(h >> np.uint64(11), (np.arange(1, m, dtype=np.float64) * (2.0**53 / m)).astype(np.uint64))
         edges = np.concatenate([[0], edges, [len(h)]])
