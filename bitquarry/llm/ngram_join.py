@@ -13,8 +13,14 @@ they are left out wherever enough other ranges are left for the count
 
 Signatures are packed per bucket and met there; inside a batch, and then in a
 bucket, a signature that several documents share gives a chain of edges, never
-pairs. Components of these edges hold all candidates. Inside them, one
-document of each distinct set is compared exactly (``den * intersection >=
+pairs. Components of these edges hold all candidates. Where many texts share a
+passage, signatures of few shingles chain them into a component that is far
+larger than any group of similar sets. A component beyond ``tile_shingles`` is
+therefore taken apart first: of each set the rarest shingles count as
+signatures, as many as a similar set must share one of (all but the similarity's
+share of it, and one). Rarity is by a table of hashed counts over these
+documents; any order gives the same links. Inside components, one document of
+each distinct set is compared exactly (``den * intersection >=
 num * union`` on the sets); a component beyond ``tile_shingles`` is cut into
 blocks and each two blocks meet in a task of their own, so no task holds an
 unbounded group. Links between tiles are joined by connected components.
@@ -34,6 +40,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,6 +52,8 @@ NUMERATOR, DENOMINATOR = 85, 100
 N2, K2 = 3, 1
 TILE_SHINGLES = 1_500_000
 BUCKET_DOCS = 4_000
+#: bins of the table of counts (broadcast, 8 MB whatever the input)
+BINS = 1 << 21
 
 _MIX1, _MIX2, _STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
@@ -149,8 +158,31 @@ def _chain(sig: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return d[:-1][same], d[1:][same], order[np.concatenate([[True], ~same])] if len(s) else order
 
 
-def _signatures(docs: DataFrame, buckets: int, width: int = WIDTH, num: int = NUMERATOR, den: int = DENOMINATOR) -> DataFrame:
-    """Per batch and bucket: signatures with their documents; in bucket -1: each document's size and set hash."""
+def hashed_counts(docs: DataFrame, width: int = WIDTH) -> np.ndarray:
+    """How many sets of docs hold a shingle of each bin."""
+    chunk = 1 << 14
+
+    @lean
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(BINS, np.uint32)
+        for b in batches:
+            for h in shingle_sets(b.column(1), width):
+                np.add.at(total, (h % np.uint64(BINS)).astype(np.int64), 1)
+        if total.any():
+            yield pa.RecordBatch.from_arrays([pa.array(range(BINS // chunk), pa.int32()), pa.array([total[k : k + chunk].tobytes() for k in range(0, BINS, chunk)], pa.binary())], names=["chunk", "n"])
+
+    def add(table: pa.Table) -> pa.Table:
+        n = sum((np.frombuffer(x, np.uint32).astype(np.uint64) for x in table.column("n").to_pylist()), np.zeros(chunk, np.uint64))
+        return pa.table([table.column("chunk").slice(0, 1), pa.array([np.minimum(n, 2**32 - 1).astype(np.uint32).tobytes()], pa.binary())], names=["chunk", "n"])
+
+    out = np.zeros(BINS, np.uint32)
+    for r in docs.select("doc_id", "text").mapInArrow(count, "chunk int, n binary").groupBy("chunk").applyInArrow(add, "chunk int, n binary").collect():
+        out[r["chunk"] * chunk : (r["chunk"] + 1) * chunk] = np.frombuffer(r["n"], np.uint32)
+    return out
+
+
+def _signatures(docs: DataFrame, buckets: int, width: int = WIDTH, num: int = NUMERATOR, den: int = DENOMINATOR, counts: Broadcast | None = None) -> DataFrame:
+    """Per batch and bucket: signatures with their documents, and each document's size and set hash. counts: by rarest shingles."""
 
     @lean
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,7 +197,12 @@ def _signatures(docs: DataFrame, buckets: int, width: int = WIDTH, num: int = NU
                     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(m)])
                     info.append((d, len(h), int(sums[-1]), int(np.bitwise_xor.reduce(mix(m ^ _MIX1))) if len(h) else 0))
                     if len(h):
-                        for s in _sign(h, sums, num, den):
+                        if counts is None:
+                            found = _sign(h, sums, num, den)
+                        else:
+                            often = counts.value[(h % np.uint64(BINS)).astype(np.int64)]
+                            found = [mix(h[np.lexsort((h, often))[: len(h) + num * len(h) // -den + 1]])]
+                        for s in found:
                             sigs.append(s)
                             owner.append(d)
                 rows = [_packed(int(mix(ids[:1].astype(np.uint64))[0] % np.uint64(buckets)), "info", np.array([x[0] for x in info], np.int64), np.array([x[1] for x in info], np.int64), np.array([x[2:] for x in info], np.uint64))]
@@ -306,6 +343,17 @@ def similar_groups(docs: DataFrame, tile_shingles: int = TILE_SHINGLES, width: i
     copies = members.join(first.filter("copies > 1").select("root", "n", "h1", "h2", F.col("doc_id").alias("rep")), ["root", "n", "h1", "h2"]).select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
     shape = first.groupBy("root").agg(F.sum("n").alias("total"), F.count("*").alias("sets")).filter("sets > 1")
     sized = first.join(shape, "root").withColumn("blocks", F.ceil(F.col("total") / tile_shingles).cast("int"))
+    sized = sized.select("root", "doc_id", "n", "h1", "h2", "blocks")
+    large = sized.filter("blocks > 1")
+    if not large.isEmpty():
+        some = materialize(whole.join(large.select("doc_id"), "doc_id", "left_semi"))
+        counts = spark.sparkContext.broadcast(hashed_counts(some, width))
+        near = materialize(_signatures(some, buckets, width, num, den, counts).groupBy("bucket").applyInArrow(_meet, _OUT))
+        finer = components(near.filter("kind = 'edge'").select("doc_id", "other")).withColumnsRenamed({"node": "doc_id"})
+        apart = large.drop("root", "blocks").join(finer, "doc_id")
+        shape = apart.groupBy("root").agg(F.sum("n").alias("total"), F.count("*").alias("sets")).filter("sets > 1")
+        again = apart.join(shape, "root").withColumn("blocks", F.ceil(F.col("total") / tile_shingles).cast("int"))
+        sized = materialize(sized.filter("blocks = 1").unionByName(again.select(*sized.columns)))
     placed = sized.withColumn("block", F.pmod(F.xxhash64("h1", "h2"), F.col("blocks")).cast("int"))
     tiles = placed.select("root", "doc_id", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select("root", "doc_id", "block", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"))
     # texts are dealt by doc_id at every size: candidates grow with the documents, so they are never broadcast
