@@ -217,12 +217,13 @@ def cooccurring_key_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mining.cooccurring_pairs(R.mixed(spark, sf_dir)).select("key_a", "key_b", F.col("both").alias("both_records"))
 
 
-@query(f"WITH cells AS ({D.MIXED}), {D.PAIRS} SELECT key_a, key_b, shared, values_a, values_b FROM shv")
-def value_sharing_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mining.value_sharing_pairs(R.mixed(spark, sf_dir))
+_SYN = "SELECT rec_id, CASE WHEN key = 'nation' AND rec_id % 2 = 0 THEN 'country' ELSE key END AS key, value FROM ({})"
+_SYN2 = "SELECT rec_id, CASE WHEN key = 'region' AND rec_id % 2 = 0 THEN 'area' ELSE key END AS key, value FROM ({})"
 
 
-_SYN = "SELECT rec_id, CASE WHEN key = 'nation' AND rec_id % 2 = 0 THEN 'country' ELSE key END AS key, value FROM ({})"
+@query(f"WITH cells AS ({_SYN2.format(_SYN.format(D.CUSTOMER))}), {D.PAIRS} SELECT key_a, key_b, shared, values_a, values_b FROM shv")
+def value_sharing_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mining.value_sharing_pairs(_more_synonym_cells(spark, sf_dir))
 
 
 def _synonym_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -230,6 +231,11 @@ def _synonym_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.customer(spark, sf_dir).withColumn("key", F.when((F.col("key") == "nation") & (F.col("rec_id") % 2 == 0), "country").otherwise(F.col("key")))
 
 
+def _more_synonym_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, with the region of every second customer under another key too."""
+    return _synonym_cells(spark, sf_dir).withColumn("key", F.when((F.col("key") == "region") & (F.col("rec_id") % 2 == 0), "area").otherwise(F.col("key")))
+
+
 @query(f"WITH cells AS ({_SYN.format(D.CUSTOMER)}), {D.PAIRS} SELECT s.key_a, s.key_b, shared, x.n AS n_a, y.n AS n_b FROM shv s JOIN kn x ON x.key = key_a JOIN kn y ON y.key = key_b WHERE NOT EXISTS (SELECT 1 FROM pr WHERE pr.key_a = s.key_a AND pr.key_b = s.key_b) AND x.n + y.n >= 7")
 def candidate_key_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mining.merge_candidates(_synonym_cells(spark, sf_dir)).select("key_a", "key_b", "shared", "n_a", "n_b")
@@ -279,9 +285,9 @@ def key_siblings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mining.siblings(cells, mining.implications(cells))
 
 
-@query(f"WITH cells AS ({_SYN.format(D.CUSTOMER)}), {D.PAIRS} SELECT s.key_a, s.key_b, round(shared / (values_a + values_b - shared), 6) AS jaccard FROM shv s JOIN kn x ON x.key = key_a JOIN kn y ON y.key = key_b WHERE shared / (values_a + values_b - shared) >= 0.9 AND x.n >= 20 AND y.n >= 20 AND NOT EXISTS (SELECT 1 FROM pr WHERE pr.key_a = s.key_a AND pr.key_b = s.key_b)")
+@query(f"WITH cells AS ({_SYN2.format(_SYN.format(D.CUSTOMER))}), {D.PAIRS} SELECT s.key_a, s.key_b, round(shared / (values_a + values_b - shared), 6) AS jaccard FROM shv s JOIN kn x ON x.key = key_a JOIN kn y ON y.key = key_b WHERE shared / (values_a + values_b - shared) >= 0.9 AND x.n >= 20 AND y.n >= 20 AND NOT EXISTS (SELECT 1 FROM pr WHERE pr.key_a = s.key_a AND pr.key_b = s.key_b)")
 def key_synonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mining.synonyms(_synonym_cells(spark, sf_dir)).select("key_a", "key_b", r6("jaccard").alias("jaccard"))
+    return mining.synonyms(_more_synonym_cells(spark, sf_dir)).select("key_a", "key_b", r6("jaccard").alias("jaccard"))
 
 
 @query(f"""WITH cells AS ({D.CUSTOMER}), jt AS (SELECT a.key AS a, b.key AS b, a.value AS va, b.value AS vb, count(*) AS c FROM cells a JOIN cells b ON a.rec_id = b.rec_id AND a.key <> b.key GROUP BY 1, 2, 3, 4),
@@ -344,11 +350,11 @@ def char_ngram_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mining.ngram_cosine(R.table(spark, sf_dir, "nation"), "n_name", least=0.1).select("name_a", "name_b", r6("cosine").alias("cosine"))
 
 
-@query("""WITH n AS (SELECT DISTINCT p_type AS name FROM part), t AS (SELECT name, list_distinct(list_filter(regexp_split_to_array(lower(name), '[^a-z0-9]+'), lambda x: length(x) >= 2)) AS ts FROM n), e AS (SELECT name, len(ts) AS n, unnest(ts) AS t FROM t),
+@query("""WITH n AS (SELECT DISTINCT p_name AS name FROM part), t AS (SELECT name, list_distinct(list_filter(regexp_split_to_array(lower(name), '[^a-z0-9]+'), lambda x: length(x) >= 2)) AS ts FROM n), e AS (SELECT name, len(ts) AS n, unnest(ts) AS t FROM t),
 b AS (SELECT a.name AS name_a, b.name AS name_b, a.n AS na, b.n AS nb, count(*) AS both_n FROM e a JOIN e b ON a.t = b.t AND a.name < b.name GROUP BY 1, 2, 3, 4)
 SELECT name_a, name_b, round(both_n / (na + nb - both_n), 6) AS jaccard FROM b WHERE both_n / (na + nb - both_n) >= 0.3""")
 def token_jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mining.token_jaccard(R.table(spark, sf_dir, "part"), "p_type").select("name_a", "name_b", r6("jaccard").alias("jaccard"))
+    return mining.token_jaccard(R.table(spark, sf_dir, "part"), "p_name").select("name_a", "name_b", r6("jaccard").alias("jaccard"))
 
 
 @query("SELECT a.n_name AS name_a, b.n_name AS name_b, round(1 - levenshtein(a.n_name, b.n_name) / greatest(length(a.n_name), length(b.n_name)), 6) AS similarity FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_name < b.n_name")
