@@ -61,10 +61,10 @@ def majority(df: DataFrame, truth: str = "truth", label: str = "label") -> DataF
 
 
 def largest_group_labels(membership: DataFrame, records: DataFrame, rule: str = "largest") -> DataFrame:
-    """rec_id, label of a cover: the record's largest (or smallest) group, the lowest id of equals; -1 without any."""
-    size = membership.groupBy("group").agg(F.count("*").alias("t"))
-    t = F.col("t") if rule == "smallest" else -F.col("t")
-    one = membership.join(size, "group").groupBy("rec_id").agg(F.min_by("group", F.struct(t, "group")).alias("label"))
+    """rec_id, label of a cover: the record's largest (or smallest, or earliest by first record) group, the lowest id of equals; -1 without any."""
+    size = membership.groupBy("group").agg(F.count("*").alias("t"), F.min("rec_id").alias("birth"))
+    first = {"largest": -F.col("t"), "smallest": F.col("t"), "earliest": F.col("birth")}[rule]
+    one = membership.join(size, "group").groupBy("rec_id").agg(F.min_by("group", F.struct(first, "group")).alias("label"))
     return records.select("rec_id").join(one, "rec_id", "left").select("rec_id", F.coalesce("label", F.lit(-1)).alias("label"))
 
 

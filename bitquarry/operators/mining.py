@@ -52,7 +52,7 @@ def spelling_bits(cells: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def merge_deltas(cells: DataFrame, least: int = 7) -> DataFrame:
-    """Each candidate pair's change of the background's description if the keys become one: values, presence, spelling and naming."""
+    """Each candidate pair's spelling_bits, and the change (delta) of the background's description if the keys become one: values, presence, spelling and naming."""
     pairs = merge_candidates(cells, least)
     total = cells.agg(F.count_distinct("rec_id").alias("records"), F.count_distinct("key").alias("keys"))
     met = cooccurring_pairs(cells).agg(F.count("*").alias("met"))
@@ -68,7 +68,7 @@ def merge_deltas(cells: DataFrame, least: int = 7) -> DataFrame:
     rows = rows.join(spelling_bits(cells, pairs), ["key_a", "key_b"]).crossJoin(F.broadcast(total.crossJoin(met)))  # one row
     presence = B.column_bits("mn", "records") - B.column_bits("n_a", "records") - B.column_bits("n_b", "records")
     values = cost("mn", "mu", "ms") - cost("n_a", "u_a", "s_a") - cost("n_b", "u_b", "s_b")
-    return rows.select("key_a", "key_b", (values + presence + F.col("spelling_bits") + B.merge_naming_charge("keys", "met")).alias("delta"))
+    return rows.select("key_a", "key_b", "spelling_bits", (values + presence + F.col("spelling_bits") + B.merge_naming_charge("keys", "met")).alias("delta"))
 
 
 def implications(cells: DataFrame, confidence: float = 0.95, least: int = 20, strict: bool = True) -> DataFrame:

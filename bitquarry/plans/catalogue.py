@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from bitquarry.functions import bits as B
 from bitquarry.functions import text as T
-from bitquarry.operators import accounts, baselines, blocks, engine, metrics, mining, objective, prequential
+from bitquarry.operators import accounts, baselines, blocks, engine, evidence, metrics, mining, objective, prequential
 from bitquarry.plans import duck as D
 from bitquarry.sources import generators as G
 from bitquarry.sources import records as R
@@ -119,19 +119,53 @@ _SEEDED = f"""WITH cells AS ({D.ORDERS}), {D.PRIOR},
 per AS (SELECT rec_id, count(*) AS size, sum({D.blockcost('c', 'n', 'u', D.naming('u'))}) AS gain, sum({D.naming('u')}) AS own FROM q GROUP BY rec_id),
 born AS (SELECT first AS rec_id, count(*) AS born FROM (SELECT key, min(rec_id) AS first FROM cells GROUP BY key) GROUP BY 1),
 w AS (SELECT per.*, row_number() OVER (ORDER BY per.rec_id) AS n, sum(coalesce(born, 0)) OVER (ORDER BY per.rec_id) AS a FROM per LEFT JOIN born USING (rec_id)),
-m AS (SELECT rec_id, {D.price('1.0', 'size', 'n', '0.0', '0.0', 'a')} AS price, gain - own AS gain FROM w)
-SELECT count(*) AS records, CAST(count(*) FILTER (WHERE gain > price) AS BIGINT) AS minted, round(avg(gain - price), 6) AS margin, round(max(gain - price), 6) AS best FROM m"""
+m AS (SELECT rec_id, {D.price('1.0', 'size', 'n', '0.0', '0.0', 'a')} AS price, gain - own AS gain FROM w)"""
 
 
-@query(_SEEDED)
+@query(_SEEDED + """ SELECT count(*) AS records, CAST(count(*) FILTER (WHERE gain > price) AS BIGINT) AS minted, round(avg(gain - price), 6) AS margin, round(max(gain - price), 6) AS best FROM m""")
 def immediate_mint(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = prequential.new_value_price(R.orders(spark, sf_dir))
     return p.agg(F.count("*").alias("records"), F.count_if(F.col("margin") > 0).alias("minted"), r6(F.avg("margin")).alias("margin"), r6(F.max("margin")).alias("best"))
 
 
+@query(_SEEDED + " SELECT min(rec_id) AS first_mint FROM m WHERE gain > price")
+def first_mint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evidence.first_mint(prequential.new_value_price(R.orders(spark, sf_dir)))
+
+
+@query(f"WITH cells AS ({D.ORDERS}), {D.PRIOR}, z AS (SELECT key, count(DISTINCT value) AS size FROM cells GROUP BY key), g AS (SELECT key, rec_id, sum(log2(size) - {D.kt('c', 'n', 'size')}) OVER (PARTITION BY key ORDER BY rec_id) AS g FROM q JOIN z USING (key)) SELECT key, round(arg_max(g, rec_id), 6) AS final, round(greatest(max(g), 0), 6) AS sup FROM g GROUP BY key")
+def evidence_sup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evidence.evidence_against_uniform(R.orders(spark, sf_dir)).select("key", r6("final").alias("final"), r6("sup").alias("sup"))
+
+
+@query("SELECT p_partkey AS k, round(coalesce(list_sum(list_transform(range(1, p_partkey + 1), lambda i: 1.0::DOUBLE / i)), 0), 6) AS h FROM part")
+def harmonic_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), r6(evidence.harmonic("p_partkey")).alias("h"))
+
+
+@query(f"WITH p AS (SELECT DISTINCT CAST(p_size AS DOUBLE) AS k FROM part), s AS (SELECT k, greatest(50.0, 2 * k) AS a, t, greatest(t + 1, floor(t / (0.5 / 10))) AS n FROM p CROSS JOIN (SELECT unnest(range(2, 500)) AS t)) SELECT k AS size, CAST(min(t) FILTER (WHERE t * k >= {D.price('t', 'k', 'n', '0.0', '0.0', 'a')}) AS INTEGER) AS t FROM s GROUP BY k")
+def detection_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_size").cast("double")
+    rates = R.table(spark, sf_dir, "part").select(k.alias("rate"), k.alias("size"), F.lit(10.0).alias("values"), F.lit(50.0).alias("keys"))
+    return evidence.detection_times(rates, 500).select("size", "t")
+
+
 # codelengths of blocks
 
 
+@query(f"WITH cells AS ({D.LINEITEM}), b AS (SELECT key, value, count(*) AS c FROM cells GROUP BY 1, 2), g AS (SELECT key, sum(c) + (count(*) + 1) / 2 AS d FROM b GROUP BY key) SELECT key, value, round((c + 0.5) / d, 6) AS probability, round(0.5 / d, 6) AS escape FROM b JOIN g USING (key)")
+def value_probabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = evidence.value_probabilities(blocks.value_blocks(R.lineitem(spark, sf_dir)))
+    return out.select("key", "value", r6("probability").alias("probability"), r6("escape").alias("escape"))
+
+
+@query(f"""WITH t AS (SELECT list_filter(regexp_split_to_array(lower(p_name), '[^a-z0-9]+'), lambda x: length(x) >= 2) AS ts FROM part), e AS (SELECT CASE WHEN len(ts) > 0 THEN ts ELSE [''] END AS ts FROM t),
+c AS (SELECT t, count(*) AS c FROM (SELECT unnest(ts) AS t FROM e) GROUP BY t), g AS (SELECT sum(c) AS n, count(*) AS u, sum({D.term('(c - 1)')}) AS s FROM c), l AS (SELECT sum({D.universal('(len(ts) + 1)')}) AS lengths FROM e)
+SELECT u AS distinct_tokens, round(lengths + {D.vblock('s', 'n', 'u', 'log2(u + 1)')}, 6) AS bits FROM g CROSS JOIN l""")
+def field_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evidence.field_bits(R.table(spark, sf_dir, "part"), "p_name").select("distinct_tokens", r6("bits").alias("bits"))
+
+
 @query(f"WITH cells AS ({D.LINEITEM}), b AS (SELECT key, value, count(*) AS c FROM cells GROUP BY 1, 2), g AS (SELECT key, sum(c) AS n, count(*) AS u, sum({D.term('c')}) AS k, sum({D.term('(c - 1)')}) AS s FROM b GROUP BY key) SELECT key, CAST(n AS BIGINT) AS total, u AS distinct_values, round({D.ktblock('k', 'n', 'u')}, 6) AS kt_bits, round({D.vblock('s', 'n', 'u', D.naming('u'))}, 6) AS vblock_bits FROM g")
 def block_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = blocks.block_bits(blocks.value_blocks(R.lineitem(spark, sf_dir)), ["key"])
@@ -254,9 +288,7 @@ FROM jn JOIN own x ON x.key = key_a JOIN own y ON y.key = key_b CROSS JOIN one""
 
 @query(_MERGE)
 def key_merge_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells = _synonym_cells(spark, sf_dir)
-    pairs = mining.merge_candidates(cells)
-    return mining.merge_deltas(cells).join(mining.spelling_bits(cells, pairs), ["key_a", "key_b"]).select("key_a", "key_b", r6("spelling_bits").alias("spelling_bits"), r6("delta").alias("delta"))
+    return mining.merge_deltas(_synonym_cells(spark, sf_dir)).select("key_a", "key_b", r6("spelling_bits").alias("spelling_bits"), r6("delta").alias("delta"))
 
 
 _SPECIAL = "SELECT rec_id, key, value FROM ({c}) UNION ALL SELECT rec_id, 'in_' || value, '1' FROM ({c}) WHERE key = 'segment' UNION ALL SELECT rec_id, 'loc', '1' FROM ({c}) WHERE key = 'region' AND rec_id % 3 <> 0"
@@ -324,6 +356,21 @@ def top_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mining.top_values(R.mixed(spark, sf_dir)).select("key", "rank", "value", "c")
 
 
+@query(f"""WITH cells AS ({D.MIXED}), o AS (SELECT key, value, count(*) AS c FROM cells GROUP BY 1, 2), b AS (SELECT truth, max(c) AS best FROM (SELECT truth, key, value, count(*) AS c FROM cells GROUP BY 1, 2, 3) GROUP BY truth),
+x AS (SELECT count(*) AS pairs, count(*) FILTER (WHERE c >= 20) AS pairs_enough, round(avg(CASE WHEN c >= 20 THEN 1.0 ELSE 0 END), 6) AS share_enough, round(avg(CASE WHEN c = 1 THEN 1.0 ELSE 0 END), 6) AS share_once FROM o),
+y AS (SELECT min(best) AS cohort_min, CAST(median(best) AS DOUBLE) AS cohort_median, count(*) FILTER (WHERE best >= 20) AS kinds_reachable, count(*) AS kinds FROM b) SELECT * FROM x CROSS JOIN y""")
+def stream_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = R.mixed(spark, sf_dir)
+    out = evidence.stream_stats(cells.drop("truth"), cells.select("rec_id", "truth").distinct(), 20)
+    return out.withColumns({c: r6(c) for c in ("share_enough", "share_once")})
+
+
+@query("SELECT r_subset AS subset, coalesce(string_agg(r_name, ',' ORDER BY r_regionkey), '') AS names FROM (SELECT unnest(range(0, CAST(pow(2, (SELECT count(*) FROM region)) AS BIGINT))) AS r_subset) LEFT JOIN region ON (r_subset >> r_regionkey) & 1 = 1 GROUP BY r_subset")
+def region_subsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = R.table(spark, sf_dir, "region").agg(F.transform(F.array_sort(F.collect_list(F.struct("r_regionkey", "r_name"))), lambda r: r["r_name"]).alias("names"))
+    return names.select(F.posexplode(evidence.subsets("names")).alias("subset", "names")).select(F.col("subset").cast("long").alias("subset"), F.array_join("names", ",").alias("names"))
+
+
 # strings
 
 
@@ -443,6 +490,40 @@ def record_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.largest_group_labels(p, R.table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("long").alias("rec_id")))
 
 
+@query(f"WITH {_COV}, s AS (SELECT g, count(*) AS t, min(rec_id) AS birth FROM p GROUP BY g) SELECT CAST(p.rec_id AS BIGINT) AS rec_id, arg_min(p.g, struct_pack(m := t, v := p.g)) AS smallest, arg_min(p.g, struct_pack(m := birth, v := p.g)) AS earliest FROM p JOIN s ON s.g = p.g GROUP BY p.rec_id")
+def record_labels_by_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, p = _covers(spark, sf_dir)
+    by = [metrics.largest_group_labels(p, p.select("rec_id").distinct(), rule).withColumnRenamed("label", rule) for rule in ("smallest", "earliest")]
+    return by[0].join(by[1], "rec_id")
+
+
+@query("""WITH r AS (SELECT 0 AS run, doc_id, lang AS label FROM documents UNION ALL SELECT 1, doc_id, source FROM documents UNION ALL SELECT 2, doc_id, CASE WHEN doc_id % 7 < 3 THEN lang ELSE source END FROM documents),
+c AS (SELECT a.run AS ra, b.run AS rb, a.label AS la, b.label AS lb, count(*) AS n FROM r a JOIN r b ON a.doc_id = b.doc_id AND a.run < b.run GROUP BY 1, 2, 3, 4),
+s AS (SELECT ra, rb, sum(n * (n - 1) / 2) AS both_n, sum(n) * (sum(n) - 1) / 2 AS every FROM c GROUP BY 1, 2), x AS (SELECT ra, rb, sum(n * (n - 1) / 2) AS i FROM (SELECT ra, rb, la, sum(n) AS n FROM c GROUP BY 1, 2, 3) GROUP BY 1, 2), y AS (SELECT ra, rb, sum(n * (n - 1) / 2) AS i FROM (SELECT ra, rb, lb, sum(n) AS n FROM c GROUP BY 1, 2, 3) GROUP BY 1, 2)
+SELECT ra AS run_a, rb AS run_b, round((both_n - x.i * y.i / every) / ((x.i + y.i) / 2 - x.i * y.i / every), 6) AS ari FROM s JOIN x USING (ra, rb) JOIN y USING (ra, rb)""")
+def pairwise_rand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = R.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("rec_id"), "lang", "source")
+    labels = ("lang", "source", F.when(F.pmod(F.col("rec_id"), F.lit(7)) < 3, F.col("lang")).otherwise(F.col("source")))
+    runs = [d.select(F.lit(k).alias("run"), "rec_id", (F.col(x) if isinstance(x, str) else x).alias("label")) for k, x in enumerate(labels)]
+    return evidence.pairwise_rand(runs[0].unionByName(runs[1]).unionByName(runs[2])).select("run_a", "run_b", r6("ari").alias("ari"))
+
+
+@query("SELECT round(corr(p_size, p_retailprice), 6) AS pearson FROM part")
+def pearson(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evidence.pearson(R.table(spark, sf_dir, "part"), "p_size", "p_retailprice").select(r6("pearson").alias("pearson"))
+
+
+@query("SELECT l_returnflag, round(avg(l_quantity), 6) AS mean, CAST(min(l_quantity) AS DOUBLE) AS least, CAST(max(l_quantity) AS DOUBLE) AS greatest FROM lineitem GROUP BY l_returnflag")
+def quantity_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = R.table(spark, sf_dir, "lineitem").select("l_returnflag", F.col("l_quantity").cast("double").alias("q"))
+    return evidence.spread(rows, ["l_returnflag"], "q").withColumn("mean", r6("mean"))
+
+
+@query("WITH f AS (SELECT 'l_discount' AS feature, CAST(l_discount AS DOUBLE) AS x FROM lineitem UNION ALL SELECT 'l_tax', CAST(l_tax AS DOUBLE) FROM lineitem UNION ALL SELECT 'l_quantity', CAST(l_quantity AS DOUBLE) FROM lineitem) SELECT feature, round(avg(CASE WHEN x = 0 THEN 1.0 ELSE 0 END), 6) AS share_zero, count(DISTINCT x) AS distinct_values, max(x) AS greatest, count(DISTINCT x) > 20 AND avg(CASE WHEN x = 0 THEN 1.0 ELSE 0 END) < 0.95 AS usable FROM f WHERE x IS NOT NULL GROUP BY feature")
+def feature_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evidence.feature_resolution(R.table(spark, sf_dir, "lineitem"), ["l_discount", "l_tax", "l_quantity"]).withColumn("share_zero", r6("share_zero"))
+
+
 _PAIRDEC = "d AS (SELECT CASE WHEN c_acctbal > 5000 THEN 'rich' WHEN c_acctbal > 0 THEN 'plain' ELSE 'debt' END AS stratum, c_custkey % 3 = 0 AS gold, c_custkey % 2 = 0 AS predicted FROM customer)"
 
 
@@ -504,12 +585,28 @@ def node_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return objective.node_terms(_types_state(spark, sf_dir)).select("node", r6("structure").alias("structure"), r6("presence").alias("presence"), r6("values").alias("value_bits"))
 
 
-@query()
+# the total of every state that one delete or merge away from _types_state leads to
+_MOVES = f"""cells AS ({D.EVENTS}), m0 AS (SELECT CAST(event_id AS BIGINT) AS rec_id, event_type AS node FROM events WHERE event_type <> 'purchase'), ns AS (SELECT DISTINCT node FROM m0),
+mv AS (SELECT '' AS mv, NULL AS a, NULL AS b UNION ALL SELECT node, node, NULL FROM ns UNION ALL SELECT x.node || ' ' || y.node, x.node, y.node FROM ns x JOIN ns y ON x.node < y.node),
+m AS (SELECT mv, rec_id, CASE WHEN node = b THEN a ELSE node END AS node FROM m0 CROSS JOIN mv WHERE a IS NULL OR b IS NOT NULL OR node <> a), ow AS (SELECT mv, node, rec_id, key, value FROM cells JOIN m USING (rec_id)), su AS (SELECT DISTINCT mv, node, key FROM ow),
+tot AS (SELECT count(DISTINCT rec_id) AS n, count(DISTINCT key) AS a FROM cells), inv AS (SELECT key, count(DISTINCT value) AS inv, count(*) AS p FROM cells GROUP BY key), tt AS (SELECT mv, node, count(*) AS t FROM m GROUP BY 1, 2),
+ob AS (SELECT mv, node, key, value, count(*) AS c FROM ow GROUP BY 1, 2, 3, 4), og AS (SELECT mv, node, key, sum(c) AS n, count(*) AS u, sum({D.term('(c - 1)')}) AS s FROM ob GROUP BY 1, 2, 3),
+nv AS (SELECT mv, node, sum({D.vblock('s', 'n', 'u', D.naming('inv'))} + {D.col('n', 't')}) AS own, count(*) AS size FROM og JOIN inv USING (key) JOIN tt USING (mv, node) GROUP BY 1, 2),
+nt AS (SELECT mv, sum({D.col('t', 'n')} + {D.support('size', 'tot.a')} + own) AS bits, count(*) AS nodes FROM nv JOIN tt USING (mv, node) CROSS JOIN tot GROUP BY mv),
+cov AS (SELECT mv, key, count(*) AS covered FROM su JOIN m USING (mv, node) GROUP BY 1, 2), pub AS (SELECT mv, key, count(*) AS pub FROM ow GROUP BY 1, 2),
+fb AS (SELECT mv, key, value, count(*) AS c FROM (SELECT mv.mv, rec_id, key, value FROM cells CROSS JOIN mv) ANTI JOIN m USING (mv, rec_id) GROUP BY 1, 2, 3), fg AS (SELECT mv, key, sum(c) AS n, count(*) AS u, sum({D.term('(c - 1)')}) AS s FROM fb GROUP BY 1, 2),
+every AS (SELECT mv.mv, inv.* FROM inv CROSS JOIN mv),
+bt AS (SELECT mv, sum(CASE WHEN tot.n - coalesce(covered, 0) > 0 THEN {D.col('least(p - coalesce(pub, 0), tot.n - coalesce(covered, 0))', '(tot.n - coalesce(covered, 0))')} ELSE 0 END + coalesce({D.vblock('fg.s', 'fg.n', 'fg.u', D.naming('inv'))}, 0)) AS bits FROM every LEFT JOIN cov USING (mv, key) LEFT JOIN pub USING (mv, key) LEFT JOIN fg USING (mv, key) CROSS JOIN tot GROUP BY mv),
+total AS (SELECT mv, nt.bits + bt.bits + {D.universal('(nodes + 1)')} - CASE WHEN nodes > 1 THEN {D.lg2('nodes + 1')} ELSE 0 END AS bits FROM nt JOIN bt USING (mv)),
+d AS (SELECT a, b, round(bits - (SELECT bits FROM total WHERE mv = ''), 6) AS delta FROM total JOIN mv USING (mv) WHERE mv <> '')"""
+
+
+@query(f"WITH {_MOVES} SELECT a AS node, delta FROM d WHERE b IS NULL")
 def delete_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
     return objective.delete_deltas(_types_state(spark, sf_dir)).select("node", r6("delta").alias("delta"))
 
 
-@query()
+@query(f"WITH {_MOVES} SELECT a, b, delta FROM d WHERE b IS NOT NULL")
 def merge_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
     return objective.partition_merge_deltas(_types_state(spark, sf_dir)).select("a", "b", r6("delta").alias("delta"))
 
@@ -517,7 +614,7 @@ def merge_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
 # vectors
 
 
-@query("WITH e AS (SELECT vec_id, embedding, label FROM embeddings WHERE vec_id < 60) SELECT a.vec_id AS a, b.vec_id AS b, round(list_inner_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) / sqrt(list_inner_product(CAST(a.embedding AS DOUBLE[]), CAST(a.embedding AS DOUBLE[])) * list_inner_product(CAST(b.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))), 6) AS cosine FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id")
+@query("SELECT a.vec_id AS a, b.vec_id AS b, round(list_inner_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) / sqrt(list_inner_product(CAST(a.embedding AS DOUBLE[]), CAST(a.embedding AS DOUBLE[])) * list_inner_product(CAST(b.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))), 6) AS cosine FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id")
 def embedding_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cosine of every two vectors of one label."""
     e = R.table(spark, sf_dir, "embeddings")
