@@ -7,8 +7,11 @@ joins; see ``bitquarry.operators.blocks`` for sums over blocks.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 LN2 = math.log(2.0)
@@ -24,8 +27,41 @@ def c(x: Arg) -> Column:
     return F.col(x) if isinstance(x, str) else F.lit(float(x))
 
 
-def lgamma(x: Arg) -> Column:
-    """Natural log of Gamma for x > 0: eight recurrence steps, then Stirling's series."""
+#: Set inside ``named``: the session has the functions of ``_NAMED``.
+_named: ContextVar[bool] = ContextVar("named", default=False)
+
+_LGAMMA = "(CASE WHEN {0} > 1e30D THEN ({0} - 0.5D) * ln({0}) - {0} + {1!r}D ELSE ({0} + 7.5D) * ln({0} + 8D) - ({0} + 8D) + {1!r}D + {2} / nullif({0} + 8D, 0D) - ln({3}) END)"
+
+
+def _lgamma_text(x: str) -> str:
+    z = f"nullif({x} + 8D, 0D)"  # functions are computed for rows that a CASE keeps from them, too
+    z2 = f"({z} * {z})"
+    series = f"(1D / 12D - (1D / 360D - (1D / 1260D - (1D / 1680D - (1D / 1188D) / {z2}) / {z2}) / {z2}) / {z2})"
+    return _LGAMMA.format(x, 0.5 * math.log(2 * math.pi), series, " * ".join([x, *(f"({x} + {k}D)" for k in range(1, 8))]))
+
+
+_NAMED = {
+    "bitquarry_lgamma(x DOUBLE)": _lgamma_text("x"),
+    "bitquarry_column_bits(t DOUBLE, n DOUBLE)": f"{math.log2(math.pi)!r}D + (bitquarry_lgamma(n + 1D) - bitquarry_lgamma(t + 0.5D) - bitquarry_lgamma(n - t + 0.5D)) / {LN2!r}D",
+}
+
+
+@contextmanager
+def named(spark: SparkSession) -> Iterator[None]:
+    """Within it lgamma and column_bits are calls of SQL functions of the session: plans are the same, and built far sooner."""
+    for signature, body in _NAMED.items():
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {signature} RETURNS DOUBLE RETURN {body}")
+    token = _named.set(True)
+    try:
+        yield
+    finally:
+        _named.reset(token)
+
+
+def lgamma(x: Arg, inline: bool = False) -> Column:
+    """Natural log of Gamma for x > 0: eight recurrence steps, then Stirling's series. ``inline`` inside lambdas."""
+    if _named.get() and not inline:
+        return F.call_function("bitquarry_lgamma", c(x))
     x = c(x).cast("double")
     z = x + 8
     product = x
@@ -78,6 +114,8 @@ def string_bits(s: Arg) -> Column:
 def column_bits(t: Arg, n: Arg) -> Column:
     """A binary column of n places with t ones, all at once."""
     t, n = c(t), c(n)
+    if _named.get():
+        return F.call_function("bitquarry_column_bits", t, n)
     return math.log2(math.pi) + lg2(n + 1) - lg2(t + 0.5) - lg2(n - t + 0.5)
 
 
@@ -236,7 +274,7 @@ def nml_complexity(n: Arg, k: Arg) -> Column:
     xlogx = lambda v: F.when(v > 0, v * F.log(v)).otherwise(0.0)
     each = F.transform(
         F.sequence(F.lit(0), n.cast("int")),
-        lambda h: F.exp(lgamma(n + 1) - lgamma(h + 1.0) - lgamma(n - h + 1.0) + xlogx(h / n) * n + xlogx((n - h) / n) * n))
+        lambda h: F.exp(lgamma(n + 1, True) - lgamma(h + 1.0, True) - lgamma(n - h + 1.0, True) + xlogx(h / n) * n + xlogx((n - h) / n) * n))
     two = F.aggregate(each, F.lit(0.0), lambda a, x: a + x)
     start = F.struct(F.lit(1.0).alias("before"), two.alias("now"))
     steps = F.when(k > 2, F.sequence(F.lit(3), F.greatest(k, F.lit(3)))).otherwise(F.array().cast("array<int>"))

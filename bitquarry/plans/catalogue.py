@@ -6,6 +6,7 @@ Doubles are rounded to 6 places on both sides.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,7 +25,12 @@ ORACLE_SQL: dict[str, str] = {}
 
 def query(sql: str | None = None):
     def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
+        @wraps(f)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            with B.named(spark):
+                return f(spark, sf_dir)
+
+        QUERIES[f.__name__] = run
         if sql:
             ORACLE_SQL[f.__name__] = sql
         return f

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from bitquarry.operators import objective, splits
 from bitquarry.operators import ownership as O
 from bitquarry.plans import duck as D
 from bitquarry.plans.catalogue import query, r6
@@ -153,3 +154,73 @@ def grown_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     universe = cells.select("rec_id").distinct().crossJoin(names)
     members = cells.filter("key = 'region' AND rec_id % 2 = 0").select(F.col("value").alias("grp"), "rec_id")
     return O.grown(cells, members, universe).select("grp", "rec_id", r6("odds").alias("odds"))
+
+
+# splits and new nodes
+
+
+def _regions(spark: SparkSession, sf_dir: str) -> objective.State:
+    """Customers, a fifth of them without nation; each region but one is a node."""
+    cells = R.customer(spark, sf_dir).filter("NOT (key = 'nation' AND rec_id % 5 = 0)")
+    return objective.from_partition(cells, cells.filter("key = 'region' AND value <> 'AFRICA'").select("rec_id", F.col("value").alias("label")))
+
+
+_REGIONS = f"""cells AS MATERIALIZED ({_GAPPY}), m0 AS (SELECT value AS node, rec_id FROM cells WHERE key = 'region' AND value <> 'AFRICA'), su0 AS (SELECT DISTINCT node, key FROM m0 JOIN cells USING (rec_id)),
+tot AS (SELECT count(DISTINCT rec_id) AS n, count(DISTINCT key) AS a FROM cells), inv AS (SELECT key, count(DISTINCT value) AS inv, count(*) AS p FROM cells GROUP BY key)"""
+
+# parts of the members g (node, rec_id) by a pair or a key, each grown once
+_PARTS = """gc AS MATERIALIZED (SELECT node, rec_id, key, value FROM g JOIN cells USING (rec_id)), gt AS (SELECT node, count(*) AS t FROM g GROUP BY 1),
+cc AS (SELECT node, key, value, count(*) AS c FROM gc GROUP BY 1, 2, 3), nc AS (SELECT node, key, count(*) AS nc FROM gc GROUP BY 1, 2),
+cs AS (SELECT node, key || '=' || value AS part, key, value FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY c DESC, key, value) AS k FROM cc JOIN gt USING (node) WHERE c > 1 AND c <= t - {least}) WHERE k <= 64),
+ks AS (SELECT node, key AS part, key FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY nc DESC, key) AS k FROM nc JOIN gt USING (node) WHERE nc > 1 AND nc <= t - {least} AND {keys}) WHERE k <= 64),
+ofr AS (SELECT node, sum(o) AS offered FROM (SELECT node, 1 AS o FROM cs UNION ALL SELECT node, 2 FROM ks) GROUP BY 1),
+seed AS (SELECT node, part, rec_id FROM gc JOIN cs USING (node, key, value) UNION ALL SELECT node, part, rec_id FROM gc JOIN ks USING (node, key)),
+ca AS (SELECT node, part, key, value, count(*) AS ca FROM seed JOIN gc USING (node, rec_id) GROUP BY 1, 2, 3, 4), na AS (SELECT node, part, key, sum(ca) AS na FROM ca GROUP BY 1, 2, 3),
+w AS (SELECT p.node, p.part, cc.key, cc.value, log2((coalesce(ca, 0) + 0.5) / (coalesce(na, 0) + 0.5 * inv)) - log2((c - coalesce(ca, 0) + 0.5) / (nc - coalesce(na, 0) + 0.5 * inv)) AS w
+    FROM (SELECT DISTINCT node, part FROM seed) p JOIN cc ON cc.node = p.node JOIN nc ON nc.node = p.node AND nc.key = cc.key JOIN inv ON inv.key = cc.key LEFT JOIN ca ON ca.node = p.node AND ca.part = p.part AND ca.key = cc.key AND ca.value = cc.value LEFT JOIN na ON na.node = p.node AND na.part = p.part AND na.key = cc.key),
+gr AS (SELECT gc.node, w.part, gc.rec_id FROM gc JOIN w ON w.node = gc.node AND w.key = gc.key AND w.value = gc.value GROUP BY 1, 2, 3 HAVING round(sum(w), 9) >= 0),
+parts AS MATERIALIZED (SELECT * FROM gr UNION ALL SELECT node, part || ' raw', rec_id FROM seed WHERE NOT contains(part, '=')),
+pp AS (SELECT node, part, count(*) AS size FROM parts GROUP BY 1, 2), ok AS (SELECT pp.* FROM pp JOIN gt USING (node) WHERE size < t),
+mv AS (SELECT '' AS mv, NULL AS node, NULL AS part UNION ALL SELECT node || '|' || part, node, part FROM ok)"""
+
+# the total of each mv's state: members m (mv, rec_id, node), supports su (mv, node, key), all supported cells of members owned
+_TOTALS = f"""tt AS (SELECT mv, node, count(*) AS t FROM m GROUP BY 1, 2), ow AS MATERIALIZED (SELECT m.mv, m.node, c.rec_id, c.key, c.value FROM m JOIN cells c USING (rec_id) JOIN su ON su.mv = m.mv AND su.node = m.node AND su.key = c.key),
+ob AS (SELECT mv, node, key, value, count(*) AS c FROM ow GROUP BY 1, 2, 3, 4), og AS (SELECT mv, node, key, sum(c) AS n, count(*) AS u, sum({D.term('(c - 1)')}) AS s FROM ob GROUP BY 1, 2, 3),
+nv AS (SELECT su.mv, su.node, sum(coalesce({D.vblock('s', 'n', 'u', D.naming('inv'))}, 0) + {D.col('coalesce(n, 0)', 't')}) AS own, count(*) AS size FROM su JOIN inv USING (key) JOIN tt ON tt.mv = su.mv AND tt.node = su.node LEFT JOIN og ON og.mv = su.mv AND og.node = su.node AND og.key = su.key GROUP BY 1, 2),
+nt AS (SELECT mv, sum({D.col('t', 'n')} + {D.support('size', 'tot.a')} + own) AS bits, count(*) AS nodes FROM nv JOIN tt USING (mv, node) CROSS JOIN tot GROUP BY mv),
+cov AS (SELECT mv, key, count(DISTINCT rec_id) AS covered FROM su JOIN m USING (mv, node) GROUP BY 1, 2), pub AS (SELECT mv, key, count(*) AS pub FROM ow GROUP BY 1, 2),
+fb AS (SELECT mv, key, value, count(*) AS c FROM (SELECT mv.mv, rec_id, key, value FROM cells CROSS JOIN mv) ANTI JOIN ow USING (mv, rec_id, key) GROUP BY 1, 2, 3), fg AS (SELECT mv, key, sum(c) AS n, count(*) AS u, sum({D.term('(c - 1)')}) AS s FROM fb GROUP BY 1, 2),
+every AS (SELECT mv.mv, inv.* FROM inv CROSS JOIN mv),
+bt AS (SELECT mv, sum(CASE WHEN tot.n - coalesce(covered, 0) > 0 THEN {D.col('least(p - coalesce(pub, 0), tot.n - coalesce(covered, 0))', '(tot.n - coalesce(covered, 0))')} ELSE 0 END + coalesce({D.vblock('fg.s', 'fg.n', 'fg.u', D.naming('inv'))}, 0)) AS bits FROM every LEFT JOIN cov USING (mv, key) LEFT JOIN pub USING (mv, key) LEFT JOIN fg USING (mv, key) CROSS JOIN tot GROUP BY mv),
+total AS (SELECT mv, nt.bits + bt.bits + {D.universal('(nodes + 1)')} - CASE WHEN nodes > 1 THEN {D.lg2('nodes + 1')} ELSE 0 END AS bits FROM nt JOIN bt USING (mv)),
+dl AS (SELECT mv.node, mv.part, size, round(bits - (SELECT bits FROM total WHERE mv = ''), 5) AS delta, round(log2(offered), 6) AS charge FROM total JOIN mv USING (mv) JOIN ok ON ok.node = mv.node AND ok.part = mv.part JOIN ofr ON ofr.node = mv.node)"""
+
+_SPLIT_STATES = """m AS (SELECT mv.mv, m0.rec_id, CASE WHEN m0.node = mv.node AND p.rec_id IS NULL THEN m0.node || ' rest' ELSE m0.node END AS node FROM m0 CROSS JOIN mv LEFT JOIN parts p ON p.node = mv.node AND p.part = mv.part AND p.rec_id = m0.rec_id),
+su AS (SELECT mv.mv, su0.node, key FROM su0 CROSS JOIN mv UNION ALL SELECT mv.mv, su0.node || ' rest', key FROM su0 JOIN mv ON mv.node = su0.node)"""
+
+_MINT_STATES = """m AS (SELECT mv.mv, m0.rec_id, m0.node FROM m0 CROSS JOIN mv UNION ALL SELECT mv.mv, p.rec_id, 'new' FROM mv JOIN parts p ON p.node = mv.node AND p.part = mv.part),
+ps AS (SELECT DISTINCT p.node, p.part, c.key FROM parts p JOIN cells c USING (rec_id)),
+su AS (SELECT mv.mv, su0.node, key FROM su0 CROSS JOIN mv UNION ALL SELECT mv.mv, 'new', ps.key FROM mv JOIN ps ON ps.node = mv.node AND ps.part = mv.part)"""
+
+
+@query(f"WITH {_REGIONS}, g AS (SELECT * FROM m0), {_PARTS.format(least=2, keys='true')}, {_SPLIT_STATES}, {_TOTALS} SELECT node, part, size, delta, charge FROM dl")
+def split_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts of every region's customers by pairs and keys, grown, with the change of the total that each split makes."""
+    out = splits.split_deltas(_regions(spark, sf_dir), two_means=False)
+    return out.select("node", "part", "size", F.round("delta", 5).alias("delta"), r6("charge").alias("charge"))
+
+
+@query()
+def two_means_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts that two-means runs over the customers' cells find, and what each split changes. Tested against plain loops."""
+    s = _regions(spark, sf_dir)
+    kinds = saved(splits.types(splits.member_types(s.cells, s.membership, s.owner)))
+    a = splits.atoms(kinds)
+    return splits.deltas(s, kinds, a, saved(splits.means(kinds, a))).select("node", "part", "size", F.round("delta", 5).alias("delta"))
+
+
+@query(f"WITH {_REGIONS}, g AS (SELECT DISTINCT 'residual' AS node, rec_id FROM cells WHERE rec_id NOT IN (SELECT rec_id FROM m0)), {_PARTS.format(least=1, keys='false')}, {_MINT_STATES}, {_TOTALS} SELECT part, size, (SELECT count(*) FROM ps WHERE ps.part = dl.part) AS keys, delta, charge FROM dl")
+def residual_mint_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """New nodes out of the customers of no node, by pairs grown once, with the change of the total that each makes."""
+    out = splits.residual_mint_deltas(_regions(spark, sf_dir))
+    return out.select("part", "size", "keys", F.round("delta", 5).alias("delta"), r6("charge").alias("charge"))

@@ -1,6 +1,8 @@
 import pytest
 from pyspark.sql import SparkSession
 
+from bitquarry.functions import bits
+
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
@@ -8,8 +10,9 @@ def spark(tmp_path_factory):
         SparkSession.builder.master("local[4]").appName("tests")
         .config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC").config("spark.driver.memory", "4g")
-        .config("spark.ui.showConsoleProgress", "false").getOrCreate()
+        .config("spark.ui.showConsoleProgress", "false").config("spark.python.sql.dataFrameDebugging.enabled", "false").getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
     session.sparkContext.setCheckpointDir(str(tmp_path_factory.mktemp("checkpoints")))
-    return session
+    with bits.named(session):
+        yield session
