@@ -115,6 +115,12 @@ class Learner:
         self.by_pair: dict[tuple[str, str], set] = defaultdict(set)
         self.by_key: dict[str, set] = defaultdict(set)
         self.receipts: list[dict] = []
+        # what repair knows: covers by key, how often nodes, keys and the free records changed, and prices with the state they hold for
+        self._covers: dict[str, list] = {}
+        self._nodes_changed: Counter = Counter()
+        self._keys_changed: Counter = Counter()
+        self._free_changed = 0
+        self._prices: dict[tuple, tuple] = {}
 
     def process(self, record: dict[str, str]) -> dict | None:
         self.n += 1
@@ -203,6 +209,8 @@ class Learner:
             node.members.add(n)
             for k in node.support & record.keys():
                 node.published[k] += 1
+            for k in node.support:
+                self._cover_one(k, n)
         for k, value in record.items():
             self.published[k] += 1
             self.owner[n, k] = owner[k]
@@ -243,6 +251,7 @@ class Learner:
                 self._give(m, k, nid)
         for k in support:
             self.by_key[k].add(nid)
+        self._changed((nid,), support)
         receipt = {"node": nid, "n": self.n, "members": a.t, "released": released, "price": released - margin, "support": sorted(support), "seed_key": seed[0], "seed_value": seed[1], "bits": {k: a.g[k] for k in sorted(support)}}
         self.receipts.append(receipt)
         receipt["absorbed_by"] = self.absorb(nid)
@@ -250,6 +259,10 @@ class Learner:
 
     def _give(self, rec: int, key: str, nid: int) -> None:
         value, old = self.records[rec][key], self.owner[rec, key]
+        self._nodes_changed[old] += 1
+        self._nodes_changed[nid] += 1
+        if not old or not nid:
+            self._keys_changed[key] += 1
         (self.nodes[old].blocks[key] if old else self.background[key]).add(value, -1)
         self.owner[rec, key] = nid
         if nid:
@@ -283,6 +296,7 @@ class Learner:
             for k in self.records[m]:
                 if self.owner[m, k] == nid:
                     self._give(m, k, 0)
+        self._changed((nid,), node.support)
         self._forget(nid)
         self.edits += 1
 
@@ -299,6 +313,7 @@ class Learner:
         to.published = Counter({k: sum(k in self.records[m] for m in to.members) for k in to.support})
         for k in to.support:
             self.by_key[k].add(into)
+        self._changed((into, nid), to.support)
         self._forget(nid)
         self.edits += 1
 
@@ -316,6 +331,33 @@ class Learner:
         for k in node.support & self.records[rec].keys():
             node.published[k] += 1
             self._give(rec, k, nid)
+        for k in node.support:
+            self._cover_one(k, rec)
+            self._keys_changed[k] += 1
+        self._nodes_changed[nid] += 1
+        self._free_changed += 1
+
+    def _changed(self, nodes, keys) -> None:
+        """Nodes and the covers of keys are others now."""
+        self._nodes_changed.update(nodes)
+        self._keys_changed.update(keys)
+        self._free_changed += 1
+        for k in keys:
+            self._covers.pop(k, None)
+
+    def _cover(self, key: str) -> list:
+        """Of the nodes that support a key: how many hold each record; how many records they hold, and of these with the key."""
+        if key not in self._covers:
+            held = Counter(m for v in self.by_key[key] if v in self.nodes and key in self.nodes[v].support for m in self.nodes[v].members)
+            self._covers[key] = [held, len(held), sum(key in self.records[m] for m in held)]
+        return self._covers[key]
+
+    def _cover_one(self, key: str, rec: int) -> None:
+        if (c := self._covers.get(key)) is not None:
+            c[0][rec] += 1
+            if c[0][rec] == 1:
+                c[1] += 1
+                c[2] += key in self.records[rec]
 
     def _naming(self, key: str) -> float:
         return math.log2(len(self.values[key]) + 1)
@@ -332,40 +374,47 @@ class Learner:
     def _bits_of(self, node: Node) -> float:
         return self._node_bits(node.t, node.support, node.published, {k: node.blocks[k].counts for k in node.support})
 
-    def _presence(self, key: str, covered: set) -> float:
-        n0 = self.n - len(covered)
-        p0 = self.published[key] - sum(key in self.records[m] for m in covered)
+    def _presence(self, key: str, more=(), without: int | None = None) -> float:
+        """The background's presence bits of a key if the records in more were covered too, or a node weren't there."""
+        held, n1, p1 = self._cover(key)
+        for m in more:
+            if m not in held:
+                n1 += 1
+                p1 += key in self.records[m]
+        if without is not None:
+            for m in self.nodes[without].members:
+                if held[m] == 1:
+                    n1 -= 1
+                    p1 -= key in self.records[m]
+        n0, p0 = self.n - n1, self.published[key] - p1
         return _column(min(p0, n0), n0) if n0 else 0.0
 
-    def _covered(self, key: str, leave: tuple[int, ...] = (), more: set = frozenset()) -> set:
-        return set(more).union(*(self.nodes[v].members for v in self.by_key[key] if v in self.nodes and v not in leave and key in self.nodes[v].support))
-
     def _shape(self, change: int) -> float:
         at = lambda k: _universal(k + 1) - (_lg2(k + 1) if k > 1 else 0.0)
         return at(len(self.nodes) + change) - at(len(self.nodes))
 
-    def merge_delta(self, into: int, nid: int) -> float:
-        """Change of total() by merge(into, nid)."""
+    def merge_delta(self, into: int, nid: int, shaped: bool = True) -> float:
+        """Change of total() by merge(into, nid); without the number of nodes, if not shaped."""
         a, b = self.nodes[into], self.nodes[nid]
         members, support = a.members | b.members, a.support | b.support
         published = {k: sum(k in self.records[m] for m in members) for k in support}
         counts = {k: (a.blocks[k].counts if k in a.blocks else Counter()) + (b.blocks[k].counts if k in b.blocks else Counter()) for k in support}
-        out = self._node_bits(len(members), support, published, counts) - self._bits_of(a) - self._bits_of(b) + self._shape(-1)
+        out = self._node_bits(len(members), support, published, counts) - self._bits_of(a) - self._bits_of(b)
         for k in a.support ^ b.support:
-            out += self._presence(k, self._covered(k, (into, nid), members)) - self._presence(k, self._covered(k))
-        return out
+            out += self._presence(k, members) - self._presence(k)
+        return out + shaped * self._shape(-1)
 
-    def delete_delta(self, nid: int) -> float:
+    def delete_delta(self, nid: int, shaped: bool = True) -> float:
         """Change of total() by delete(nid)."""
         node = self.nodes[nid]
-        out = self._shape(-1) - self._bits_of(node)
+        out = -self._bits_of(node)
         for k in node.support:
-            out += self._presence(k, self._covered(k, (nid,))) - self._presence(k, self._covered(k))
+            out += self._presence(k, (), nid) - self._presence(k)
             b = Block()
             b.counts = self.background[k].counts + node.blocks[k].counts
             b.n = sum(b.counts.values())
             out += b.bits(self._naming(k)) - self.background[k].bits(self._naming(k))
-        return out
+        return out + shaped * self._shape(-1)
 
     def cohort_delta(self, nid: int, cohort: list[int]) -> float:
         """Change of total() if records of no node join together."""
@@ -380,7 +429,7 @@ class Learner:
             b.counts = self.background[k].counts - moved
             b.n = sum(b.counts.values())
             out += b.bits(self._naming(k)) - self.background[k].bits(self._naming(k))
-            out += self._presence(k, self._covered(k, (), set(cohort))) - self._presence(k, self._covered(k))
+            out += self._presence(k, cohort) - self._presence(k)
         return out + self._node_bits(len(members), node.support, published, counts) - self._bits_of(node)
 
     def _cohort(self, nid: int) -> list[int]:
@@ -423,31 +472,50 @@ class Learner:
     def _ids(self) -> list[int]:
         return sorted(self.nodes, key=lambda v: (self.nodes[v].born, v))
 
+    def _priced(self, what: str, ids: tuple[int, ...], keys, price, also: int = 0):
+        """price() again only if the nodes, the keys' covers or the background's blocks of these keys have changed since."""
+        state = (self.n, also, sum(map(self._keys_changed.__getitem__, keys)), *map(self._nodes_changed.__getitem__, ids))
+        known = self._prices.get((what, ids))
+        if known is None or known[0] != state:
+            known = self._prices[what, ids] = (state, price())
+        return known[1]
+
     def _merges(self) -> list[tuple]:
-        ids = self._ids()
-        return [(self.merge_delta(a, b), (a, b)) for i, a in enumerate(ids) for b in ids[i + 1 :] if self.nodes[a].support & self.nodes[b].support]
+        ids, shape = self._ids(), self._shape(-1) if self.nodes else 0.0
+        pairs = ((a, b, self.nodes[a].support, self.nodes[b].support) for i, a in enumerate(ids) for b in ids[i + 1 :])
+        return [(self._priced("merge", (a, b), s ^ t, lambda a=a, b=b: self.merge_delta(a, b, False)) + shape, (a, b)) for a, b, s, t in pairs if s & t]
 
     def _cohorts(self) -> list[tuple]:
+        """Also what the free records have in common with a node's support is priced once, until they or the node change."""
         free = self._free()
-        return [(self.cohort_delta(v, c), (v,)) for v in self._ids() if (c := [m for m in free if self.nodes[v].support & self.records[m].keys()])]
+
+        def price(v: int):
+            c = [m for m in free if self.nodes[v].support & self.records[m].keys()]
+            return self.cohort_delta(v, c) if c else None
+
+        priced = [(self._priced("cohort", (v,), self.nodes[v].support, lambda v=v: price(v), self._free_changed), (v,)) for v in self._ids()]
+        return [x for x in priced if x[0] is not None]
 
     def _deletes(self) -> list[tuple]:
-        return [(self.delete_delta(v), (v,)) for v in self._ids()]
+        shape = self._shape(-1) if self.nodes else 0.0
+        return [(self._priced("delete", (v,), self.nodes[v].support, lambda v=v: self.delete_delta(v, False)) + shape, (v,)) for v in self._ids()]
 
     def _splits(self) -> list[tuple]:
-        return [(found[0], (v,), found[1]) for v in self._ids() if (found := self.best_split(v))]
+        shape = self._shape(1)
+        found = [(self._priced("split", (v,), (), lambda v=v: self._best_part(v, 64)), v) for v in self._ids()]
+        return [(best[0] + shape, (v,), best[1]) for best, v in found if best and best[0] + shape < -1e-9]
 
     def _residual_mints(self) -> list[tuple]:
         return [(found[0], (), *found[1:])] if (found := self.best_residual_mint()) else []
 
-    def split_delta(self, nid: int, part: set[int]) -> float:
+    def split_delta(self, nid: int, part: set[int], shaped: bool = True) -> float:
         """Change of total() if a node's members part in two with its whole support; the background stays."""
         node = self.nodes[nid]
-        out = self._shape(1) - self._bits_of(node)
+        out = -self._bits_of(node)
         for side in (node.members & part, node.members - part):
             counts = {k: Counter(self.records[m][k] for m in side if self.owner.get((m, k)) == nid) for k in node.support}
             out += self._node_bits(len(side), node.support, {k: sum(k in self.records[m] for m in side) for k in node.support}, counts)
-        return out
+        return out + shaped * self._shape(1)
 
     def split(self, nid: int, part: set[int]) -> int:
         """Members in part become a node of their own; its id."""
@@ -468,18 +536,27 @@ class Learner:
                 if self.owner[m, k] == nid:
                     self._give(m, k, self.last)
         self.edits += 1
+        self._changed((nid, self.last), node.support)
         return self.last
 
     def best_split(self, nid: int, most: int = 64) -> tuple[float, set[int]] | None:
         """The best part by its delta and the bits that name it: members with a (key, value), the commonest pairs first, and each grown once."""
-        node = self.nodes[nid]
-        tried = self._parts(node.members, most, 2)
+        best = self._best_part(nid, most)
+        if best is None:
+            return None
+        delta = best[0] + self._shape(1)
+        return (delta, best[1]) if delta < -1e-9 else None
+
+    def _best_part(self, nid: int, most: int) -> tuple[float, set[int]] | None:
+        tried = self._parts(self.nodes[nid].members, most, 2)
         if not tried:
             return None
-        charge = math.log2(len(tried))
-        best = min(range(len(tried)), key=lambda i: self.split_delta(nid, tried[i]))
-        delta = self.split_delta(nid, tried[best]) + charge
-        return (delta, set(tried[best])) if delta < -1e-9 else None
+        seen: dict[frozenset, float] = {}
+        for part in tried:
+            if (key := frozenset(part)) not in seen:
+                seen[key] = self.split_delta(nid, part, False)
+        best = min(seen, key=seen.__getitem__)
+        return seen[best] + math.log2(len(tried)), set(best)
 
     def _parts(self, members: set[int], most: int, least: int) -> list[set[int]]:
         """Proper parts: members with a (key, value), the commonest pairs first, and each grown once; the rest has least members or more before it grows."""
@@ -497,11 +574,17 @@ class Learner:
             for k, v in self.records[m].items():
                 halves[m not in seed][k][v] += 1
         totals = [{k: sum(c.values()) for k, c in half.items()} for half in halves]
-
-        def cost(m: int, h: int) -> float:
-            return sum(_kt(halves[h][k][v], totals[h].get(k, 0), len(self.values[k])) for k, v in self.records[m].items())
-
-        return {m for m in members if cost(m, 0) <= cost(m, 1)}
+        pairs = {(k, v) for half in halves for k, c in half.items() for v in c}
+        bits = [{(k, v): _kt(halves[h][k][v], totals[h].get(k, 0), len(self.values[k])) for k, v in pairs} for h in (0, 1)]
+        nearer: dict[tuple, bool] = {}  # records alike go alike
+        out = set()
+        for m in members:
+            alike = tuple(self.records[m].items())
+            if alike not in nearer:
+                nearer[alike] = sum(map(bits[0].__getitem__, alike)) <= sum(map(bits[1].__getitem__, alike))
+            if nearer[alike]:
+                out.add(m)
+        return out
 
     def best_residual_mint(self, most: int = 64) -> tuple[float, set[int], frozenset] | None:
         """The best node out of records of no node, with all of their keys: its delta and the bits that name it, members and support."""
@@ -524,7 +607,7 @@ class Learner:
             b.counts = self.background[k].counts - counts[k]
             b.n = sum(b.counts.values())
             out += b.bits(self._naming(k)) - self.background[k].bits(self._naming(k))
-            out += self._presence(k, self._covered(k, (), members)) - self._presence(k, self._covered(k))
+            out += self._presence(k, members) - self._presence(k)
         return out + self._node_bits(len(members), support, published, counts)
 
     def residual_mint(self, members: set[int], support: frozenset) -> int:
@@ -538,6 +621,7 @@ class Learner:
                 if not self.owner[m, k]:
                     self._give(m, k, self.last)
         self.edits += 1
+        self._changed((self.last,), support)
         return self.last
 
     def _move(self, name: str, args: tuple) -> None:

@@ -180,3 +180,53 @@ def test_engine_customers_labels_every_customer(spark):
     sf = "/root/testdata/sf0.001"
     got = {r.rec_id for r in catalogue.engine_customers(spark, sf).collect()}
     assert got == {r.c_custkey for r in R.table(spark, sf, "customer").collect()}
+
+
+class Forgetful(Learner):
+    """Prices every trial anew and counts covers from the members each time."""
+
+    def _priced(self, what, ids, keys, price, also=0):
+        self._covers.clear()
+        return price()
+
+
+@pytest.mark.parametrize("rows", [kinds(400, 3), trades(500, 4)], ids=["kinds", "trades"])
+def test_remembered_prices_and_covers_change_nothing(rows):
+    learners = Learner(), Forgetful()
+    for x in learners:
+        for i, r in enumerate(rows, 1):
+            x.process(r)
+            if i % 50 == 0 and x.nodes:
+                x.repair()
+        x.repair(final=True)
+    fast, slow = learners
+    assert fast.labels() == slow.labels() and fast.edits == slow.edits
+    assert abs(fast.total() - slow.total()) < 1e-6
+    for k, (held, n, p) in fast._covers.items():
+        want = {m for v in fast.nodes.values() if k in v.support for m in v.members}
+        assert set(held) == want and n == len(want) and p == sum(k in fast.records[m] for m in want)
+
+
+def test_a_move_prices_its_neighbours_only():
+    """Groups without a key in common: after a move in one, trials of the others aren't priced again."""
+    asked = []
+
+    class Counting(Learner):
+        def _priced(self, what, ids, keys, price, also=0):
+            return super()._priced(what, ids, keys, lambda: (asked.append((what, ids)), price())[1], also)
+
+    for groups in (4, 12):
+        learner = Counting()
+        rng = random.Random(groups)
+        for i in range(60 * groups):
+            learner.process(filled(rng, [f"g{i % groups}{c}" for c in "abc"], 4))
+        learner.repair()
+        assert len(learner.nodes) == groups
+        asked.clear()
+        learner.delete(min(learner.nodes))
+        learner._deletes(), learner._merges()
+        assert asked == []
+        v = min(learner.nodes)
+        learner.reassign(next(m for m in learner._free()), v)
+        learner._deletes(), learner._merges()
+        assert asked and all(v in ids for _, ids in asked) and len(asked) <= 2
