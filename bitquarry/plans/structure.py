@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bitquarry.operators import objective, splits
+from bitquarry.operators import objective, predictive, splits
 from bitquarry.operators import ownership as O
 from bitquarry.plans import duck as D
 from bitquarry.plans.catalogue import query, r6
@@ -224,3 +224,25 @@ def residual_mint_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
     """New nodes out of the customers of no node, by pairs grown once, with the change of the total that each makes."""
     out = splits.residual_mint_deltas(_regions(spark, sf_dir))
     return out.select("part", "size", "keys", F.round("delta", 5).alias("delta"), r6("charge").alias("charge"))
+
+
+# causal losses
+
+
+@query(f"""WITH cells AS MATERIALIZED ({_GAPPY}), rc AS (SELECT DISTINCT rec_id FROM cells),
+m AS MATERIALIZED (SELECT value AS node, rec_id FROM cells WHERE key = 'region' AND value <> 'AFRICA' UNION ALL SELECT '', rec_id FROM rc),
+kf AS (SELECT key, min(rec_id) AS born FROM cells GROUP BY 1), vf AS (SELECT key, value, min(rec_id) AS born FROM cells GROUP BY 1, 2),
+g AS MATERIALIZED (SELECT r.rec_id, e.node, count(m.rec_id) AS t FROM rc r CROSS JOIN (SELECT DISTINCT node FROM m) e LEFT JOIN m ON m.node = e.node AND m.rec_id < r.rec_id GROUP BY 1, 2 HAVING count(m.rec_id) > 0 OR e.node = ''),
+mc AS MATERIALIZED (SELECT m.node, c.rec_id, c.key, c.value FROM m JOIN cells c ON c.rec_id = m.rec_id),
+gk AS (SELECT g.rec_id, g.node, g.t, k.key, c.value FROM g JOIN kf k ON k.born < g.rec_id LEFT JOIN cells c ON c.rec_id = g.rec_id AND c.key = k.key),
+nk AS (SELECT gk.rec_id, gk.node, gk.t, gk.key, gk.value, count(mc.rec_id) AS n, count(mc.rec_id) FILTER (WHERE mc.value = gk.value) AS c FROM gk LEFT JOIN mc ON mc.node = gk.node AND mc.key = gk.key AND mc.rec_id < gk.rec_id GROUP BY ALL),
+al AS (SELECT nk.*, (SELECT count(*) FROM vf WHERE vf.key = nk.key AND vf.born < nk.rec_id) AS a, EXISTS (SELECT 1 FROM vf WHERE vf.key = nk.key AND vf.value = nk.value AND vf.born < nk.rec_id) AS seen FROM nk),
+ex AS (SELECT rec_id, node, t, sum(CASE WHEN value IS NULL THEN -log2(1 - (n + 0.5) / (t + 1)) ELSE -log2((n + 0.5) / (t + 1)) - log2((CASE WHEN seen THEN c ELSE 0 END + 0.5) / (n + (a + 1) / 2.0)) + CASE WHEN seen THEN 0 ELSE {_STRING.format('value')} END END) AS bits FROM al GROUP BY 1, 2, 3),
+el AS (SELECT g.rec_id, g.t + 0.5 AS w, coalesce(bits, 0) AS bits, min(coalesce(bits, 0)) OVER (PARTITION BY g.rec_id) AS least FROM g LEFT JOIN ex USING (rec_id, node)),
+sp AS (SELECT rc.rec_id, {_GAMMA.format('count(c.key)')} + coalesce(sum({_STRING.format('c.key')} + {_STRING.format('c.value')}), 0) AS s FROM rc LEFT JOIN (SELECT c.* FROM cells c JOIN kf ON kf.key = c.key AND kf.born = c.rec_id) c ON c.rec_id = rc.rec_id GROUP BY 1)
+SELECT rec_id, round(any_value(s) + any_value(least) - log2(sum(w * pow(2, least - bits)) / sum(w)), 6) AS bits FROM el JOIN sp USING (rec_id) GROUP BY 1""")
+def causal_losses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each customer costs on arrival, under regions (but one) and the background as they were before it."""
+    cells = R.customer(spark, sf_dir).filter("NOT (key = 'nation' AND rec_id % 5 = 0)")
+    members = cells.filter("key = 'region' AND value <> 'AFRICA'").select(F.col("value").alias("node"), "rec_id")
+    return predictive.causal_losses(cells, members, chunk=1000).select("rec_id", r6("bits").alias("bits"))
