@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bitquarry.operators import objective, predictive, splits
+from bitquarry.operators import levels, objective, predictive, snapshots, splits
 from bitquarry.operators import ownership as O
 from bitquarry.plans import duck as D
 from bitquarry.plans.catalogue import query, r6
@@ -246,3 +246,83 @@ def causal_losses(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = R.customer(spark, sf_dir).filter("NOT (key = 'nation' AND rec_id % 5 = 0)")
     members = cells.filter("key = 'region' AND value <> 'AFRICA'").select(F.col("value").alias("node"), "rec_id")
     return predictive.causal_losses(cells, members, chunk=1000).select("rec_id", r6("bits").alias("bits"))
+
+
+# levels
+
+
+def _segments(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Customers, a fifth without nation; regions as parents, their market segments as leaves."""
+    cells = R.customer(spark, sf_dir).filter("NOT (key = 'nation' AND rec_id % 5 = 0)")
+    of = lambda key, name: cells.filter(F.col("key") == key).select("rec_id", F.col("value").alias(name))
+    return cells, of("region", "parent").join(of("segment", "leaf"), "rec_id")
+
+
+_LEVELS = f"""cells AS MATERIALIZED ({_GAPPY}), lv AS MATERIALIZED (SELECT a.rec_id, a.value AS parent, b.value AS leaf FROM cells a JOIN cells b ON a.rec_id = b.rec_id AND a.key = 'region' AND b.key = 'segment'),
+w AS (SELECT count(DISTINCT rec_id) AS n, count(DISTINCT key) AS a FROM cells), inv AS (SELECT key, count(DISTINCT value) AS inv FROM cells GROUP BY 1),
+ls AS (SELECT parent, leaf, count(*) AS t FROM lv GROUP BY 1, 2), ps AS (SELECT parent, count(*) AS t FROM lv GROUP BY 1),
+lc AS (SELECT parent, leaf, key, value, count(*) AS c FROM lv JOIN cells USING (rec_id) GROUP BY 1, 2, 3, 4), pc AS (SELECT parent, key, value, sum(c) AS c FROM lc GROUP BY 1, 2, 3),
+lb AS (SELECT g.parent, g.leaf, g.key, {D.col('p', 't')} AS pr, {D.vblock('s', 'p', 'u', D.naming('inv'))} AS v FROM (SELECT parent, leaf, key, sum(c) AS p, count(*) AS u, sum({D.term('(c - 1)')}) AS s FROM lc GROUP BY 1, 2, 3) g JOIN ls USING (parent, leaf) JOIN inv USING (key)),
+pb AS (SELECT g.parent, g.key, {D.col('p', 't')} AS pr, {D.vblock('s', 'p', 'u', D.naming('inv'))} AS v FROM (SELECT parent, key, sum(c) AS p, count(*) AS u, sum({D.term('(c - 1)')}) AS s FROM pc GROUP BY 1, 2) g JOIN ps USING (parent) JOIN inv USING (key)),
+pl AS (SELECT pb.parent, pb.key, pb.pr + pb.v AS at_parent, at_leaves, round(pb.pr + pb.v, 9) <= round(at_leaves, 9) AS kept FROM pb JOIN (SELECT parent, key, sum(pr + v) AS at_leaves FROM lb GROUP BY 1, 2) l USING (parent, key))"""
+
+_SHAPE = f"({D.universal('(count(*) + 1)')} - CASE WHEN count(*) > 1 THEN {D.lg2('count(*) + 1')} ELSE 0 END)"
+_SUPPORT = f"(CASE WHEN coalesce(k, 0) = 0 THEN {D.universal('1')} ELSE {D.support('greatest(k, 1)', 'a')} END)"
+
+
+@query(f"WITH {_LEVELS} SELECT parent, key, round(at_parent, 6) AS at_parent, round(at_leaves, 6) AS at_leaves, kept FROM pl")
+def key_placements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each region and key, what it costs written once by the region or by each of its segments."""
+    cells, leaves = _segments(spark, sf_dir)
+    sizes = leaves.groupBy("parent", "leaf").agg(F.count("*").alias("t"))
+    out = levels.placements(saved(levels.counts(cells, leaves)), sizes, objective.inventory(cells))
+    return out.select("parent", "key", r6("at_parent").alias("at_parent"), r6("at_leaves").alias("at_leaves"), "kept")
+
+
+@query(f"""WITH {_LEVELS},
+fl AS (SELECT {_SHAPE} + sum({D.col('t', 'n')} + {_SUPPORT} + pr + v) AS flat FROM ls JOIN (SELECT parent, leaf, count(*) AS k, sum(pr) AS pr, sum(v) AS v FROM lb GROUP BY 1, 2) USING (parent, leaf) CROSS JOIN w),
+pt AS (SELECT {_SHAPE} + sum({D.col('t', 'n')} + {_SUPPORT} + coalesce(pr, 0) + coalesce(v, 0)) AS parents FROM ps LEFT JOIN (SELECT parent, count(*) AS k, sum(pr) AS pr, sum(v) AS v FROM pb JOIN pl USING (parent, key) WHERE kept GROUP BY 1) USING (parent) CROSS JOIN w),
+un AS (SELECT {_SHAPE} + sum({D.col('ls.t', 'ps.t')} + {_SUPPORT} + coalesce(pr, 0) + coalesce(v, 0)) AS leaves, count(*) * log2(count(DISTINCT parent)) AS pointer FROM ls JOIN ps USING (parent) LEFT JOIN (SELECT parent, leaf, count(*) AS k, sum(pr) AS pr, sum(v) AS v FROM lb JOIN pl USING (parent, key) WHERE NOT kept GROUP BY 1, 2) USING (parent, leaf) CROSS JOIN w)
+SELECT round(flat, 5) AS flat, round(parents + leaves + pointer, 5) AS nested, round(pointer, 6) AS pointer FROM fl, pt, un""")
+def flat_and_nested_code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The segments of all regions coded as groups of the stream, and as leaves under the regions."""
+    return levels.flat_and_nested(*_segments(spark, sf_dir)).select(F.round("flat", 5).alias("flat"), F.round("nested", 5).alias("nested"), r6("pointer").alias("pointer"))
+
+
+# snapshots
+
+
+_SNAPSHOTS = f"""cells AS MATERIALIZED ({D.CUSTOMER}), n AS (SELECT count(DISTINCT rec_id) AS n FROM cells),
+a AS MATERIALIZED (SELECT value AS node, rec_id FROM cells WHERE key IN ('region', 'segment')),
+b AS MATERIALIZED (SELECT CASE WHEN key = 'region' AND value IN ('AFRICA', 'ASIA') THEN 'new A' ELSE 'new ' || value END AS node, rec_id FROM cells WHERE (key = 'region' AND rec_id % 7 <> 0) OR (key = 'segment' AND rec_id % 3 <> 0)),
+p AS MATERIALIZED (SELECT a, b, o AS both_n, o / (x.n + y.n - o) AS j FROM (SELECT a.node AS a, b.node AS b, count(*) AS o FROM a JOIN b USING (rec_id) GROUP BY 1, 2) JOIN (SELECT node AS a, count(*) AS n FROM a GROUP BY 1) x USING (a) JOIN (SELECT node AS b, count(*) AS n FROM b GROUP BY 1) y USING (b)),
+r AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY both_n DESC, a, b) AS k FROM p),
+g(k, ua, ub) AS (SELECT 0::BIGINT, []::VARCHAR[], []::VARCHAR[] UNION ALL SELECT r.k, CASE WHEN list_contains(ua, a) OR list_contains(ub, b) THEN ua ELSE list_append(ua, a) END, CASE WHEN list_contains(ua, a) OR list_contains(ub, b) THEN ub ELSE list_append(ub, b) END FROM g JOIN r ON r.k = g.k + 1),
+m AS (SELECT r.* FROM r JOIN g x ON x.k = r.k JOIN g y ON y.k = r.k - 1 WHERE len(x.ua) > len(y.ua))"""
+
+
+def _two_covers(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Regions and segments of customers; and the same with two regions merged and some members gone."""
+    cells = R.customer(spark, sf_dir)
+    a = cells.filter("key IN ('region', 'segment')").select(F.col("value").alias("node"), "rec_id")
+    name = F.when((F.col("key") == "region") & F.col("value").isin("AFRICA", "ASIA"), "new A").otherwise(F.concat(F.lit("new "), "value"))
+    b = cells.filter("(key = 'region' AND rec_id % 7 <> 0) OR (key = 'segment' AND rec_id % 3 <> 0)").select(name.alias("node"), "rec_id")
+    return a, b
+
+
+@query(f"WITH RECURSIVE {_SNAPSHOTS} SELECT a, b, both_n, round(j, 6) AS jaccard FROM m")
+def matched_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of two covers that answer to each other."""
+    return snapshots.match(snapshots.overlaps(*_two_covers(spark, sf_dir))).select("a", "b", F.col("both").alias("both_n"), r6("jaccard").alias("jaccard"))
+
+
+@query(f"""WITH RECURSIVE {_SNAPSHOTS}, bn AS (SELECT b.rec_id, coalesce(m.a, 'fresh ' || b.node) AS node FROM b LEFT JOIN m ON m.b = b.node),
+ch AS (SELECT count(*) AS changed FROM (SELECT rec_id FROM (SELECT rec_id, list_sort(list(node)) AS s FROM a GROUP BY 1) x FULL JOIN (SELECT rec_id, list_sort(list(node)) AS s FROM bn GROUP BY 1) y USING (rec_id) WHERE x.s IS DISTINCT FROM y.s)),
+ba AS (SELECT node, max(coalesce(j, 0)) AS best FROM (SELECT node FROM a GROUP BY 1 HAVING count(*) >= greatest(2, (SELECT round(0.05 * n) FROM n))) LEFT JOIN p ON p.a = node GROUP BY 1),
+bb AS (SELECT node, max(coalesce(j, 0)) AS best FROM (SELECT node FROM b GROUP BY 1 HAVING count(*) >= greatest(2, (SELECT round(0.05 * n) FROM n))) LEFT JOIN p ON p.b = node GROUP BY 1)
+SELECT (SELECT count(DISTINCT node) FROM a) AS nodes_a, (SELECT count(DISTINCT node) FROM b) AS nodes_b, (SELECT count(*) FROM m) AS matched, round((SELECT avg(j) FROM m), 6) AS mean_jaccard, round((SELECT min(j) FROM m), 6) AS min_jaccard, (SELECT changed FROM ch) AS changed, round((SELECT changed FROM ch) / (SELECT n FROM n), 6) AS changed_share,
+(SELECT count(*) FROM ba) AS big_a, (SELECT count(*) FROM ba WHERE best >= 0.5) AS surviving_a, round((SELECT min(best) FROM ba), 6) AS worst_a, (SELECT count(*) FROM bb) AS big_b, (SELECT count(*) FROM bb WHERE best >= 0.5) AS surviving_b, round((SELECT min(best) FROM bb), 6) AS worst_b""")
+def snapshot_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How two covers of the customers differ."""
+    out = snapshots.compare(*_two_covers(spark, sf_dir), R.table(spark, sf_dir, "customer").count())
+    return out.withColumns({c: r6(c) for c in ("mean_jaccard", "min_jaccard", "changed_share", "worst_a", "worst_b")})
