@@ -12,7 +12,7 @@ def local(cpus: int | str = "*", name: str = "bitquarry", **conf: str) -> SparkS
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.ui.enabled", "false")
-        .config("spark.python.sql.dataFrameDebugging.enabled", "false")  # call sites of every Column operation cost more than the plans
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")  # call sites of Column operations cost more than building the plans
         .config("spark.ui.showConsoleProgress", "false")
     )
     for k, v in conf.items():

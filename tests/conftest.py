@@ -1,8 +1,6 @@
 import pytest
 from pyspark.sql import SparkSession
 
-from bitquarry.functions import bits
-
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
@@ -14,5 +12,4 @@ def spark(tmp_path_factory):
     )
     session.sparkContext.setLogLevel("ERROR")
     session.sparkContext.setCheckpointDir(str(tmp_path_factory.mktemp("checkpoints")))
-    with bits.named(session):
-        yield session
+    return session

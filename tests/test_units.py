@@ -96,14 +96,3 @@ def test_components_and_covers(spark):
     assert got == {1: 1, 2: 1, 3: 1, 8: 8, 9: 8, 20: 20, 21: 20, 22: 20, 23: 20, 24: 20}
     w = spark.createDataFrame([(1, "a", 0.9), (1, "b", 0.6), (1, "c", 0.1), (2, "a", 0.0), (2, "b", 0.0)], "rec_id long, group string, w double")
     assert sorted((r.rec_id, r.group) for r in baselines.soft_cover(w).collect()) == [(1, "a"), (1, "b"), (2, "a")]
-
-
-def test_named_functions_give_what_the_inline_expressions_give(spark):
-    df = spark.range(500).selectExpr("CAST(id * id AS DOUBLE) AS n", "id AS t")
-    both = lambda: df.select("n", B.column_bits("t", "n").alias("a"), B.lgamma(F.col("n") * 1e28 + 0.5).alias("b"), F.when(F.col("n") > 9, B.lg2(F.col("n") - 9)).alias("c")).collect()
-    token = B._named.set(False)
-    inline = both()
-    B._named.reset(token)
-    with B.named(spark):
-        for x, y in zip(inline, both()):
-            assert all(u == v or math.isclose(u, v, rel_tol=1e-12, abs_tol=1e-9 * max(1.0, x.n * 1e-3)) for u, v in zip(x, y)), (x, y)
