@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bitquarry.operators import levels, objective, predictive, snapshots, splits
+from bitquarry.operators import branches, levels, objective, predictive, snapshots, splits
 from bitquarry.operators import ownership as O
 from bitquarry.plans import duck as D
 from bitquarry.plans.catalogue import query, r6
@@ -326,3 +326,26 @@ def snapshot_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How two covers of the customers differ."""
     out = snapshots.compare(*_two_covers(spark, sf_dir), R.table(spark, sf_dir, "customer").count())
     return out.withColumns({c: r6(c) for c in ("mean_jaccard", "min_jaccard", "changed_share", "worst_a", "worst_b")})
+
+
+# the branch code
+
+
+@query(f"""WITH RECURSIVE {_PLACES}, {_CHEAPEST}, {_DESCRIPTION},
+dp(node, depth) AS (SELECT node, 1 FROM t UNION SELECT l.child, depth + 1 FROM dp JOIN links l ON l.parent = dp.node),
+rk AS (SELECT node, row_number() OVER (ORDER BY max(depth), node) - 1 AS rank FROM dp GROUP BY node),
+mr AS (SELECT c.rec_id, (SELECT string_agg(CASE WHEN EXISTS (SELECT 1 FROM members m WHERE m.rec_id = c.rec_id AND m.node = rk.node) THEN '1' ELSE '0' END, '' ORDER BY rank) FROM rk) AS marks FROM (SELECT DISTINCT rec_id FROM cells) c),
+vo AS MATERIALIZED (SELECT rec_id, row_number() OVER (ORDER BY turn, marks) AS pos FROM (SELECT *, row_number() OVER (PARTITION BY marks ORDER BY rec_id) AS turn FROM mr)),
+sl AS (SELECT s.*, pos, count(*) OVER (PARTITION BY node, key ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS tb, count(value) OVER (PARTITION BY node, key ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS nb,
+    row_number() OVER (PARTITION BY node, key, value ORDER BY pos) - 1 AS cb FROM slots s JOIN vo USING (rec_id)),
+pd AS (SELECT sum(-log2((CASE WHEN value IS NULL THEN tb - nb ELSE nb END + 0.5) / (tb + 1))) AS p, sum(CASE WHEN value IS NULL THEN 0 ELSE -log2((cb + 0.5) / (nb + d / 2)) END) AS v FROM sl JOIN owners o ON o.rec_id = sl.rec_id AND o.key = sl.key AND o.node = sl.node JOIN keys ON keys.key = sl.key),
+fm AS (SELECT t.node, coalesce((SELECT string_agg(parent, '|' ORDER BY parent) FROM links WHERE child = t.node), '') AS family FROM t), fk AS (SELECT family, count(*) AS children FROM fm GROUP BY 1),
+my AS (SELECT f.family, r.rec_id FROM fk f CROSS JOIN (SELECT DISTINCT rec_id FROM cells) r WHERE NOT EXISTS (SELECT 1 FROM (SELECT unnest(string_split(f.family, '|')) AS p) x WHERE p <> '' AND NOT EXISTS (SELECT 1 FROM members m WHERE m.node = p AND m.rec_id = r.rec_id))),
+pa AS (SELECT family, pattern, count(*) AS c FROM (SELECT my.family, my.rec_id, list_sort(list(m.node) FILTER (WHERE m.node IS NOT NULL)) AS pattern FROM my LEFT JOIN (SELECT fm.family, m.rec_id, m.node FROM members m JOIN fm USING (node)) m ON m.family = my.family AND m.rec_id = my.rec_id GROUP BY 1, 2) GROUP BY 1, 2),
+ls2 AS (SELECT family, count(*) AS k, sum({_bin('coalesce(len(pattern), 0)', 'children')}) AS bits, sum(c) AS n, sum({_half('c')}) AS s FROM pa JOIN fk USING (family) GROUP BY 1),
+mp AS (SELECT sum({_GAMMA.format('k')} + bits) AS patterns, sum(CASE WHEN k > 1 THEN {D.ktblock('s', 'n', 'k')} ELSE 0 END) AS member FROM ls2)
+SELECT round(header + 8, 6) AS header, round(structure, 6) AS structure, round(patterns, 6) AS membership_patterns, round(member, 6) AS membership, round(ownership, 6) AS ownership, round(pd.p + cp.bits, 5) AS presence, round(pd.v + cv.bits, 5) AS values FROM al, mp, pd, cp, cv""")
+def branch_description(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The places' hierarchy in the branch code."""
+    out = branches.description(O.route_cheapest(places(spark, sf_dir)), chunk=5000)
+    return out.select(*[r6(c).alias(c) for c in ("header", "structure", "membership_patterns", "membership", "ownership")], *[F.round(c, 5).alias(c) for c in ("presence", "values")])
