@@ -52,3 +52,21 @@ def releases(ledger_: DataFrame, n: int, keys: int, nodes: int = 0, edits: int =
     priced = pos.withColumn("price", price).withColumn("margin", F.col("released") - F.col("price"))
     best = priced.groupBy("seed_key", "seed_value", "t").agg(F.max_by(F.struct("size", "released", "price", "margin"), F.struct("margin", -F.col("size"))).alias("b"), F.array_sort(F.collect_list(F.struct((-F.col("g")).alias("m"), "key"))).alias("ks"))
     return best.select("seed_key", "seed_value", "t", "b.*", F.transform(F.slice("ks", 1, F.col("b.size")), lambda x: x.key).alias("support"))
+
+
+def absence_credit(cells: DataFrame, least: int = 2) -> DataFrame:
+    """seed_key, seed_value, t, absent_keys, credit: what an account of t records saves on the keys that none of them has.
+
+    That is every key of the stream but those of its ledger. What the background
+    spends on a key's absence is added up over all keys once and taken back for
+    the ledger's, so no account meets the whole universe of keys.
+    """
+    total = cells.agg(F.count_distinct("rec_id").alias("n"))
+    spent = cells.groupBy("key").agg(F.count("*").alias("bp")).crossJoin(F.broadcast(total)).select("key", B.kt(F.col("n") - F.col("bp"), F.col("n"), 2).alias("f"))  # one row
+    every = spent.agg(F.sum("f").alias("all_f"), F.count("*").alias("all_keys"))
+    often = cells.groupBy("key", "value").agg(F.count("*").alias("t")).filter(F.col("t") >= least)
+    seeds = cells.join(often, ["key", "value"]).select(F.col("key").alias("seed_key"), F.col("value").alias("seed_value"), "t", "rec_id")
+    has = seeds.join(cells.select("rec_id", "key"), "rec_id").groupBy("seed_key", "seed_value", "t", "key").agg(F.lit(1).alias("one")).join(spent, "key")
+    own = has.groupBy("seed_key", "seed_value", "t").agg(F.sum("f").alias("own_f"), F.count("*").alias("own_keys")).crossJoin(F.broadcast(every))  # one row
+    absent = F.col("all_keys") - F.col("own_keys")
+    return own.select("seed_key", "seed_value", "t", absent.alias("absent_keys"), (F.col("t") * (F.col("all_f") - F.col("own_f")) - absent * B.column_bits(F.lit(0), "t")).alias("credit"))

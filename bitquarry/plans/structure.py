@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bitquarry.operators import branches, levels, objective, predictive, snapshots, splits
+from bitquarry.operators import accounts, branches, levels, nulls, objective, predictive, snapshots, splits
 from bitquarry.operators import ownership as O
 from bitquarry.plans import duck as D
 from bitquarry.plans.catalogue import query, r6
@@ -349,3 +349,27 @@ def branch_description(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The places' hierarchy in the branch code."""
     out = branches.description(O.route_cheapest(places(spark, sf_dir)), chunk=5000)
     return out.select(*[r6(c).alias(c) for c in ("header", "structure", "membership_patterns", "membership", "ownership")], *[F.round(c, 5).alias(c) for c in ("presence", "values")])
+
+
+# credit for keys that no member has; summaries of bounded size
+
+
+@query(f"""WITH cells AS MATERIALIZED ({D.MIXED}), n AS (SELECT count(DISTINCT rec_id) AS n FROM cells), k AS (SELECT key, count(*) AS bp FROM cells GROUP BY 1), s AS (SELECT key AS sk, value AS sv, count(*) AS t FROM cells GROUP BY 1, 2 HAVING count(*) >= 2),
+h AS (SELECT DISTINCT a.key AS sk, a.value AS sv, b.key FROM cells a JOIN cells b USING (rec_id)),
+x AS (SELECT s.sk, s.sv, s.t, k.key, s.t * {D.kt('(n - bp)', 'n', '2')} - {D.col('0', 's.t')} AS g FROM s CROSS JOIN k CROSS JOIN n WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.sk = s.sk AND h.sv = s.sv AND h.key = k.key))
+SELECT s.sk AS seed_key, s.sv AS seed_value, s.t, count(x.key) AS absent_keys, round(coalesce(sum(g), 0), 5) AS credit FROM s LEFT JOIN x ON x.sk = s.sk AND x.sv = s.sv GROUP BY 1, 2, 3""")
+def absence_credit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every pair's records save on the keys that none of them has."""
+    out = accounts.absence_credit(R.mixed(spark, sf_dir).drop("truth"))
+    return out.select("seed_key", "seed_value", "t", "absent_keys", F.round("credit", 5).alias("credit"))
+
+
+@query("""WITH l AS (SELECT l_returnflag AS mode, l_orderkey * 10 + l_linenumber AS line, round(CAST(l_extendedprice AS DOUBLE) / l_quantity, 6) AS ratio FROM lineitem),
+r AS (SELECT mode, ratio, row_number() OVER (PARTITION BY mode ORDER BY ratio) AS k, count(*) OVER (PARTITION BY mode) AS c FROM (SELECT *, row_number() OVER (PARTITION BY mode ORDER BY md5(CAST(line AS VARCHAR)), line) AS d FROM l) WHERE d <= 2000)
+SELECT mode, count(*) AS n, round(avg(ratio), 6) AS mean, min(ratio) AS least, max(ratio) AS greatest, (SELECT ratio FROM r WHERE r.mode = l.mode AND k = greatest(1, ceil(0.5 * c))) AS p50, (SELECT ratio FROM r WHERE r.mode = l.mode AND k = greatest(1, ceil(0.99 * c))) AS p99 FROM l GROUP BY mode""")
+def ratio_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Price for each unit of the lines of a return flag: exact figures, and quantiles of a reservoir of 2,000."""
+    l = R.table(spark, sf_dir, "lineitem")  # noqa: E741
+    ratio = r6(F.col("l_extendedprice").cast("double") / F.col("l_quantity"))
+    rows = l.select(F.col("l_returnflag").alias("mode"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("line"), ratio.alias("ratio"))
+    return nulls.summaries(rows, ["mode"], "line", "ratio", {"p50": 0.5, "p99": 0.99}, 2000).withColumn("mean", r6("mean"))
