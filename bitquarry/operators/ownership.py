@@ -34,6 +34,11 @@ class Owned:
     owners: DataFrame
 
 
+def settled(h: Owned) -> Owned:
+    """The state written and read back, so that what follows starts from its tables and not from what led to them."""
+    return Owned(*(saved(df) for df in (h.cells, h.members, h.support, h.links, h.owners)))
+
+
 # the graph of nodes
 
 

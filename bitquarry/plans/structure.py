@@ -20,7 +20,7 @@ SUPPORTS = {"cust": ("segment", "nation"), "supp": ("nation", "brand"), "reg": (
 
 def places(spark: SparkSession, sf_dir: str) -> O.Owned:
     """Leaves hold members, and their ancestors take these in; one link of each customers' leaf is implied by others and goes."""
-    cells = R.mixed(spark, sf_dir)
+    cells = saved(R.mixed(spark, sf_dir))
     name = lambda kind: F.concat(F.lit(kind + ":"), "value")
     of = lambda truth, key, kind: cells.filter((F.col("truth") == truth) & (F.col("key") == key)).select(name(kind).alias("node"), "rec_id", "value")
     leaves = of("customer", "region", "cust").unionByName(of("supplier", "region", "supp")).unionByName(of("orders", "status", "ord"))
@@ -34,7 +34,7 @@ def places(spark: SparkSession, sf_dir: str) -> O.Owned:
     support = nodes.withColumn("kind", F.split("node", ":")[0]).join(F.broadcast(keys), "kind").select("node", "key")
     raw = O.Owned(cells.select("rec_id", "key", "value"), leaves.select("node", "rec_id"), support, links, spark.createDataFrame([], "rec_id long, key string, node string"))
     closure = O.ancestors(links)
-    return O.reduce_links(O.close_members(raw, closure), closure)
+    return O.settled(O.reduce_links(O.close_members(raw, closure), closure))
 
 
 _KINDS = ", ".join(f"('{kind}', '{key}')" for kind, ks in SUPPORTS.items() for key in ks)
@@ -94,7 +94,7 @@ al AS (SELECT header, structure, membership, ownership, pr.bits + cp.bits AS pre
 
 @query(f"WITH RECURSIVE {_PLACES}, {_CHEAPEST}, {_DESCRIPTION} SELECT round(header, 6) AS header, round(structure, 6) AS structure, round(membership, 6) AS membership, round(ownership, 6) AS ownership, round(presence, 6) AS presence, round(values, 6) AS values, round(header + structure + membership + ownership + presence + values, 6) AS total FROM al")
 def hierarchy_description(spark: SparkSession, sf_dir: str) -> DataFrame:
-    h = O.route_cheapest(places(spark, sf_dir))
+    h = O.settled(O.route_cheapest(places(spark, sf_dir)))
     return O.description(h).select(*[r6(c).alias(c) for c in ("header", "structure", "membership", "ownership", "presence", "values", "total")])
 
 
@@ -347,7 +347,7 @@ mp AS (SELECT sum({_GAMMA.format('k')} + bits) AS patterns, sum(CASE WHEN k > 1
 SELECT round(header + 8, 6) AS header, round(structure, 6) AS structure, round(patterns, 6) AS membership_patterns, round(member, 6) AS membership, round(ownership, 6) AS ownership, round(pd.p + cp.bits, 5) AS presence, round(pd.v + cv.bits, 5) AS values FROM al, mp, pd, cp, cv""")
 def branch_description(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The places' hierarchy in the branch code."""
-    out = branches.description(O.route_cheapest(places(spark, sf_dir)), chunk=5000)
+    out = branches.description(O.settled(O.route_cheapest(places(spark, sf_dir))), chunk=5000)
     return out.select(*[r6(c).alias(c) for c in ("header", "structure", "membership_patterns", "membership", "ownership")], *[F.round(c, 5).alias(c) for c in ("presence", "values")])
 
 
