@@ -77,3 +77,46 @@ def flat_and_nested(cells: DataFrame, leaves: DataFrame) -> DataFrame:
     row = flat.crossJoin(parents).crossJoin(under).crossJoin(pointer)  # one row each
     add = lambda start: sum((F.col(c) for c in row.columns if c.startswith(start)), F.lit(0.0))
     return row.withColumns({"flat": add("flat_"), "nested": add("parent_") + add("leaf_") + F.col("pointer")})
+
+
+# nesting found in a cover
+
+
+def purities(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """node, size, label, purity: the commonest label (rec_id, label) of a node's labelled members, of equals the first, and its share of all members."""
+    size = members.groupBy("node").agg(F.count("*").alias("size"))
+    seen = members.join(labels.filter("label IS NOT NULL"), "rec_id").groupBy("node", "label").agg(F.count("*").alias("c"))
+    top = seen.groupBy("node").agg(F.min(F.struct((-F.col("c")).alias("c"), "label")).alias("x"))
+    return size.join(top, "node", "left").select("node", "size", F.col("x.label").alias("label"), F.coalesce(-F.col("x.c") / F.col("size"), F.lit(0.0)).alias("purity"))
+
+
+def nested_edges(members: DataFrame, support: DataFrame, families: DataFrame, species: DataFrame, inside: float = 0.8, pure: float = 0.8, mixed: float = 0.6) -> DataFrame:
+    """child, parent, containment, child_label, parent_label: species nodes that lie in family nodes, with no key in common.
+
+    A family node is pure by family and mixed by species, a species node is
+    pure by species. Only pairs of nodes that share a record are met.
+    """
+    f, s = purities(members, families), purities(members, species)
+    both = f.select("node", F.col("label").alias("family"), F.col("purity").alias("fp")).join(s.select("node", "size", F.col("label").alias("kind"), F.col("purity").alias("sp")), "node")
+    parents = saved(both.filter((F.col("fp") >= pure) & (F.col("sp") < mixed)).select(F.col("node").alias("parent"), F.col("family").alias("parent_label")))
+    children = saved(both.filter(F.col("sp") >= pure).select(F.col("node").alias("child"), F.col("kind").alias("child_label"), "size"))
+    of = lambda side, df, what: df.withColumnRenamed("node", side).join(what.select(side), side, "left_semi")
+    shared = of("child", members, children).join(of("parent", members, parents), "rec_id").groupBy("child", "parent").agg(F.count("*").alias("c"))
+    common = of("child", support, children).join(of("parent", support, parents), "key").select("child", "parent").distinct()
+    j = shared.filter("child <> parent").join(common, ["child", "parent"], "left_anti").join(children, "child").join(parents, "parent")
+    return j.withColumn("containment", F.col("c") / F.col("size")).filter(F.col("containment") >= inside).select("child", "parent", "containment", "child_label", "parent_label")
+
+
+def edge_scores(edges: DataFrame, gold: DataFrame) -> DataFrame:
+    """One row: found, correct, planted, precision, recall of edges by their labels; gold: child_label, parent_label."""
+    truth = gold.select("child_label", "parent_label").distinct()
+    found = edges.join(truth.withColumn("right", F.lit(1)), ["child_label", "parent_label"], "left").agg(F.count("*").alias("found"), F.count("right").alias("correct"))
+    row = found.crossJoin(truth.agg(F.count("*").alias("planted")))  # one row each
+    share = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(0.0)
+    return row.select("found", "correct", "planted", share("correct", "found").alias("precision"), share("correct", "planted").alias("recall"))
+
+
+def inlining(support: DataFrame, key_levels: DataFrame) -> DataFrame:
+    """node, upper, lower, inlined: a node's keys of either level (key, upper), and whether it writes its parent's keys beside its own."""
+    g = support.join(key_levels, "key").groupBy("node").agg(F.count_if("upper").alias("upper"), F.count_if(~F.col("upper")).alias("lower"))
+    return g.withColumn("inlined", (F.col("upper") > 0) & (F.col("lower") > 0))

@@ -373,3 +373,52 @@ def ratio_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     ratio = r6(F.col("l_extendedprice").cast("double") / F.col("l_quantity"))
     rows = l.select(F.col("l_returnflag").alias("mode"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("line"), ratio.alias("ratio"))
     return nulls.summaries(rows, ["mode"], "line", "ratio", {"p50": 0.5, "p99": 0.99}, 2000).withColumn("mean", r6("mean"))
+
+
+# nesting found in a cover
+
+
+def _nested_cover(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Customers' cells, and a cover of them: regions, nations (every fourth customer of Asia strays into INDIA) and segments, with supports."""
+    cells = saved(R.customer(spark, sf_dir))
+    own = cells.select(F.concat_ws(":", "key", "value").alias("node"), "rec_id")
+    strays = cells.filter("key = 'region' AND value = 'ASIA' AND rec_id % 4 = 0").select(F.lit("nation:INDIA").alias("node"), "rec_id")
+    members = own.unionByName(strays).distinct()
+    key = F.explode(F.when(F.col("node").startswith("nation:C"), F.array(F.lit("nation"), F.lit("region"))).otherwise(F.array(F.split("node", ":")[0])))
+    return cells, members, members.select("node").distinct().select("node", key.alias("key"))
+
+
+_NESTED = f"""cells AS MATERIALIZED ({D.CUSTOMER}), mb AS MATERIALIZED (SELECT key || ':' || value AS node, rec_id FROM cells UNION SELECT 'nation:INDIA', rec_id FROM cells WHERE key = 'region' AND value = 'ASIA' AND rec_id % 4 = 0),
+sp AS (SELECT node, unnest(CASE WHEN node LIKE 'nation:C%' THEN ['nation', 'region'] ELSE [split_part(node, ':', 1)] END) AS key FROM (SELECT DISTINCT node FROM mb)),
+lb AS (SELECT a.rec_id, a.value AS family, b.value AS kind FROM cells a JOIN cells b USING (rec_id) WHERE a.key = 'region' AND b.key = 'nation'),
+sz AS (SELECT node, count(*) AS size FROM mb GROUP BY 1),
+fp AS (SELECT node, family, c / size AS p FROM (SELECT node, family, count(*) AS c, row_number() OVER (PARTITION BY node ORDER BY count(*) DESC, family) AS k FROM mb JOIN lb USING (rec_id) GROUP BY 1, 2) JOIN sz USING (node) WHERE k = 1),
+kp AS (SELECT node, kind, c / size AS p FROM (SELECT node, kind, count(*) AS c, row_number() OVER (PARTITION BY node ORDER BY count(*) DESC, kind) AS k FROM mb JOIN lb USING (rec_id) GROUP BY 1, 2) JOIN sz USING (node) WHERE k = 1),
+pa AS (SELECT fp.node AS parent, family AS parent_label FROM fp JOIN kp USING (node) WHERE fp.p >= 0.8 AND kp.p < 0.6), ch AS (SELECT node AS child, kind AS child_label FROM kp WHERE p >= 0.8),
+ed AS (SELECT child, parent, (SELECT count(*) FROM mb a JOIN mb b USING (rec_id) WHERE a.node = child AND b.node = parent) / size AS containment, child_label, parent_label FROM ch CROSS JOIN pa JOIN sz ON sz.node = child
+    WHERE NOT EXISTS (SELECT 1 FROM sp x JOIN sp y USING (key) WHERE x.node = child AND y.node = parent))"""
+
+
+@query(f"WITH {_NESTED} SELECT child, parent, round(containment, 6) AS containment, child_label, parent_label FROM ed WHERE containment >= 0.8")
+def nested_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations that lie in regions, as nodes of a cover, where their supports are disjoint."""
+    cells, members, support = _nested_cover(spark, sf_dir)
+    label = lambda key: cells.filter(F.col("key") == key).select("rec_id", F.col("value").alias("label"))
+    return levels.nested_edges(members, support, label("region"), label("nation")).withColumn("containment", r6("containment"))
+
+
+@query(f"WITH {_NESTED}, gd AS (SELECT DISTINCT kind AS child_label, family AS parent_label FROM lb), ok AS (SELECT * FROM ed WHERE containment >= 0.8) SELECT count(*) AS found, count(gd.child_label) AS correct, (SELECT count(*) FROM gd) AS planted, round(count(gd.child_label) / count(*), 6) AS precision, round(count(gd.child_label) / (SELECT count(*) FROM gd), 6) AS recall FROM ok LEFT JOIN gd ON gd.child_label = ok.child_label AND gd.parent_label = ok.parent_label")
+def nesting_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nested edges held against what nations and regions say."""
+    cells, members, support = _nested_cover(spark, sf_dir)
+    label = lambda key, name="label": cells.filter(F.col("key") == key).select("rec_id", F.col("value").alias(name))
+    edges = levels.nested_edges(members, support, label("region"), label("nation"))
+    gold = label("nation", "child_label").join(label("region", "parent_label"), "rec_id")
+    return levels.edge_scores(edges, gold).withColumns({"precision": r6("precision"), "recall": r6("recall")})
+
+
+@query(f"WITH {_NESTED} SELECT node, count(*) FILTER (WHERE key = 'region') AS upper, count(*) FILTER (WHERE key <> 'region') AS lower, count(*) FILTER (WHERE key = 'region') > 0 AND count(*) FILTER (WHERE key <> 'region') > 0 AS inlined FROM sp GROUP BY 1")
+def inlined_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the cover that write the region's key beside their own."""
+    _, _, support = _nested_cover(spark, sf_dir)
+    return levels.inlining(support, spark.createDataFrame([("region", True), ("nation", False), ("segment", False)], "key string, upper boolean"))
