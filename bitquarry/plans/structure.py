@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bitquarry.operators import accounts, branches, levels, nulls, objective, predictive, snapshots, splits
+from bitquarry.operators import accounts, branches, levels, nearest, nulls, objective, predictive, snapshots, splits
 from bitquarry.operators import ownership as O
 from bitquarry.plans import duck as D
 from bitquarry.plans.catalogue import query, r6
@@ -422,3 +422,14 @@ def inlined_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nodes of the cover that write the region's key beside their own."""
     _, _, support = _nested_cover(spark, sf_dir)
     return levels.inlining(support, spark.createDataFrame([("region", True), ("nation", False), ("segment", False)], "key string, upper boolean"))
+
+
+# nearest rows
+
+
+@query("""WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE len(embedding) = 64), d AS (SELECT q.vec_id AS query_id, e.vec_id AS id, round(pow(list_distance(q.v, e.v), 2), 9) AS distance FROM e q JOIN e ON q.vec_id % 100 = 0 AND q.vec_id <> e.vec_id)
+SELECT query_id, CAST(k AS INTEGER) AS rank, id, round(distance, 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS k FROM d) WHERE k <= 10""")
+def nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest of all vectors to every vector whose id is divisible by 100, exactly."""
+    e = R.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
+    return nearest.nearest(e, e.filter("id % 100 = 0")).withColumn("distance", r6("distance"))
