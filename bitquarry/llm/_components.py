@@ -1,7 +1,7 @@
 """Connected components of an edge table, by alternating large-star and small-star steps.
 
 Each step is an equi-join and partial aggregates, so a node with a third of
-all edges is split, not gathered; each round is written to the shared folder.
+all edges is split, not gathered; each round is written to the shared folder, and the one before it removed.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bitquarry.llm._common import materialize
+from bitquarry.llm._common import drop_folder, materialize
 
 CHUNK = 2_000_000
 
@@ -68,15 +68,18 @@ def components(edges: DataFrame) -> DataFrame:
     last = None
     while True:  # a logarithm of the nodes in rounds
         # large star: neighbours above u get the smallest of u and its neighbours
+        start = now
         both = now.union(now.select("v", "u"))
         # written, so that the join stands alone and a node with many edges can be split
-        low = materialize(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")))
-        now = both.filter("v > u").join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        lowest = materialize(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")))
+        now = both.filter("v > u").join(lowest, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         # small star: u and its neighbours below get the smallest of them
         down = now.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         low = down.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
         moved = down.join(low, "u")
         now = materialize(moved.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).distinct())
+        drop_folder(start)
+        drop_folder(lowest)
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == last:
             break

@@ -44,7 +44,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bitquarry.llm._common import LOWER, arrow_batches, lean, materialize, mix, parts, read, text_slices, word_hashes, word_places
+from bitquarry.llm._common import LOWER, arrow_batches, drop_folder, lean, lean_group, materialize, mix, parts, read, text_slices, word_hashes, word_places
 from bitquarry.llm._components import components, contract
 
 WIDTH = 4
@@ -150,6 +150,39 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.string(), pa.binary(), pa.binary(), pa.binary()))], names=["bucket", "kind", "a", "b", "n"])
 
 
+_UNSIGNED = {2: np.uint16, 4: np.uint32, 8: np.uint64}
+
+
+def _sent(sig: np.ndarray, doc: np.ndarray) -> tuple[bytes, bytes, bytes]:
+    """Signatures of one bucket by their lower 48 bits, and their documents as distances from the smallest id, or as places among those, whichever is shorter.
+
+    So a signature takes 8 to 10 bytes for ids that are near each other (within
+    4,294,967,295), however few signatures of a batch fall into a bucket.
+    """
+    base = doc.min()
+    off = doc.view(np.uint64) - base.view(np.uint64)
+    off = off.astype(next(t for t in _UNSIGNED.values() if int(off.max()) <= np.iinfo(t).max))
+    a = sig.astype(np.uint32).tobytes() + (sig >> np.uint64(32)).astype(np.uint16).tobytes()
+    head = base.tobytes() + bytes([off.itemsize])
+    if off.itemsize > 2:
+        names, at = np.unique(off, return_inverse=True)
+        at = at.astype(np.uint16 if len(names) < 65536 else np.uint32)
+        if names.nbytes + at.nbytes < off.nbytes:
+            return a, at.tobytes(), head + names.tobytes()
+    return a, off.tobytes(), head
+
+
+def _received(a: memoryview, b: memoryview, n: memoryview) -> tuple[np.ndarray, np.ndarray]:
+    """What ``_sent`` packed."""
+    size = len(a) // 6
+    sig = np.frombuffer(a, np.uint16, size, 4 * size).astype(np.uint64) << np.uint64(32)
+    sig |= np.frombuffer(a, np.uint32, size)
+    off = np.frombuffer(b, _UNSIGNED[len(b) // size])
+    if len(n) > 9:
+        off = np.frombuffer(n, _UNSIGNED[n[8]], offset=9)[off]
+    return sig, (off.astype(np.uint64) + np.frombuffer(n, np.uint64, 1)).view(np.int64)
+
+
 def _chain(sig: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Edges between documents that share a signature, as chains; and where each signature is first."""
     order = np.argsort(sig, kind="stable")
@@ -220,8 +253,7 @@ def _signatures(docs: DataFrame, buckets: int, width: int = WIDTH, num: int = NU
                     sig, doc, to = sig[order], doc[order], to[order]
                     cuts = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]])).tolist() + [len(to)]
                     for x, y in zip(cuts, cuts[1:]):
-                        names, at = np.unique(doc[x:y], return_inverse=True)
-                        rows.append(_packed(int(to[x]), "sig", sig[x:y], at.astype(np.uint16 if len(names) < 65536 else np.uint32), names))
+                        rows.append((int(to[x]), "sig", *_sent(sig[x:y], doc[x:y])))
             for k in range(0, len(rows), 64):
                 yield _batch(rows[k : k + 64])
 
@@ -231,24 +263,27 @@ def _signatures(docs: DataFrame, buckets: int, width: int = WIDTH, num: int = NU
 _OUT = "kind string, doc_id bigint, other bigint, h1 bigint, h2 bigint"
 
 
+@lean_group
 def _meet(table: pa.Table) -> pa.Table:
     """One bucket: chains of edges between documents that share a signature."""
     sigs, docs = [], []
     out: list[tuple[np.ndarray, np.ndarray]] = []
     infos: list[tuple] = []
-    for kind, a, b, n in zip(*(table.column(c).to_pylist() for c in ("kind", "a", "b", "n"))):
+    for kind, *packed in zip(table.column("kind").to_pylist(), *(table.column(c) for c in ("a", "b", "n"))):
+        a, b, n = (memoryview(x.as_buffer()) for x in packed)
         if kind == "sig":
-            names = np.frombuffer(n, np.int64)
-            s = np.frombuffer(a, np.uint64)
+            s, d = _received(a, b, n)
             sigs.append(s)
-            docs.append(names[np.frombuffer(b, np.uint16 if len(names) < 65536 else np.uint32)])
+            docs.append(d)
         elif kind == "edge":
             out.append((np.frombuffer(a, np.int64), np.frombuffer(b, np.int64)))
         else:
             infos.append((np.frombuffer(a, np.int64), np.frombuffer(b, np.int64), np.frombuffer(n, np.uint64).reshape(-1, 2).astype(np.int64)))
     if sigs:
-        u, v, _ = _chain(np.concatenate(sigs), np.concatenate(docs))
-        out.append((u, v))
+        sig, doc = np.concatenate(sigs), np.concatenate(docs)
+        del sigs, docs
+        out.append(_chain(sig, doc)[:2])
+        del sig, doc
     kinds: list[str] = []
     cols: list[list[np.ndarray]] = [[], [], [], []]
     if out:
@@ -272,16 +307,27 @@ def link_sets(ids: list[int], sets: list[np.ndarray], sides: list[int] | None =
     """
     n = len(ids)
     order = sorted(range(n), key=lambda k: (len(sets[k]), ids[k]))
-    values, at = np.unique(np.concatenate([sets[k] for k in order]), return_inverse=True)
     sizes = np.array([len(sets[k]) for k in order], np.int64)
-    often = np.bincount(at, minlength=len(values))
-    posting = np.repeat(np.arange(n), sizes)[np.argsort(at, kind="stable")]
+    # places as 32-bit numbers; what isn't needed further goes at once: a tile may have millions of shingles
+    flat = np.concatenate([sets[k] for k in order])
+    by_value = np.argsort(flat, kind="stable")
+    flat = flat[by_value]
+    fresh = np.concatenate([np.ones(min(1, len(flat)), bool), flat[1:] != flat[:-1]])
+    del flat
+    rank = np.cumsum(fresh, dtype=np.int32) - np.int32(1)
+    del fresh
+    often = np.bincount(rank)
+    at = np.empty(len(rank), np.int32)
+    at[by_value] = rank
+    del rank
+    posting = np.repeat(np.arange(n, dtype=np.int32), sizes)[by_value]
+    del by_value
     starts = np.concatenate([[0], np.cumsum(often)])
     ends = np.cumsum(sizes)
     roots = np.arange(n)
     members: dict[int, list[int]] = {}
     side = np.array([sides[k] for k in order]) if sides else None
-    mark = np.zeros(len(values), np.int64)
+    mark = np.zeros(len(often), np.int32)
     edges = []
     for y in range(n):
         own = at[ends[y] - sizes[y] : ends[y]]
@@ -317,7 +363,7 @@ def _links(table: pa.Table, width: int = WIDTH, num: int = NUMERATOR, den: int =
     """Edges inside one tile."""
     ids = table.column("doc_id").to_pylist()
     blocks = table.column("block").to_pylist()
-    sets = list(shingle_sets(table.column("text").combine_chunks(), width))
+    sets = [s for chunk in table.column("text").chunks for s in shingle_sets(chunk, width)]
     two = len(set(blocks)) > 1
     edges = link_sets(ids, sets, [int(b > min(blocks)) for b in blocks] if two else None, num, den) if len(ids) > 1 else []
     return pa.table([pa.array([a for a, _ in edges], pa.int64()), pa.array([b for _, b in edges], pa.int64())], names=["a", "b"])
@@ -328,6 +374,7 @@ def similar_groups(docs: DataFrame, tile_shingles: int = TILE_SHINGLES, width: i
     spark = docs.sparkSession
     arrow_batches(spark)
 
+    @lean_group
     def linked(table: pa.Table) -> pa.Table:
         return _links(table, width, num, den)
 
@@ -349,6 +396,7 @@ def similar_groups(docs: DataFrame, tile_shingles: int = TILE_SHINGLES, width: i
         some = materialize(whole.join(large.select("doc_id"), "doc_id", "left_semi"))
         counts = spark.sparkContext.broadcast(hashed_counts(some, width))
         near = materialize(_signatures(some, buckets, width, num, den, counts).groupBy("bucket").applyInArrow(_meet, _OUT))
+        drop_folder(some)
         finer = components(near.filter("kind = 'edge'").select("doc_id", "other")).withColumnsRenamed({"node": "doc_id"})
         apart = large.drop("root", "blocks").join(finer, "doc_id")
         shape = apart.groupBy("root").agg(F.sum("n").alias("total"), F.count("*").alias("sets")).filter("sets > 1")

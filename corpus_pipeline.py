@@ -19,7 +19,7 @@ from bitquarry.llm import line_dedup as _line_dedup
 from bitquarry.llm import ngram_join as _ngram_join
 from bitquarry.llm import packing as _packing
 from bitquarry.llm import toxicity as _toxicity
-from bitquarry.llm._common import materialize, read
+from bitquarry.llm._common import drop_folder, materialize, read
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,7 +59,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
+    docs, before = read(spark, sf_dir, "documents"), None
     for _, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir))
+        if before is not None:  # written by the stage before, and read by nothing more
+            drop_folder(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -1,9 +1,12 @@
+import glob
+import os
 import random
+import time
 
 import numpy as np
 
 from bitquarry.llm._components import components, contract
-from bitquarry.llm.ngram_join import keep_one, link_sets, shingle_sets, similar_groups
+from bitquarry.llm.ngram_join import _received, _sent, keep_one, link_sets, shingle_sets, similar_groups
 
 
 def brute(rows):
@@ -91,3 +94,30 @@ def test_pipeline_stage_takes_five_words_and_four_fifths(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(r.doc_id for r in corpus_pipeline.ngram_join(spark, docs, "").collect()) == [1, 3]
     assert keep_one(docs).count() == 3
+
+
+def test_sent_signatures_stay_short_in_small_buckets():
+    rng = np.random.default_rng(5)
+    for low, high, n, most in ((0, 1000, 700, 8), (-(2**62), -(2**62) + 3_000_000, 700, 10), (0, 3_000_000, 9000, 10), (-(2**63), 2**63 - 1, 50, 15), (7, 8, 1, 9)):
+        some = rng.integers(low, high, max(1, n * 5 // 7), dtype=np.int64)
+        sig, doc = rng.integers(0, 2**64 - 1, n, dtype=np.uint64), rng.choice(some, n)
+        packed = _sent(sig, doc)
+        assert sum(map(len, packed)) <= most * n + 9
+        back = _received(*map(memoryview, packed))
+        assert (back[0] == sig & np.uint64(2**48 - 1)).all() and (back[1] == doc).all()
+
+
+def test_written_steps_leave_no_shuffle_files(spark):
+    from bitquarry.llm._common import materialize
+
+    where = [os.environ.get("SPARK_LOCAL_DIRS"), spark.conf.get("spark.local.dir", None), "/tmp"]
+    files = lambda: {f for d in filter(None, where) for f in glob.glob(f"{d}/**/blockmgr-*/*/shuffle_*.data", recursive=True)}
+    before = files()
+    df = spark.range(200_000).groupBy("id").count()
+    assert materialize(df).count() == 200_000
+    for _ in range(50):  # removed by the executors, shortly after
+        left = [f for f in files() - before if os.path.exists(f) and os.path.getsize(f) > 100_000]
+        if not left:
+            break
+        time.sleep(0.1)
+    assert not left
