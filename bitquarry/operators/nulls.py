@@ -68,8 +68,19 @@ def exceedance(sups: DataFrame, levels: Sequence[float], offset: float = 0.0) ->
 def reservoir(df: DataFrame, by: list[str], name: str, value: str, size: int = RESERVOIR) -> DataFrame:
     """by..., value: of each group, the ``size`` rows with the smallest digests of their name; two reservoirs merge by taking these again."""
     digest = F.md5(F.col(name).cast("string").cast("binary"))
+    rows = df.select(*by, name, value, digest.alias("__digest")).withColumn("__bin", F.substring("__digest", 1, 4))
+    # of a large group, only digests up to the bin (of 65,536) in which it has ``size`` rows go on: no task sorts a whole group
+    bins = rows.groupBy(*by, "__bin").agg(F.count("*").alias("__n"))
+    order = Window.partitionBy(*by).orderBy("__bin")
+    upto = bins.withColumn("__sum", F.sum("__n").over(order))
+    last = upto.filter((F.col("__sum") >= size) & (F.col("__sum") - F.col("__n") < size))
+    last = last.select(*[F.col(c).alias(f"__{k}") for k, c in enumerate(by)], F.col("__bin").alias("__last"))
+    same = F.lit(True)
+    for k, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"__{k}"))
+    few = rows.join(F.broadcast(last), same, "left").filter(F.col("__last").isNull() | (F.col("__bin") <= F.col("__last")))  # a row for each group of ``size`` rows or more
     order = Window.partitionBy(*by).orderBy("__digest", name)
-    return df.select(*by, name, value, digest.alias("__digest")).withColumn("__rank", F.row_number().over(order)).filter(F.col("__rank") <= size).select(*by, value)
+    return few.withColumn("__rank", F.row_number().over(order)).filter(F.col("__rank") <= size).select(*by, value)
 
 
 def summaries(df: DataFrame, by: list[str], name: str, value: str, quantiles: dict[str, float], size: int = RESERVOIR) -> DataFrame:

@@ -43,3 +43,17 @@ def test_reservoirs_merge_and_quantiles_have_ceil_ranks(spark):
     for g in "ab":
         v = sorted(x for h, _, x in rows if h == g)
         assert (s[g].lo, s[g].mid, s[g].hi, s[g].n) == (v[0], v[249], v[-1], 500)
+
+
+def test_reservoir_sorts_few_rows_of_a_large_group(spark):
+    import hashlib
+
+    from pyspark.sql import functions as F
+
+    df = spark.range(200_000).select(F.when(F.col("id") % 2 == 0, F.lit("a")).alias("g"), F.col("id").alias("i"), (F.col("id") * 1.0).alias("v"))
+    kept = nulls.reservoir(df, ["g"], "i", "v", 50)
+    got = {g: sorted(r.v for r in kept.collect() if r.g == g) for g in ("a", None)}
+    for g, odd in (("a", 0), (None, 1)):
+        assert got[g] == sorted(map(float, sorted(range(odd, 200_000, 2), key=lambda i: hashlib.md5(str(i).encode()).hexdigest())[:50]))
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert "__last" in plan  # what is ranked is cut off by bins before
