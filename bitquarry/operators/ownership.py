@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bitquarry.functions import bits as B
@@ -23,6 +23,8 @@ from bitquarry.sources.scratch import drop, saved
 
 #: Bits of a snapshot's fixed frame: format name, version and checksum.
 FRAME_BITS = 360
+#: Memberships that one task takes. Tables of a state are so compact that files of a usual size hold tens of millions.
+ROWS = 500_000
 
 
 @dataclass(frozen=True)
@@ -39,6 +41,11 @@ def settled(h: Owned) -> Owned:
     return Owned(*(saved(df) for df in (h.cells, h.members, h.support, h.links, h.owners)))
 
 
+def dealt(members: DataFrame, rows: int = ROWS) -> int:
+    """Into how many partitions the slots of members are dealt, so that a task's share is bounded."""
+    return max(int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-members.count() // rows))
+
+
 # the graph of nodes
 
 
@@ -102,7 +109,8 @@ def eligible_rows(h: Owned) -> DataFrame:
 
 def eligible_owners(h: Owned) -> DataFrame:
     """rec_id, key, eligible: the nodes that may own the slot, sorted; slots that none may own are left out."""
-    return h.members.join(h.support, "node").groupBy("rec_id", "key").agg(F.array_sort(F.collect_list("node")).alias("eligible"))
+    members = h.members.repartition(dealt(h.members), "rec_id")
+    return members.join(F.broadcast(h.support), "node").groupBy("rec_id", "key").agg(F.array_sort(F.collect_list("node")).alias("eligible"))  # support: a row for each node and key
 
 
 def route(h: Owned, nodes: DataFrame) -> Owned:
@@ -115,8 +123,10 @@ def route(h: Owned, nodes: DataFrame) -> Owned:
 def route_specific(h: Owned) -> Owned:
     """Every slot goes to the eligible node with the fewest members; of equal ones to the one that sorts first."""
     t = h.members.groupBy("node").agg(F.count("*").alias("t"))
-    best = h.members.join(h.support.join(t, "node"), "node").groupBy("rec_id", "key").agg(F.min(F.struct("t", "node")).alias("best"))
-    return replace(h, owners=best.select("rec_id", "key", F.col("best.node").alias("node")))
+    ranked = saved(t.select("node", F.row_number().over(Window.orderBy("t", "node")).alias("rank")))  # a row for each node
+    members = h.members.repartition(dealt(h.members), "rec_id")
+    best = members.join(F.broadcast(h.support.join(ranked, "node")), "node").groupBy("rec_id", "key").agg(F.min("rank").alias("rank"))
+    return replace(h, owners=best.join(F.broadcast(ranked), "rank").select("rec_id", "key", "node"))
 
 
 def route_cheapest(h: Owned) -> Owned:
@@ -188,17 +198,20 @@ def delete(h: Owned, nodes: DataFrame) -> Owned:
 
 def revisions(before: Owned, after: Owned) -> DataFrame:
     """what, node, rec_id, key, before, after: every membership, owner, link and node that differs."""
+    n = dealt(before.members)
     null = lambda kind: F.lit(None).cast(kind)
 
     def changed(what: str, a: DataFrame, b: DataFrame, by: list[str]) -> DataFrame:
-        a, b = a.select(*by).distinct().withColumn("in_a", F.lit(True)), b.select(*by).distinct().withColumn("in_b", F.lit(True))
+        deal = lambda df: df.select(*by).repartition(n, *by) if "rec_id" in by else df.select(*by)
+        a, b = deal(a).distinct().withColumn("in_a", F.lit(True)), deal(b).distinct().withColumn("in_b", F.lit(True))
         j = a.join(b, by, "full").filter("in_a IS NULL OR in_b IS NULL")
         col = lambda c, kind: F.col(c).cast(kind) if c in by else null(kind)
         name = F.col("child").cast("string") if "child" in by else F.col("node").cast("string")
         other = F.col("parent").cast("string") if "child" in by else F.lit("there")
         return j.select(F.lit(what).alias("what"), name.alias("node"), col("rec_id", "long").alias("rec_id"), col("key", "string").alias("key"), F.when(F.col("in_a"), other).alias("before"), F.when(F.col("in_b"), other).alias("after"))
 
-    owner = before.owners.withColumnRenamed("node", "before").join(after.owners.withColumnRenamed("node", "after"), ["rec_id", "key"], "full").filter(~F.col("before").eqNullSafe(F.col("after")))
+    slots = lambda h, name: h.owners.withColumnRenamed("node", name).repartition(n, "rec_id", "key")
+    owner = slots(before, "before").join(slots(after, "after"), ["rec_id", "key"], "full").filter(~F.col("before").eqNullSafe(F.col("after")))
     owners = owner.select(F.lit("owner").alias("what"), null("string").alias("node"), F.col("rec_id").cast("long"), F.col("key").cast("string"), F.col("before").cast("string"), F.col("after").cast("string"))
     nodes = lambda h: h.members.select("node").distinct()
     return owners.unionByName(changed("member", before.members, after.members, ["node", "rec_id"])).unionByName(changed("link", before.links, after.links, ["child", "parent"])).unionByName(changed("node", nodes(before), nodes(after), ["node"]))

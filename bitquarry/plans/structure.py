@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -101,7 +103,9 @@ def hierarchy_description(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH RECURSIVE {_PLACES}, {_SPECIFIC} SELECT key, eligible, node AS owner, count(*) AS slots, count(value) AS cells FROM (SELECT rec_id, key, array_to_string(list_sort(list(node)), ',') AS eligible, any_value(value) AS value FROM slots GROUP BY 1, 2) JOIN specific USING (rec_id, key) GROUP BY 1, 2, 3")
 def slot_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = O.route_specific(places(spark, sf_dir))
-    slots = O.eligible_owners(h).join(h.owners, ["rec_id", "key"]).join(h.cells, ["rec_id", "key"], "left")
+    n = O.dealt(h.members)
+    deal = lambda df: df.repartition(n, "rec_id", "key")
+    slots = deal(O.eligible_owners(h)).join(deal(h.owners), ["rec_id", "key"]).join(deal(h.cells), ["rec_id", "key"], "left")
     return slots.groupBy("key", F.array_join("eligible", ",").alias("eligible"), F.col("node").alias("owner")).agg(F.count("*").alias("slots"), F.count("value").alias("cells"))
 
 
@@ -120,6 +124,7 @@ UNION ALL SELECT 'node', node, NULL, NULL, 'there', NULL FROM gone)"""
 def hierarchy_revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers' own slots go to their node, and the nodes of regions go: all that changes by it."""
     before = O.route_specific(places(spark, sf_dir))
+    before = replace(before, owners=saved(before.owners))
     one = spark.createDataFrame([("customer",)], "node string")
     after = O.delete(O.route(before, one), before.members.select("node").filter("node LIKE 'reg:%'").distinct())
     return O.revisions(before, after)

@@ -169,3 +169,15 @@ def test_description_without_nodes_is_the_background_alone(spark):
     got = O.description(frames(spark, records, {}, {}, set())).first()
     assert math.isclose(got.total, sum(plain_description(records, {}, {}, set(), {}).values()), abs_tol=1e-9)
     assert got.membership == got.ownership == 0
+
+
+def test_slots_are_dealt_by_rows_and_owners_found_without_sorting(spark, monkeypatch):
+    members = spark.createDataFrame([(node, i) for i in range(40) for node in ("all", "half") if node == "all" or i % 2], "node string, rec_id long")
+    support = spark.createDataFrame([("all", "k"), ("all", "m"), ("half", "k")], "node string, key string")
+    h = O.Owned(spark.createDataFrame([(i, "k", "v") for i in range(40)], "rec_id long, key string, value string"), members, support, spark.createDataFrame([("half", "all")], "child string, parent string"), spark.createDataFrame([], "rec_id long, key string, node string"))
+    monkeypatch.setattr(O.dealt, "__defaults__", (5,))
+    assert O.dealt(members) == 12
+    routed = O.route_specific(h).owners
+    assert {(r.rec_id, r.key): r.node for r in routed.collect()} == {(i, k): "half" if k == "k" and i % 2 else "all" for i in range(40) for k in "km"}
+    assert "SortAggregate" not in routed._jdf.queryExecution().executedPlan().toString()
+    assert len(O.eligible_owners(h).collect()) == 80
