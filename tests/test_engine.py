@@ -230,3 +230,51 @@ def test_a_move_prices_its_neighbours_only():
         learner.reassign(next(m for m in learner._free()), v)
         learner._deletes(), learner._merges()
         assert asked and all(v in ids for _, ids in asked) and len(asked) <= 2
+
+
+def repaired(rows, every=50, **kw):
+    learner = Learner(**kw)
+    for i, r in enumerate(rows, 1):
+        learner.process(r)
+        if i % every == 0 and learner.nodes:
+            learner.repair()
+    learner.repair(final=True)
+    return learner
+
+
+@pytest.mark.parametrize("pool", [4096, 12], ids=["all accounts", "accounts dropped"])
+@pytest.mark.parametrize("rows", [kinds(400, 3), trades(500, 4), [{"n": f"n{x}", "r": f"r{x % 3}", "s": f"s{y}"} for x, y in ((random.Random(i).randrange(9), random.Random(-i).randrange(3)) for i in range(900))]], ids=["kinds", "trades", "few"])
+def test_records_alike_as_one_change_nothing(rows, pool):
+    one, each = repaired(rows, pool=pool, alike=True), repaired(rows, pool=pool)
+    assert one.labels() == each.labels() and one.edits == each.edits
+    assert one.total() == pytest.approx(each.total(), abs=1e-6)
+    assert one._size(one.records) == len(rows) and {v: x.t for v, x in one.nodes.items()} == {v: len(x.members) for v, x in each.nodes.items()}
+    audit(one)
+    for k, (held, n, p) in one._covers.items():
+        want = {m for v in one.nodes.values() if k in v.support for m in v.members}
+        assert set(held) == want and n == one._size(want) and p == one._with(k, want)
+
+
+def test_a_long_stream_of_few_kinds_is_held_as_few_records():
+    rng = random.Random(1)
+    kind = lambda: (lambda x: {"n": f"n{x}", "r": f"r{x % 3}", "s": f"s{rng.randrange(3)}"})(rng.randrange(9))
+    held = [len(repaired([kind() for _ in range(n)], 100, alike=True).records) for n in (2000, 8000)]
+    assert held[1] <= held[0] + 27 <= 27 * 8
+
+
+def test_streams_are_learned_in_batches_and_apart(spark):
+    from bitquarry.operators import engine
+
+    rows = [(s, i, r) for s, rs in (("a", kinds(230, 1)), ("b", trades(170, 2)), (None, kinds(90, 5))) for i, r in enumerate(rs)]
+    df = spark.createDataFrame(random.Random(0).sample(rows, len(rows)), "stream string, rec_id long, rec map<string, string>")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
+    try:
+        got = {(r.stream, r.rec_id): r.label for r in engine.run(df).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    want = {}
+    for s in ("a", "b", None):
+        label = repaired([r for t, _, r in rows if t == s], 100).labels()
+        want |= {(s, i - 1): v for i, v in label.items()}
+    assert got == want
