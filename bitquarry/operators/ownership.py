@@ -9,6 +9,11 @@ A state is valid when links have no cycle, a child's members are members of
 each of its parents, links that others imply are left out, and owners may own
 what they own (``violations`` names what breaks this). Moves are functions from
 state to state; ``revisions`` says what differs.
+
+Records with the same cells and the same nodes may stand as one (``alike``):
+its rec_id is the smallest of theirs, and weight tells how many they are.
+Routing, descriptions and the branch code count records by weight, so what
+they read grows with the kinds of records and not with their number.
 """
 
 from __future__ import annotations
@@ -34,11 +39,33 @@ class Owned:
     support: DataFrame
     links: DataFrame
     owners: DataFrame
+    #: rec_id, w: how many records it stands for; None: each for itself
+    weight: DataFrame | None = None
+    #: record, rec_id: what each record stands as; None: each as itself
+    records: DataFrame | None = None
 
 
 def settled(h: Owned) -> Owned:
     """The state written and read back, so that what follows starts from its tables and not from what led to them."""
-    return Owned(*(saved(df) for df in (h.cells, h.members, h.support, h.links, h.owners)))
+    return replace(h, **{name: saved(getattr(h, name)) for name in ("cells", "members", "support", "links", "owners")})
+
+
+def alike(cells: DataFrame, apart: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """cells (of one record of each kind), weight and records: records with the same cells and the same value of column apart are of a kind."""
+    whole = saved(cells.groupBy("rec_id", apart).agg(F.array_sort(F.collect_list(F.struct("key", "value"))).alias("cells")))
+    kinds = saved(whole.groupBy(apart, "cells").agg(F.min("rec_id").alias("rec_id"), F.count("*").alias("w")))
+    records = whole.withColumnRenamed("rec_id", "record").join(kinds.select(apart, "cells", "rec_id"), [apart, "cells"]).select("record", "rec_id")
+    return kinds.select("rec_id", F.explode("cells").alias("c"), apart).select("rec_id", "c.key", "c.value", apart), kinds.select("rec_id", "w"), records
+
+
+def weighed(h: Owned, df: DataFrame) -> DataFrame:
+    """df (with rec_id) with w, how many records stand there."""
+    return df.withColumn("w", F.lit(1).cast("long")) if h.weight is None else df.join(h.weight.select("rec_id", "w"), "rec_id")
+
+
+def size(h: Owned) -> DataFrame:
+    """One row: n, how many records have cells."""
+    return weighed(h, h.cells.select("rec_id").distinct()).agg(F.coalesce(F.sum("w"), F.lit(0)).alias("n"))
 
 
 def dealt(members: DataFrame, rows: int = ROWS) -> int:
@@ -101,8 +128,8 @@ def eligible_rows(h: Owned) -> DataFrame:
     """node, eligible: how many records are in all of the node's parents (all records, for a node without any)."""
     parents = h.links.groupBy("child").agg(F.count("*").alias("k"))
     inside = h.links.join(h.members.withColumnRenamed("node", "parent"), "parent").groupBy("child", "rec_id").agg(F.count("*").alias("k"))
-    counted = inside.join(parents, ["child", "k"]).groupBy(F.col("child").alias("node")).agg(F.count("*").alias("inside"))
-    n = h.cells.agg(F.count_distinct("rec_id").alias("n"))
+    counted = weighed(h, inside.join(parents, ["child", "k"])).groupBy(F.col("child").alias("node")).agg(F.sum("w").alias("inside"))
+    n = size(h)
     nodes = h.members.select("node").distinct().join(parents.select(F.col("child").alias("node"), "k"), "node", "left").join(counted, "node", "left").crossJoin(F.broadcast(n))  # one row
     return nodes.select("node", F.when(F.col("k").isNull(), F.col("n")).otherwise(F.coalesce("inside", F.lit(0))).alias("eligible"))
 
@@ -122,7 +149,7 @@ def route(h: Owned, nodes: DataFrame) -> Owned:
 
 def route_specific(h: Owned) -> Owned:
     """Every slot goes to the eligible node with the fewest members; of equal ones to the one that sorts first."""
-    t = h.members.groupBy("node").agg(F.count("*").alias("t"))
+    t = weighed(h, h.members).groupBy("node").agg(F.sum("w").alias("t"))
     ranked = saved(t.select("node", F.row_number().over(Window.orderBy("t", "node")).alias("rank")))  # a row for each node
     members = h.members.repartition(dealt(h.members), "rec_id")
     best = members.join(F.broadcast(h.support.join(ranked, "node")), "node").groupBy("rec_id", "key").agg(F.min("rank").alias("rank"))
@@ -135,13 +162,13 @@ def route_cheapest(h: Owned) -> Owned:
     Counts are those of all members, whoever owns their slots, so slots are
     decided side by side. Ties: the background, then fewer members, then order.
     """
-    n = h.cells.agg(F.count_distinct("rec_id").alias("n"))
-    keys = h.cells.groupBy("key").agg(F.count("*").alias("p"), F.count_distinct("value").alias("d")).crossJoin(F.broadcast(n))  # one row
-    hist = h.cells.groupBy("key", "value").agg(F.count("*").alias("c"))
+    n = size(h)
+    hist = weighed(h, h.cells).groupBy("key", "value").agg(F.sum("w").alias("c"))
+    keys = hist.groupBy("key").agg(F.sum("c").alias("p"), F.count("*").alias("d")).crossJoin(F.broadcast(n))  # one row
     log2_share = lambda c, total, d: -F.log2((c + 0.5) / (total + d / 2))
-    t = h.members.groupBy("node").agg(F.count("*").alias("t"))
+    t = weighed(h, h.members).groupBy("node").agg(F.sum("w").alias("t"))
     inside = h.members.join(h.support, "node").join(h.cells, ["rec_id", "key"], "left").select("node", "rec_id", "key", "value")
-    seen = inside.groupBy("node", "key", "value").agg(F.count("*").alias("nc"))
+    seen = weighed(h, inside).groupBy("node", "key", "value").agg(F.sum("w").alias("nc"))
     total = seen.filter("value IS NOT NULL").groupBy("node", "key").agg(F.sum("nc").alias("np"))
     common = keys.join(hist, "key").select("key", "value", (log2_share(F.col("p"), F.col("n"), F.lit(2)) + log2_share(F.col("c"), F.col("p"), F.col("d"))).alias("common"))
     absent = keys.select("key", F.lit(None).cast("string").alias("value"), log2_share(F.col("n") - F.col("p"), F.col("n"), F.lit(2)).alias("common"))
@@ -192,7 +219,7 @@ def delete(h: Owned, nodes: DataFrame) -> Owned:
     through = stays(ancestors(is_gone(h.links, "child")), "ancestor")  # paths whose inner nodes are all gone
     taken = stays(is_gone(h.links, "parent"), "child").withColumnRenamed("parent", "node").join(through, "node").select("child", F.col("ancestor").alias("parent"))
     kept = stays(stays(h.links, "child"), "parent").select("child", "parent")
-    out = Owned(h.cells, stays(h.members, "node"), stays(h.support, "node"), kept.unionByName(taken).distinct(), stays(h.owners, "node"))
+    out = replace(h, members=stays(h.members, "node"), support=stays(h.support, "node"), links=kept.unionByName(taken).distinct(), owners=stays(h.owners, "node"))
     return reduce_links(out)
 
 
@@ -234,16 +261,16 @@ def description(h: Owned) -> DataFrame:
     All slots are met once, on (rec_id, key); what the terms need of them is
     one table of counts by key, eligible nodes, owner and value.
     """
-    hist = h.cells.groupBy("key", "value").agg(F.count("*").alias("c"))
+    hist = saved(weighed(h, h.cells).groupBy("key", "value").agg(F.sum("w").alias("c")))
     keys = saved(hist.groupBy("key").agg(F.sum("c").alias("p"), F.count("*").alias("d"), F.sum(B.string_bits("value") + B.elias_gamma("c")).alias("header")))
-    n = h.cells.agg(F.count_distinct("rec_id").alias("n"))
+    n = saved(size(h))
     slots = eligible_owners(h).join(h.owners, ["rec_id", "key"], "left").join(h.cells.select("rec_id", "key", "value"), ["rec_id", "key"], "left")
-    counts = saved(slots.groupBy("key", "eligible", "node", "value").agg(F.count("*").alias("c")))
+    counts = saved(weighed(h, slots).groupBy("key", "eligible", "node", "value").agg(F.sum("w").alias("c")))
 
     header = keys.agg(F.coalesce(F.sum(F.col("header") + B.string_bits("key") + B.elias_gamma("d")), F.lit(0.0)).alias("header"), F.count("*").alias("keys")).crossJoin(n)  # one row each
     header = header.select((F.col("header") + FRAME_BITS + B.elias_gamma("n") + B.elias_gamma("keys")).alias("header"), "n", "keys")
 
-    sizes = h.members.groupBy("node").agg(F.count("*").alias("t")).join(h.support.groupBy("node").agg(F.count("*").alias("size")), "node", "left").fillna(0, ["size"]).join(eligible_rows(h), "node")
+    sizes = weighed(h, h.members).groupBy("node").agg(F.sum("w").alias("t")).join(h.support.groupBy("node").agg(F.count("*").alias("size")), "node", "left").fillna(0, ["size"]).join(eligible_rows(h), "node")
     graph = sizes.crossJoin(F.broadcast(header.select("keys"))).agg(F.count("*").alias("k"), F.coalesce(F.sum(B.binary_bits("size", "keys")), F.lit(0.0)).alias("supports"), F.coalesce(F.sum(B.binary_bits("t", "eligible")), F.lit(0.0)).alias("membership")).crossJoin(h.links.agg(F.count("*").alias("links")))
     graph = graph.select((B.elias_gamma("k") + B.binary_bits("links", F.floor(F.col("k") * (F.col("k") - 1) / 2)) + F.col("supports")).alias("structure"), "membership")
 

@@ -20,9 +20,9 @@ from bitquarry.sources.scratch import saved
 SUPPORTS = {"cust": ("segment", "nation"), "supp": ("nation", "brand"), "reg": ("region", "nation"), "customer": ("segment", "region"), "geo": ("nation", "region", "prio"), "ord": ("status", "prio"), "orders": ("prio", "status", "year")}
 
 
-def places(spark: SparkSession, sf_dir: str) -> O.Owned:
-    """Leaves hold members, and their ancestors take these in; one link of each customers' leaf is implied by others and goes."""
-    cells = saved(R.mixed(spark, sf_dir))
+def places(spark: SparkSession, sf_dir: str, alike: bool = False) -> O.Owned:
+    """Leaves hold members, and their ancestors take these in; one link of each customers' leaf is implied by others and goes. alike: equal records of a table stand as one."""
+    cells, weight, records = O.alike(R.mixed(spark, sf_dir), "truth") if alike else (saved(R.mixed(spark, sf_dir)), None, None)
     name = lambda kind: F.concat(F.lit(kind + ":"), "value")
     of = lambda truth, key, kind: cells.filter((F.col("truth") == truth) & (F.col("key") == key)).select(name(kind).alias("node"), "rec_id", "value")
     leaves = of("customer", "region", "cust").unionByName(of("supplier", "region", "supp")).unionByName(of("orders", "status", "ord"))
@@ -34,7 +34,7 @@ def places(spark: SparkSession, sf_dir: str) -> O.Owned:
     keys = spark.createDataFrame([(kind, key) for kind, ks in SUPPORTS.items() for key in ks], "kind string, key string")
     nodes = links.select(F.col("child").alias("node")).union(links.select("parent")).distinct()
     support = nodes.withColumn("kind", F.split("node", ":")[0]).join(F.broadcast(keys), "kind").select("node", "key")
-    raw = O.Owned(cells.select("rec_id", "key", "value"), leaves.select("node", "rec_id"), support, links, spark.createDataFrame([], "rec_id long, key string, node string"))
+    raw = O.Owned(cells.select("rec_id", "key", "value"), leaves.select("node", "rec_id"), support, links, spark.createDataFrame([], "rec_id long, key string, node string"), weight, records)
     closure = O.ancestors(links)
     return O.settled(O.reduce_links(O.close_members(raw, closure), closure))
 
@@ -96,7 +96,7 @@ al AS (SELECT header, structure, membership, ownership, pr.bits + cp.bits AS pre
 
 @query(f"WITH RECURSIVE {_PLACES}, {_CHEAPEST}, {_DESCRIPTION} SELECT round(header, 6) AS header, round(structure, 6) AS structure, round(membership, 6) AS membership, round(ownership, 6) AS ownership, round(presence, 6) AS presence, round(values, 6) AS values, round(header + structure + membership + ownership + presence + values, 6) AS total FROM al")
 def hierarchy_description(spark: SparkSession, sf_dir: str) -> DataFrame:
-    h = O.settled(O.route_cheapest(places(spark, sf_dir)))
+    h = O.settled(O.route_cheapest(places(spark, sf_dir, alike=True)))
     return O.description(h).select(*[r6(c).alias(c) for c in ("header", "structure", "membership", "ownership", "presence", "values", "total")])
 
 
