@@ -23,7 +23,7 @@ OPTION_BITS = 8
 
 
 def visits(h: O.Owned, chunk: int = CHUNK) -> DataFrame:
-    """rec_id, at: the order in which records are visited. Records with the same nodes take turns with the others'; at each turn the ones with later nodes come later."""
+    """rec_id, at (record too, if records stand as one): the order in which records are visited. Records with the same nodes take turns with the others'; at each turn the ones with later nodes come later."""
     records = h.cells.select("rec_id").distinct()
     nodes = saved(O.depths(h.links, h.members.select("node").distinct()))
     rank = nodes.select("node", (F.row_number().over(Window.orderBy("depth", "node")) - 1).alias("rank"))  # a row for each node
@@ -34,8 +34,11 @@ def visits(h: O.Owned, chunk: int = CHUNK) -> DataFrame:
     marks = F.concat_ws("", F.transform(F.sequence(F.lit(0), F.lit(max(k - 1, 0))), lambda i: F.array_contains("kind", i.cast("int")).cast("int").cast("string")))
     kinds = saved(of.select("kind").distinct().withColumn("marks", marks))
     order = kinds.select("kind", F.row_number().over(Window.orderBy("marks")).alias("place"))  # a row for each kind of membership
-    turn = prior_sum(of.join(order, "kind"), ["place"], F.lit(1), "turn", chunk=chunk)
-    return turn.select("rec_id", (F.col("turn") * kinds.count() + F.col("place")).alias("at"))
+    placed = of.join(order, "kind").select("rec_id", "place")
+    at = (F.col("turn") * kinds.count() + F.col("place")).alias("at")
+    if h.records is None:
+        return prior_sum(placed, ["place"], F.lit(1), "turn", chunk=chunk).select("rec_id", at)
+    return prior_sum(h.records.join(placed, "rec_id"), ["place"], F.lit(1), "turn", order="record", chunk=chunk).select("record", "rec_id", at)
 
 
 def family_patterns(h: O.Owned) -> DataFrame:
@@ -47,18 +50,34 @@ def family_patterns(h: O.Owned) -> DataFrame:
     below = family.filter(F.size("parents") > 0).select("family", F.explode("parents").alias("node"), F.size("parents").alias("k")).join(h.members, "node").groupBy("family", "rec_id", "k").agg(F.count("*").alias("n")).filter("n = k").select("family", "rec_id")
     tops = family.filter(F.size("parents") == 0).select("family")
     may = below.unionByName(h.cells.select("rec_id").distinct().join(tops).select("family", "rec_id"))  # tops is one row or none
-    seen = may.join(inside, ["family", "rec_id"], "left").withColumn("pattern", F.coalesce("pattern", F.array().cast("array<string>")))
-    return seen.groupBy("family", "pattern").agg(F.count("*").alias("c")).join(family.select("family", "children"), "family")
+    seen = O.weighed(h, may.join(inside, ["family", "rec_id"], "left")).withColumn("pattern", F.coalesce("pattern", F.array().cast("array<string>")))
+    return seen.groupBy("family", "pattern").agg(F.sum("w").alias("c")).join(family.select("family", "children"), "family")
 
 
 def predicted(h: O.Owned, order: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """rec_id, node, key, presence, values: bits of every owned slot, predicted by its node's members visited before."""
+    """rec_id, node, key, presence, values: bits of every owned slot, predicted by its node's members visited before.
+
+    What a slot holds and who owns it is looked up by what its record stands
+    as. Slots are dealt once, by chunks of the order; a chunk begins with rows
+    for what was counted before it.
+    """
     d = h.cells.groupBy("key").agg(F.count_distinct("value").alias("d"))
-    member = prior_sum(h.members.join(order, "rec_id"), ["node"], F.lit(1), "t", order="at", chunk=chunk)
-    slots = member.join(h.support, "node").join(h.cells.select("rec_id", "key", "value"), ["rec_id", "key"], "left").withColumn("has", F.col("value").isNotNull().cast("int"))
-    n = prior_sum(slots, ["node", "key"], F.col("has"), "n", order="at", chunk=chunk)
-    held = prior_sum(n.filter("has = 1"), ["node", "key", "value"], F.lit(1), "c", order="at", chunk=chunk).select("node", "key", "rec_id", "c")
-    j = n.join(h.owners, ["rec_id", "key", "node"]).join(held, ["node", "key", "rec_id"], "left").join(d, "key")
+    slots = h.members.join(h.support, "node").join(h.cells.select("rec_id", "key", "value"), ["rec_id", "key"], "left")
+    slots = saved(slots.join(h.owners.select("rec_id", "key", "node", F.lit(True).alias("own")), ["rec_id", "key", "node"], "left").join(d, "key"))
+    at = order.select(F.floor(F.col("at") / chunk).alias("chunk"), "at", "rec_id", F.col("rec_id" if h.records is None else "record").alias("record"))
+    held = at.groupBy("chunk", "rec_id").agg(F.count("*").alias("m")).join(slots, "rec_id").groupBy("chunk", "node", "key", "value").agg(F.sum("m").alias("m"))
+    held = saved(held.withColumn("ones", F.when(F.col("value").isNotNull(), F.col("m")).otherwise(0)))
+    earlier = lambda *by: Window.partitionBy(*by).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    within = lambda *by: Window.partitionBy("chunk", *by).orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    null, sum_ = F.lit(None), lambda c, w: F.coalesce(F.sum(c).over(w), F.lit(0))
+    before = lambda at_, value, t, n, c: ["chunk", F.lit(at_).cast("long").alias("at"), null.cast("long").alias("record"), "node", "key", value.cast("string").alias("value"), null.cast("boolean").alias("own"), null.cast("long").alias("d"), t.alias("t"), n.alias("n"), c.alias("c")]
+    none = F.lit(0).cast("long")
+    pairs = held.groupBy("chunk", "node", "key").agg(F.sum("m").alias("m"), F.sum("ones").alias("ones")).select(*before(-2, null, sum_("m", earlier("node", "key")), sum_("ones", earlier("node", "key")), none))
+    values = held.filter("value IS NOT NULL").select(*before(-1, F.col("value"), none, none, sum_("m", earlier("node", "key", "value"))))
+    one = F.col("value").isNotNull().cast("long")
+    rows = at.join(slots, "rec_id").select("chunk", "at", "record", "node", "key", "value", "own", "d", F.lit(1).cast("long").alias("t"), one.alias("n"), one.alias("c"))
+    j = rows.unionByName(pairs).unionByName(values).repartition("chunk")
+    j = j.select("record", "node", "key", "own", "d", one.alias("has"), *(sum_(x, within("node", "key")).alias(x) for x in "tn"), sum_("c", within("node", "key", "value")).alias("c")).filter("own").withColumnRenamed("record", "rec_id")
     presence = -F.log2((F.when(F.col("has") == 1, F.col("n")).otherwise(F.col("t") - F.col("n")) + 0.5) / (F.col("t") + 1.0))
     values = F.when(F.col("has") == 1, -F.log2((F.col("c") + 0.5) / (F.col("n") + F.col("d") / 2))).otherwise(0.0)
     return j.select("rec_id", "node", "key", presence.alias("presence"), values.alias("values"))
@@ -82,9 +101,9 @@ def description(h: O.Owned, chunk: int = CHUNK) -> DataFrame:
 
 def background(h: O.Owned) -> DataFrame:
     """One row: bp, bv, bits of presence and values of all slots without an owner, by the histograms of the header."""
-    n = h.cells.agg(F.count_distinct("rec_id").alias("n"))
-    owned = h.owners.join(h.cells.select("rec_id", "key", "value"), ["rec_id", "key"], "left").groupBy("key", "value").agg(F.count("*").alias("taken"))
-    hist = h.cells.groupBy("key", "value").agg(F.count("*").alias("c")).join(owned.filter("value IS NOT NULL"), ["key", "value"], "left").fillna(0, ["taken"])
+    n = O.size(h)
+    owned = O.weighed(h, h.owners.join(h.cells.select("rec_id", "key", "value"), ["rec_id", "key"], "left")).groupBy("key", "value").agg(F.sum("w").alias("taken"))
+    hist = O.weighed(h, h.cells).groupBy("key", "value").agg(F.sum("w").alias("c")).join(owned.filter("value IS NOT NULL"), ["key", "value"], "left").fillna(0, ["taken"])
     keys = hist.groupBy("key").agg(F.sum("c").alias("p"), F.count("*").alias("d"), F.sum("taken").alias("taken"))
     absent = owned.filter("value IS NULL").select("key", F.col("taken").alias("gone"))
     share = (F.col("p") + 0.5) / (F.col("n") + 1)

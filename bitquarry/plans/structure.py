@@ -352,7 +352,7 @@ mp AS (SELECT sum({_GAMMA.format('k')} + bits) AS patterns, sum(CASE WHEN k > 1
 SELECT round(header + 8, 6) AS header, round(structure, 6) AS structure, round(patterns, 6) AS membership_patterns, round(member, 6) AS membership, round(ownership, 6) AS ownership, round(pd.p + cp.bits, 5) AS presence, round(pd.v + cv.bits, 5) AS values FROM al, mp, pd, cp, cv""")
 def branch_description(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The places' hierarchy in the branch code."""
-    out = branches.description(O.settled(O.route_cheapest(places(spark, sf_dir))), chunk=5000)
+    out = branches.description(O.settled(O.route_cheapest(places(spark, sf_dir, alike=True))), chunk=5000)
     return out.select(*[r6(c).alias(c) for c in ("header", "structure", "membership_patterns", "membership", "ownership")], *[F.round(c, 5).alias(c) for c in ("presence", "values")])
 
 

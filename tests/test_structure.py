@@ -3,8 +3,12 @@
 import math
 import random
 from collections import Counter, defaultdict, deque
+from dataclasses import replace
+
+import pytest
 
 from bitquarry.operators import branches, predictive, snapshots
+from bitquarry.operators import ownership as O
 from tests.test_ownership import frames, random_state, rows
 
 
@@ -92,3 +96,47 @@ def test_visits_take_turns_and_families_count_patterns(spark):
     for family, children, may in (("", ["n0", "n1", "n2"], set(records)), ("n0", ["n3", "n4"], members["n0"]), ("n1", ["n5"], members["n1"])):
         plain.update((family, tuple(c for c in children if r in members[c])) for r in may)
     assert patterns == dict(plain)
+
+
+def test_records_alike_stand_as_one_and_change_no_bit(spark):
+    rng = random.Random(11)
+    records = {r: {k: f"{k}{rng.randrange(2)}" for k in ("a", "b", "c") if rng.random() < 0.8} or {"a": "a0"} for r in range(1, 241)}
+    kind = {r: "odd" if r % 2 else "even" for r in records}
+    members = {"odd": {r for r in records if r % 2}, "few": {r for r in records if r % 2 and records[r].get("a") == "a1"}, "b": {r for r in records if records[r].get("b") == "b1"}}
+    support = {"odd": {"a", "b"}, "few": {"b", "c"}, "b": {"b", "c", "none"}}
+    plain = frames(spark, records, members, support, {("few", "odd")})
+    cells, weight, of = O.alike(spark.createDataFrame([(r, k, x, kind[r]) for r, rec in records.items() for k, x in rec.items()], "rec_id long, key string, value string, kind string"), "kind")
+    stands = {r.record: r.rec_id for r in of.collect()}
+    alike = defaultdict(list)
+    for r in records:
+        alike[kind[r], tuple(sorted(records[r].items()))].append(r)
+    assert stands == {r: min(rs) for rs in alike.values() for r in rs} and len(alike) < 60
+    assert {(r.rec_id, r.w) for r in weight.collect()} == {(min(rs), len(rs)) for rs in alike.values()}
+    one = replace(plain, cells=cells.drop("kind"), members=plain.members.filter(plain.members["rec_id"].isin(sorted(set(stands.values())))), weight=weight, records=of)
+    plain, one = O.settled(O.route_cheapest(plain)), O.settled(O.route_cheapest(one))
+    owners = {(r.rec_id, r.key): r.node for r in one.owners.collect()}
+    assert owners and {(r.rec_id, r.key): r.node for r in plain.owners.collect()} == {(r, k): v for r, m in stands.items() for (x, k), v in owners.items() if x == m}
+    close = lambda a, b: [k for k in a if a[k] != pytest.approx(b[k], abs=1e-6)] + sorted(a.keys() ^ b.keys())
+    assert not close(O.description(plain).first().asDict(), O.description(one).first().asDict())
+    # along the visits, slot by slot, against plain loops
+    at = [r.rec_id for r in branches.visits(plain, chunk=7).orderBy("at").collect()]
+    assert at == [r.record for r in branches.visits(one, chunk=7).orderBy("at").collect()]
+    d = {k: len({rec[k] for rec in records.values() if k in rec}) for k in ("a", "b", "c")}
+    t, n, c, want = Counter(), Counter(), Counter(), {}
+    owner = {(r.rec_id, r.key): r.node for r in plain.owners.collect()}
+    for r in at:
+        for v in members:
+            if r in members[v]:
+                for k in support[v]:
+                    x = records[r].get(k)
+                    if owner.get((r, k)) == v:
+                        seen = n[v, k] if x else t[v] - n[v, k]
+                        want[r, v, k] = (-math.log2((seen + 0.5) / (t[v] + 1)), -math.log2((c[v, k, x] + 0.5) / (n[v, k] + d[k] / 2)) if x else 0.0)
+                    if x:
+                        n[v, k] += 1
+                        c[v, k, x] += 1
+                t[v] += 1
+    for h in (plain, one):
+        got = {(r.rec_id, r.node, r.key): (r.presence, r["values"]) for r in branches.predicted(h, branches.visits(h, 7), 7).collect()}
+        assert got.keys() == want.keys() and all(got[s] == pytest.approx(want[s], abs=1e-9) for s in want)
+    assert not close(branches.description(plain, 7).first().asDict(), branches.description(one, 7).first().asDict())
