@@ -55,6 +55,9 @@ BUCKET_DOCS = 4_000
 #: bins of the table of counts (broadcast, 8 MB whatever the input)
 BINS = 1 << 21
 
+#: words of 64 bits in the filter of ids (broadcast, a row for each, whatever the input)
+WORDS = 1 << 18
+
 _MIX1, _MIX2, _STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -369,6 +372,15 @@ def _links(table: pa.Table, width: int = WIDTH, num: int = NUMERATOR, den: int =
     return pa.table([pa.array([a for a, _ in edges], pa.int64()), pa.array([b for _, b in edges], pa.int64())], names=["a", "b"])
 
 
+def _perhaps(docs: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFrame:
+    """docs whose doc_id is in ids, and some more (hashed ids); left_anti: docs that surely aren't. No row of docs is moved."""
+    at = lambda c: F.pmod(F.xxhash64(c.cast("long")), F.lit(64 * WORDS))
+    bits = ids.select(at(F.col("doc_id")).alias("h")).groupBy(F.floor(F.col("h") / 64).alias("__bq_word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h % 64 as int))")).alias("__bq_bits"))
+    h = at(docs["doc_id"])
+    hit = (F.floor(h / 64) == F.col("__bq_word")) & F.call_function("getbit", F.col("__bq_bits"), (h % 64).cast("int")).cast("boolean")
+    return docs.join(F.broadcast(bits), hit, how)
+
+
 def similar_groups(docs: DataFrame, tile_shingles: int = TILE_SHINGLES, width: int = WIDTH, num: int = NUMERATOR, den: int = DENOMINATOR) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links) of every row of docs (doc_id, text)."""
     spark = docs.sparkSession
@@ -404,8 +416,8 @@ def similar_groups(docs: DataFrame, tile_shingles: int = TILE_SHINGLES, width: i
         sized = materialize(sized.filter("blocks = 1").unionByName(again.select(*sized.columns)))
     placed = sized.withColumn("block", F.pmod(F.xxhash64("h1", "h2"), F.col("blocks")).cast("int"))
     tiles = placed.select("root", "doc_id", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select("root", "doc_id", "block", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"))
-    # texts are dealt by doc_id at every size: candidates grow with the documents, so they are never broadcast
-    links = tiles.hint("merge").join(whole, "doc_id").groupBy("root", "x", "y").applyInArrow(linked, "a bigint, b bigint")
+    # texts are dealt by doc_id at every size: candidates grow with the documents, so they are never broadcast; texts that surely are none stay where they are
+    links = tiles.hint("merge").join(_perhaps(whole, sized), "doc_id").groupBy("root", "x", "y").applyInArrow(linked, "a bigint, b bigint")
     found = components(copies.unionByName(links))
     out = info.join(found, info["doc_id"] == found["node"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "doc_id").alias("component_id"))
     return out.unionByName(docs.filter("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("n_shingles"), F.lit(None).cast("long").alias("component_id")))
@@ -413,8 +425,11 @@ def similar_groups(docs: DataFrame, tile_shingles: int = TILE_SHINGLES, width: i
 
 def keep_one(docs: DataFrame, width: int = WIDTH, num: int = NUMERATOR, den: int = DENOMINATOR) -> DataFrame:
     """docs with the smallest doc_id of each group of similar texts alone."""
-    groups = similar_groups(docs, width=width, num=num, den=den).select(F.col("doc_id").alias("__bq_id"), "component_id").filter("__bq_id <> component_id").select("__bq_id").distinct()
-    return docs.join(groups, docs["doc_id"].cast("long") == groups["__bq_id"], "left_anti")
+    gone = materialize(similar_groups(docs, width=width, num=num, den=den).filter("doc_id <> component_id").select("doc_id").distinct())
+    groups = gone.select(F.col("doc_id").alias("__bq_id"))
+    some = _perhaps(docs, gone)
+    # only documents that perhaps go are dealt by their ids
+    return _perhaps(docs, gone, "left_anti").unionByName(some.join(groups.hint("merge"), some["doc_id"].cast("long") == groups["__bq_id"], "left_anti"))
 
 
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -121,3 +121,20 @@ def test_written_steps_leave_no_shuffle_files(spark):
             break
         time.sleep(0.1)
     assert not left
+
+
+def test_documents_that_surely_stay_are_not_dealt(spark, tmp_path):
+    from bitquarry.llm.ngram_join import _perhaps
+
+    spark.createDataFrame([(i if i % 50 else None, f"text {i}") for i in range(1, 2001)], "doc_id long, text string").write.parquet(f"{tmp_path}/d")
+    docs = spark.read.parquet(f"{tmp_path}/d")
+    ids = docs.filter("doc_id % 7 = 0").select("doc_id")
+    some, rest = _perhaps(docs, ids), _perhaps(docs, ids, "left_anti")
+    got, other = [r.doc_id for r in some.collect()], [r.doc_id for r in rest.collect()]
+    want = {r.doc_id for r in ids.collect()}
+    assert want <= set(got) and len(got) < 1.1 * len(want) + 5 and not want & set(other)
+    assert len(got) + len(other) == 2000 and sum(x is None for x in other) == 40
+    # texts stay where they are: nothing but ids goes through an exchange
+    for df in (some, rest):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and not any("Exchange hashpartitioning(doc_id" in line for line in plan.splitlines())
