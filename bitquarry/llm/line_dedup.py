@@ -1,14 +1,14 @@
 """Repeated-passage removal by winnowing over hashed words.
 
-A text's words are hashed. Of each ``window`` neighbouring places the one of
-least hash is selected (of equal ones the first); its fingerprint is the hash
-of the ``gram`` words from there on. A passage of ``gram + window - 1`` words
-(25) that occurs twice therefore selects the same fingerprint both times,
-wherever in lines or sentences it begins and ends: windows of hashed lines
-would miss what is cut inside lines.
+A text's words are hashed. Of each ``window`` neighbouring places the one whose
+word has the least hash is selected (of equal ones the first); its fingerprint
+is the hash of the ``gram`` words from there on. A passage of
+``gram + window - 1`` words (25) that occurs twice therefore selects the same
+fingerprint both times, wherever in lines or sentences it begins and ends:
+windows of hashed lines would miss what is cut inside lines.
 
 Joining positions. A fingerprint's first place (by doc_id, then place) is a
-hash aggregate over one row for each document and fingerprint. Every other
+hash aggregate over one row for each selected place. Every other
 place of a repeated fingerprint is an anchor against the first.
 
 Extension. From an anchor the match goes on both ways, word by word, as far as
@@ -20,9 +20,10 @@ run may have stood earlier in several parts, each in another text, so a
 passage goes also where every fingerprint of it stood still earlier elsewhere.
 What is first stays.
 
-Style. Fingerprints and extension are numpy over Arrow batches, everything
-between them is joins and aggregates: forms with SQL functions alone cost more
-than twice the limit (README).
+Style. DataFrame operations only. What is done for each word is kept few and
+compiled: one ``split``, one hash, and a comparison with the least of its
+neighbours on exploded places. Functions on arrays, which are interpreted,
+otherwise see anchors, 64 words around them, and texts that lose a run.
 
 Cost. Bit tables (``_marks``; of bounded size whatever the input, and no more
 than a saving: what passes them is joined all the same) keep fingerprints that
@@ -39,14 +40,12 @@ gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bitquarry.llm._common import arrow_batches, drop_folder, lean, materialize, mix, read, text_slices, word_hashes, word_places
+from bitquarry.llm._common import drop_folder, materialize, read
 
 GRAM = 13
 WINDOW = 13
@@ -57,72 +56,54 @@ AROUND = 64
 MOST_BITS = 1 << 26
 
 _TH = "__bq_th"
-_PLACE = np.uint64((1 << 24) - 1)
-
-
-def select(h: np.ndarray, first: np.ndarray, gram: int, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Selected places (numbers of words) and their fingerprints. h: hashes of the words of all texts; first: where each text begins, and the end."""
-    n = len(h) - gram + 1
-    if n <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    with np.errstate(over="ignore"):
-        fp = np.zeros(n, np.uint64)
-        for j in range(gram):
-            fp = fp * np.uint64(0x94D049BB133111EB) + h[j : j + n]
-        fp = mix(fp)
-    places = np.maximum(0, np.diff(first) - gram + 1)  # of each text
-    text = np.repeat(np.arange(len(places)), places)
-    nth = np.arange(len(text)) - np.repeat(np.cumsum(places) - places, places)
-    word = first[text] + nth
-    # texts are kept apart by so much room that no window holds places of two
-    at = np.arange(len(text)) + text * (window - 1)
-    room = np.full(int(at[-1]) + window if len(at) else 0, ~np.uint64(0))
-    room[at] = (fp[word] & ~_PLACE) | (nth.astype(np.uint64) & _PLACE)
-    least, span = room, 1
-    while span < window:
-        step = min(span, window - span)
-        least = np.minimum(least[:-step], least[step:])
-        span += step
-    whole = (nth + window <= places[text]) | (nth == 0)  # windows inside a text, or all of a short one
-    best = (least[at[whole]] & _PLACE).astype(np.int64)
-    got = np.unique(first[text[whole]] + best)
-    return got, fp[got]
-
-
-_ROWS = f"doc_id bigint, {_TH} int, fp bigint, pos int, lead boolean, more boolean"
+_SPACE = r"[\x09-\x0D ]+"
+#: between white space and the next word
+_EDGE = r"(?<=[\x09-\x0D ])(?=[^\x09-\x0D ])"
 
 
-def fingerprints(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) -> DataFrame:
-    """doc_id, text hash, fp, pos (its word), whether it is fp's first place in the document, and whether others follow there."""
+def word_hashes(text: Column) -> Column:
+    """A 64-bit hash of each word of text; what the split leaves empty at the ends is taken out."""
+    return F.array_remove(F.transform(F.split(text, _SPACE), lambda w: F.xxhash64(w)), F.xxhash64(F.lit("")))
 
-    @lean
-    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for b in text_slices(whole, 2, 1 << 20):
-                raw, starts, ends, first = word_places(b.column(2))
-                at, fp = select(word_hashes(raw, starts, ends), first, gram, window)
-                doc = np.searchsorted(first, at, "right") - 1
-                order = np.lexsort((at, fp, doc))
-                at, fp, doc = at[order], fp[order], doc[order]
-                same = np.concatenate([[False], (fp[1:] == fp[:-1]) & (doc[1:] == doc[:-1])]) if len(at) else np.zeros(0, bool)
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(doc)), b.column(1).take(pa.array(doc)), pa.array(fp.view(np.int64)), pa.array((at - first[doc]).astype(np.int32)), pa.array(~same), pa.array(np.concatenate([same[1:], [False]]) if len(at) else same)], names=["doc_id", _TH, "fp", "pos", "lead", "more"])
 
-    rows = docs.filter("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.hash("text").alias(_TH), F.col("text").cast("string"))
-    return rows.mapInArrow(step, _ROWS)
+def _let(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f of x, with x evaluated once."""
+    return F.element_at(F.transform(F.array(x), f), 1)
 
 
-def _first(rows: DataFrame, unique: bool) -> DataFrame:
+def fingerprints(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) -> DataFrame:
+    """doc_id, text hash, fp and pos (its first word) of each selected place."""
+    rows = docs.filter("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.hash("text").alias(_TH), word_hashes(F.col("text").cast("string")).alias("h"))
+    h, i, n = F.col("h"), F.col("i"), F.size("h")
+    # windows begin at i; a text of fewer places has one window of all of them
+    begins = F.when(n >= gram, F.sequence(F.lit(0), F.greatest(F.lit(0), n - (gram + window - 1))))
+    places = rows.select("doc_id", _TH, "h", F.explode(begins).alias("i"))
+    inner = F.least(*[F.get(h, i + j) for j in range(window - 1)]) if window > 2 else F.get(h, i)
+    # the selected place changes if it was the one before this window, or if it is the last of this one
+    changed = places.filter((i == 0) | (F.get(h, i - 1) <= inner) | (F.get(h, i + (window - 1)) < inner)) if window > 1 else places
+    here = F.slice(h, i + 1, F.least(F.lit(window), n - (gram - 1) - i))
+    at = changed.select("doc_id", _TH, "h", (i + F.array_position(here, F.array_min(here)).cast("int") - 1).alias("pos"))
+    return at.select("doc_id", _TH, F.xxhash64(F.slice(h, F.col("pos") + 1, gram)).alias("fp"), "pos")
+
+
+def _first(rows: DataFrame, plain: bool) -> DataFrame:
     """Fingerprints that stand more than once, with their first place: fp, a_id, a_th, a_pos."""
-    leads = rows.filter("lead")
-    often = (F.count("*") > 1) | F.max("more")
-    if unique:  # a text for each doc_id: no ties, and everything fits a hash aggregate
-        at = F.shiftleft(F.col(_TH).cast("long"), 32).bitwiseOR(F.col("pos").cast("long"))
-        got = leads.withColumn("at", at).groupBy("fp").agg(F.min("doc_id").alias("a_id"), F.min_by("at", "doc_id").alias("at"), often.alias("often")).filter("often")
-        return got.select("fp", "a_id", F.shiftright("at", 32).cast("int").alias("a_th"), F.col("at").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("a_pos"))
-    got = leads.groupBy("fp").agg(F.min(F.struct("doc_id", _TH, "pos")).alias("a"), often.alias("often")).filter("often")
+    often = (F.count("*") > 1).alias("often")
+    if plain:  # a text for each doc_id, and doc_id and place fit a long: everything fits a hash aggregate
+        at = F.shiftleft("doc_id", 24).bitwiseOR(F.col("pos").cast("long"))
+        got = rows.withColumn("at", at).groupBy("fp").agg(F.min("at").alias("a"), F.min_by(_TH, "at").alias("a_th"), often).filter("often")
+        return got.select("fp", F.shiftright("a", 24).alias("a_id"), "a_th", F.col("a").bitwiseAND(F.lit((1 << 24) - 1)).cast("int").alias("a_pos"))
+    got = rows.groupBy("fp").agg(F.min(F.struct("doc_id", _TH, "pos")).alias("a"), often).filter("often")
     return got.select("fp", F.col("a.doc_id").alias("a_id"), F.col(f"a.{_TH}").alias("a_th"), F.col("a.pos").alias("a_pos"))
 
 
+def _plain(rows: DataFrame) -> bool:
+    """Whether each doc_id has one text, and doc_id and place fit a long."""
+    each = rows.groupBy("doc_id").agg((F.min(_TH) != F.max(_TH)).alias("two"), F.max("pos").alias("pos"))
+    got = each.agg(F.max("two"), F.min("doc_id"), F.max("doc_id"), F.max("pos")).first()
+    return got[0] is None or not got[0] and -(1 << 39) <= got[1] and got[2] < 1 << 39 and got[3] < 1 << 24
+
+
 def _marks(keys: DataFrame, n: int) -> tuple[DataFrame, int]:
     """A bit table of the column k of keys, 16 bits a key or more up to MOST_BITS, and its size."""
     bits = 1 << 16
@@ -141,14 +122,13 @@ def _maybe(df: DataFrame, key: Column, marks: tuple[DataFrame, int]) -> DataFram
 
 
 def anchors(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) -> DataFrame:
-    """doc_id, text hash, a_id, a_th and the anchors (pos, a_pos, in order) of each document against each earlier text or place; written."""
+    """doc_id, text hash, a_id, a_th and the anchors (pos, a_pos, in order) of each document against each earlier text or place, with the outermost a_pos; written."""
     fps = materialize(fingerprints(docs.select("doc_id", "text"), gram, window))
-    unique = fps.groupBy("doc_id").agg((F.min(_TH) != F.max(_TH)).alias("two")).filter("two").isEmpty()
-    first = materialize(_first(fps, unique))
-    repeated = _maybe(fps.select("doc_id", _TH, "fp", "pos"), F.col("fp"), _marks(first.select(F.col("fp").alias("k")), first.count())).filter("__bq_in").drop("__bq_in")
+    first = materialize(_first(fps, _plain(fps)))
+    repeated = _maybe(fps, F.col("fp"), _marks(first.select(F.col("fp").alias("k")), first.count())).filter("__bq_in").drop("__bq_in")
     later = F.struct("doc_id", _TH, "pos") > F.struct("a_id", "a_th", "a_pos")
     met = repeated.join(first, "fp").filter(later)
-    out = materialize(met.groupBy("doc_id", _TH, "a_id", "a_th").agg(F.array_sort(F.collect_set(F.struct("pos", "a_pos"))).alias("at")))
+    out = materialize(met.groupBy("doc_id", _TH, "a_id", "a_th").agg(F.sort_array(F.collect_set(F.struct("pos", "a_pos"))).alias("at"), F.min("a_pos").alias("low"), F.max("a_pos").alias("high")))
     drop_folder(fps)
     drop_folder(first)
     return out
@@ -157,65 +137,78 @@ def anchors(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) -> DataFram
 def earlier_parts(docs: DataFrame, pairs: DataFrame, gram: int = GRAM) -> DataFrame:
     """For each document with anchors, __bq_parts: the word hashes of earlier texts around them, the number of the first word, and the anchors."""
     ids = pairs.select(F.col("a_id").alias("k")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("a_id"), F.hash("text").alias("a_th"), "text")
-    near = _maybe(texts, F.col("a_id"), _marks(ids, ids.count())).filter("__bq_in").drop("__bq_in")
-    low, high = F.array_min(F.transform("at", lambda x: x.a_pos)), F.array_max(F.transform("at", lambda x: x.a_pos))
-    both = pairs.join(near, ["a_id", "a_th"]).select("doc_id", _TH, "text", F.greatest(low - AROUND, F.lit(0)).alias("word"), (high + gram + AROUND).alias("end"), "at")
-
-    @lean
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, h = None, None
-        for whole in batches:
-            for b in text_slices(whole, 2):
-                parts = []
-                for t, a, e in zip(b.column(2), b.column(3).to_pylist(), b.column(4).to_pylist()):
-                    if last is None or not t.equals(last):  # the join has the rows of an earlier text together
-                        last = t
-                        raw, starts, ends, _ = word_places(pa.array([t.as_py()], pa.string()))
-                        h = word_hashes(raw, starts, ends).astype(np.uint32)
-                    parts.append(h[a:e].tobytes())
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(parts, pa.binary()), b.column(3), b.column(5)], names=["doc_id", _TH, "a", "word", "at"])
-
-    parts = both.mapInArrow(cut, f"doc_id bigint, {_TH} int, a binary, word int, at array<struct<pos:int,a_pos:int>>")
-    return parts.groupBy("doc_id", _TH).agg(F.collect_set(F.struct("a", "word", "at")).alias("__bq_parts"))
-
-
-def covered(h: np.ndarray, parts: list[dict], gram: int, piece: int) -> list[tuple[int, int]]:
+    texts = docs.select(F.col("doc_id").cast("long").alias("a_id"), F.hash("text").alias("a_th"), F.col("text").cast("string").alias("text"))
+    near = _maybe(texts, F.col("a_id"), _marks(ids, ids.count())).filter("__bq_in").select("a_id", "a_th", word_hashes(F.col("text")).alias("h"))
+    word = F.greatest(F.col("low") - AROUND, F.lit(0))
+    part = F.struct(F.slice("h", word + 1, F.col("high") + (gram + AROUND) - word).alias("a"), word.alias("word"), "at")
+    return pairs.join(near, ["a_id", "a_th"]).groupBy("doc_id", _TH).agg(F.collect_set(part).alias("__bq_parts"))
+
+
+def _agree(a: Column, i: Column, b: Column, j: Column, n: Column, back: bool) -> Column:
+    """How many words agree one after the other, of n from a[i] and b[j] on, or of n before them."""
+
+    def first(i: Column, j: Column, n: Column) -> Column:
+        some = [F.reverse(F.slice(x, k - n + 1, n)) if back else F.slice(x, k + 1, n) for x, k in ((a, i), (b, j))]
+        return F.array_position(F.concat(F.zip_with(*some, lambda x, y: x == y), F.array(F.lit(False))), False).cast("int") - 1
+
+    step = -AROUND if back else AROUND
+    return _let(first(i, j, F.least(n, F.lit(AROUND))), lambda k: F.when(k < AROUND, k).otherwise(AROUND + first(i + step, j + step, n - AROUND)))
+
+
+_RANGES = "array<struct<s:int,e:int>>"
+
+
+def _range(s: Column, e: Column) -> Column:
+    return F.array(F.struct(s.cast("int").alias("s"), e.cast("int").alias("e")))
+
+
+def covered(h: Column, parts: Column, gram: int, piece: int) -> Column:
     """Maximal matches of ``piece`` words or more with earlier parts, as word ranges."""
-    out: list[tuple[int, int]] = []
-    for part in parts:
-        a, line, end = np.frombuffer(part["a"], np.uint32), part["word"], -1
-        shifts: dict[int, tuple[int, int, np.ndarray]] = {}
-        for x in part["at"]:
-            if x["pos"] + gram <= end:
-                continue
-            shift = x["pos"] - x["a_pos"]
-            if shift not in shifts:
-                lo, hi = max(0, shift + line), min(len(h), shift + line + len(a))
-                shifts[shift] = lo, hi, np.flatnonzero(h[lo:hi] != a[lo - shift - line : hi - shift - line]) + lo
-            lo, hi, other = shifts[shift]
-            k = int(np.searchsorted(other, x["pos"]))
-            s, e = int(other[k - 1]) + 1 if k else lo, int(other[k]) if k < len(other) else hi
-            if e - s >= piece:
-                out.append((s, e))
-                end = max(end, e)
-    return out
 
+    def of(part: Column) -> Column:
+        def add(state: Column, x: Column) -> Column:
+            at, there = x["pos"], x["a_pos"] - part["word"]
+            before = _agree(h, at, part["a"], there, F.least(at, there), True)
+            after = _agree(h, at + gram, part["a"], there + gram, F.least(F.size(h) - at, F.size(part["a"]) - there) - gram, False)
+            found = _range(at - before, at + gram + after)
+            more = _let(found, lambda r: F.when(r[0]["e"] - r[0]["s"] >= piece, F.struct(F.greatest(state["end"], r[0]["e"]).alias("end"), F.concat(state["out"], r).alias("out"))).otherwise(state))
+            return F.when(at + gram <= state["end"], state).otherwise(more)
+
+        return F.aggregate(part["at"], F.struct(F.lit(-1).alias("end"), F.array().cast(_RANGES).alias("out")), add, lambda state: state["out"])
+
+    return F.flatten(F.transform(parts, of))
 
-def runs(ranges: list[tuple[int, int]], least: int) -> list[list[int]]:
+
+def runs(ranges: Column, least: int) -> Column:
     """The union of ranges, without runs of fewer than ``least`` words."""
-    out: list[list[int]] = []
-    for s, e in sorted(ranges):
-        if out and s <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], e)
-        else:
-            out.append([s, e])
-    return [r for r in out if r[1] - r[0] >= least]
+
+    def put(state: Column) -> Column:
+        return F.when(state["e"] - state["s"] >= least, F.concat(state["out"], _range(state["s"], state["e"]))).otherwise(state["out"])
+
+    def add(state: Column, x: Column) -> Column:
+        longer = F.struct(state["s"].alias("s"), F.greatest(state["e"], x["e"]).alias("e"), state["out"].alias("out"))
+        return F.when(x["s"] <= state["e"], longer).otherwise(F.struct(x["s"].alias("s"), x["e"].alias("e"), put(state).alias("out")))
+
+    return F.aggregate(F.sort_array(ranges), F.struct(F.lit(0).alias("s"), F.lit(-1).alias("e"), F.array().cast(_RANGES).alias("out")), add, put)
+
+
+def without(text: Column, gone: Column) -> Column:
+    """text without the word ranges gone and the white space behind them."""
+    lead = text.rlike(r"^[\x09-\x0D ]").cast("int")
+
+    def kept(t: Column) -> Column:
+        def piece(k: Column) -> Column:
+            a = F.when(k == 0, F.lit(0)).otherwise(lead + F.get(gone, k - 1)["e"])
+            b = F.when(k == F.size(gone), F.size(t)).otherwise(lead + F.get(gone, k)["s"])
+            return F.slice(t, a + 1, b - a)
+
+        return F.array_join(F.flatten(F.transform(F.sequence(F.lit(0), F.size(gone)), piece)), "")
+
+    return F.when(F.size(gone) > 0, _let(F.split(text, _EDGE), kept)).otherwise(text)
 
 
 def dedup(docs: DataFrame, min_words: int = MIN_WORDS, piece: int = PIECE, gram: int = GRAM, window: int = WINDOW) -> DataFrame:
     """docs with the repeated runs deleted from text, and __bq_runs (their number) beside it."""
-    arrow_batches(docs.sparkSession)
     columns = [F.col(f"`{c}`") for c in docs.columns]
     pairs = anchors(docs, gram, window)
     parts = earlier_parts(docs, pairs, gram).withColumnsRenamed({"doc_id": "__bq_id", _TH: "__bq_gth"})
@@ -224,32 +217,13 @@ def dedup(docs: DataFrame, min_words: int = MIN_WORDS, piece: int = PIECE, gram:
     alone = split.filter(~F.col("__bq_in")).select(*columns, F.lit(0).alias("__bq_runs"))
     own = split.filter("__bq_in").select(*columns)
     met = own.join(parts, (own["doc_id"].cast("long") == parts["__bq_id"]) & (F.hash(own["text"]) == parts["__bq_gth"]), "left").select(*columns, "__bq_parts")
-    text = docs.columns.index("text")
-
-    @lean
-    def delete(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for b in text_slices(whole, text, 1 << 20):
-                raw, starts, ends, first = word_places(b.column(text))
-                h = word_hashes(raw, starts, ends).astype(np.uint32)
-                old, n, texts = b.column(len(b.columns) - 1), [], b.column(text).to_pylist()
-                for k, (x, y) in enumerate(zip(first.tolist(), first[1:].tolist())):
-                    gone = runs(covered(h[x:y], old[k].as_py(), gram, piece), min_words) if old[k].is_valid else []
-                    n.append(len(gone))
-                    if gone:
-                        t = texts[k].encode("utf-8", "surrogatepass")
-                        edge = np.append(starts[x:y] - starts[x], 0) + (len(t) - len(t.lstrip(b" \t\n\v\f\r")))
-                        edge[-1] = len(t)
-                        cut, kept = 0, []
-                        for s, e in gone:
-                            kept.append(t[cut : edge[s]])
-                            cut = int(edge[e])
-                        texts[k] = b"".join([*kept, t[cut:]]).decode("utf-8", "surrogatepass")
-                cols = [pa.array(texts, pa.string()) if i == text else b.column(i) for i in range(len(b.columns) - 1)]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(n, pa.int32())], names=[*b.schema.names[:-1], "__bq_runs"])
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return met.mapInArrow(delete, f"{schema}, __bq_runs int").unionByName(alone)
+    gone = _let(word_hashes(F.col("text").cast("string")), lambda h: runs(covered(h, F.col("__bq_parts"), gram, piece), min_words))
+    # exploded, not selected: no later filter or use repeats the work
+    found = met.select(*columns, F.explode(F.array(F.when(F.col("__bq_parts").isNotNull(), gone))).alias("__bq_gone"))
+    text = F.when(F.size("__bq_gone") > 0, without(F.col("text").cast("string"), F.col("__bq_gone"))).otherwise(F.col("text"))
+    cut = found.select(*columns, F.explode(F.array(text)).alias("__bq_left"), F.greatest(F.lit(0), F.coalesce(F.size("__bq_gone"), F.lit(0))).alias("__bq_runs"))
+    cut = cut.select(*[F.col("__bq_left").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns], "__bq_runs")
+    return cut.unionByName(alone)
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

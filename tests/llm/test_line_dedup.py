@@ -1,6 +1,6 @@
 import random
 
-from bitquarry.llm.line_dedup import dedup
+from bitquarry.llm.line_dedup import dedup, fingerprints
 
 
 def sentence(rng, n):
@@ -92,3 +92,45 @@ def test_passages_that_begin_and_end_inside_sentences_go(spark):
     assert got[2] == before[2].replace(one + " ", "") and got[4] == before[4].replace(mid + " ", "")
     assert got[5].count("buy") <= 25 and got[5].endswith(spam)
     assert spam not in got[6] and got[6].count("buy") <= 25
+
+
+def test_no_python_runs_on_executors(spark):
+    docs = spark.createDataFrame([(1, "a " * 60), (2, "b " * 60 + "a " * 60), (3, "c")], "doc_id long, text string")
+    out = dedup(docs)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Arrow" not in plan and "Python" not in plan and "Pandas" not in plan
+    assert {r.doc_id: len(r.text.split()) for r in out.collect()} == {1: 1, 2: 1, 3: 1}
+    found = fingerprints(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "Arrow" not in found and "Python" not in found
+
+
+def test_copied_words_go_exactly_whatever_the_white_space(spark):
+    """Passages of 25 words or more, dealt with other white space, are cut at their words; the rest keeps every byte."""
+    rng = random.Random(5)
+    gap = lambda: rng.choice([" ", " ", " ", "\n", "\t", " \r\n ", "\x0b", "\x0c"])
+    word = lambda: rng.choice(["é", "字 ", "W ", ""]) + f"w{rng.randrange(10**6)}"
+    source = [[word() for _ in range(rng.randint(60, 200))] for _ in range(12)]
+    rows = [(i, gap() + gap().join(ws) + gap() + gap()) for i, ws in enumerate(source)]
+    want = dict(rows)
+    for i in range(12, 50):
+        left, text = [], ""
+        for _ in range(rng.randint(1, 3)):
+            own = "".join(word() + gap() for _ in range(rng.randint(1, 30)))
+            src = source[rng.randrange(12)]
+            n = rng.choice([12, 25, 26, 40, 60])
+            k = rng.randrange(len(src) - n + 1)
+            copied = "".join(w + gap() for w in src[k : k + n])
+            left.append(own + (copied if n == 12 else ""))
+            text += own + copied
+        start = rng.choice(["", "\n ", " "])
+        rows.append((i, start + text))
+        want[i] = start + "".join(left)
+    got = {r.doc_id: r.text for r in dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert got == want
+
+
+def test_ids_beyond_forty_bits(spark):
+    text = sentence(random.Random(6), 80)
+    ids = [-(1 << 62), -5, 1 << 45, (1 << 62) + 1]
+    got = {r.doc_id: r.text for r in dedup(spark.createDataFrame([(i, text) for i in ids], "doc_id long, text string")).collect()}
+    assert got == {i: text if i == ids[0] else "" for i in ids}
