@@ -16,8 +16,10 @@ bucket, a signature that several documents share gives a chain of edges, never
 pairs. Components of these edges hold all candidates. Where many texts share a
 passage, signatures of few shingles chain them into a component that is far
 larger than any group of similar sets. A component beyond ``tile_shingles`` is
-therefore taken apart first: of each set the rarest shingles count as
-signatures, as many as a similar set must share one of (all but the similarity's
+therefore taken apart first. A set similar to another shares the similarity's
+share of its shingles, so sets go of which too few stand in any other set of
+these components (``shared_shingles``). If that isn't enough, of each set the
+rarest shingles count as signatures, as many as a similar set must share one of (all but the similarity's
 share of it, and one). Rarity is by a table of hashed counts over these
 documents; any order gives the same links. Inside components, one document of
 each distinct set is compared exactly (``den * intersection >=
@@ -55,6 +57,9 @@ BUCKET_DOCS = 4_000
 #: bins of the table of counts (broadcast, 8 MB whatever the input)
 BINS = 1 << 21
 
+#: shingles that one task meets when those that stand once are counted out
+SHARED_SHINGLES = 3_000_000
+
 #: words of 64 bits in the filter of ids (broadcast, a row for each, whatever the input)
 WORDS = 1 << 18
 
@@ -217,6 +222,45 @@ def hashed_counts(docs: DataFrame, width: int = WIDTH) -> np.ndarray:
     return out
 
 
+def shared_shingles(docs: DataFrame, buckets: int, width: int = WIDTH) -> DataFrame:
+    """doc_id, shared: how many shingles of each document stand in another row of docs too.
+
+    Shingles are met by 32 bits inside a bucket, so that a few count as shared
+    that aren't; none is missed. Documents without any are left out.
+    """
+
+    @lean
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (x for whole in batches for x in text_slices(whole, 1)):
+            sets = list(shingle_sets(b.column(1), width))
+            h = np.concatenate([*sets, np.empty(0, np.uint64)])
+            to = ((h >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+            row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+            order = np.argsort(to, kind="stable")
+            to, row, low = to[order], row[order], h[order].astype(np.uint32)
+            ids = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            cuts = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]])).tolist() + [len(to)] if len(to) else []
+            rows = []
+            for x, y in zip(cuts, cuts[1:]):
+                names, n = np.unique(row[x:y], return_counts=True)
+                rows.append(_packed(int(to[x]), "set", low[x:y], ids[names], n.astype(np.uint32)))
+            for k in range(0, len(rows), 64):
+                yield _batch(rows[k : k + 64])
+
+    @lean_group
+    def meet(table: pa.Table) -> pa.Table:
+        low, ids, n = (np.concatenate([np.frombuffer(x.as_buffer(), t) for x in table.column(c)]) for c, t in (("a", np.uint32), ("b", np.int64), ("n", np.uint32)))
+        order = np.argsort(low, kind="stable")
+        same = low[order[1:]] == low[order[:-1]]
+        shared = np.zeros(len(low), bool)
+        shared[order[1:][same]] = True
+        shared[order[:-1][same]] = True
+        count = np.add.reduceat(shared.astype(np.int64), np.cumsum(n, dtype=np.int64) - n)
+        return pa.table([pa.array(ids[count > 0]), pa.array(count[count > 0])], names=["doc_id", "shared"])
+
+    return docs.select("doc_id", "text").mapInArrow(step, _META).groupBy("bucket").applyInArrow(meet, "doc_id bigint, shared bigint").groupBy("doc_id").agg(F.sum("shared").alias("shared"))
+
+
 def _signatures(docs: DataFrame, buckets: int, width: int = WIDTH, num: int = NUMERATOR, den: int = DENOMINATOR, counts: Broadcast | None = None) -> DataFrame:
     """Per batch and bucket: signatures with their documents, and each document's size and set hash. counts: by rarest shingles."""
 
@@ -381,6 +425,12 @@ def _perhaps(docs: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFra
     return docs.join(F.broadcast(bits), hit, how)
 
 
+def _sized(sets: DataFrame, tile_shingles: int) -> DataFrame:
+    """Sets (root, doc_id, n, h1, h2) of the components of several, with the blocks that their component is cut into."""
+    shape = sets.groupBy("root").agg(F.sum("n").alias("total"), F.count("*").alias("sets")).filter("sets > 1")
+    return sets.join(shape, "root").withColumn("blocks", F.ceil(F.col("total") / tile_shingles).cast("int")).select("root", "doc_id", "n", "h1", "h2", "blocks")
+
+
 def similar_groups(docs: DataFrame, tile_shingles: int = TILE_SHINGLES, width: int = WIDTH, num: int = NUMERATOR, den: int = DENOMINATOR) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links) of every row of docs (doc_id, text)."""
     spark = docs.sparkSession
@@ -400,20 +450,21 @@ def similar_groups(docs: DataFrame, tile_shingles: int = TILE_SHINGLES, width: i
     members = info.filter("n > 0").join(candidates, info["doc_id"] == candidates["node"]).select("root", "doc_id", "n", "h1", "h2")
     first = materialize(members.groupBy("root", "n", "h1", "h2").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")))
     copies = members.join(first.filter("copies > 1").select("root", "n", "h1", "h2", F.col("doc_id").alias("rep")), ["root", "n", "h1", "h2"]).select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
-    shape = first.groupBy("root").agg(F.sum("n").alias("total"), F.count("*").alias("sets")).filter("sets > 1")
-    sized = first.join(shape, "root").withColumn("blocks", F.ceil(F.col("total") / tile_shingles).cast("int"))
-    sized = sized.select("root", "doc_id", "n", "h1", "h2", "blocks")
+    sized = _sized(first, tile_shingles)
     large = sized.filter("blocks > 1")
-    if not large.isEmpty():
-        some = materialize(whole.join(large.select("doc_id"), "doc_id", "left_semi"))
-        counts = spark.sparkContext.broadcast(hashed_counts(some, width))
-        near = materialize(_signatures(some, buckets, width, num, den, counts).groupBy("bucket").applyInArrow(_meet, _OUT))
-        drop_folder(some)
-        finer = components(near.filter("kind = 'edge'").select("doc_id", "other")).withColumnsRenamed({"node": "doc_id"})
-        apart = large.drop("root", "blocks").join(finer, "doc_id")
-        shape = apart.groupBy("root").agg(F.sum("n").alias("total"), F.count("*").alias("sets")).filter("sets > 1")
-        again = apart.join(shape, "root").withColumn("blocks", F.ceil(F.col("total") / tile_shingles).cast("int"))
-        sized = materialize(sized.filter("blocks = 1").unionByName(again.select(*sized.columns)))
+    total = large.agg(F.sum("n")).first()[0]
+    if total:
+        # sets that may have a similar one among them
+        shared = shared_shingles(_perhaps(whole, large), max(parts(spark), total // SHARED_SHINGLES), width)
+        left = large.drop("blocks").join(shared, "doc_id").filter(F.col("shared") * den >= F.col("n") * num)
+        sized = materialize(sized.filter("blocks = 1").unionByName(_sized(left, tile_shingles)))
+        large = sized.filter("blocks > 1")
+        if not large.isEmpty():
+            some = _perhaps(whole, large)
+            counts = spark.sparkContext.broadcast(hashed_counts(some, width))
+            near = materialize(_signatures(some, buckets, width, num, den, counts).groupBy("bucket").applyInArrow(_meet, _OUT))
+            finer = components(near.filter("kind = 'edge'").select("doc_id", "other")).withColumnsRenamed({"node": "doc_id"})
+            sized = materialize(sized.filter("blocks = 1").unionByName(_sized(large.drop("root", "blocks").join(finer, "doc_id"), tile_shingles)))
     placed = sized.withColumn("block", F.pmod(F.xxhash64("h1", "h2"), F.col("blocks")).cast("int"))
     tiles = placed.select("root", "doc_id", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select("root", "doc_id", "block", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"))
     # texts are dealt by doc_id at every size: candidates grow with the documents, so they are never broadcast; texts that surely are none stay where they are

@@ -138,3 +138,31 @@ def test_documents_that_surely_stay_are_not_dealt(spark, tmp_path):
     for df in (some, rest):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "BroadcastHashJoin" in plan and not any("Exchange hashpartitioning(doc_id" in line for line in plan.splitlines())
+
+
+def test_sets_without_enough_shared_shingles_leave_a_large_component(spark, monkeypatch):
+    """Shared shingles by plain counts; chained texts that are mostly their own never reach the tiles."""
+    import random
+    from collections import Counter
+
+    from bitquarry.llm import ngram_join
+
+    rng = random.Random(11)
+    words = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    common = words(40)
+    rows = [(i, " ".join([*words(60), *common])) for i in range(30)]
+    rows += [(100 + i, rows[0][1] + " end" * (i > 0)) for i in range(3)] + [(200, None), (201, ""), (202, "two words"), (203, "two words")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    sets = {i: {tuple(t[k : k + 5]) for k in range(len(t) - 4)} if len(t := (x or "").split()) >= 5 else ({tuple(t)} if t else set()) for i, x in rows}
+    stands = Counter(s for x in sets.values() for s in x)
+    want = {i: n for i, x in sets.items() if (n := sum(stands[s] > 1 for s in x))}
+    assert {r.doc_id: r.shared for r in ngram_join.shared_shingles(docs, 7, 5).collect()} == want
+
+    tiled = []
+    step = ngram_join._sized
+    monkeypatch.setattr(ngram_join, "_sized", lambda *a: tiled.append(step(*a)) or tiled[-1])
+    edges = spark.createDataFrame([(i, j) for i in sets for j in sets if i < j and sets[i] and sets[j]], "doc_id long, other long")
+    monkeypatch.setattr(ngram_join, "components", lambda e, real=ngram_join.components, used=[]: real(edges if not used and not used.append(1) else e))
+    got = {r.doc_id: r.component_id for r in ngram_join.similar_groups(docs, tile_shingles=400, width=5, num=80, den=100).collect()}
+    assert got == {i: {100: 0, 101: 0, 102: 0, 203: 202}.get(i, i) for i in sets}
+    assert {r.doc_id for r in tiled[1].collect()} <= {0, 100, 101, 102, 202, 203}
