@@ -203,3 +203,8 @@ def encoder(path: str, keeps_space: bool) -> ChunkEncoder:
         _ENCODERS.clear()
         _ENCODERS[key] = ChunkEncoder(path, keeps_space)
     return _ENCODERS[key]
+
+
+def drop_encoder() -> None:
+    """Gives this worker's encoder back: workers live on, and more of them than there are cores."""
+    _ENCODERS.clear()

@@ -226,7 +226,9 @@ def shared_shingles(docs: DataFrame, buckets: int, width: int = WIDTH) -> DataFr
     """doc_id, shared: how many shingles of each document stand in another row of docs too.
 
     Shingles are met by 32 bits inside a bucket, so that a few count as shared
-    that aren't; none is missed. Documents without any are left out.
+    that aren't; none is missed. Documents without any are left out. A bucket
+    packs its counts by parts of the ids: a row for each bucket and part, not
+    for each bucket and document.
     """
 
     @lean
@@ -255,10 +257,25 @@ def shared_shingles(docs: DataFrame, buckets: int, width: int = WIDTH) -> DataFr
         shared = np.zeros(len(low), bool)
         shared[order[1:][same]] = True
         shared[order[:-1][same]] = True
-        count = np.add.reduceat(shared.astype(np.int64), np.cumsum(n, dtype=np.int64) - n)
-        return pa.table([pa.array(ids[count > 0]), pa.array(count[count > 0])], names=["doc_id", "shared"])
+        count = np.add.reduceat(shared, np.cumsum(n, dtype=np.int64) - n, dtype=np.uint32)
+        ids, count = ids[count > 0], count[count > 0]
+        to = (mix(ids.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(to, kind="stable")
+        ids, count, to = ids[order], count[order], to[order]
+        cuts = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]])).tolist() + [len(to)] if len(to) else []
+        return pa.Table.from_pylist([{"part": int(to[x]), "ids": ids[x:y].tobytes(), "n": count[x:y].tobytes()} for x, y in zip(cuts, cuts[1:])], parts_of)
 
-    return docs.select("doc_id", "text").mapInArrow(step, _META).groupBy("bucket").applyInArrow(meet, "doc_id bigint, shared bigint").groupBy("doc_id").agg(F.sum("shared").alias("shared"))
+    @lean_group
+    def add(table: pa.Table) -> pa.Table:
+        ids, n = (np.concatenate([np.frombuffer(x.as_buffer(), t) for x in table.column(c)]) for c, t in (("ids", np.int64), ("n", np.uint32)))
+        ids, at = np.unique(ids, return_inverse=True)
+        total = np.zeros(len(ids), np.int64)
+        np.add.at(total, at, n)
+        return pa.table([pa.array(ids), pa.array(total)], names=["doc_id", "shared"])
+
+    parts_of = pa.schema([("part", pa.int32()), ("ids", pa.binary()), ("n", pa.binary())])
+    met = docs.select("doc_id", "text").mapInArrow(step, _META).groupBy("bucket").applyInArrow(meet, "part int, ids binary, n binary")
+    return met.groupBy("part").applyInArrow(add, "doc_id bigint, shared bigint")
 
 
 def _signatures(docs: DataFrame, buckets: int, width: int = WIDTH, num: int = NUMERATOR, den: int = DENOMINATOR, counts: Broadcast | None = None) -> DataFrame:

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from bitquarry.llm._common import arrow_batches, lean, materialize, read, text_slices
-from bitquarry.llm._tokenize import encoder
+from bitquarry.llm._tokenize import drop_encoder, encoder
 
 CAPACITY = 4096
 
@@ -157,6 +157,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, keeps_space: bool, capa
         numbers: dict[int, int] = {}
         for whole in batches:
             for b in text_slices(whole, 1):
+                pa.default_memory_pool().release_unused()
                 ids, starts = enc.encode_batch(b.column(1), end_id)
                 raw = memoryview(ids.astype("<u4")).cast("B")
                 rows: list[tuple] = []
@@ -169,6 +170,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, keeps_space: bool, capa
                 if rows:
                     cols = zip(*rows)
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()))], names=["doc_id", "piece", "start", "length", "ids_crc32", "task", "number"])
+        drop_encoder()  # 60 MB or more, in every worker that ever packed, beside what later steps take
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(step, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, task int, number bigint")
 

@@ -166,3 +166,38 @@ def test_sets_without_enough_shared_shingles_leave_a_large_component(spark, monk
     got = {r.doc_id: r.component_id for r in ngram_join.similar_groups(docs, tile_shingles=400, width=5, num=80, den=100).collect()}
     assert got == {i: {100: 0, 101: 0, 102: 0, 203: 202}.get(i, i) for i in sets}
     assert {r.doc_id for r in tiled[1].collect()} <= {0, 100, 101, 102, 202, 203}
+
+
+def test_counts_of_shared_shingles_are_packed_by_bucket(spark):
+    """A bucket has a row for each part of the ids, not one for each document with a shared shingle there."""
+    from bitquarry.llm import ngram_join
+
+    common = " ".join(f"w{k}" for k in range(60))
+    docs = spark.createDataFrame([(i - 200, f"{common} own{i}") for i in range(400)] + [(-200, f"{common} own0"), (500, None)], "doc_id long, text string")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        df = ngram_join.shared_shingles(docs, 5, 5)
+        got = {r.doc_id: r.shared for r in df.collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    # 56 shingles of all; the one with the last word stands twice in the doubled row alone
+    assert got == {i - 200: 56 if i else 2 * 57 for i in range(400)}
+
+    def made(node):
+        below = [n for k in range(node.children().size()) for n in made(node.children().apply(k))]
+        return below + ([node.metrics().apply("pythonNumRowsReceived").value()] if "FlatMapGroupsInArrow" in node.nodeName() else [])
+
+    assert made(df._jdf.queryExecution().executedPlan())[0] <= 5 * 5
+
+
+def test_workers_keep_small_tables_for_word_hashes():
+    from bitquarry.llm import _common
+
+    raw = np.frombuffer(b"one " + b"x" * 200_000 + b" " + b"three " * 50_000, np.uint8)
+    places = lambda r: (s := np.flatnonzero((r != 32) & np.concatenate([[True], r[:-1] == 32])), np.flatnonzero((r == 32) & np.concatenate([[False], r[:-1] != 32])))
+    starts, ends = places(raw)
+    h = _common.word_hashes(raw, starts, ends)
+    # the same hash wherever a word stands
+    alone = _common.word_hashes(raw[4:], *places(raw[4:]))
+    assert (h[1:] == alone).all() and len(set(h.tolist())) == 3
+    assert sum(x.nbytes for x in _common._powers(_common._HASHED)) < 4 << 20

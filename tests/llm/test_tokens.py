@@ -121,3 +121,19 @@ def test_pack_rows(spark):
     assert len(seqs) == -(-total // 4096)
     assert sum(r.piece == 0 for r in got) == len(rows)
     assert pack(docs.limit(0), public_tokenizers.path("word_bpe_49k.json")).count() == 0
+
+
+def test_no_worker_keeps_an_encoder_after_packing(spark):
+    import pyarrow as pa
+
+    docs = spark.createDataFrame([(i, f"some text {i}") for i in range(64)], "doc_id long, text string").repartition(8)
+    got = pack(docs, public_tokenizers.path("word_bpe_49k.json")).collect()
+    assert sorted(r.doc_id for r in got) == list(range(64)) and {r.sequence_id for r in got} == {0}
+
+    def held(batches):
+        from bitquarry.llm import _tokenize
+
+        for _ in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([len(_tokenize._ENCODERS)], pa.int64())], names=["n"])
+
+    assert {r.n for r in spark.range(0, 64, 1, 32).mapInArrow(held, "n long").collect()} == {0}
