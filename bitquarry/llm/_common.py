@@ -195,11 +195,24 @@ def trim() -> None:
         pass
 
 
+@lru_cache(1)
+def large_apart() -> None:
+    """From now on, arrays of 1 MB or more of this process have pages of their own, which go back as each is freed.
+
+    Otherwise the C library raises that limit with the first ones, and what later ones leave stays with the worker.
+    """
+    try:
+        ctypes.CDLL(None).mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def lean_group(step: Callable[[pa.Table], pa.Table], most: int = 4 << 20) -> Callable[[pa.Table], pa.Table]:
     """step on a group, with the memory that a large one took given back."""
 
     @wraps(step)
     def run(table):
+        large_apart()
         large = table.nbytes > most
         out = step(table)
         del table

@@ -46,7 +46,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bitquarry.llm._common import LOWER, arrow_batches, drop_folder, lean, lean_group, materialize, mix, parts, read, text_slices, word_hashes, word_places
+from bitquarry.llm._common import LOWER, arrow_batches, drop_folder, large_apart, lean, lean_group, materialize, mix, parts, read, text_slices, word_hashes, word_places
 from bitquarry.llm._components import components, contract
 
 WIDTH = 4
@@ -205,6 +205,7 @@ def hashed_counts(docs: DataFrame, width: int = WIDTH) -> np.ndarray:
 
     @lean
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        large_apart()
         total = np.zeros(BINS, np.uint32)
         for b in batches:
             for h in shingle_sets(b.column(1), width):
@@ -233,6 +234,7 @@ def shared_shingles(docs: DataFrame, buckets: int, width: int = WIDTH) -> DataFr
 
     @lean
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        large_apart()
         for b in (x for whole in batches for x in text_slices(whole, 1)):
             sets = list(shingle_sets(b.column(1), width))
             h = np.concatenate([*sets, np.empty(0, np.uint64)])
@@ -283,6 +285,7 @@ def _signatures(docs: DataFrame, buckets: int, width: int = WIDTH, num: int = NU
 
     @lean
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        large_apart()
         for b in (x for whole in batches for x in text_slices(whole, 1)):
             ids = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             info: list[tuple] = []

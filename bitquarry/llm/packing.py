@@ -156,7 +156,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, keeps_space: bool, capa
         task, enc = TaskContext.get().partitionId(), encoder(tokenizer, keeps_space)
         numbers: dict[int, int] = {}
         for whole in batches:
-            for b in text_slices(whole, 1):
+            for b in text_slices(whole, 1, 1 << 20):
                 pa.default_memory_pool().release_unused()
                 ids, starts = enc.encode_batch(b.column(1), end_id)
                 raw = memoryview(ids.astype("<u4")).cast("B")

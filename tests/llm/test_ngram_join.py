@@ -201,3 +201,28 @@ def test_workers_keep_small_tables_for_word_hashes():
     alone = _common.word_hashes(raw[4:], *places(raw[4:]))
     assert (h[1:] == alone).all() and len(set(h.tolist())) == 3
     assert sum(x.nbytes for x in _common._powers(_common._HASHED)) < 4 << 20
+
+
+def test_large_arrays_go_back_as_they_are_freed():
+    """Freed arrays of 20 MB are given back even below one that stays, without a call that trims."""
+    import re
+    import subprocess
+    import sys
+
+    code = """
+import re
+import numpy as np
+import pyarrow as pa
+from bitquarry.llm._common import lean_group
+anon = lambda: int(re.search(r"Pss_Anon:\\s+(\\d+)", open("/proc/self/smaps_rollup").read())[1]) >> 10
+np.ones(3 << 20).sum()  # the C library raises its limit as this goes
+run = lean_group(lambda table: [np.ones(5 << 19) for _ in range(5)] + [bytearray(200_000)])
+table = pa.table({"a": [1]})
+before = anon()
+kept = run(table)[-1]
+print(anon() - before)
+"""
+    if not sys.platform.startswith("linux"):
+        return
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True)
+    assert int(out.stdout) < 20, out.stdout
